@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, fingerprints, html_extract, license_scan, quality, source_mix, token_records, topk_search
+from . import byte_bpe, fingerprints, html_extract, license_scan, line_dedup, ngram_join, quality, source_mix, token_records, topk_search
 
 QUERIES = {
+    "op1_line_dedup": line_dedup.op1_line_dedup,
     "op2_license_scan": license_scan.op2_license_scan,
     "op3_byte_bpe": byte_bpe.op3_byte_bpe,
+    "op4_ngram_join": ngram_join.op4_ngram_join,
     "op5_fingerprints": fingerprints.op5_fingerprints,
     "op6_source_mix": source_mix.op6_source_mix,
     "op7_token_records": token_records.op7_token_records,
@@ -16,7 +18,9 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op1_line_dedup": line_dedup.ORACLE,
     "op2_license_scan": license_scan.oracle(),
+    "op4_ngram_join": ngram_join.ORACLE,
     "op6_source_mix": source_mix.ORACLE,
     "op10_topk_search": topk_search.ORACLE,
 }

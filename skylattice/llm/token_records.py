@@ -126,7 +126,7 @@ def write_records(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int
 
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), whole_text(text).alias("text"))
     spark = docs.sparkSession
-    rows.repartitionByRange("doc_id", "text").sortWithinPartitions("doc_id", "text").mapInArrow(run, INDEX).write.parquet(f"{folder}/index")
+    rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text").mapInArrow(run, INDEX).write.parquet(f"{folder}/index")
     return spark.read.schema(INDEX).parquet(f"{folder}/index")
 
 
