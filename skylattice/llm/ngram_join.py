@@ -212,7 +212,8 @@ def whole_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(name[:, 0]), pa.array(name[:, 1]), arrays(sets)], names=["doc_id", "hi", "lo", "tokens"])
 
     sets = texts.mapInArrow(run, "doc_id long, hi long, lo long, tokens array<long>")
-    return sets.join(wanted, ["doc_id", "hi", "lo"]).dropDuplicates(["uid"])
+    # Rows equal in id and text give a set twice; neither lists nor links mind.
+    return sets.join(few(docs.sparkSession, wanted), ["doc_id", "hi", "lo"])
 
 
 def verified(docs: DataFrame, pairs: DataFrame, vertices: DataFrame) -> DataFrame:
@@ -250,25 +251,30 @@ def components_of(docs: DataFrame, key: str = "doc_id", text: str = "text") -> D
     members = staged(named.join(vertex, ["hi", "lo"]), "members")
     vertices = members.where(F.col("uid") == F.col("rep")).select("uid", "doc_id", "n", "hi", "lo")
 
-    own = staged(signed(sets.where(F.size("low") > 0).select("uid", "n", F.col("low").alias("tokens")), hot, False), "signatures")
-    short = members.join(own.where(~F.col("whole")).select("uid"), "uid").where(F.col("uid") == F.col("rep"))
-    more = signed(whole_sets(rows, short.select("uid", "doc_id", "hi", "lo", "n")).select("uid", "n", "tokens"), hot, True)
+    # What other tasks have met too is left out: only the vertices themselves are indexed.
+    again = members.where(F.col("kept") & (F.col("uid") != F.col("rep"))).select("uid")
+    low = sets.where(F.size("low") > 0).join(few(spark, again), "uid", "left_anti").select("uid", "n", F.col("low").alias("tokens"))
+    own = staged(signed(low, hot, False), "signatures")
+    short = vertices.join(few(spark, own.where(~F.col("whole")).select("uid")), "uid")
+    more = signed(whole_sets(rows, short).select("uid", "n", "tokens"), hot, True)
     every = own.where("whole").unionByName(more)
-    marks = every.select("uid", F.explode("singles").alias("sig"), F.lit(1).alias("one")).unionByName(every.select("uid", F.explode("pairs").alias("sig"), F.lit(0).alias("one")))
-    marks = marks.select("uid", "sig", "one").repartition("sig", "one")
+    marks = every.select(F.col("uid").alias("u"), F.explode("singles").alias("sig"), F.lit(1).alias("one")).unionByName(every.select(F.col("uid").alias("u"), F.explode("pairs").alias("sig"), F.lit(0).alias("one")))
+    marks = marks.repartition("sig", "one")
     shared = marks.groupBy("sig", "one").agg(F.count("*").alias("k")).where(F.col("k") > 1).select("sig", "one")
-    lists = marks.join(shared.hint("shuffle_hash"), ["sig", "one"]).join(members.select("uid", "rep", "n"), "uid").select("sig", "one", F.col("rep").alias("u"), "n").distinct()
-    lists = staged(lists, "signature-lists")
+    lists = staged(marks.join(shared.hint("shuffle_hash"), ["sig", "one"]), "shared-signatures")
+    # Pairs of shared frequent tokens tell how many are shared: p pairs of s tokens, p = s (s - 1) / 2; without any, one may be.
+    told = F.col("ones") + F.when(F.col("twos") > 0, (1 + F.sqrt(1 + 8 * F.col("twos"))) / 2).otherwise(1)
+    # A vertex that shares too little with all others together can drop out.
+    enough = lists.groupBy("u").agg(F.sum("one").alias("ones"), F.sum(1 - F.col("one")).alias("twos")).join(vertices.select(F.col("uid").alias("u"), "n"), "u").where(told >= F.ceil(F.col("n") / 20) + 3 - 1e-9)
+    lists = staged(lists.join(few(spark, staged(enough.select("u", "n"), "sharing-vertices")), "u").select("sig", "one", "u", "n"), "signature-lists")
 
     size = vertices.select(F.col("uid").alias("u"), "n")
     near = lambda a, b: (F.col(a) * 100 >= F.col(b) * LINK) & (F.col(b) * 100 >= F.col(a) * LINK)
     least_extra = F.ceil(F.least("n", "m") / 20) + 2
-    # Pairs of shared frequent tokens tell how many are shared: p pairs of s tokens, p = s (s - 1) / 2; without any, one may be.
-    told = F.col("ones") + F.when(F.col("twos") > 0, (1 + F.sqrt(1 + 8 * F.col("twos"))) / 2).otherwise(1)
 
     links, labels = None, None
     for last_round in (False, False, True):
-        now = lists.withColumn("label", F.col("u")) if labels is None else lists.join(labels, "u", "left").withColumn("label", F.coalesce("label", "u"))
+        now = lists.withColumn("label", F.col("u")) if labels is None else lists.join(few(spark, labels), "u", "left").withColumn("label", F.coalesce("label", "u"))
         mixed_lists = now.groupBy("sig", "one").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a < b").select("sig", "one", F.col("a" if labels is None else "b").alias("pivot"))
         now = now.join(mixed_lists, ["sig", "one"])
         if last_round:
