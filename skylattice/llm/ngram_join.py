@@ -12,8 +12,9 @@ its documents); which tokens are in the class only decides the order, never whic
 limited to the HOT_MOST most frequent and broadcast.
 
 Equal sets are one vertex. To not make all pairs of a group of near copies, signature lists first link each vertex to
-one pivot of the list, and vertices that are already in one component are not compared again; the pairs left are then
-all made, for lists that still hold several components. Links within a component need not be found, links between
+a pivot or two of the list, and vertices that are already in one component are not compared again; what is left
+are lists that still hold several components: short ones make their pairs, long ones are cut into tiles whose sets meet
+as matrices, so that only links come out. Links within a component need not be found, links between
 components all are. Texts are read again only for sets that must be seen whole; their ids are broadcast up to FEW.
 
 Null and empty texts have no shingles and are linked with nothing; equal ids are separate documents; null ids stay null
@@ -40,6 +41,10 @@ HOT, HOT_IN_CHUNK, HOT_MOST, CHUNK = 40, 3, 1_000_000, 2_000_000
 #: Sets of up to so many tokens index pairs of frequent tokens; those above (less what a link allows) index them singly.
 PAIR_SETS = 100
 FEW = 2_000_000
+#: Lists of more sets are compared tile by tile.
+TILE = 128
+#: Each round's turns, by which lists choose pivots; the last round, without any, makes all pairs between components that are left.
+PIVOTS = ((0,), (0x2A6F0C5B37D1E948, 0x71D3B8E45A90C627, 0x15C8A27F6E3B90D4, 0x4E90D76B81F25A3C), ())
 #: Stands for a null id inside.
 NO_ID = 2**63 - 1
 LOW_SHARE, LOW_MORE = 0.3, 8
@@ -236,6 +241,58 @@ def verified(docs: DataFrame, pairs: DataFrame, vertices: DataFrame) -> DataFram
     return staged(met.select("u", "v", "a", "b").mapInArrow(run, "u long, v long"), "links")
 
 
+def overlaps(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of every set of a with every set of b: products of 0/1 matrices over the shared tokens, some columns at a time."""
+    shared = np.intersect1d(np.concatenate(a), np.concatenate(b))
+    out = np.zeros((len(a), len(b)), np.float32)
+    places = []
+    for sets in (a, b):
+        flat, rows = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+        at = np.minimum(np.searchsorted(shared, flat), max(0, len(shared) - 1))
+        held = shared[at] == flat if len(shared) else np.zeros(len(flat), bool)
+        places.append((rows[held], at[held]))
+    for start in range(0, len(shared), 4096):
+        width = min(4096, len(shared) - start)
+        part = []
+        for sets, (rows, at) in zip((a, b), places):
+            here = (at >= start) & (at < start + width)
+            m = np.zeros((len(sets), width), np.float32)
+            m[rows[here], at[here] - start] = 1
+            part.append(m)
+        out += part[0] @ part[1].T
+    return out
+
+
+def tile_links(docs: DataFrame, long: DataFrame, vertices: DataFrame) -> DataFrame:
+    """Links between components within long lists, without making their pairs: a list is dealt to tiles of about TILE sets,
+    two tiles meet in a task as matrices, and only the links leave it."""
+    ids = long.select(F.col("u").alias("uid")).distinct()
+    sets = staged(whole_sets(docs, vertices.join(ids, "uid", "left_semi").select("uid", "doc_id", "hi", "lo")).select(F.col("uid").alias("u"), "tokens"), "tile-sets")
+    tiles = long.withColumn("tile", F.pmod(F.xxhash64("u"), F.ceil(F.col("k") / TILE)).cast("int"))
+    tiles = tiles.join(sets, "u").groupBy("sig", "one", "tile").agg(F.collect_list(F.struct("u", "label", "tokens")).alias("sets"))
+    tiles = staged(tiles, "tiles")
+    index = tiles.select("sig", "one", "tile")
+    meets = index.join(index.withColumnRenamed("tile", "other"), ["sig", "one"]).where("tile <= other")
+    met = meets.join(tiles, ["sig", "one", "tile"]).join(tiles.select("sig", "one", F.col("tile").alias("other"), F.col("sets").alias("others")), ["sig", "one", "other"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                sides = []
+                for c in (0, 1):
+                    rows = batch.column(c)[i].values
+                    column = rows.field("tokens")
+                    flat, offsets = column.values.to_numpy(zero_copy_only=False), column.offsets.to_numpy()
+                    sides.append((rows.field("u").to_numpy(), rows.field("label").to_numpy(), [flat[x:y] for x, y in zip(offsets, offsets[1:])]))
+                (u, own, a), (v, other, b) = sides
+                both = overlaps(a, b)
+                joined = np.array([len(x) for x in a])[:, None] + np.array([len(x) for x in b])[None, :] - both
+                x, y = np.nonzero((100 * both >= LINK * joined) & (own[:, None] != other[None, :]))
+                yield pa.RecordBatch.from_arrays([pa.array(u[x]), pa.array(v[y])], names=["u", "v"])
+
+    return staged(met.select("sets", "others").mapInArrow(run, "u long, v long").distinct(), "tile-links")
+
+
 def components_of(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id for each row of docs."""
     spark = docs.sparkSession
@@ -273,20 +330,34 @@ def components_of(docs: DataFrame, key: str = "doc_id", text: str = "text") -> D
     least_extra = F.ceil(F.least("n", "m") / 20) + 2
 
     links, labels = None, None
-    for last_round in (False, False, True):
+    for turns in PIVOTS:
         now = lists.withColumn("label", F.col("u")) if labels is None else lists.join(few(spark, labels), "u", "left").withColumn("label", F.coalesce("label", "u"))
-        mixed_lists = now.groupBy("sig", "one").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a < b").select("sig", "one", F.col("a" if labels is None else "b").alias("pivot"))
-        now = now.join(mixed_lists, ["sig", "one"])
-        if last_round:
-            now = staged(now.drop("pivot"), "mixed-lists")
-            other = now.select("sig", "one", F.col("u").alias("v"), F.col("n").alias("m"), F.col("label").alias("other"))
-            met = now.join(other, ["sig", "one"]).where((F.col("u") < F.col("v")) & (F.col("label") != F.col("other")) & near("n", "m"))
-            enough = told >= least_extra + 1 - 1e-9
-        else:
+        # The nearest to each turn by exclusive or: one vertex of each list, the same one in all lists that hold it and its like.
+        nearest = [F.min(F.col("u").bitwiseXOR(F.lit(t))).bitwiseXOR(F.lit(t)).alias(f"p{i}") for i, t in enumerate(turns)]
+        several = now.groupBy("sig", "one").agg(F.min("label").alias("a"), F.max("label").alias("b"), *nearest).where("a < b")
+        if turns:
             # Pivots only save work; a pair needs half of what a link would share to be looked at here.
-            met = now.where("pivot <> label").join(size.withColumnsRenamed({"u": "pivot", "n": "m"}), "pivot").where(near("n", "m")).withColumnRenamed("pivot", "v")
+            several = several.select("sig", "one", F.explode(F.array_distinct(F.array(*[f"p{i}" for i in range(len(turns))]))).alias("v"))
+            others = size.withColumnsRenamed({"u": "v", "n": "m"})
+            others = others.withColumn("other", F.col("v")) if labels is None else others.join(few(spark, labels.withColumnsRenamed({"u": "v", "label": "other"})), "v", "left").withColumn("other", F.coalesce("other", "v"))
+            met = now.join(several, ["sig", "one"]).where("u <> v").join(others, "v").where((F.col("label") != F.col("other")) & near("n", "m"))
+            met = met.withColumns({"more_ones": F.lit(0), "more_twos": F.lit(0)})
             enough = told >= (least_extra + 1) / 2
-        pairs = met.groupBy("u", "v", "n", "m").agg(F.sum("one").alias("ones"), F.sum(1 - F.col("one")).alias("twos")).where(enough).select("u", "v")
+        else:
+            now = now.join(several.select("sig", "one"), ["sig", "one"])
+            sizes = now.groupBy("sig", "one").agg(F.count("*").alias("k"))
+            now = staged(now.join(sizes, ["sig", "one"]), "mixed-lists")
+            long = now.where(F.col("k") > TILE)
+            tiled = tile_links(rows, long, vertices)
+            links = links.unionByName(tiled)
+            # What a pair shares in long lists besides is at most the lesser number of them that either stands in.
+            seats = long.groupBy("u").agg(F.sum("one").alias("o"), F.sum(1 - F.col("one")).alias("t"))
+            now = now.where(F.col("k") <= TILE).drop("k").join(few(spark, staged(seats, "long-seats")), "u", "left").fillna(0, ["o", "t"])
+            other = now.select("sig", "one", *[F.col(c).alias(d) for c, d in (("u", "v"), ("n", "m"), ("label", "other"), ("o", "o2"), ("t", "t2"))])
+            met = now.join(other, ["sig", "one"]).where((F.col("u") < F.col("v")) & (F.col("label") != F.col("other")) & near("n", "m"))
+            met = met.select("u", "v", "n", "m", "one", F.least("o", "o2").alias("more_ones"), F.least("t", "t2").alias("more_twos"))
+            enough = told >= least_extra + 1 - 1e-9
+        pairs = met.groupBy("u", "v", "n", "m").agg((F.sum("one") + F.max("more_ones")).alias("ones"), (F.sum(1 - F.col("one")) + F.max("more_twos")).alias("twos")).where(enough).select("u", "v")
         new = verified(rows, pairs, vertices)
         links = new if links is None else links.unionByName(new)
         labels = staged(components(links), "labels")

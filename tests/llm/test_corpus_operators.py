@@ -108,6 +108,7 @@ def test_ngram_join_brute_force(spark):
 
 
 def test_ngram_join_with_frequent_tokens(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "TILE", 16)
     rng = random.Random(12)
     docs = near_copies(rng, 4, [60], (30, 60)) + []
     docs += [(1000 + d, t) for d, t in near_copies(rng, 3, [50], (100, 130))]
