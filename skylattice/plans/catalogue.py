@@ -1,6 +1,545 @@
-"""All queries over the driver's tables, with their SQL."""
+"""All queries over the driver's tables, with their SQL where SQL can express them."""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from skylattice.functions import kinematics as k
+from skylattice.operators import assignment, generate, kalman, metrics, pairs, tracker, truth, windows
+from skylattice.plans.measurements import DAY, HOUR, MEAS, meas, windows_sql
+
 QUERIES: dict = {}
-ORACLES: dict = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    """Registers a query under its function's name."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def hours(spark: SparkSession, sf: str) -> DataFrame:
+    return windows.with_window(meas(spark, sf), HOUR)
+
+
+W = windows_sql(HOUR)
+D2 = "(a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)"
+D3 = f"sqrt({D2} + (a.z - b.z) * (a.z - b.z))"
+PAIRS = f"from w a join w b on a.win = b.win and a.seq < b.seq and {D2} <= 4000000"
+AZ = "abs(atan2(a.y, a.x) - atan2(b.y, b.x))"
+WRAP = f"case when {AZ} > pi() then 2 * pi() - {AZ} else {AZ} end"
+r = lambda c, n, dp=6: F.round(c, dp).alias(n)
+
+
+# --- windows -------------------------------------------------------------------------------------
+
+
+@query(f"""with {W}, spine as (select unnest(range(0, (select max(win) from w) + 1)) win),
+agg as (select win, count(*) n, count(distinct case when track_id <> -1 then track_id end) k, avg(x) ax, avg(y) ay from w group by win)
+select s.win::bigint win, coalesce(n, 0)::bigint n_meas, coalesce(k, 0)::bigint n_targets, round(ax, 6) avg_x, round(ay, 6) avg_y from spine s left join agg using (win)""")
+def window_tumbling_dense(spark, sf):
+    return windows.tumbling_summary(meas(spark, sf), HOUR)
+
+
+@query(f"""with {MEAS} select meas_type, count(*)::bigint n, count(*) filter (where track_id = -1)::bigint n_clutter, count(distinct case when track_id <> -1 then track_id end)::bigint n_tracks,
+min(x) min_x, max(x) max_x, min(y) min_y, max(y) max_y, round(max(t) - min(t), 6) span from meas group by meas_type""")
+def window_summary(spark, sf):
+    m = meas(spark, sf)
+    return m.groupBy("meas_type").agg(
+        F.count("*").alias("n"), F.count_if(F.col("track_id") == -1).alias("n_clutter"), F.countDistinct(F.when(F.col("track_id") != -1, F.col("track_id"))).alias("n_tracks"),
+        F.min("x").alias("min_x"), F.max("x").alias("max_x"), F.min("y").alias("min_y"), F.max("y").alias("max_y"), r(F.max("t") - F.min("t"), "span"),
+    )
+
+
+@query(f"with {MEAS} select seq, meas_type, x, y, z from (select *, row_number() over (partition by meas_type order by seq) n from meas) where n <= 3")
+def first_samples(spark, sf):
+    return windows.top_per(meas(spark, sf), "meas_type", 3, F.col("seq")).select("seq", "meas_type", "x", "y", "z")
+
+
+# --- projections and filters ---------------------------------------------------------------------
+
+
+@query(f"with {MEAS} select seq, radar_id, meas_type, coalesce(vx, 0) vx, coalesce(vy, 0) vy, coalesce(amplitude, 50) amplitude, coalesce(mode_3a, '') mode_3a, coalesce(track_id, -1) track_id from meas")
+def ingest_normalise(spark, sf):
+    z = lambda c, v: F.coalesce(F.col(c), F.lit(v)).alias(c)
+    return meas(spark, sf).select("seq", "radar_id", "meas_type", z("vx", 0.0), z("vy", 0.0), z("amplitude", 50.0), z("mode_3a", ""), z("track_id", -1).cast("long").alias("track_id"))
+
+
+@query(f"with {MEAS} select seq, case when radar_id < 2 then 'psr' else 'ssr' end route from meas")
+def sensor_route(spark, sf):
+    return meas(spark, sf).select("seq", F.when(F.col("radar_id") < 2, "psr").otherwise("ssr").alias("route"))
+
+
+FEATURES = "coalesce(amplitude, 50) / 100 f0, coalesce(vx, 0) / 100 f1, coalesce(vy, 0) / 100 f2, 0.0::double f3, x / 1e5 f4, y / 1e5 f5, z / 2e4 f6, case when meas_type = 'SSR' then 1.0 else 0.0 end::double f7"
+
+
+def with_features(m: DataFrame) -> DataFrame:
+    return m.withColumn("vz", F.lit(0.0)).select("seq", "track_id", *[f.alias(f"f{i}") for i, f in enumerate(k.clutter_features())])
+
+
+@query(f"with {MEAS} select seq, {', '.join(f'round(f{i}, 8) f{i}' for i in range(8))} from (select seq, {FEATURES} from meas)")
+def clutter_features(spark, sf):
+    return with_features(meas(spark, sf)).select("seq", *[r(F.col(f"f{i}"), f"f{i}", 8) for i in range(8)])
+
+
+LOGIT = " + ".join([str(k.CLUTTER_BIAS), *[f"f{i} * ({w})" for i, w in enumerate(k.CLUTTER_WEIGHTS)]])
+
+
+@query(f"with {MEAS}, s as (select seq, 1 / (1 + exp(-({LOGIT}))) score from (select seq, {FEATURES} from meas)) select seq, round(score, 6) score from s where score < 0.7")
+def clutter_filter_linear(spark, sf):
+    f = with_features(meas(spark, sf))
+    return f.withColumn("score", k.sigmoid(k.linear([F.col(f"f{i}") for i in range(8)], k.CLUTTER_WEIGHTS, k.CLUTTER_BIAS))).where("score < 0.7").select("seq", r(F.col("score"), "score"))
+
+
+@query(f"""with {MEAS} select seq, case when coalesce(amplitude, 50) > 45 and sqrt(vx * vx + vy * vy) between 80.0000001 and 549.9999999 then 0.92 else 0.08 end::double target,
+case when track_id = -1 then 1 else 0 end clutter from meas""")
+def pseudo_target(spark, sf):
+    speed = F.sqrt(F.col("vx") * F.col("vx") + F.col("vy") * F.col("vy"))
+    target = F.when((F.coalesce("amplitude", F.lit(50.0)) > 45) & (speed > 80) & (speed < 550), 0.92).otherwise(0.08)
+    return meas(spark, sf).select("seq", target.alias("target"), F.when(F.col("track_id") == -1, 1).otherwise(0).alias("clutter"))
+
+
+LAT, LON = "24.0 + (user_id % 100) / 100.0", "54.0 + (seq % 100) / 100.0"
+
+
+@query(f"with {MEAS} select seq, round(({LON} - 54.3773) * 111320 * cos(radians(24.4539)), 4) east, round(({LAT} - 24.4539) * 111320, 4) north, round(sqrt(x * x + y * y), 4) ground_range from meas")
+def geo_to_local(spark, sf):
+    east, north = k.to_local(24.0 + (F.col("user_id") % 100) / 100.0, 54.0 + (F.col("seq") % 100) / 100.0)
+    return meas(spark, sf).select("seq", r(east, "east", 4), r(north, "north", 4), r(F.hypot("x", "y"), "ground_range", 4))
+
+
+@query(f"with {MEAS} select seq, round(x + coalesce(vx, 0) * dt, 4) x, round(y + coalesce(vy, 0) * dt, 4) y, round(greatest(z - 1100, 0), 4) z from (select *, (seq % 7 - 2)::double d, case when seq % 7 - 2 > 0 then (seq % 7 - 2)::double else 0.0 end dt from meas)")
+def motion_compensation(spark, sf):
+    dt = (F.col("seq") % 7 - 2).cast("double")
+    moved = lambda p, v: F.col(p) + F.coalesce(v, F.lit(0.0)) * F.when(dt > 0, dt).otherwise(0.0)
+    return meas(spark, sf).select("seq", r(moved("x", "vx"), "x", 4), r(moved("y", "vy"), "y", 4), r(F.greatest(F.col("z") - 1100, F.lit(0.0)), "z", 4))
+
+
+# --- pairs and graphs ----------------------------------------------------------------------------
+
+
+@query(f"with {W} select a.seq seq_a, b.seq seq_b, round({D2}, 4) d2 {PAIRS}")
+def pair_gate_hour(spark, sf):
+    return pairs.gated(hours(spark, sf)).select(F.col("a.seq").alias("seq_a"), F.col("b.seq").alias("seq_b"), r(pairs.square(), "d2", 4))
+
+
+@query(ORACLES["pair_gate_hour"])
+def pair_gate_grid(spark, sf):
+    return pairs.gated_by_grid(hours(spark, sf)).select(F.col("a.seq").alias("seq_a"), F.col("b.seq").alias("seq_b"), r(pairs.square(), "d2", 4))
+
+
+SPEED = lambda s: f"sqrt({s}.vx * {s}.vx + {s}.vy * {s}.vy)"
+ELEV = lambda s: f"atan2({s}.z, sqrt({s}.x * {s}.x + {s}.y * {s}.y))"
+
+
+@query(f"""with {W} select a.seq seq_a, b.seq seq_b, round({D3} / 1e5, 6) dist, round((a.vx * b.vx + a.vy * b.vy) / (({SPEED('a')} + 1e-8) * ({SPEED('b')} + 1e-8)), 5) vel_cos,
+round(abs({SPEED('a')} - {SPEED('b')}) / 1000, 6) speed_diff, round({WRAP}, 5) azimuth_diff, round(abs({ELEV('a')} - {ELEV('b')}), 5) elevation_diff, round(abs(a.amplitude - b.amplitude) / 100, 6) amplitude_diff
+{PAIRS} where a.meas_type = 'PSR' and b.meas_type = 'PSR'""")
+def pair_features_psr(spark, sf):
+    p = pairs.gated(hours(spark, sf)).where("a.meas_type = 'PSR' and b.meas_type = 'PSR'")
+    places = {"vel_cos": 5, "azimuth_diff": 5, "elevation_diff": 5}
+    return p.select(F.col("a.seq").alias("seq_a"), F.col("b.seq").alias("seq_b"), *[r(c, n, places.get(n, 6)) for n, c in k.psr_pair_features("a", "b").items()])
+
+
+AGREE = lambda c: f"case when a.{c} is null or b.{c} is null then 0.0 when a.{c} = b.{c} then 1.0 else -1.0 end::double"
+
+
+@query(f"with {W} select a.seq seq_a, b.seq seq_b, round({D3} / 1e5, 6) dist, round({WRAP}, 5) azimuth_diff, {AGREE('mode_3a')} mode_3a_match, {AGREE('mode_s')} mode_s_match {PAIRS} where a.meas_type = 'SSR' or b.meas_type = 'SSR'")
+def pair_features_ssr(spark, sf):
+    p = pairs.gated(hours(spark, sf)).where("a.meas_type = 'SSR' or b.meas_type = 'SSR'")
+    f = k.ssr_pair_features("a", "b")
+    return p.select(F.col("a.seq").alias("seq_a"), F.col("b.seq").alias("seq_b"), r(f["dist"], "dist"), r(f["azimuth_diff"], "azimuth_diff", 5), f["mode_3a_match"].alias("mode_3a_match"), f["mode_s_match"].alias("mode_s_match"))
+
+
+@query(f"with {W} select case when a.meas_type = 'PSR' and b.meas_type = 'PSR' then 'PSR-PSR' else 'SSR-ANY' end route, count(*)::bigint n, count(*) filter (where a.track_id = b.track_id and a.track_id <> -1)::bigint positives from w a join w b on a.win = b.win and a.seq < b.seq group by 1")
+def pair_labels(spark, sf):
+    p = pairs.windowed_pairs(hours(spark, sf))
+    route = F.when((F.col("a.meas_type") == "PSR") & (F.col("b.meas_type") == "PSR"), "PSR-PSR").otherwise("SSR-ANY")
+    return p.groupBy(route.alias("route")).agg(F.count("*").alias("n"), F.count_if((F.col("a.track_id") == F.col("b.track_id")) & (F.col("a.track_id") != -1)).alias("positives"))
+
+
+NEAR = f"near as (select a.win, a.seq src, b.seq dst, {D3} d from w a join w b on a.win = b.win and a.seq <> b.seq), ranked as (select *, row_number() over (partition by win, src order by d, dst) rank from near)"
+
+
+@query(f"with {W}, {NEAR} select src, dst, round(d, 4) d from ranked where rank <= 3")
+def knn_graph(spark, sf):
+    return pairs.neighbour_edges(hours(spark, sf), 0.0, 3).select("src", "dst", r(F.col("d"), "d", 4))
+
+
+@query(f"with {W}, {NEAR} select src, dst, round(d, 4) d from ranked where rank <= 3 or (d > 0 and d < 6000)")
+def radius_or_knn_edges(spark, sf):
+    return pairs.neighbour_edges(hours(spark, sf), 6000.0, 3).select("src", "dst", r(F.col("d"), "d", 4))
+
+
+def clustered(spark, sf) -> DataFrame:
+    h = hours(spark, sf)
+    edges = pairs.gated(h).select(F.col("a.win").alias("win"), F.col("a.seq").alias("src"), F.col("b.seq").alias("dst"))
+    return pairs.window_components(h, edges)
+
+
+REACH = W.replace("meas as", "recursive meas as", 1) + f""", e as (select a.seq u, b.seq v {PAIRS}), twoway as (select u, v from e union select v, u from e),
+reach(a, b) as (select seq, seq from w union select r.a, x.v from reach r join twoway x on r.b = x.u), comp as (select a seq, min(b) cluster from reach group by a), cl as (select w.*, cluster from w join comp using (seq))"""
+
+
+@query(f"with {REACH} select seq, win, cluster from cl")
+def connected_components(spark, sf):
+    return clustered(spark, sf).select("seq", "win", "cluster")
+
+
+@query(f"""with {REACH} select win, cluster, count(*)::bigint cluster_size, round(avg(t), 6) t, round(avg(x), 6) x, round(avg(y), 6) y, round(avg(z), 6) z, round(avg(case when vx <> 0 then vx end), 6) vx, round(avg(case when vy <> 0 then vy end), 6) vy,
+arg_min(mode_3a, seq) filter (where mode_3a is not null) mode_3a, arg_min(mode_s, seq) filter (where mode_s is not null) mode_s, case when max(meas_type) = 'SSR' then 'SSR' else 'PSR' end meas_type from cl group by win, cluster""")
+def cluster_fusion(spark, sf):
+    f = pairs.fuse(clustered(spark, sf))
+    return f.select("win", "cluster", "cluster_size", *[r(F.col(c), c) for c in ("t", "x", "y", "z", "vx", "vy")], "mode_3a", "mode_s", "meas_type")
+
+
+@query(f"with {REACH} select win, cluster, count(*)::bigint cluster_size, round(avg(x), 6) x, round(avg(y), 6) y, round(avg(z), 6) z, round(avg(coalesce(vx, 0)), 6) vx, round(avg(coalesce(vy, 0)), 6) vy from cl group by win, cluster")
+def cluster_fusion_legacy(spark, sf):
+    return pairs.fuse_plain(clustered(spark, sf)).select("win", "cluster", "cluster_size", *[r(F.col(c), c) for c in ("x", "y", "z", "vx", "vy")])
+
+
+@query(f"""with {W}, s as (select *, z / 500 score from w), m as (select *, exp(score - max(score) over (partition by win, user_id % 4)) e from s), p as (select *, e / sum(e) over (partition by win, user_id % 4) p from m)
+select win, user_id % 4 cluster, round(sum(p * x), 4) x, round(sum(p * y), 4) y, round(sum(p), 6) weight from p group by 1, 2""")
+def softmax_pool(spark, sf):
+    s = hours(spark, sf).withColumns({"score": F.col("z") / 500, "cluster": F.col("user_id") % 4}).withColumn("p", pairs.softmax("score", "win", "cluster"))
+    return s.groupBy("win", "cluster").agg(r(F.sum(F.col("p") * F.col("x")), "x", 4), r(F.sum(F.col("p") * F.col("y")), "y", 4), r(F.sum("p"), "weight"))
+
+
+EDGE = f"edges as (select src, dst, d, -d / 10000 score from ranked r where rank <= 3), ex as (select *, exp(score - max(score) over (partition by dst)) e from edges), att as (select src, dst, e / sum(e) over (partition by dst) a from ex)"
+
+
+def attention(spark, sf) -> DataFrame:
+    return pairs.neighbour_edges(hours(spark, sf), 0.0, 3).withColumn("score", -F.col("d") / 10000).withColumn("a", pairs.softmax("score", "dst"))
+
+
+@query(f"with {W}, {NEAR}, {EDGE} select src, dst, round(a, 6) a from att")
+def edge_softmax(spark, sf):
+    return attention(spark, sf).select("src", "dst", r(F.col("a"), "a"))
+
+
+@query(f"with {W}, {NEAR}, {EDGE} select src, round(sum(a), 6) attention, sum(a) > 0.75 suppressed from att group by src")
+def incoming_attention(spark, sf):
+    return attention(spark, sf).groupBy("src").agg(F.sum("a").alias("s")).select("src", r(F.col("s"), "attention"), (F.col("s") > 0.75).alias("suppressed"))
+
+
+# --- truth ---------------------------------------------------------------------------------------
+
+STEP = 6 * HOUR
+
+
+@query(f"""with {MEAS}, one as (select track_id, t_us, arg_max(x, seq) x, arg_max(y, seq) y, arg_max(z, seq) z from meas where track_id <> -1 group by track_id, t_us),
+seg as (select *, lead(t_us) over p t1, lead(x) over p x1, lead(y) over p y1, lead(z) over p z1 from one window p as (partition by track_id order by t_us)),
+ends as (select track_id, min(t_us) lo, max(t_us) hi from one group by track_id),
+ticks as (select track_id, unnest(range((lo + {STEP} - 1) // {STEP}, hi // {STEP} + 1)) tick from ends)
+select k.track_id, k.tick, round(s.x + coalesce((s.x1 - s.x) * f, 0), 4) x, round(s.y + coalesce((s.y1 - s.y) * f, 0), 4) y, round(s.z + coalesce((s.z1 - s.z) * f, 0), 4) z
+from (select k.*, k.tick * {STEP} tk from ticks k) k asof join seg s on k.track_id = s.track_id and k.tk >= s.t_us, lateral (select (k.tk - s.t_us) / (s.t1 - s.t_us) f) q""")
+def asof_interpolate(spark, sf):
+    return truth.interpolated(meas(spark, sf).where("track_id <> -1"), STEP)
+
+
+@query(f"with {MEAS} select track_id, count(*)::bigint n, min(t_us) first_us, max(t_us) last_us, min(x) min_x, max(x) max_x, min(y) min_y, max(y) max_y from meas where track_id <> -1 group by track_id")
+def truth_bounds(spark, sf):
+    return truth.bounds(meas(spark, sf))
+
+
+@query(f"with {MEAS}, f as (select * from meas where track_id <> -1 order by t_us, seq limit 500) select count(*)::bigint n, round(median(x), 4) median_x, round(median(y), 4) median_y from f")
+def calibration_median(spark, sf):
+    return truth.calibration(meas(spark, sf))
+
+
+# --- assignment and metrics ----------------------------------------------------------------------
+
+TRK = "trk as (select win frame, user_id track_id, x, y, z from (select *, row_number() over (partition by win, user_id order by seq) n from w where meas_type = 'SSR' and track_id <> -1) where n = 1), ms as (select win frame, seq, x, y, z from w where meas_type = 'PSR')"
+NEAREST = "nn as (select a.frame, a.track_id, b.seq, " + D3 + " dist, row_number() over (partition by a.frame, a.track_id order by " + D3 + ", b.seq) n from trk a join ms b on a.frame = b.frame and " + D3 + " < {gate})"
+
+
+def frame_tracks(spark, sf) -> tuple[DataFrame, DataFrame]:
+    h = hours(spark, sf).withColumnRenamed("win", "frame")
+    ssr = h.where("meas_type = 'SSR' and track_id <> -1").select("frame", F.col("user_id").alias("track_id"), "seq", "x", "y", "z")
+    return windows.first_per(ssr, ["frame", "track_id"], "seq").select("frame", "track_id", "x", "y", "z"), h.where("meas_type = 'PSR'").select("frame", "seq", "x", "y", "z")
+
+
+@query(f"with {W}, {TRK}, {NEAREST.format(gate=1e9)} select frame, track_id, seq, round(dist, 4) dist from nn where n = 1")
+def nearest_gt(spark, sf):
+    return assignment.nearest_in_gate(*frame_tracks(spark, sf), 1e9).select("frame", "track_id", "seq", r(F.col("dist"), "dist", 4))
+
+
+@query(f"with {W}, {TRK}, {NEAREST.format(gate=15000)} select frame, track_id, seq, round(dist, 4) dist from nn where n = 1")
+def nearest_within_gate(spark, sf):
+    return assignment.nearest_in_gate(*frame_tracks(spark, sf), 15000.0).select("frame", "track_id", "seq", r(F.col("dist"), "dist", 4))
+
+
+@query(f"with {W}, {TRK}, {NEAREST.format(gate=15000)} select frame, min(track_id) track_id, seq from nn where n = 1 group by frame, seq")
+def greedy_nn(spark, sf):
+    return assignment.greedy_nearest(*frame_tracks(spark, sf))
+
+
+def matching(spark, sf) -> tuple[DataFrame, DataFrame, DataFrame]:
+    gt, pred = frame_tracks(spark, sf)
+    gt, pred = gt.withColumnRenamed("track_id", "id"), pred.withColumnRenamed("seq", "id")
+    return pred, gt, assignment.match_frames(pred, gt)
+
+
+@query()
+def hungarian_match(spark, sf):
+    return matching(spark, sf)[2].withColumn("dist", F.round("dist", 4))
+
+
+@query()
+def mot_metrics(spark, sf):
+    return metrics.summary(assignment.frame_counts(*matching(spark, sf)))
+
+
+@query(f"""with {W}, c as (select win frame, count(*) filter (where meas_type = 'PSR') p, count(*) filter (where meas_type = 'SSR') g from w group by win), q as (select sum(least(p, g)) m, sum(p - least(p, g)) fp, sum(g - least(p, g)) fn, count(*) n from c)
+select round(1 - (fn + fp) / (m + fn), 6) mota, 15000.0::double motp, round(m / (m + fp), 6) "precision", round(m / (m + fn), 6) recall, round(2 * (m / (m + fp)) * (m / (m + fn)) / (m / (m + fp) + m / (m + fn)), 6) f1,
+round(fp / n, 6) fp_rate, round(fn / n, 6) fn_rate, m::bigint total_matches, fp::bigint fp, fn::bigint fn, 0::bigint id_switches from q""".replace("15000.0::double motp", "0.0::double motp"))
+def mot_counters(spark, sf):
+    c = hours(spark, sf).groupBy(F.col("win").alias("frame")).agg(F.count_if(F.col("meas_type") == "PSR").alias("p"), F.count_if(F.col("meas_type") == "SSR").alias("g"))
+    m = F.least("p", "g")
+    return metrics.summary(c.select("frame", m.alias("matches"), (F.col("p") - m).alias("fp"), (F.col("g") - m).alias("fn"), F.lit(0.0).alias("dist_sum")))
+
+
+SEEN = "m as (select win frame, arg_min(radar_id, seq)::bigint pred_id, track_id gt_id from w where track_id <> -1 group by win, track_id)"
+
+
+@query(f"with {W}, {SEEN}, l as (select *, lag(pred_id) over p was, lag(frame) over p was_frame from m window p as (partition by gt_id order by frame)) select frame, gt_id, pred_id, was from l where was_frame = frame - 1 and was <> pred_id")
+def id_switches(spark, sf):
+    m = hours(spark, sf).where("track_id <> -1").groupBy(F.col("win").alias("frame"), F.col("track_id").alias("gt_id")).agg(F.min_by("radar_id", "seq").cast("long").alias("pred_id"))
+    return metrics.id_switches(m).select("frame", "gt_id", "pred_id", "was")
+
+
+@query("""with c as (select count(*) filter (where quality = 1 and toxic = 1) tp, count(*) filter (where quality <> 1 and toxic = 1) fp, count(*) filter (where quality = 1 and toxic <> 1) fn from labels),
+p as (select *, tp / (tp + fp + 1e-8) pr, tp / (tp + fn + 1e-8) re from c) select tp::bigint tp, fp::bigint fp, fn::bigint fn, round(pr, 6) "precision", round(re, 6) recall, round(2 * pr * re / (pr + re + 1e-8), 6) f1 from p""")
+def prf_metrics(spark, sf):
+    return metrics.classifier(spark.read.parquet(f"{sf}/labels.parquet"), "quality", F.col("toxic") == 1)
+
+
+@query(f"""with {MEAS}, s as (select z score, (track_id <> -1)::int y from meas), g as (select score, sum(y) p, sum(1 - y) n from s group by score),
+c as (select *, coalesce(sum(p) over (order by score desc rows between unbounded preceding and 1 preceding), 0) above from g) select sum(p)::bigint positives, sum(n)::bigint negatives, round(sum((above + p / 2) * n) / (sum(p) * sum(n)), 6) auc from c""")
+def auc_rank(spark, sf):
+    return metrics.auc(meas(spark, sf).select(F.col("z").alias("score"), (F.col("track_id") != -1).cast("int").alias("y")), "score", "y")
+
+
+@query(f"with {MEAS} select count(*) filter (where track_id <> -1)::bigint pos, count(*) filter (where track_id = -1)::bigint neg, round(count(*) filter (where track_id = -1) / (count(*) filter (where track_id <> -1) + 1e-6), 6) weight, round(count(*) filter (where track_id <> -1) / count(*), 6) ratio from meas")
+def class_weight(spark, sf):
+    c = meas(spark, sf).agg(F.count_if(F.col("track_id") != -1).alias("pos"), F.count_if(F.col("track_id") == -1).alias("neg"))
+    return c.select("pos", "neg", r(F.col("neg") / (F.col("pos") + 1e-6), "weight"), r(F.col("pos") / (F.col("pos") + F.col("neg")), "ratio"))
+
+
+# --- filters over time ---------------------------------------------------------------------------
+
+
+def kalman_sql(n: kalman.Noise) -> str:
+    both = "coalesce(o.vx, 0) <> 0 or coalesce(o.vy, 0) <> 0"
+    return f"""with {MEAS.replace('meas as', 'recursive meas as', 1)}, o as (select *, row_number() over (partition by track_id order by t, seq) i from meas where track_id <> -1),
+f(track_id, i, t, x, y, vx, vy, a, b, c) as (select track_id, i, t, x, y, coalesce(vx, 0), coalesce(vy, 0), {n.p_pos}::double, 0.0::double, {n.p_vel}::double from o where i = 1
+union all select q.track_id, q.i, q.t, q.x + q.k11 * q.dx + q.k12 * q.wx, q.y + q.k11 * q.dy + q.k12 * q.wy, q.vx + q.k21 * q.dx + q.k22 * q.wx, q.vy + q.k21 * q.dy + q.k22 * q.wy,
+  case when q.wv then q.k11 * {n.r} else (1 - q.k11) * q.a end, case when q.wv then q.k12 * {n.r} else (1 - q.k11) * q.b end, case when q.wv then q.k22 * {n.r} else q.c - q.k21 * q.b end
+from (select p.*, case when wv then (a * (c + {n.r}) - b * b) / d else a / (a + {n.r}) end k11, case when wv then b * {n.r} / d else 0 end k12, case when wv then b * {n.r} / d else b / (a + {n.r}) end k21, case when wv then (c * (a + {n.r}) - b * b) / d else 0 end k22
+ from (select u.*, (a + {n.r}) * (c + {n.r}) - b * b d, mx - x dx, my - y dy, case when wv then mvx - vx else 0 end wx, case when wv then mvy - vy else 0 end wy
+  from (select o.track_id, o.i, o.t, f.x + f.vx * (o.t - f.t) x, f.y + f.vy * (o.t - f.t) y, f.vx, f.vy, f.a + (o.t - f.t) * f.b * 2 + (o.t - f.t) * (o.t - f.t) * f.c + {n.q} a, f.b + (o.t - f.t) * f.c b, f.c + {n.q} c,
+   o.x mx, o.y my, coalesce(o.vx, 0) mvx, coalesce(o.vy, 0) mvy, ({both}) wv from f join o on o.track_id = f.track_id and o.i = f.i + 1) u) p) q)
+select track_id, i::bigint n, round(x, 3) x, round(y, 3) y, round(vx, 3) vx, round(vy, 3) vy, round(a, 2) p_pos from f where i = (select max(i) from o where o.track_id = f.track_id)"""
+
+
+@query(kalman_sql(kalman.HYBRID))
+def kalman_fold(spark, sf):
+    return kalman.fold(meas(spark, sf).where("track_id <> -1"))
+
+
+@query(kalman_sql(kalman.SORT))
+def kalman_fold_sort(spark, sf):
+    return kalman.fold(meas(spark, sf).where("track_id <> -1"), kalman.SORT)
+
+
+ORDERED = MEAS.replace("meas as", "recursive meas as", 1) + ", o as (select *, row_number() over (partition by track_id order by t_us, seq) i from meas where track_id <> -1)"
+
+
+@query(f"""with {ORDERED}, f(track_id, i, x, y, vx, vy) as (select track_id, i, x, y, 0.0::double, 0.0::double from o where i = 1 union all select o.track_id, o.i, f.x * 0.3 + o.x * 0.7, f.y * 0.3 + o.y * 0.7, (o.x - f.x) * 0.2, (o.y - f.y) * 0.2 from f join o on o.track_id = f.track_id and o.i = f.i + 1)
+select track_id, round(x, 4) x, round(y, 4) y, round(vx, 4) vx, round(vy, 4) vy from f where i = (select max(i) from o where o.track_id = f.track_id)""")
+def alpha_smoother(spark, sf):
+    return kalman.smoothed(meas(spark, sf).where("track_id <> -1"))
+
+
+@query(f"""with {ORDERED}, f(track_id, i, v) as (select track_id, i, z from o where i = 1 union all select o.track_id, o.i, f.v * 0.95 + o.z * 0.05 from f join o on o.track_id = f.track_id and o.i = f.i + 1)
+select track_id, i::bigint n, round(v, 4) ema from f where i = (select max(i) from o where o.track_id = f.track_id)""")
+def ema(spark, sf):
+    return windows.ema(meas(spark, sf).where("track_id <> -1"), "z")
+
+
+LIFE = "h as (select track_id, win, count(*) n from w where track_id <> -1 group by track_id, win), g as (select *, case when win - lag(win) over (partition by track_id order by win) - 1 >= 10 then 1 else 0 end born from h), l as (select *, sum(born) over (partition by track_id order by win) life from g)"
+
+
+def lives(spark, sf) -> DataFrame:
+    """A track dies after ten windows without a hit and is born anew; it is confirmed at its third hit."""
+    w = Window.partitionBy("track_id").orderBy("win")
+    h = hours(spark, sf).where("track_id <> -1").groupBy("track_id", "win").agg(F.count("*").alias("n"))
+    g = h.withColumn("born", F.when(F.col("win") - F.lag("win").over(w) - 1 >= 10, 1).otherwise(0)).withColumn("life", F.sum("born").over(w))
+    return g.withColumn("hits", F.sum("n").over(Window.partitionBy("track_id", "life").orderBy("win")))
+
+
+@query(f"with {W}, {LIFE} select track_id, win, life::bigint life, (sum(n) over (partition by track_id, life order by win))::bigint hits, case when sum(n) over (partition by track_id, life order by win) >= 3 then 'confirmed' else 'tentative' end state from l")
+def track_lifecycle(spark, sf):
+    return lives(spark, sf).select("track_id", "win", "life", "hits", F.when(F.col("hits") >= 3, "confirmed").otherwise("tentative").alias("state"))
+
+
+@query(f"with {W}, {LIFE}, c as (select *, sum(n) over (partition by track_id, life order by win) hits from l) select win, track_id, hits::bigint hits from (select *, row_number() over (partition by win order by hits desc, track_id) k from c) where k <= 5")
+def track_cap_topk(spark, sf):
+    return windows.top_per(lives(spark, sf), "win", 5, F.desc("hits"), F.col("track_id")).select("win", "track_id", "hits")
+
+
+def scenes(spark, sf) -> DataFrame:
+    """Scenes are radars here: many independent states."""
+    h = hours(spark, sf)
+    origin = h.agg(F.min("t").alias("o"))
+    return h.crossJoin(F.broadcast(origin)).withColumns({"scene": F.col("radar_id").cast("long"), "t": F.col("t") - F.col("o")})
+
+
+@query()
+def tracker_hybrid_batch(spark, sf):
+    return tracker.track_scenes(scenes(spark, sf), 3600.0)
+
+
+@query()
+def tracker_sort_batch(spark, sf):
+    return tracker.track_scenes(scenes(spark, sf), 3600.0, tracker.SORT_RULES)
+
+
+# --- splits, sets, sequences ---------------------------------------------------------------------
+
+
+@query(f"with {MEAS}, o as (select seq, row_number() over (order by t_us // {DAY}, t_us, seq) k, count(*) over () n from meas) select seq, case when k <= floor(n * 70 / 100) then 'train' when k <= floor(n * 85 / 100) then 'val' else 'test' end part from o")
+def split_temporal(spark, sf):
+    return windows.split_by_time(meas(spark, sf), (70, 85))
+
+
+@query(f"with {MEAS}, i as (select distinct user_id from meas), o as (select user_id, row_number() over (order by ((user_id + 42) * 2654435761) % 4294967291, user_id) k, count(*) over () n from i) select user_id, k <= floor(n * 80 / 100) train from o")
+def split_by_id(spark, sf):
+    return windows.split_by_id(meas(spark, sf), "user_id", 80)
+
+
+@query("select l_orderkey, l_partkey, l_suppkey, l_linenumber from (select *, row_number() over (partition by l_orderkey, l_partkey order by l_linenumber, l_suppkey) n from lineitem) where n = 1")
+def dedupe_first(spark, sf):
+    rows = spark.read.parquet(f"{sf}/lineitem.parquet").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber")
+    return windows.first_per(rows, ["l_orderkey", "l_partkey"], F.struct("l_linenumber", "l_suppkey")).select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber")
+
+
+@query(f"with {MEAS}, t as (select distinct track_id from meas where meas_type = 'PSR' and user_id % 3 = 0) select seq, track_id from meas where track_id in (select track_id from t) or track_id = -1")
+def id_semi(spark, sf):
+    m = meas(spark, sf)
+    ids = m.where("meas_type = 'PSR' and user_id % 3 = 0").select("track_id").unionByName(spark.createDataFrame([(-1,)], "track_id long")).distinct()
+    return m.join(ids, "track_id", "left_semi").select("seq", "track_id")
+
+
+@query(f"with {W}, p as (select distinct win, track_id from w where meas_type = 'PSR'), s as (select distinct win, track_id from w where meas_type = 'SSR') select win, track_id from s except select win, track_id from p")
+def id_anti(spark, sf):
+    h = hours(spark, sf)
+    keys = lambda kind: h.where(F.col("meas_type") == kind).select("win", "track_id").distinct()
+    return keys("SSR").join(keys("PSR"), ["win", "track_id"], "left_anti")
+
+
+@query(f"with {MEAS} select seq, 'track' node from meas where meas_type = 'SSR' union all select seq, 'measurement' from meas")
+def union_all(spark, sf):
+    m = meas(spark, sf)
+    return m.where("meas_type = 'SSR'").select("seq", F.lit("track").alias("node")).unionByName(m.select("seq", F.lit("measurement").alias("node")))
+
+
+@query(f"with {MEAS}, d as (select seq, track_id, (lead(x) over p - x) / 100 dx, (lead(y) over p - y) / 100 dy, (lead(z) over p - z) / 100 dz from meas where track_id <> -1 window p as (partition by track_id order by t_us, seq)) select seq, track_id, round(dx, 6) dx, round(dy, 6) dy, round(dz, 6) dz from d where dx is not null")
+def delta_lead(spark, sf):
+    return windows.deltas(meas(spark, sf).where("track_id <> -1"))
+
+
+@query(f"with {MEAS}, s as (select track_id, seq, array_to_string(list(seq) over (partition by track_id order by t_us, seq rows between current row and 4 following), ',') run, count(*) over (partition by track_id order by t_us, seq rows between current row and 4 following) n from meas where track_id <> -1) select track_id, seq, run from s where n = 5")
+def seq_windows(spark, sf):
+    return windows.sequences(meas(spark, sf).where("track_id <> -1")).select("track_id", "seq", F.array_join(F.col("run").cast("array<string>"), ",").alias("run"))
+
+
+@query(f"with {MEAS} select track_id, count(*)::bigint n, string_agg(seq::varchar, ',' order by t_us, seq) history from meas where track_id <> -1 group by track_id")
+def track_history(spark, sf):
+    h = meas(spark, sf).where("track_id <> -1").groupBy("track_id").agg(F.array_sort(F.collect_list(F.struct("t_us", "seq"))).alias("h"))
+    return h.select("track_id", F.size("h").cast("long").alias("n"), F.array_join(F.col("h.seq").cast("array<string>"), ",").alias("history"))
+
+
+# --- generators ----------------------------------------------------------------------------------
+
+U = lambda seed: f"((({seed} * 31 + seq % 1000003 + 17) * 7919) % 1000003) / 1000003.0"
+
+
+@query(f"with {MEAS} select seq, round(x + case when radar_id = 1 then 120.0 else 0.0 end, 4) x, case when not (meas_type = 'SSR' and {U(8)} < 0.2) then mode_3a end mode_3a, case when not (meas_type = 'SSR' and {U(8)} < 0.2) then mode_s end mode_s from meas where {U(7)} >= 0.1")
+def augment_dropout_bias(spark, sf):
+    return generate.augmented(meas(spark, sf), bias={1: 120.0}).select("seq", r(F.col("x"), "x", 4), "mode_3a", "mode_s")
+
+
+SITES = "sites(site, sx, sy, max_range, period, psr, ssr) as (values " + ", ".join(f"({i}, {', '.join(f'{v}::double' for v in rest)})" for i, *rest in generate.SITES) + ")"
+
+
+@query(f"with {MEAS}, {SITES} select seq, site, round(0.5 * site + ceil((t - 0.5 * site) / period) * period, 6) scan_t from meas join sites on radar_id = site")
+def scan_schedule(spark, sf):
+    m = meas(spark, sf).join(F.broadcast(generate.sites(spark)), F.col("radar_id") == F.col("site"))
+    return m.select("seq", "site", r(generate.next_scan(F.col("t"), 0.5 * F.col("site"), F.col("period")), "scan_t"))
+
+
+@query(f"with {MEAS}, {SITES} select seq, site, round(sqrt((x - sx) * (x - sx) + (y - sy) * (y - sy)), 4) ground_range from meas, sites where sqrt((x - sx) * (x - sx) + (y - sy) * (y - sy)) <= max_range")
+def range_gate_cross(spark, sf):
+    return generate.seen_by(meas(spark, sf), generate.sites(spark)).select("seq", "site", r(F.col("ground_range"), "ground_range", 4))
+
+
+@query("select c_custkey, lpad((((c_custkey * 7919) % 4096) // 512)::varchar || ((((c_custkey * 7919) % 4096) // 64) % 8)::varchar || ((((c_custkey * 7919) % 4096) // 8) % 8)::varchar || (((c_custkey * 7919) % 4096) % 8)::varchar, 4, '0') squawk, lpad(printf('%x', (c_custkey * 2654435761) % 16777216), 6, '0') mode_s from customer")
+def squawk_format(spark, sf):
+    c = spark.read.parquet(f"{sf}/customer.parquet")
+    return c.select("c_custkey", generate.squawk(F.col("c_custkey").cast("long")).alias("squawk"), generate.mode_s(F.col("c_custkey").cast("long")).alias("mode_s"))
+
+
+@query(f"with {MEAS}, s as (select seq, sqrt(vx * vx + vy * vy) * 4 v, {U(3)} u from meas where vx is not null) select seq, round(case when v < 80 then 300 + u * 1200 when v < 150 then 1500 + u * 3000 when v < 220 then 4500 + u * 4500 else 9000 + u * 3000 end, 4) altitude from s")
+def altitude_bands(spark, sf):
+    m = meas(spark, sf).where("vx is not null")
+    return m.select("seq", r(generate.altitude_band(F.hypot("vx", "vy") * 4, k.uniform(F.col("seq"), seed=3)), "altitude", 4))
+
+
+# --- reports -------------------------------------------------------------------------------------
+
+
+@query(f"with {W} select win frame, count(*)::bigint n, string_agg(seq::varchar, ',' order by seq) measurements, string_agg(case when track_id <> -1 then track_id::varchar end, ',' order by seq) ground_truth from w group by win")
+def replay_frames(spark, sf):
+    g = hours(spark, sf).groupBy(F.col("win").alias("frame")).agg(F.array_sort(F.collect_list(F.struct("seq", "track_id"))).alias("a"))
+    real = F.filter("a", lambda x: x["track_id"] != -1)
+    join = lambda a, f: F.array_join(F.transform(a, lambda x: x[f].cast("string")), ",")
+    return g.select("frame", F.size("a").cast("long").alias("n"), join("a", "seq").alias("measurements"), F.when(F.size(real) > 0, join(real, "track_id")).alias("ground_truth"))
+
+
+@query(f"with {W}, f as (select win, count(*) n, count(distinct track_id) filter (where track_id <> -1) g from w group by win) select count(*)::bigint frames, sum(n)::bigint measurements, sum(g)::bigint ground_truth, (select string_agg(distinct meas_type, ',' order by meas_type) from meas) types, round(sum(n) / count(*), 6) per_frame from f")
+def dataset_metadata(spark, sf):
+    f = hours(spark, sf).groupBy("win").agg(F.count("*").alias("n"), F.countDistinct(F.when(F.col("track_id") != -1, F.col("track_id"))).alias("g"), F.collect_set("meas_type").alias("s"))
+    return f.agg(F.count("*").alias("frames"), F.sum("n").alias("measurements"), F.sum("g").alias("ground_truth"), F.array_join(F.array_sort(F.array_distinct(F.flatten(F.collect_set("s")))), ",").alias("types"), r(F.sum("n") / F.count("*"), "per_frame"))
+
+
+@query("select o_custkey run_id, round(sum(o_totalprice), 2) mota from orders group by 1 order by mota desc, run_id limit 10")
+def run_leaderboard(spark, sf):
+    runs = spark.read.parquet(f"{sf}/orders.parquet").groupBy(F.col("o_custkey").alias("run_id")).agg(F.round(F.sum("o_totalprice"), 2).alias("mota"))
+    return runs.orderBy(F.desc("mota"), "run_id").limit(10)
+
+
+@query("select event_type stage, round(sum(value), 4) total, round(100 * sum(value) / sum(sum(value)) over (), 4) share from events group by 1")
+def profile_share(spark, sf):
+    s = spark.read.parquet(f"{sf}/events.parquet").groupBy(F.col("event_type").alias("stage")).agg(F.sum("value").alias("v"))
+    return s.select("stage", r(F.col("v"), "total", 4), r(100 * F.col("v") / F.sum("v").over(Window.partitionBy()), "share", 4))
+
+
+@query(f"with {MEAS}, p as (select 1 / (1 + exp(-(z - 1800) / 400)) p from meas) select least(19, floor(p * 20))::bigint bin, count(*)::bigint n from p group by 1")
+def histogram_bins(spark, sf):
+    p = meas(spark, sf).select(k.sigmoid((F.col("z") - 1800) / 400).alias("p"))
+    return p.groupBy(F.least(F.lit(19).cast("long"), F.floor(F.col("p") * 20)).alias("bin")).agg(F.count("*").alias("n"))
+
+
+@query(f"with {W}, {TRK}, {NEAREST.format(gate=15000)}, g as (select frame, min(track_id) track_id, seq from nn where n = 1 group by frame, seq) select frame, " + ", ".join(f"count(*) filter (where track_id % 4 = {i})::bigint t{i}" for i in range(4)) + " from g group by frame")
+def assignment_matrix(spark, sf):
+    g = assignment.greedy_nearest(*frame_tracks(spark, sf))
+    return g.withColumn("column", F.concat(F.lit("t"), F.col("track_id") % 4)).groupBy("frame").pivot("column", ["t0", "t1", "t2", "t3"]).count().fillna(0)
