@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import staged, whole_text
+from .common import arrow_rows, staged, whole_text
 from .components import components
 
 WORDS, LINK = 4, 85
@@ -43,6 +43,8 @@ PAIR_SETS = 100
 FEW = 2_000_000
 #: Lists of more sets are compared tile by tile.
 TILE = 128
+#: Rows of an Arrow batch, and words whose hashes a worker remembers.
+BATCH, REMEMBERED = 500, 200_000
 #: Each round's turns, by which lists choose pivots; the last round, without any, makes all pairs between components that are left.
 PIVOTS = ((0,), (0x2A6F0C5B37D1E948, 0x71D3B8E45A90C627, 0x15C8A27F6E3B90D4, 0x4E90D76B81F25A3C), ())
 #: Stands for a null id inside.
@@ -54,7 +56,7 @@ MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0
 class _Hashes(dict):
     def __missing__(self, word: bytes) -> int:
         h = xxhash.xxh3_64_intdigest(word)
-        if len(self) > 500_000:
+        if len(self) >= REMEMBERED:
             self.clear()
         self[word] = h
         return h
@@ -295,6 +297,12 @@ def tile_links(docs: DataFrame, long: DataFrame, vertices: DataFrame) -> DataFra
 
 def components_of(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id for each row of docs."""
+    # All that runs Python is written inside; what is returned are joins of written tables.
+    with arrow_rows(docs.sparkSession, BATCH):
+        return _components_of(docs, key, text)
+
+
+def _components_of(docs: DataFrame, key: str, text: str) -> DataFrame:
     spark = docs.sparkSession
     rows = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(NO_ID)).alias("doc_id"), whole_text(text).alias("text"))
     sets = staged(to_sets(rows).withColumn("uid", F.monotonically_increasing_id()), "sets")
