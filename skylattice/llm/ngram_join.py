@@ -179,8 +179,8 @@ def signatures(tokens: np.ndarray, n: int, hot: np.ndarray, whole: bool) -> tupl
 SIGNED = "uid long, singles array<long>, pairs array<long>, whole boolean"
 
 
-def signed(sets: DataFrame, hot, whole: bool) -> DataFrame:
-    """(uid, n, tokens) -> their signatures; whole: false where only the whole set can tell."""
+def signed(sets: DataFrame, hot) -> DataFrame:
+    """(uid, n, tokens), the low parts of sets -> their signatures; whole: false where only the whole set can tell."""
     names = [f.split()[0] for f in SIGNED.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -192,7 +192,7 @@ def signed(sets: DataFrame, hot, whole: bool) -> DataFrame:
                 column = part.column(2)
                 flat, offsets = column.values.to_numpy(zero_copy_only=False), column.offsets.to_numpy()
                 for i, n in enumerate(part.column(1).to_pylist()):
-                    got = signatures(flat[offsets[i] : offsets[i + 1]], n, frequent, whole)
+                    got = signatures(flat[offsets[i] : offsets[i + 1]], n, frequent, False)
                     known.append(got is not None)
                     s, p = got or (flat[:0], flat[:0])
                     singles.append(s), pairs.append(p)
@@ -205,8 +205,8 @@ def few(spark: SparkSession, small: DataFrame) -> DataFrame:
     return F.broadcast(small) if small.count() <= FEW else small
 
 
-def whole_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """wanted (uid, doc_id, hi, lo) with their whole sets as tokens."""
+def whole_sets(docs: DataFrame, wanted: DataFrame, hot=None) -> DataFrame:
+    """wanted (uid, doc_id, hi, lo) with their whole sets as tokens or, if frequent tokens are given, their signatures as singles and pairs."""
     wanted = staged(wanted, "wanted-sets")
     texts = docs.join(few(docs.sparkSession, wanted.select("doc_id").distinct()), "doc_id", "left_semi")
 
@@ -216,9 +216,11 @@ def whole_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 part = batch.slice(start, 500)
                 sets = [shingle_set(t) for t in part.column(1).to_pylist()]
                 name = np.frombuffer(b"".join(xxhash.xxh3_128_digest(s.tobytes()) for s in sets), "<i8").reshape(-1, 2)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(name[:, 0]), pa.array(name[:, 1]), arrays(sets)], names=["doc_id", "hi", "lo", "tokens"])
+                found = [sets] if hot is None else list(zip(*(signatures(s, len(s), hot.value, True) for s in sets)))
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(name[:, 0]), pa.array(name[:, 1]), *(arrays(list(x)) for x in found)], names=["doc_id", "hi", "lo", *out])
 
-    sets = texts.mapInArrow(run, "doc_id long, hi long, lo long, tokens array<long>")
+    out = ["tokens"] if hot is None else ["singles", "pairs"]
+    sets = texts.mapInArrow(run, "doc_id long, hi long, lo long, " + ", ".join(f"{c} array<long>" for c in out))
     # Rows equal in id and text give a set twice; neither lists nor links mind.
     return sets.join(few(docs.sparkSession, wanted), ["doc_id", "hi", "lo"])
 
@@ -319,10 +321,10 @@ def _components_of(docs: DataFrame, key: str, text: str) -> DataFrame:
     # What other tasks have met too is left out: only the vertices themselves are indexed.
     again = members.where(F.col("kept") & (F.col("uid") != F.col("rep"))).select("uid")
     low = sets.where(F.size("low") > 0).join(few(spark, again), "uid", "left_anti").select("uid", "n", F.col("low").alias("tokens"))
-    own = staged(signed(low, hot, False), "signatures")
+    own = staged(signed(low, hot), "signatures")
     short = vertices.join(few(spark, own.where(~F.col("whole")).select("uid")), "uid")
-    more = signed(whole_sets(rows, short).select("uid", "n", "tokens"), hot, True)
-    every = own.where("whole").unionByName(more)
+    more = staged(whole_sets(rows, short, hot).select("uid", "singles", "pairs"), "whole-signatures")
+    every = own.where("whole").select("uid", "singles", "pairs").unionByName(more)
     marks = every.select(F.col("uid").alias("u"), F.explode("singles").alias("sig"), F.lit(1).alias("one")).unionByName(every.select(F.col("uid").alias("u"), F.explode("pairs").alias("sig"), F.lit(0).alias("one")))
     marks = marks.repartition("sig", "one")
     shared = marks.groupBy("sig", "one").agg(F.count("*").alias("k")).where(F.col("k") > 1).select("sig", "one")
