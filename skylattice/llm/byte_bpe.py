@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import whole_text, without
+from .common import short_batches, whole_text, without
 from .units import UnitCache
 
 NONE = np.int64(1) << np.int64(62)
@@ -162,6 +162,7 @@ def batches_of(rows: Iterator, n: int) -> Iterator[list]:
 
 def round_trip(docs: DataFrame, rank_path: str, pattern: str, text: str = "text", keep: list[str] | None = None, decode: bool = True) -> DataFrame:
     """The kept columns of docs (all but the text by default) with ids (array<int>) and, if asked for, decoded (binary): the bytes the ids stand for."""
+    short_batches(docs.sparkSession)
     keep = [c for c in (docs.columns if keep is None else keep) if c not in (text, "ids", "decoded")]
     fields = [docs.schema[c] for c in keep] + [T.StructField("ids", T.ArrayType(T.IntegerType()))] + [T.StructField("decoded", T.BinaryType())] * decode
 

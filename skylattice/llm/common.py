@@ -57,3 +57,15 @@ def arrow_rows(spark: SparkSession, rows: int) -> Iterator[None]:
         yield
     finally:
         spark.conf.set(name, before)
+
+
+#: Rows of an Arrow batch where whole texts go to Python.
+TEXT_ROWS = 500
+
+
+def short_batches(spark: SparkSession) -> None:
+    """Sets the session's Arrow batches, unless they are shorter already, to TEXT_ROWS rows: plans that send whole texts to Python
+    run after their operator has returned, and 10,000 long texts at once would fill an executor's memory."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= TEXT_ROWS:
+        spark.conf.set(name, str(TEXT_ROWS))

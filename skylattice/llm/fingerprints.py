@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import whole_text
+from .common import short_batches, whole_text
 
 WINDOW, LEAST_BLOCK, CHUNKS, MOST = 7, 3, 64, 64
 LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
@@ -158,6 +158,7 @@ def compared(ordered: DataFrame) -> DataFrame:
 
 
 def neighbours(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    short_batches(docs.sparkSession)
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), whole_text(text).alias("text"))
     ranges = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return compared(in_ranges(rows, ranges))

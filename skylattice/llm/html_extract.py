@@ -23,6 +23,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import short_batches
+
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|math|iframe|object|textarea|select|title|canvas)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)"
     r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*(?:>|\Z)|</?[a-zA-Z][^<>]*(?:>|\Z)",
@@ -222,6 +224,7 @@ def main_text(html: str) -> str:
 
 def extract(pages: DataFrame, html: str = "html", out: str = "text") -> DataFrame:
     """The columns of pages less the html, with the main text."""
+    short_batches(pages.sparkSession)
     keep = [c for c in pages.columns if c not in (html, out)]
     schema = T.StructType([pages.schema[c] for c in keep] + [T.StructField(out, T.StringType())])
 

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import staged, whole_text, without
+from .common import short_batches, staged, whole_text, without
 
 MIN_WORDS = 50
 LINES = "doc long, mark long, pos int, line int, hi long, lo long, ahead int, ahead_line int, back int, back_line int"
@@ -131,6 +131,7 @@ def cuts_of(runs: DataFrame) -> DataFrame:
 
 def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", least: int = MIN_WORDS) -> DataFrame:
     """docs with the text less its later copies, n_lines (before) and n_cut."""
+    short_batches(docs.sparkSession)
     docs = without(docs, "n_lines", "n_cut", "doc", "mark", "cuts")
     lines = staged(to_lines(docs, key, text, least), "lines")
     cuts = staged(cuts_of(repeated_runs(lines, least)), "cuts")

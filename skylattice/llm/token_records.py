@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import fresh_path, whole_text
+from .common import fresh_path, short_batches, whole_text
 from .units import UnitCache
 
 INDEX = "part int, path string, place long, doc_id long, at long, bytes long, first long, n_tokens long"
@@ -124,6 +124,7 @@ def write_records(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int
             if sink is not None:
                 sink.close()
 
+    short_batches(docs.sparkSession)
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), whole_text(text).alias("text"))
     spark = docs.sparkSession
     rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text").mapInArrow(run, INDEX).write.parquet(f"{folder}/index")

@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 #: Units that a worker remembers at most; then it starts anew. Longer units than LONG characters are not remembered.
-REMEMBERED, LONG = 600_000, 48
+REMEMBERED, LONG = 200_000, 48
 
 
 class UnitCache:
