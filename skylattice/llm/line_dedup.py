@@ -11,8 +11,8 @@ length: an interval of the suffix array. A repeated run is covered by the shorte
 that begin or end at each of its lines, so intervals at their depths, of at most MIN_WORDS lines, reveal every maximal
 run. In each interval the place that comes first stays; the others are cut, and overlapping cuts merge into maximal runs.
 
-Everything after the cutting of texts into lines is joins and aggregations over repeated lines only. Texts move once,
-when the cuts join them. Null and empty texts stay as they are; null ids come first; rows equal in id and text count as
+Everything after the cutting of texts into lines is joins and aggregations over repeated lines only. Texts stay where they
+are while the cuts are few enough, by their count, to be sent to them; else they move once, to join the cuts. Null and empty texts stay as they are; null ids come first; rows equal in id and text count as
 one and share its result; extra columns pass by.
 """
 
@@ -30,6 +30,8 @@ from pyspark.sql.window import Window
 from .common import short_batches, staged, whole_text, without
 
 MIN_WORDS = 50
+#: Up to so many cuts (under 100 MB) they are broadcast to the texts; beyond that the texts are shuffled to them.
+FEW_CUTS = 500_000
 LINES = "doc long, mark long, pos int, line int, hi long, lo long, ahead int, ahead_line int, back int, back_line int"
 PLACE = ["doc", "mark", "pos"]
 
@@ -135,6 +137,8 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", least:
     docs = without(docs, "n_lines", "n_cut", "doc", "mark", "cuts")
     lines = staged(to_lines(docs, key, text, least), "lines")
     cuts = staged(cuts_of(repeated_runs(lines, least)), "cuts")
+    if (cuts.agg(F.sum(F.size("cuts"))).first()[0] or 0) <= FEW_CUTS:
+        cuts = F.broadcast(cuts)
     split = F.split(text, "\n", -1)
     n = F.coalesce(F.size("_lines"), F.lit(0))
     keeps = F.zip_with(F.concat(F.array(F.lit(0)), F.col("cuts.end")), F.concat(F.col("cuts.from_line"), F.array(F.size("_lines"))), lambda a, b: F.slice(F.col("_lines"), a + 1, b - a))
