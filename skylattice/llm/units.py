@@ -8,9 +8,11 @@ white space follows a space the rule does not hold, and the whole text is encode
 from __future__ import annotations
 
 from collections.abc import Callable
+from itertools import islice
 
-#: Units that a worker remembers at most; then it starts anew. Longer units than LONG characters are not remembered.
-REMEMBERED, LONG = 200_000, 48
+#: Units that a worker remembers at most, those it met first; it starts anew where most units of a batch are unknown.
+#: Longer units than LONG characters are not remembered.
+REMEMBERED, LONG = 300_000, 48
 
 
 class UnitCache:
@@ -26,12 +28,13 @@ class UnitCache:
         new = [w for w in words if w not in known]
         if not new:
             return known
-        if len(known) + len(new) > REMEMBERED:
+        if len(known) + len(new) > REMEMBERED and 2 * len(new) > len(words):
             known.clear()
             new = list(words)
         got = dict(zip(new, self.encode_units([lead + w for w in new])))
-        known.update((w, x) for w, x in got.items() if len(w) <= LONG)
-        return known if all(len(w) <= LONG for w in new) else _Both(known, got)
+        room = max(0, REMEMBERED - len(known))
+        known.update(islice(((w, x) for w, x in got.items() if len(w) <= LONG), room))
+        return known if len(new) <= room and all(len(w) <= LONG for w in new) else _Both(known, got)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         split = [t.split(" ") for t in texts]
