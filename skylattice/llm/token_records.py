@@ -35,7 +35,10 @@ from .units import UnitCache
 
 INDEX = "part int, path string, place long, doc_id long, at long, bytes long, first long, n_tokens long"
 READ = "part int, place long, doc_id long, first long, n_tokens long, ids_crc32 long"
-DOCS = 512
+#: Documents of one output batch, units of one call of the library.
+DOCS, UNITS = 512, 5000
+#: Words that a worker remembers at most, with their ids some 200 bytes each.
+REMEMBERED = 1_000_000
 
 
 def masked(data: bytes) -> int:
@@ -92,9 +95,16 @@ def library_encoder(path: str) -> UnitCache:
     tokenizer.encode_special_tokens = True
 
     def encode(units: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in tokenizer.encode_batch_fast(units, add_special_tokens=False)]
-
-    return UnitCache(encode)
+        out: list[bytes] = []
+        for k in range(0, len(units), UNITS):
+            part = units[k : k + UNITS]
+            found = tokenizer.encode(part, is_pretokenized=True, add_special_tokens=False)  # each unit by itself, in one call
+            ends = (np.bincount(np.array(found.word_ids, np.int64), minlength=len(part)).cumsum() * 4).tolist()
+            data = np.array(found.ids, "<u4").tobytes()
+            out += [data[a:b] for a, b in zip([0, *ends], ends)]
+        return out
+
+    return UnitCache(encode, REMEMBERED)
 
 
 def write_records(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -2,58 +2,78 @@
 
 Byte-level tokenizers first split a text by public_tokenizers.PATTERN. A single space between two other characters
 always begins a match there, so each word with its leading space is encoded by itself and the results are joined. Where
-white space follows a space the rule does not hold, and the whole text is encoded at once instead.
+white space follows a space the rule does not hold, and the whole text is encoded at once instead. The pattern also cuts
+between a run of letters and punctuation after it, so an unknown word with such a tail is encoded from the two.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
-from itertools import islice
+from itertools import filterfalse, islice
 
 #: Units that a worker remembers at most, those it met first; it starts anew where most units of a batch are unknown.
 #: Longer units than LONG characters are not remembered.
 REMEMBERED, LONG = 300_000, 48
 
+#: Punctuation after a word, letters only and those of before U+0250, is encoded by itself if it has MOST_TAIL characters at most.
+TAIL, MOST_TAIL, LETTERS_END = ".,;:!?%$#&*", 4, "\u0250"
+
+#: A space before white space or the end: there the rule above does not hold.
+UNSAFE = re.compile(r" (?:\s|\Z)").search
+
+
+class _Known(dict):
+    """Remembered units and, for one batch, `passing`: the others."""
+
+    passing: dict[str, bytes]
+
+    def __missing__(self, unit: str) -> bytes:
+        return self.passing[unit]
+
 
 class UnitCache:
     """encode: units -> their encodings, each as bytes."""
 
-    def __init__(self, encode: Callable[[list[str]], list[bytes]]):
+    def __init__(self, encode: Callable[[list[str]], list[bytes]], remembered: int = REMEMBERED):
         self.encode_units = encode
-        self.first: dict[str, bytes] = {}
-        self.later: dict[str, bytes] = {}
-
-    def _learn(self, known: dict[str, bytes], words: set[str], lead: str) -> dict[str, bytes]:
-        """Returns the table to look in for these words: the lasting one, with what was too long beside it."""
-        new = [w for w in words if w not in known]
-        if not new:
-            return known
-        if len(known) + len(new) > REMEMBERED and 2 * len(new) > len(words):
+        self.remembered = remembered
+        self.first, self.later = _Known(), _Known()
+        self.tails: dict[str, bytes] = {}
+
+    def _encode(self, known: _Known, units: list[str], lead: str) -> dict[str, bytes]:
+        """The units' encodings with `lead` before each; words and their tails are looked up or encoded apart."""
+        cut = {w: b for w in units if 0 < len(w) - len(b := w.rstrip(TAIL)) <= MOST_TAIL and b.isalpha() and max(b) < LETTERS_END}
+        tails = {w[len(b) :] for w, b in cut.items()} - self.tails.keys()
+        self.tails.update(zip(tails, self.encode_units(list(tails))))
+        plain = list({w for w in units if w not in cut}.union(filterfalse(known.__contains__, cut.values())))
+        got = dict(zip(plain, self.encode_units([lead + w for w in plain])))
+        for w, b in cut.items():
+            got[w] = (got[b] if b in got else known[b]) + self.tails[w[len(b) :]]
+        return got
+
+    def _learn(self, known: _Known, words: set[str], lead: str) -> None:
+        """Afterwards known has all these words, for this batch at least."""
+        known.passing = {}
+        new = list(filterfalse(known.__contains__, words))
+        if len(known) + len(new) > self.remembered and 2 * len(new) > len(words):
             known.clear()
             new = list(words)
-        got = dict(zip(new, self.encode_units([lead + w for w in new])))
-        room = max(0, REMEMBERED - len(known))
-        known.update(islice(((w, x) for w, x in got.items() if len(w) <= LONG), room))
-        return known if len(new) <= room and all(len(w) <= LONG for w in new) else _Both(known, got)
+        if new:
+            known.passing = self._encode(known, new, lead)
+            room = max(0, self.remembered - len(known))
+            known.update(islice(((w, x) for w, x in known.passing.items() if len(w) <= LONG), room))
 
     def encode(self, texts: list[str]) -> list[bytes]:
+        whole = [i for i, t in enumerate(texts) if UNSAFE(t)]
         split = [t.split(" ") for t in texts]
-        whole = [i for i, words in enumerate(split) if any(not w or w[0].isspace() for w in words[1:])]
         for i in whole:
             split[i] = [""]
-        later = self._learn(self.later, set().union(*(w[1:] for w in split)) if split else set(), " ")
-        first = self._learn(self.first, {w[0] for w in split}, "")
-        out = [b"".join([first[w[0]], *map(later.__getitem__, w[1:])]) for w in split]
+        first = [w.pop(0) for w in split]
+        self._learn(self.first, set(first), "")
+        self._learn(self.later, set().union(*split), " ")
+        of_later = self.later.__getitem__
+        out = [self.first[a] + b"".join(map(of_later, w)) for a, w in zip(first, split)]
         for i, x in zip(whole, self.encode_units([texts[i] for i in whole]) if whole else []):
             out[i] = x
         return out
-
-
-class _Both:
-    """Looks in the lasting table, then in one for this batch."""
-
-    def __init__(self, lasting: dict[str, bytes], passing: dict[str, bytes]):
-        self.lasting, self.passing = lasting, passing
-
-    def __getitem__(self, key: str) -> bytes:
-        return self.lasting[key] if key in self.lasting else self.passing[key]
