@@ -1,11 +1,14 @@
 """N-gram Jaccard join with token-combination prefixes; connected components of its links.
 
-Documents are sets of word shingles, links join sets with 100 * intersection >= 85 * union. All tokens (shingle hashes)
+Documents are sets of word shingles, links join sets with 100 * intersection >= link * union: four words and 85 in op4,
+five words and 80 in the pipeline's stage. All tokens (shingle hashes)
 have one global order: rare ones before frequent ones, each class by hash. Let t be the most tokens of a set of n that a
-linked set can lack (n - ceil(0.85 n)). Of the first t + 1 + e tokens of the linked set whose prefix ends first at most t
+linked set can lack (n - ceil(link n / 100)). Of the first t + 1 + e tokens of the linked set whose prefix ends first at most t
 are missing in the other, so the two prefixes share e + 1 tokens at least, e being a twentieth of the set. Prefixes are
 indexed by single rare tokens and, for small sets, by pairs of frequent ones, which are far more selective; a pair of
 sets is a candidate if what its signatures tell leaves room for e + 1 shared tokens, and is then verified on whole sets.
+The link is 80 at least: then two different linked sets share four tokens, which is e + 1 up to 20 tokens. It is a multiple
+of 5: then t falls by one wherever e of a larger linked set is one more, so that either set's own e may be asked for.
 
 Frequent tokens are those found often by counts over all documents (each task reports tokens that stand in several of
 its documents); which tokens are in the class only decides the order, never which links are found, so the class may be
@@ -36,6 +39,8 @@ from .common import arrow_rows, staged, whole_text
 from .components import components
 
 WORDS, LINK = 4, 85
+#: The words and the link of the pipeline's stage.
+STAGE_WORDS, STAGE_LINK = 5, 80
 #: A token in so many documents is frequent; tasks report tokens in so many documents of a chunk; most frequent tokens kept.
 HOT, HOT_IN_CHUNK, HOT_MOST, CHUNK = 40, 3, 1_000_000, 2_000_000
 #: Sets of up to so many tokens index pairs of frequent tokens; those above (less what a link allows) index them singly.
@@ -49,7 +54,7 @@ BATCH, REMEMBERED = 500, 200_000
 PIVOTS = ((0,), (0x2A6F0C5B37D1E948, 0x71D3B8E45A90C627, 0x15C8A27F6E3B90D4, 0x4E90D76B81F25A3C), ())
 #: Stands for a null id inside.
 NO_ID = 2**63 - 1
-LOW_SHARE, LOW_MORE = 0.3, 8
+LOW_TIMES, LOW_MORE = 1.5, 8
 MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 
 
@@ -87,17 +92,18 @@ def shingle_set(text: str, size: int = WORDS) -> np.ndarray:
     return np.unique(mixed(x).view(np.int64))
 
 
-def missing(n: int) -> int:
+def missing(n: int, link: int = LINK) -> int:
     """The most tokens of a set of n that a linked set can lack."""
-    return n - -(-LINK * n // 100)
+    return n - -(-link * n // 100)
 
 
 def extra(n: int) -> int:
     return -(-n // 20) + 2
 
 
-def low_part(tokens: np.ndarray) -> np.ndarray:
-    return tokens[: int(LOW_SHARE * len(tokens)) + LOW_MORE]
+def low_part(tokens: np.ndarray, link: int = LINK) -> np.ndarray:
+    """LOW_TIMES what signatures need: the share that may be missing and the twentieth of extra()."""
+    return tokens[: int(LOW_TIMES * (105 - link) / 100 * len(tokens)) + LOW_MORE]
 
 
 SETS = "doc_id long, n int, hi long, lo long, low array<long>, hot array<long>, hot_n array<int>"
@@ -109,7 +115,7 @@ def arrays(parts: list[np.ndarray], kind=None) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat.astype(np.int32) if kind else flat))
 
 
-def to_sets(rows: DataFrame) -> DataFrame:
+def to_sets(rows: DataFrame, words: int, link: int) -> DataFrame:
     """(doc_id, text) -> sizes, 128-bit names and low parts of the sets. A set that a task has met before has no low part. Rows without a name report hot tokens."""
     names = [f.split()[0] for f in SETS.split(", ")]
 
@@ -133,14 +139,14 @@ def to_sets(rows: DataFrame) -> DataFrame:
             for start in range(0, batch.num_rows, 500):
                 part, out = batch.slice(start, 500), []
                 for doc_id, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
-                    tokens = shingle_set(text)
+                    tokens = shingle_set(text, words)
                     digest = xxhash.xxh3_128_digest(tokens.tobytes())
                     low = none
                     if len(tokens) and digest not in seen:
                         if len(seen) >= 1_000_000:
                             seen.clear()
                         seen.add(digest)
-                        low = low_part(tokens)
+                        low = low_part(tokens, link)
                         chunk.append(tokens)
                         held += len(tokens)
                     out.append((doc_id, len(tokens), digest, low, none, none))
@@ -155,9 +161,9 @@ def to_sets(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, SETS)
 
 
-def signatures(tokens: np.ndarray, n: int, hot: np.ndarray, whole: bool) -> tuple[np.ndarray, np.ndarray] | None:
+def signatures(tokens: np.ndarray, n: int, hot: np.ndarray, whole: bool, link: int = LINK) -> tuple[np.ndarray, np.ndarray] | None:
     """Single and pair signatures of a set; None if its known tokens do not reach, so that the whole set is needed."""
-    need = missing(n) + 1 + extra(n)
+    need = missing(n, link) + 1 + extra(n)
     at = np.minimum(np.searchsorted(hot, tokens), max(0, len(hot) - 1))
     frequent = hot[at] == tokens if len(hot) else np.zeros(len(tokens), bool)
     rare = tokens[~frequent]
@@ -167,11 +173,11 @@ def signatures(tokens: np.ndarray, n: int, hot: np.ndarray, whole: bool) -> tupl
         return None
     often = tokens[frequent][: need - len(rare)]
     singles, pairs = rare, tokens[:0]
-    if n * LINK <= PAIR_SETS * 100 and n <= PAIR_SETS:
+    if n * link <= PAIR_SETS * 100 and n <= PAIR_SETS:
         i, j = np.triu_indices(len(often), 1)
         x = often.view(np.uint64)
         pairs = mixed(mixed(x[i] + MIX[0]) ^ x[j]).view(np.int64)
-    if n * 100 >= PAIR_SETS * LINK or n > PAIR_SETS:
+    if n * 100 >= PAIR_SETS * link or n > PAIR_SETS:
         singles = np.concatenate([rare, often])
     return singles, pairs
 
@@ -179,7 +185,7 @@ def signatures(tokens: np.ndarray, n: int, hot: np.ndarray, whole: bool) -> tupl
 SIGNED = "uid long, singles array<long>, pairs array<long>, whole boolean"
 
 
-def signed(sets: DataFrame, hot) -> DataFrame:
+def signed(sets: DataFrame, hot, link: int) -> DataFrame:
     """(uid, n, tokens), the low parts of sets -> their signatures; whole: false where only the whole set can tell."""
     names = [f.split()[0] for f in SIGNED.split(", ")]
 
@@ -192,7 +198,7 @@ def signed(sets: DataFrame, hot) -> DataFrame:
                 column = part.column(2)
                 flat, offsets = column.values.to_numpy(zero_copy_only=False), column.offsets.to_numpy()
                 for i, n in enumerate(part.column(1).to_pylist()):
-                    got = signatures(flat[offsets[i] : offsets[i + 1]], n, frequent, False)
+                    got = signatures(flat[offsets[i] : offsets[i + 1]], n, frequent, False, link)
                     known.append(got is not None)
                     s, p = got or (flat[:0], flat[:0])
                     singles.append(s), pairs.append(p)
@@ -205,7 +211,7 @@ def few(spark: SparkSession, small: DataFrame) -> DataFrame:
     return F.broadcast(small) if small.count() <= FEW else small
 
 
-def whole_sets(docs: DataFrame, wanted: DataFrame, hot=None) -> DataFrame:
+def whole_sets(docs: DataFrame, wanted: DataFrame, words: int, link: int, hot=None) -> DataFrame:
     """wanted (uid, doc_id, hi, lo) with their whole sets as tokens or, if frequent tokens are given, their signatures as singles and pairs."""
     wanted = staged(wanted, "wanted-sets")
     texts = docs.join(few(docs.sparkSession, wanted.select("doc_id").distinct()), "doc_id", "left_semi")
@@ -214,9 +220,9 @@ def whole_sets(docs: DataFrame, wanted: DataFrame, hot=None) -> DataFrame:
         for batch in batches:
             for start in range(0, batch.num_rows, 500):
                 part = batch.slice(start, 500)
-                sets = [shingle_set(t) for t in part.column(1).to_pylist()]
+                sets = [shingle_set(t, words) for t in part.column(1).to_pylist()]
                 name = np.frombuffer(b"".join(xxhash.xxh3_128_digest(s.tobytes()) for s in sets), "<i8").reshape(-1, 2)
-                found = [sets] if hot is None else list(zip(*(signatures(s, len(s), hot.value, True) for s in sets)))
+                found = [sets] if hot is None else list(zip(*(signatures(s, len(s), hot.value, True, link) for s in sets)))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(name[:, 0]), pa.array(name[:, 1]), *(arrays(list(x)) for x in found)], names=["doc_id", "hi", "lo", *out])
 
     out = ["tokens"] if hot is None else ["singles", "pairs"]
@@ -225,11 +231,11 @@ def whole_sets(docs: DataFrame, wanted: DataFrame, hot=None) -> DataFrame:
     return sets.join(few(docs.sparkSession, wanted), ["doc_id", "hi", "lo"])
 
 
-def verified(docs: DataFrame, pairs: DataFrame, vertices: DataFrame) -> DataFrame:
+def verified(docs: DataFrame, pairs: DataFrame, vertices: DataFrame, words: int, link: int) -> DataFrame:
     """The pairs (u, v) whose whole sets link."""
     pairs = staged(pairs, "candidates")
     ids = pairs.select(F.col("u").alias("uid")).unionByName(pairs.select(F.col("v").alias("uid"))).distinct()
-    sets = staged(whole_sets(docs, vertices.join(ids, "uid", "left_semi").select("uid", "doc_id", "hi", "lo")).select("uid", "tokens"), "whole-sets")
+    sets = staged(whole_sets(docs, vertices.join(ids, "uid", "left_semi").select("uid", "doc_id", "hi", "lo"), words, link).select("uid", "tokens"), "whole-sets")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -237,7 +243,7 @@ def verified(docs: DataFrame, pairs: DataFrame, vertices: DataFrame) -> DataFram
             for i in range(batch.num_rows):
                 a, b = (batch.column(c)[i].values.to_numpy(zero_copy_only=False) for c in (2, 3))
                 both = len(np.intersect1d(a, b, assume_unique=True))
-                if 100 * both >= LINK * (len(a) + len(b) - both):
+                if 100 * both >= link * (len(a) + len(b) - both):
                     us.append(batch.column(0)[i].as_py()), vs.append(batch.column(1)[i].as_py())
             yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], names=["u", "v"])
 
@@ -267,11 +273,11 @@ def overlaps(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def tile_links(docs: DataFrame, long: DataFrame, vertices: DataFrame) -> DataFrame:
+def tile_links(docs: DataFrame, long: DataFrame, vertices: DataFrame, words: int, link: int) -> DataFrame:
     """Links between components within long lists, without making their pairs: a list is dealt to tiles of about TILE sets,
     two tiles meet in a task as matrices, and only the links leave it."""
     ids = long.select(F.col("u").alias("uid")).distinct()
-    sets = staged(whole_sets(docs, vertices.join(ids, "uid", "left_semi").select("uid", "doc_id", "hi", "lo")).select(F.col("uid").alias("u"), "tokens"), "tile-sets")
+    sets = staged(whole_sets(docs, vertices.join(ids, "uid", "left_semi").select("uid", "doc_id", "hi", "lo"), words, link).select(F.col("uid").alias("u"), "tokens"), "tile-sets")
     tiles = long.withColumn("tile", F.pmod(F.xxhash64("u"), F.ceil(F.col("k") / TILE)).cast("int"))
     tiles = tiles.join(sets, "u").groupBy("sig", "one", "tile").agg(F.collect_list(F.struct("u", "label", "tokens")).alias("sets"))
     tiles = staged(tiles, "tiles")
@@ -291,23 +297,25 @@ def tile_links(docs: DataFrame, long: DataFrame, vertices: DataFrame) -> DataFra
                 (u, own, a), (v, other, b) = sides
                 both = overlaps(a, b)
                 joined = np.array([len(x) for x in a])[:, None] + np.array([len(x) for x in b])[None, :] - both
-                x, y = np.nonzero((100 * both >= LINK * joined) & (own[:, None] != other[None, :]))
+                x, y = np.nonzero((100 * both >= link * joined) & (own[:, None] != other[None, :]))
                 yield pa.RecordBatch.from_arrays([pa.array(u[x]), pa.array(v[y])], names=["u", "v"])
 
     return staged(met.select("sets", "others").mapInArrow(run, "u long, v long").distinct(), "tile-links")
 
 
-def components_of(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id for each row of docs."""
+def components_of(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS, link: int = LINK) -> DataFrame:
+    """doc_id, n_shingles, component_id for each row of docs. words: of a shingle; link: the least likeness of linked sets, in percent."""
+    if words < 1 or link not in (80, 85, 90, 95):
+        raise ValueError(f"shingles of {words} words linked from {link} percent on: a word at least, and 80, 85, 90 or 95 percent")
     # All that runs Python is written inside; what is returned are joins of written tables.
     with arrow_rows(docs.sparkSession, BATCH):
-        return _components_of(docs, key, text)
+        return _components_of(docs, key, text, words, link)
 
 
-def _components_of(docs: DataFrame, key: str, text: str) -> DataFrame:
+def _components_of(docs: DataFrame, key: str, text: str, words: int, link: int) -> DataFrame:
     spark = docs.sparkSession
     rows = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(NO_ID)).alias("doc_id"), whole_text(text).alias("text"))
-    sets = staged(to_sets(rows).withColumn("uid", F.monotonically_increasing_id()), "sets")
+    sets = staged(to_sets(rows, words, link).withColumn("uid", F.monotonically_increasing_id()), "sets")
     reports = sets.where("n < 0").select(F.explode(F.arrays_zip("hot", "hot_n")).alias("x")).groupBy("x.hot").agg(F.sum("x.hot_n").alias("n")).where(F.col("n") >= HOT)
     hottest = reports.orderBy(F.desc("n"), "hot").limit(HOT_MOST).select("hot").toArrow().column(0).to_numpy()
     hot = spark.sparkContext.broadcast(np.sort(hottest.astype(np.int64)))
@@ -321,9 +329,9 @@ def _components_of(docs: DataFrame, key: str, text: str) -> DataFrame:
     # What other tasks have met too is left out: only the vertices themselves are indexed.
     again = members.where(F.col("kept") & (F.col("uid") != F.col("rep"))).select("uid")
     low = sets.where(F.size("low") > 0).join(few(spark, again), "uid", "left_anti").select("uid", "n", F.col("low").alias("tokens"))
-    own = staged(signed(low, hot), "signatures")
+    own = staged(signed(low, hot, link), "signatures")
     short = vertices.join(few(spark, own.where(~F.col("whole")).select("uid")), "uid")
-    more = staged(whole_sets(rows, short, hot).select("uid", "singles", "pairs"), "whole-signatures")
+    more = staged(whole_sets(rows, short, words, link, hot).select("uid", "singles", "pairs"), "whole-signatures")
     every = own.where("whole").select("uid", "singles", "pairs").unionByName(more)
     marks = every.select(F.col("uid").alias("u"), F.explode("singles").alias("sig"), F.lit(1).alias("one")).unionByName(every.select(F.col("uid").alias("u"), F.explode("pairs").alias("sig"), F.lit(0).alias("one")))
     marks = marks.repartition("sig", "one")
@@ -336,7 +344,7 @@ def _components_of(docs: DataFrame, key: str, text: str) -> DataFrame:
     lists = staged(lists.join(few(spark, staged(enough.select("u", "n"), "sharing-vertices")), "u").select("sig", "one", "u", "n"), "signature-lists")
 
     size = vertices.select(F.col("uid").alias("u"), "n")
-    near = lambda a, b: (F.col(a) * 100 >= F.col(b) * LINK) & (F.col(b) * 100 >= F.col(a) * LINK)
+    near = lambda a, b: (F.col(a) * 100 >= F.col(b) * link) & (F.col(b) * 100 >= F.col(a) * link)
     least_extra = F.ceil(F.least("n", "m") / 20) + 2
 
     links, labels = None, None
@@ -358,7 +366,7 @@ def _components_of(docs: DataFrame, key: str, text: str) -> DataFrame:
             sizes = now.groupBy("sig", "one").agg(F.count("*").alias("k"))
             now = staged(now.join(sizes, ["sig", "one"]), "mixed-lists")
             long = now.where(F.col("k") > TILE)
-            tiled = tile_links(rows, long, vertices)
+            tiled = tile_links(rows, long, vertices, words, link)
             links = links.unionByName(tiled)
             # What a pair shares in long lists besides is at most the lesser number of them that either stands in.
             seats = long.groupBy("u").agg(F.sum("one").alias("o"), F.sum(1 - F.col("one")).alias("t"))
@@ -368,7 +376,7 @@ def _components_of(docs: DataFrame, key: str, text: str) -> DataFrame:
             met = met.select("u", "v", "n", "m", "one", F.least("o", "o2").alias("more_ones"), F.least("t", "t2").alias("more_twos"))
             enough = told >= least_extra + 1 - 1e-9
         pairs = met.groupBy("u", "v", "n", "m").agg((F.sum("one") + F.max("more_ones")).alias("ones"), (F.sum(1 - F.col("one")) + F.max("more_twos")).alias("twos")).where(enough).select("u", "v")
-        new = verified(rows, pairs, vertices)
+        new = verified(rows, pairs, vertices, words, link)
         links = new if links is None else links.unionByName(new)
         labels = staged(components(links), "labels")
 
@@ -382,7 +390,7 @@ def _components_of(docs: DataFrame, key: str, text: str) -> DataFrame:
 
 def representatives(docs: DataFrame) -> DataFrame:
     """The pipeline's stage: of each component the document with the least id stays, and all that are linked with nothing."""
-    gone = staged(components_of(docs).where(F.col("component_id") != F.col("doc_id")).select("doc_id").distinct(), "copies")
+    gone = staged(components_of(docs, words=STAGE_WORDS, link=STAGE_LINK).where(F.col("component_id") != F.col("doc_id")).select("doc_id").distinct(), "copies")
     return docs.join(few(docs.sparkSession, gone), "doc_id", "left_anti")
 
 

@@ -1,9 +1,12 @@
 """The pipeline's stages, each against a brute-force version of its decisions."""
 
+import random
+
 import corpus_pipeline
-from test_corpus_operators import brute_components, brute_lines
+import pytest
+from test_corpus_operators import brute_components, brute_lines, near_copies, words_of
 
-from skylattice.llm import byte_bpe, quality
+from skylattice.llm import byte_bpe, ngram_join, quality
 
 
 def test_pipeline(spark, sf):
@@ -39,3 +42,49 @@ def test_pipeline(spark, sf):
     assert len(last) == len(rows)
     encode = byte_bpe.Encoder(path, pattern)
     assert all(byte_bpe.np.frombuffer(encode.encode([want[r.doc_id]])[0], "<i4").tolist() == r.ids for r in last[:40])
+
+
+def brute_links(docs, words, link):
+    """The least id of each document's component, by shingles of so many words and links from so many percent on."""
+    sets = {}
+    for d, text in docs:
+        w = words_of(text)
+        sets[d] = {tuple(w[i : i + words]) for i in range(max(1, len(w) - words + 1))} if w else set()
+    label = {d: d for d in sets}
+    for a in sorted(sets):
+        for b in sets:
+            both = len(sets[a] & sets[b])
+            if a < b and both and 100 * both >= link * (len(sets[a]) + len(sets[b]) - both) and label[a] != label[b]:
+                old, new = sorted((label[a], label[b]), reverse=True)
+                label = {d: new if x == old else x for d, x in label.items()}
+    return label
+
+
+def test_near_duplicate_stage_takes_five_words_and_80(spark):
+    rng = random.Random(21)
+    docs = near_copies(rng, 30, [1, 2, 5, 9], (5, 300))
+    docs += [(2000 + d, t) for d, t in near_copies(rng, 2, [60], (30, 60))]
+    # One word fewer of nine leaves 4 of 5 shingles; 100 shingles of which the last 11 or 12 differ share 89 of 111 and 88 of 112.
+    docs += [(5000, "a b c d e f g h i"), (5001, "a b c d e f g h"), (5002, "a b c d"), (5003, "a b c"), (5004, ""), (5005, None)]
+    base = [f"v{i}" for i in range(104)]
+    docs += [(6000, " ".join(base)), (6001, " ".join(base[:-11] + ["z"] * 11)), (6002, " ".join(base[:-12] + [f"y{i}" for i in range(12)]))]
+    want = brute_links(docs, 5, 80)
+    strict = brute_links(docs, 4, 85)
+    assert sum(d == x for d, x in want.items()) < sum(d == x for d, x in strict.items())
+    stage = dict(corpus_pipeline.STAGES)["ngram_join"]
+    got = stage(spark, spark.createDataFrame(docs, "doc_id long, text string"), "")
+    assert sorted(r.doc_id for r in got.collect()) == sorted(d for d, x in want.items() if d == x)
+
+
+@pytest.mark.parametrize("words, link", [(5, 80), (2, 90)])
+def test_links_by_words_and_percent(spark, words, link, monkeypatch):
+    monkeypatch.setattr(ngram_join, "TILE", 16)
+    rng = random.Random(words)
+    docs = near_copies(rng, 3, [50], (20, 130)) + [(1000 + d, t) for d, t in near_copies(rng, 12, [1, 6], (5, 60))]
+    got = ngram_join.components_of(spark.createDataFrame(docs, "doc_id long, text string"), words=words, link=link).collect()
+    assert {r.doc_id: r.component_id for r in got} == brute_links(docs, words, link)
+
+
+def test_links_that_the_prefixes_do_not_hold_for_are_refused(spark):
+    with pytest.raises(ValueError):
+        ngram_join.components_of(spark.createDataFrame([], "doc_id long, text string"), link=50)
