@@ -1,8 +1,8 @@
 """Document fingerprints by context-triggered piecewise hashing.
 
 A rolling hash of the last seven bytes ends a chunk wherever it has one residue modulo the block size; each chunk's hash
-gives two characters of the signature. The block size follows from the length and is halved while it gives too few
-chunks; a fingerprint holds the block size and the signatures for it and for twice it. Fingerprints whose block sizes are
+gives two characters of the signature. The block size follows from the length, is halved while it gives too few chunks
+and doubled while it gives too many, so that every part of a text counts alike; a fingerprint holds the block size and the signatures for it and for twice it. Fingerprints whose block sizes are
 equal or differ by the factor two are compared by the insert-and-delete edit distance of their chunk sequences.
 
 `neighbours` gives each document its next one in descending id order without putting all documents in one task: ids are
@@ -10,8 +10,9 @@ cut into ranges at sampled quantiles, each range's last document is also sent, a
 (the last range's to the first), and each range is streamed in order. Only the ranges' largest ids reach the driver.
 
 Null texts count as empty; empty texts have the empty signature and are like each other. Null ids come before all others;
-equal ids follow each other by text. A single document is its own neighbour. The last chunk takes what remains of a text
-whose pattern would give more than MOST chunks.
+equal ids follow each other by text. A single document is its own neighbour. A text that repeats itself may have more
+than MOST chunks: a hash value that returns all along it stops ending chunks at one doubling, which then would leave
+fewer than LEAST; it keeps them up to LONGEST, where the comparison's cost ends it.
 """
 
 from __future__ import annotations
@@ -29,6 +30,7 @@ from pyspark.sql import functions as F
 from .common import short_batches, whole_text
 
 WINDOW, LEAST_BLOCK, CHUNKS, MOST = 7, 3, 64, 64
+LEAST, LONGEST = 16, 4096
 LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
 PAIR = [a + b for a in LETTERS for b in LETTERS]
 
@@ -47,7 +49,7 @@ def rolling(raw: np.ndarray) -> np.ndarray:
 
 def signature(data: bytes, ends: np.ndarray) -> str:
     """ends: places after which chunks end."""
-    cuts = [0, *(ends[: MOST - 1] + 1).tolist()]
+    cuts = [0, *(ends + 1).tolist()]
     if cuts[-1] < len(data):
         cuts.append(len(data))
     return "".join(PAIR[zlib.crc32(data[a:b]) & 0xFFF] for a, b in zip(cuts, cuts[1:]))
@@ -65,7 +67,11 @@ def fingerprint(text: str) -> str:
     while len(ends) < CHUNKS // 2 and block > LEAST_BLOCK:
         block //= 2
         ends = np.flatnonzero(hashes % np.uint32(block) == block - 1)
-    coarse = ends[hashes[ends] % np.uint32(2 * block) == 2 * block - 1]
+    # In 64 bits: a block may be doubled beyond 32.
+    twice = lambda: ends[hashes[ends].astype(np.int64) % (2 * block) == 2 * block - 1]
+    while len(ends) >= MOST and (len(fewer := twice()) >= LEAST or len(ends) >= LONGEST):
+        block, ends = 2 * block, fewer
+    coarse = twice()
     return f"{block}:{signature(data, ends)}:{signature(data, coarse)}"
 
 

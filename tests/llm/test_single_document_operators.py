@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import random
 import zlib
 
 import numpy as np
@@ -181,3 +182,26 @@ def test_top_k_edges(spark):
     zero = sorted((r["rank"], r.vec_id) for r in got if r.query_id == 0)
     assert zero == [(1, 200), (2, 1), (3, 1)]
     assert topk_search.top_k(df.limit(0), F.col("vec_id") % 100 == 0).count() == 0
+
+
+def test_fingerprints_count_every_part_of_a_text():
+    words = [f"{w}{i % 7}" for i, w in enumerate("lattice river stone amber field quiet north copper".split() * 40)]
+    rng = random.Random(3)
+    seen = 0
+    for k in range(300):
+        line = " ".join(rng.choice(words) for _ in range(rng.randrange(4, 9)))
+        # Lines that return all along a text, so that whatever ends a chunk in one ends one in each.
+        half = [f"{line} {rng.choice(words)}" for _ in range(200)]
+        other = [f"{rng.choice(words)} {rng.choice(words)} {rng.choice(words)} {k}" for _ in range(200)]
+        text, changed = "\n".join(half + half[::-1]), "\n".join(half + other)
+        block, fine, coarse = fingerprints.fingerprint(text).split(":")
+        seen += len(fine) // 2 > fingerprints.MOST
+        assert len(fine) // 2 <= fingerprints.LONGEST
+        assert fingerprints.likeness(fingerprints.fingerprint(text), fingerprints.fingerprint(changed)) < 0.9, k
+    assert seen
+
+
+def test_fingerprint_of_a_constant_text_ends():
+    for c in (chr(i) for i in range(1, 128)):
+        fine = fingerprints.fingerprint(c * 5000).split(":")[1]
+        assert 1 <= len(fine) // 2 <= fingerprints.LONGEST
