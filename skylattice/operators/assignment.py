@@ -41,15 +41,23 @@ def hungarian(cost: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return rows[order], at[order]
 
 
+#: A frame's predictions times its truths at most: 200 MB of distances, of which a solver's task holds one matrix and one axis.
+MOST_PAIRS = 25_000_000
 MATCHES = "frame long, pred_id long, gt_id long, dist double"
 
 
 def match_frames(pred: DataFrame, truth: DataFrame, gate: float = 5000.0) -> DataFrame:
-    """(frame, pred_id, gt_id, dist): the assignment is made before the gate is applied, so it may match less than a gated one. Frames are independent and bounded."""
+    """(frame, pred_id, gt_id, dist): the assignment is made before the gate is applied, so it may match less than a gated one. Frames are independent.
+    One of more than MOST_PAIRS pairs fails, named, before its matrix: an assignment made before the gate depends on all of them."""
 
     def solve(key: tuple, p: pd.DataFrame, g: pd.DataFrame) -> pd.DataFrame:
         p, g = p.sort_values("id"), g.sort_values("id")
-        d = np.sqrt(((p[["x", "y", "z"]].to_numpy()[:, None] - g[["x", "y", "z"]].to_numpy()[None]) ** 2).sum(-1))
+        if len(p) * len(g) > MOST_PAIRS:
+            raise ValueError(f"frame {key[0]} has {len(p)} predictions and {len(g)} truths, more than {MOST_PAIRS} pairs")
+        d = np.zeros((len(p), len(g)))
+        for c in ("x", "y", "z"):
+            d += (p[c].to_numpy()[:, None] - g[c].to_numpy()[None]) ** 2
+        d = np.sqrt(d)
         i, j = hungarian(d)
         near = d[i, j] < gate
         return pd.DataFrame({"frame": key[0], "pred_id": p["id"].to_numpy()[i[near]], "gt_id": g["id"].to_numpy()[j[near]], "dist": d[i, j][near]})

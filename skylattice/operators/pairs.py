@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .components import components
+
 
 def windowed_pairs(rows: DataFrame, condition: Column | None = None) -> DataFrame:
     """a, b: rows of one window with a.seq < b.seq. The window is the equi key, the rest a residual."""
@@ -42,27 +44,8 @@ def neighbour_edges(rows: DataFrame, radius: float, k: int) -> DataFrame:
 
 
 def window_components(rows: DataFrame, edges: DataFrame) -> DataFrame:
-    """seq, cluster: the least seq of each row's component. Windows are bounded; each one's labels spread by repeated minima in one fold.
-
-    Edges collect by window (never over windows), and a fold relaxes every edge as often as the window has edges at most."""
-    import pandas as pd
-
-    def label(part: pd.DataFrame) -> pd.DataFrame:
-        parent: dict[int, int] = {}
-
-        def root(v: int) -> int:
-            while parent.setdefault(v, v) != v:
-                parent[v] = parent[parent[v]]
-                v = parent[v]
-            return v
-
-        for a, b in zip(part["src"], part["dst"]):
-            x, y = sorted((root(a), root(b)))
-            parent[y] = x
-        seqs = list(parent)
-        return pd.DataFrame({"seq": seqs, "cluster": [root(v) for v in seqs]})
-
-    labelled = edges.groupBy("win").applyInPandas(label, "seq long, cluster long")
+    """seq, cluster: the least seq of each row's component. A window may hold any share of the rows: its edges are spread by their ends, never gathered."""
+    labelled = components(edges.select(F.col("src").alias("u"), F.col("dst").alias("v"))).withColumnsRenamed({"u": "seq", "label": "cluster"})
     return rows.join(labelled, "seq", "left").withColumn("cluster", F.coalesce("cluster", "seq"))
 
 

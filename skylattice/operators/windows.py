@@ -70,9 +70,14 @@ def split_by_time(rows: DataFrame, bounds_percent: tuple[int, int]) -> DataFrame
 
 
 def split_by_id(ids: DataFrame, key: str, percent: int, seed: int = 42) -> DataFrame:
-    """A share of the distinct ids by a hash order, the same at any partitioning."""
+    """A share of the distinct ids by a hash order, the same at any partitioning. No task ranks all ids: hashes are counted in bins of
+    65,536 values, and each bin is ranked by itself after those before it."""
     hashed = F.pmod((F.col(key) + seed) * 2654435761, F.lit(4294967291))
     distinct = ids.select(key).distinct().withColumn("h", hashed)
-    n = distinct.agg(F.count("*").alias("n"))
-    ranked = distinct.withColumn("rank", F.row_number().over(Window.orderBy("h", key))).crossJoin(F.broadcast(n))
+    binned = distinct.withColumn("bin", F.coalesce(F.floor(F.col("h") / 65536), F.lit(-1)))
+    counts = binned.groupBy("bin").agg(F.count("*").alias("in_bin"))
+    before = counts.withColumn("before", F.coalesce(F.sum("in_bin").over(Window.orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    n = counts.agg(F.sum("in_bin").alias("n"))
+    rank = F.col("before") + F.row_number().over(Window.partitionBy("bin").orderBy("h", key))
+    ranked = binned.join(before, "bin").withColumn("rank", rank).crossJoin(F.broadcast(n))
     return ranked.select(key, (F.col("rank") <= F.floor(F.col("n") * percent / 100)).alias("train"))

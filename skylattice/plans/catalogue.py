@@ -181,7 +181,7 @@ def radius_or_knn_edges(spark, sf):
 
 def clustered(spark, sf) -> DataFrame:
     h = hours(spark, sf)
-    edges = pairs.gated(h).select(F.col("a.win").alias("win"), F.col("a.seq").alias("src"), F.col("b.seq").alias("dst"))
+    edges = pairs.gated_by_grid(h).select(F.col("a.win").alias("win"), F.col("a.seq").alias("src"), F.col("b.seq").alias("dst"))
     return pairs.window_components(h, edges)
 
 

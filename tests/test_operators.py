@@ -181,3 +181,30 @@ def test_generators_do_not_depend_on_partitioning(spark):
     again = generate.detections(flights.repartition(7), generate.sites(spark))
     assert 0 < seen.count() < 1000 and sorted(seen.collect()) == sorted(again.collect())
     assert generate.false_alarms(spark, 5, 3).count() == 15
+
+
+def test_window_components_gather_no_window(spark):
+    # One hot window, a chain: labels must cross all of it, and no task may be given the window's edges.
+    df = spark.createDataFrame([(0, i) for i in range(300)], "win long, seq long")
+    edges = spark.createDataFrame([(0, i + 1, i) for i in range(299) if i != 150], "win long, src long, dst long")
+    got = pairs.window_components(df, edges)
+    assert {r.seq: r.cluster for r in got.collect()} == {i: 0 if i <= 150 else 151 for i in range(300)}
+    assert "Pandas" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_frames_beyond_the_bound_are_refused(spark, monkeypatch):
+    p, g = frame(spark, [(0, i, 1.0 * i, 0.0, 0.0) for i in range(3)]), frame(spark, [(0, i, 1.0 * i, 0.0, 0.0) for i in range(4)])
+    assert assignment.match_frames(p, g).count() == 3
+    monkeypatch.setattr(assignment, "MOST_PAIRS", 11)
+    p, g = p.limit(3), g.limit(4)
+    with pytest.raises(Exception, match="more than 11 pairs"):
+        assignment.match_frames(p, g).collect()
+
+
+def test_split_by_id_ranks_in_bins(spark):
+    ids = [None, *range(500), 3, 3]
+    got = {r.id: r.train for r in windows.split_by_id(spark.createDataFrame([(i,) for i in ids], "id long"), "id", 80).collect()}
+    order = sorted(set(ids), key=lambda i: (-1, 0) if i is None else ((i + 42) * 2654435761 % 4294967291, i))
+    assert got == {i: k < len(order) * 80 // 100 for k, i in enumerate(order)}
+    plan = windows.split_by_id(spark.range(9), "id", 80)._jdf.queryExecution().optimizedPlan().toString()
+    assert "row_number() windowspecdefinition(bin" in plan
