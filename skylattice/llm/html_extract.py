@@ -7,7 +7,9 @@ and the like, by tag, class, id or role), and whether it is a heading. A decisio
 below by Gini impurity, keeps or drops each block; the kept ones, joined by newlines, are the text.
 
 Pages are independent: one streaming map, no shuffle. The tree is grown from the fixed table wherever it is needed.
-Null and empty pages give empty texts; markup cut off at the end of a page is dropped; repeated rows repeat.
+Null and empty pages give empty texts; markup cut off at the end of a page is dropped; repeated rows repeat. Elements of
+raw text are dropped to their closing tag or the end of the page; drawings, objects, lists of choices and the like as far
+as the tags tell: a self-closed one ends at its tag, one that is never closed drops nothing. The text of formulas stays.
 """
 
 from __future__ import annotations
@@ -26,13 +28,16 @@ from pyspark.sql import types as T
 from .common import short_batches
 
 TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|math|iframe|object|textarea|select|title|canvas)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)"
+    r"<!--.*?(?:-->|\Z)|<(script|style|iframe|textarea|title)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*(?<!/)>.*?(?:</\1\s*>|\Z)"
     r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*(?:>|\Z)|</?[a-zA-Z][^<>]*(?:>|\Z)",
     re.S | re.I,
 )
 ATTRIBUTE = re.compile(r"([a-zA-Z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
 HIDDEN = re.compile(r"(?:^|\s)(?:hidden(?:\s|=|/|$)|aria-hidden\s*=\s*[\"']?true)|display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
+#: Elements of raw text, foreign ones, and those dropped with all that stands in them.
+RAW, FOREIGN = set("script style iframe textarea title".split()), {"svg", "math"}
+DROPPED = set("noscript template svg object select canvas".split())
 # Elements that begin and end blocks, void elements, furniture by tag, role and word of a class or id.
 BLOCKS = set("address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul".split())
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
@@ -46,6 +51,9 @@ WORDS = set(
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 #: An open element of the key ends at the start of one of its values.
 ENDS = {"p": BLOCKS, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "option": {"option"}}
+#: A block inside a drawing ends it, unless it stands in a part of the drawing that is made for HTML.
+ENDS["svg"] = BLOCKS
+SCOPES = BLOCKS | DROPPED | {"foreignobject"}
 FEATURES = ("words", "links", "words_before", "links_before", "words_after", "links_after", "article", "furniture", "heading")
 
 # The labelled table: the features of blocks from hand-made pages, in the order of FEATURES, then 1 if the block belongs to the article.
@@ -147,16 +155,19 @@ def is_furniture(tag: str, attributes: str, in_article: bool) -> bool:
 
 def blocks_of(html: str) -> list[Block]:
     blocks: list[Block] = []
-    open_tags: list[tuple[str, bool, bool, bool, bool]] = []  # tag, and whether in an article, furniture, heading, link
-    state = ("", False, False, False, False)
+    open_tags: list[tuple[str, bool, bool, bool, bool, bool]] = []  # tag, and whether in an article, furniture, heading, link, what is dropped
+    state = outside = ("", False, False, False, False, False)
+    last_ends: dict[str, int] = {}
     now: Block | None = None
 
     def settle() -> None:
         nonlocal state
-        state = open_tags[-1] if open_tags else ("", False, False, False, False)
+        state = open_tags[-1] if open_tags else outside
 
     def put(text: str) -> None:
         nonlocal now
+        if state[5]:
+            return
         if now is None:
             if not text.strip():
                 return
@@ -165,6 +176,11 @@ def blocks_of(html: str) -> list[Block]:
         if state[4]:
             now.linked += len(text.split())
 
+    def closed_later(tag: str) -> bool:
+        if tag not in last_ends:
+            last_ends[tag] = max((m.start() for m in re.finditer(f"</{tag}\\b", html, re.I)), default=-1)
+        return last_ends[tag] >= at
+
     def finish() -> None:
         nonlocal now
         if now is not None:
@@ -174,7 +190,7 @@ def blocks_of(html: str) -> list[Block]:
             now = None
 
     at = 0
-    for m in TOKEN.finditer(html):
+    while m := TOKEN.search(html, at):
         if m.start() > at:
             put(html[at : m.start()])
         at = m.end()
@@ -192,14 +208,22 @@ def blocks_of(html: str) -> list[Block]:
         else:
             for inner, enders in ENDS.items():
                 if tag in enders:
-                    depth = next((i for i in range(len(open_tags) - 1, -1, -1) if open_tags[i][0] == inner or (open_tags[i][0] in BLOCKS and open_tags[i][0] != inner)), -1)
+                    depth = next((i for i in range(len(open_tags) - 1, -1, -1) if open_tags[i][0] == inner or open_tags[i][0] in SCOPES), -1)
                     if depth >= 0 and open_tags[depth][0] == inner:
                         del open_tags[depth:]
                         settle()
-            if tag not in VOID and not m.group(4).endswith("/"):
-                _, article, furniture, heading, link = state
-                state = (tag, article or tag in ("article", "main"), furniture or is_furniture(tag, m.group(4), article), heading or tag in HEADINGS, link or tag == "a")
+            closed = m.group(4).endswith("/")
+            if tag in RAW and closed and not any(x[0] in FOREIGN for x in open_tags):
+                # HTML's own elements of raw text cannot be closed so.
+                end = re.compile(f"</{tag}\\s*>", re.I).search(html, at)
+                at = end.end() if end else len(html)
+                continue
+            if tag not in VOID and not closed and not (tag in DROPPED and not closed_later(tag)):
+                _, article, furniture, heading, link, dropped = state
+                state = (tag, article or tag in ("article", "main"), furniture or is_furniture(tag, m.group(4), article), heading or tag in HEADINGS, link or tag == "a", dropped or tag in DROPPED)
                 open_tags.append(state)
+        if state[5]:
+            continue
         if tag in BLOCKS:
             finish()
         elif now is not None and state[2] != now.furniture:

@@ -205,3 +205,24 @@ def test_fingerprint_of_a_constant_text_ends():
     for c in (chr(i) for i in range(1, 128)):
         fine = fingerprints.fingerprint(c * 5000).split(":")[1]
         assert 1 <= len(fine) // 2 <= fingerprints.LONGEST
+
+
+@pytest.mark.parametrize(
+    "inside, want",
+    [
+        ('<p>before it</p><svg class="x"/><p>all the rest</p>', "before it\nall the rest"),
+        ("<p>before it</p><svg/><p>between</p><svg><text>drawn</text></svg><p>all the rest</p>", "before it\nbetween\nall the rest"),
+        ("<p>so <math><mi>e</mi><mo>=</mo><mn>2</mn></math> holds</p><p>all the rest</p>", "so e=2 holds\nall the rest"),
+        ("<p>before it</p><math/><p>all the rest</p>", "before it\nall the rest"),
+        ('<p>one <svg class="ad widget"><path d="M0"/><title/><g><text>drawn</text></g></svg>two</p>', "one two"),
+        ("<p>before it</p><svg><text>drawn</text><p>all the rest</p><svg></svg>", "before it\nall the rest"),
+        ("<p>one <svg><foreignObject><p>drawn</p></foreignObject><text>drawn</text></svg>two</p>", "one two"),
+        ("<p>one <noscript><p>no script</p></noscript>two</p>", "one two"),
+        ("<p>before it</p><canvas><p>all the rest</p>", "before it\nall the rest"),
+        ("<p>before it</p><object data='x'><p>fallback</p></object><template><p>t</p></template><select><option>a<option>b</select><p>all the rest</p>", "before it\nall the rest"),
+        ("<p>before it</p><script src='x'/><p>code</p></script><textarea/>typed</textarea><p>all the rest</p>", "before it\nall the rest"),
+        ("<p>before it</p><script>var a = '<p>code</p>'", "before it"),
+    ],
+)
+def test_html_dropped_elements_end_where_their_tags_say(inside, want):
+    assert html_extract.main_text(f"<article>{inside}</article>") == want
