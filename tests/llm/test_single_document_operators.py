@@ -226,3 +226,11 @@ def test_fingerprint_of_a_constant_text_ends():
 )
 def test_html_dropped_elements_end_where_their_tags_say(inside, want):
     assert html_extract.main_text(f"<article>{inside}</article>") == want
+
+
+@pytest.mark.parametrize("n_good, n_bad", [(3000, 3000), (2706, 449), (3000, 1500), (1500, 3000), (40, 3), (3, 40), (13, 13), (1, 1)])
+def test_quality_pairs_differ(n_good, n_bad):
+    good, bad = quality.meetings(n_good, n_bad)
+    assert len(good) == max(quality.PAIRS * n_bad, n_good)
+    assert len(set(zip(good.tolist(), bad.tolist()))) == min(len(good), n_good * n_bad)
+    assert len(set(good.tolist())) == n_good and len(set(bad.tolist())) == n_bad
