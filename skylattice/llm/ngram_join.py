@@ -54,6 +54,8 @@ BATCH, REMEMBERED = 500, 200_000
 PIVOTS = ((0,), (0x2A6F0C5B37D1E948, 0x71D3B8E45A90C627, 0x15C8A27F6E3B90D4, 0x4E90D76B81F25A3C), ())
 #: Stands for a null id inside.
 NO_ID = 2**63 - 1
+#: The stage's own key of rows.
+ROW = "skylattice_row"
 LOW_TIMES, LOW_MORE = 1.5, 8
 MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 
@@ -389,9 +391,15 @@ def _components_of(docs: DataFrame, key: str, text: str, words: int, link: int)
 
 
 def representatives(docs: DataFrame) -> DataFrame:
-    """The pipeline's stage: of each component the document with the least id stays, and all that are linked with nothing."""
-    gone = staged(components_of(docs, words=STAGE_WORDS, link=STAGE_LINK).where(F.col("component_id") != F.col("doc_id")).select("doc_id").distinct(), "copies")
-    return docs.join(few(docs.sparkSession, gone), "doc_id", "left_anti")
+    """The pipeline's stage: of each component one row stays, the one with the least id (null ids count as the largest; of rows
+    equal in id any one), and all that are linked with nothing. Rows have a key of their own: ids may repeat or be null."""
+    spark = docs.sparkSession
+    keyed = staged(docs.withColumn(ROW, F.monotonically_increasing_id()), "keyed-documents")
+    rows = components_of(keyed, ROW, words=STAGE_WORDS, link=STAGE_LINK).select(F.col("doc_id").alias(ROW), F.col("component_id").alias("component"))
+    rows = rows.join(keyed.select(ROW, F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id")), ROW)
+    groups = rows.groupBy("component").agg(F.min(F.struct("id", ROW))[ROW].alias("stays"), F.count("*").alias("n")).where("n > 1").drop("n")
+    gone = staged(rows.join(few(spark, staged(groups, "groups")), "component").where(F.col(ROW) != F.col("stays")).select(ROW), "copies")
+    return keyed.join(few(spark, gone), ROW, "left_anti").select(*docs.columns)
 
 
 def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

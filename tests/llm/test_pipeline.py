@@ -88,3 +88,13 @@ def test_links_by_words_and_percent(spark, words, link, monkeypatch):
 def test_links_that_the_prefixes_do_not_hold_for_are_refused(spark):
     with pytest.raises(ValueError):
         ngram_join.components_of(spark.createDataFrame([], "doc_id long, text string"), link=50)
+
+
+def test_near_duplicate_stage_with_repeated_and_null_ids(spark):
+    a, b, c = "a b c d e f g", "h i j k l m n", "o p q r s t u"
+    # Rows that repeat, a copy without an id, a component of null ids only, one id in two components, texts without words.
+    rows = [(4, a), (4, a), (9, a), (None, a), (None, b), (None, b), (4, c), (7, c), (7, c), (1, ""), (1, ""), (None, None)]
+    stage = dict(corpus_pipeline.STAGES)["ngram_join"]
+    got = stage(spark, spark.createDataFrame(rows, "doc_id long, text string"), "")
+    assert got.columns == ["doc_id", "text"]
+    assert sorted((r.doc_id or 0, r.text or "") for r in got.collect()) == sorted([(4, a), (0, b), (4, c), (1, ""), (1, ""), (0, "")])
