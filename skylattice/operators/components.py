@@ -5,31 +5,37 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .staging import staged
+from .staging import Scratch, lookup, staged
 
 
-def _star(edges: DataFrame, large: bool) -> DataFrame:
-    """edges (u, v): every u sends its larger (large) or not larger neighbours to the least of its neighbourhood."""
+def _star(keep: Scratch, edges: DataFrame, large: bool) -> DataFrame:
+    """edges (u, v): every u sends its larger (large) or not larger neighbours to the least of its neighbourhood.
+
+    The hub of a giant component is one key of the join: lookup() sends the largest hubs' least neighbours to all tasks."""
     both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     near = both if large else both.where(F.col("v") < F.col("u"))
-    least = near.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("m", "u"))
-    joined = near.join(least, "u")
+    least = keep.table(near.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("m", "u")), "least")
+    joined = lookup(near, least, ["u"])
     if large:
         out = joined.where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:
         out = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
-    return out.where(F.col("u") != F.col("v")).distinct()
+    return keep.table(out.where(F.col("u") != F.col("v")).distinct(), "edges")
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(u, label) of every vertex that has an edge to a smaller one: label is the least vertex of its component.
 
     Each step is an aggregation and a join; what changes between steps is told by a count and a checksum."""
-    now = staged(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where(F.col("u") != F.col("v")).distinct(), "edges")
+    keep = Scratch(edges.sparkSession)
+    now = keep.table(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where(F.col("u") != F.col("v")).distinct(), "edges")
     mark = None
     while True:
         got = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if got == mark or got[0] == 0:
-            return now.select("u", F.col("v").alias("label"))
+            break
         mark = got
-        now = staged(_star(_star(now, True), False), "edges")
+        now = _star(keep, _star(keep, now, True), False)
+    labels = staged(now.select("u", F.col("v").alias("label")), "labels")
+    keep.clear()
+    return labels

@@ -1,4 +1,4 @@
-"""Tables that are written to the shared folder and read back."""
+"""Tables that are written to the shared folder and read back, and joins whose keys may be hot."""
 
 from __future__ import annotations
 
@@ -6,6 +6,10 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: The most frequent keys of a lookup, which go by broadcast: what is left has at most 1/257 of the rows to a key.
+HOTTEST = 256
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -28,3 +32,45 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     path = fresh_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+class Scratch:
+    """Staged tables of one operator, deleted once what was made of them is written itself."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+        self.paths: dict[int, str] = {}
+        self.tables: dict[int, DataFrame] = {}
+
+    def table(self, df: DataFrame, name: str) -> DataFrame:
+        path = fresh_path(self.spark, name)
+        df.write.parquet(path)
+        back = self.spark.read.schema(df.schema).parquet(path)
+        self.paths[id(back)], self.tables[id(back)] = path, back
+        return back
+
+    def drop(self, *tables: DataFrame) -> None:
+        """Only for tables that no unwritten DataFrame reads."""
+        for t in tables:
+            self.tables.pop(id(t), None)
+            if path := self.paths.pop(id(t), None):
+                delete(self.spark, path)
+
+    def clear(self) -> None:
+        self.drop(*list(self.tables.values()))
+
+
+def lookup(rows: DataFrame, small: DataFrame, keys: list[str], how: str = "inner", counts: DataFrame | None = None) -> DataFrame:
+    """rows joined (inner or left) with small, which has few rows to a key, where a key may hold any share of rows.
+
+    The HOTTEST most frequent keys of rows, a fixed number at every size, meet small by broadcast; all others by a shuffled
+    join. Keys are not null. rows is read three times: give a written table. counts: of the keys that small has, as n, where known."""
+    counts = rows.groupBy(*keys).agg(F.count("*").alias("n")) if counts is None else counts
+    top = F.broadcast(counts.orderBy(F.desc("n"), *keys).limit(HOTTEST).select(*keys))
+    hot = rows.join(top, keys, "left_semi").join(F.broadcast(small.join(top, keys, "left_semi")), keys, how)
+    return hot.unionByName(rows.join(top, keys, "left_anti").join(small.hint("merge"), keys, how))
