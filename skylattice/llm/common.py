@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skylattice.operators.staging import fresh_path, shared_dir, staged  # noqa: F401
+from skylattice.operators.staging import Scratch, fresh_path, lookup, shared_dir, staged  # noqa: F401
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,6 +22,14 @@ def without(df: DataFrame, *names: str) -> DataFrame:
     return df.drop(*[c for c in df.columns if c in names])
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """name, or as many underscores before it as keep it apart from df's columns, whatever their case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def whole_text(column: str = "text") -> Column:
     """Null texts count as empty ones."""
     return F.coalesce(F.col(column), F.lit(""))
@@ -47,3 +57,33 @@ def short_batches(spark: SparkSession) -> None:
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(name)) <= TEXT_ROWS:
         spark.conf.set(name, str(TEXT_ROWS))
+
+
+#: Bits of a sieve, 16 MB, at any size of the input.
+SIEVE_BITS = 27
+
+
+def sieve(keys: DataFrame) -> Callable[..., Column]:
+    """A Bloom filter of the rows of keys: a function of columns that is true for all these rows and for few others.
+
+    It keeps rows that have no partner from being shuffled to a join. Its size is fixed; the fuller it is, the more rows pass
+    in vain, from one in a thousand at two million keys to all at billions: the join's result never depends on it."""
+    spark = keys.sparkSession
+    low = (1 << SIEVE_BITS) - 1
+    places = lambda h: F.array(h.bitwiseAND(F.lit(low)), F.shiftrightunsigned(h, SIEVE_BITS).bitwiseAND(F.lit(low)))
+    bits = keys.select(F.explode(places(F.xxhash64(*keys.columns))).alias("p"))
+    words = bits.groupBy(F.shiftright("p", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p & 63 as int))")).alias("b")).toArrow()
+    table = np.zeros(1 << (SIEVE_BITS - 6), np.int64)
+    table[words.column(0).to_numpy()] = words.column(1).to_numpy()
+    shared = spark.sparkContext.broadcast(table)
+
+    @F.pandas_udf("boolean")
+    def maybe(h: pd.Series) -> pd.Series:
+        x, held = h.to_numpy().view(np.uint64), shared.value.view(np.uint64)
+        found = np.ones(len(x), bool)
+        for shift in (0, SIEVE_BITS):
+            p = (x >> np.uint64(shift)) & np.uint64(low)
+            found &= (held[p >> np.uint64(6)] >> (p & np.uint64(63))) & np.uint64(1) == 1
+        return pd.Series(found)
+
+    return lambda *columns: maybe(F.xxhash64(*columns))

@@ -14,11 +14,15 @@ Frequent tokens are those found often by counts over all documents (each task re
 its documents); which tokens are in the class only decides the order, never which links are found, so the class may be
 limited to the HOT_MOST most frequent and broadcast.
 
-Equal sets are one vertex. To not make all pairs of a group of near copies, signature lists first link each vertex to
-a pivot or two of the list, and vertices that are already in one component are not compared again; what is left
-are lists that still hold several components: short ones make their pairs, long ones are cut into tiles whose sets meet
-as matrices, so that only links come out. Links within a component need not be found, links between
-components all are. Texts are read again only for sets that must be seen whole; their ids are broadcast up to FEW.
+Equal sets are one vertex, and signatures with equal lists of vertices one list with a weight: near copies share many. To
+not make all pairs of a group of near copies, lists first link each vertex to a pivot or two of the list, and vertices that
+are already in one component are not compared again; what is left are lists that still hold several components: short ones
+make their pairs, long ones are cut into tiles whose sets meet as matrices, so that only links come out. Links within a
+component need not be found, links between components all are.
+
+Texts are read twice, to find the frequent class and to sign the sets, and once more for the sets that may have a link: these
+are told apart by a Bloom filter of fixed size and only they are shuffled. Joins are shuffled at every size, nothing waits for
+a count of rows; hot keys go through lookup() or are dealt to blocks. Staged tables are deleted as soon as they have been read.
 
 Null and empty texts have no shingles and are linked with nothing; equal ids are separate documents; null ids stay null
 and count as the largest; extra columns are ignored.
@@ -27,7 +31,7 @@ and count as the largest; extra columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +39,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, staged, whole_text
+from .common import Scratch, arrow_rows, free_name, lookup, sieve, staged, whole_text
 from .components import components
 
 WORDS, LINK = 4, 85
@@ -45,18 +49,18 @@ STAGE_WORDS, STAGE_LINK = 5, 80
 HOT, HOT_IN_CHUNK, HOT_MOST, CHUNK = 40, 3, 1_000_000, 2_000_000
 #: Sets of up to so many tokens index pairs of frequent tokens; those above (less what a link allows) index them singly.
 PAIR_SETS = 100
-FEW = 2_000_000
 #: Lists of more sets are compared tile by tile.
 TILE = 128
-#: Rows of an Arrow batch, and words whose hashes a worker remembers.
-BATCH, REMEMBERED = 500, 200_000
+#: Rows of an Arrow batch, words whose hashes a worker remembers, and digests of texts or sets that a task remembers.
+BATCH, REMEMBERED, SEEN = 500, 200_000, 500_000
+#: Partners of a pivot that one task streams behind its text.
+BLOCK = 512
 #: Each round's turns, by which lists choose pivots; the last round, without any, makes all pairs between components that are left.
 PIVOTS = ((0,), (0x2A6F0C5B37D1E948, 0x71D3B8E45A90C627, 0x15C8A27F6E3B90D4, 0x4E90D76B81F25A3C), ())
 #: Stands for a null id inside.
 NO_ID = 2**63 - 1
 #: The stage's own key of rows.
 ROW = "skylattice_row"
-LOW_TIMES, LOW_MORE = 1.5, 8
 MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 
 
@@ -80,9 +84,68 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def shingle_set(text: str, size: int = WORDS) -> np.ndarray:
+def shingle_set(text: bytes, size: int = WORDS) -> np.ndarray:
     """Sorted distinct hashes of a text's shingles: ASCII lower case, words split at ASCII white space."""
-    words = text.encode().lower().split()
+    words = text.lower().split()
+    if not words:
+        return np.empty(0, np.int64)
+    if len(words) < size:
+        return np.array([xxhash.xxh3_64_intdigest(b"\n".join(words), seed=len(words))], np.uint64).view(np.int64)
+    h = np.fromiter(map(word_hashes().__getitem__, words), np.uint64, len(words))
+    x = np.zeros(len(words) - size + 1, np.uint64)
+    for i in range(size):
+        x = mixed(x + MIX[0]) ^ h[i : len(h) - size + 1 + i] if i else h[: len(x)].copy()
+    return np.unique(mixed(x).view(np.int64))
+
+
+def missing(n: int, link: int = LINK) -> int:
+    """The most tokens of a set of n that a linked set can lack."""
+    return n - -(-link * n // 100)
+
+
+def extra(n: int) -> int:
+    return -(-n // 20) + 2
+
+
+SETS = 100
+#: Lists of more sets are compared tile by tile.
+TILE = 128
+#: Rows of an Arrow batch, words whose hashes a worker remembers, and digests of texts or sets that a task remembers.
+BATCH, REMEMBERED, SEEN = 500, 200_000, 500_000
+#: Partners of a pivot that one task streams behind its text.
+BLOCK = 512
+#: Each round's turns, by which lists choose pivots; the last round, without any, makes all pairs between components that are left.
+PIVOTS = ((0,), (0x2A6F0C5B37D1E948, 0x71D3B8E45A90C627, 0x15C8A27F6E3B90D4, 0x4E90D76B81F25A3C), ())
+#: Stands for a null id inside.
+NO_ID = 2**63 - 1
+#: The stage's own key of rows.
+ROW = "skylattice_row"
+MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
+
+
+class _Hashes(dict):
+    def __missing__(self, word: bytes) -> int:
+        h = xxhash.xxh3_64_intdigest(word)
+        if len(self) >= REMEMBERED:
+            self.clear()
+        self[word] = h
+        return h
+
+
+@lru_cache(maxsize=1)
+def word_hashes() -> _Hashes:
+    return _Hashes()
+
+
+def mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * MIX[1]
+    x = (x ^ (x >> np.uint64(27))) * MIX[2]
+    return x ^ (x >> np.uint64(31))
+
+
+def shingle_set(text: bytes, size: int = WORDS) -> np.ndarray:
+    """Sorted distinct hashes of a text's shingles: ASCII lower case, words split at ASCII white space."""
+    words = text.lower().split()
     if not words:
         return np.empty(0, np.int64)
     if len(words) < size:
@@ -108,149 +171,127 @@ def low_part(tokens: np.ndarray, link: int = LINK) -> np.ndarray:
     return tokens[: int(LOW_TIMES * (105 - link) / 100 * len(tokens)) + LOW_MORE]
 
 
-SETS = "doc_id long, n int, hi long, lo long, low array<long>, hot array<long>, hot_n array<int>"
+SETS = "doc_id long, mark long, n int, hi long, lo long, kept boolean, singles array<long>, pairs array<long>"
 
 
-def arrays(parts: list[np.ndarray], kind=None) -> pa.ListArray:
+def arrays(parts: list[np.ndarray]) -> pa.ListArray:
     offsets = np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int32)
-    flat = np.concatenate(parts) if parts else np.empty(0, np.int64)
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat.astype(np.int32) if kind else flat))
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(parts) if parts else np.empty(0, np.int64)))
 
 
-def to_sets(rows: DataFrame, words: int, link: int) -> DataFrame:
-    """(doc_id, text) -> sizes, 128-bit names and low parts of the sets. A set that a task has met before has no low part. Rows without a name report hot tokens."""
-    names = [f.split()[0] for f in SETS.split(", ")]
+class _Seen(set):
+    """What a task has met, up to SEEN things; then it starts anew."""
+
+    def first(self, x: bytes) -> bool:
+        if x in self:
+            return False
+        if len(self) >= SEEN:
+            self.clear()
+        self.add(x)
+        return True
 
-    def report(chunk: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        tokens, counts = np.unique(np.concatenate(chunk), return_counts=True) if chunk else (np.empty(0, np.int64), np.empty(0, np.int64))
-        often = counts >= HOT_IN_CHUNK
-        return tokens[often], counts[often]
+
+def frequent_tokens(rows: DataFrame, words: int) -> np.ndarray:
+    """The frequent class, sorted: tasks report the tokens that stand in HOT_IN_CHUNK documents of a chunk or more, and those
+    reported HOT times in all are frequent, the HOT_MOST most frequent ones at most. Texts that a task has met before do not count."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[bytes] = set()
-        chunk: list[np.ndarray] = []
-        held = 0
-        none = np.empty(0, np.int64)
+        seen, chunk, held = _Seen(), [], 0
 
-        def batch_of(rows: list[tuple]) -> pa.RecordBatch:
-            ids, ns, digests, lows, hots, counts = zip(*rows)
-            name = np.frombuffer(b"".join(digests), "<i8").reshape(-1, 2)
-            return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(ns, pa.int32()), pa.array(name[:, 0]), pa.array(name[:, 1]), arrays(list(lows)), arrays(list(hots)), arrays(list(counts), int)], names=names)
+        def report() -> pa.RecordBatch:
+            tokens, counts = np.unique(np.concatenate(chunk), return_counts=True)
+            often = counts >= HOT_IN_CHUNK
+            return pa.RecordBatch.from_arrays([pa.array(tokens[often]), pa.array(counts[often].astype(np.int64))], names=["token", "n"])
 
         for batch in batches:
-            for start in range(0, batch.num_rows, 500):
-                part, out = batch.slice(start, 500), []
-                for doc_id, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
-                    tokens = shingle_set(text, words)
-                    digest = xxhash.xxh3_128_digest(tokens.tobytes())
-                    low = none
-                    if len(tokens) and digest not in seen:
-                        if len(seen) >= 1_000_000:
-                            seen.clear()
-                        seen.add(digest)
-                        low = low_part(tokens, link)
-                        chunk.append(tokens)
-                        held += len(tokens)
-                    out.append((doc_id, len(tokens), digest, low, none, none))
+            for text in batch.column(0).to_pylist():
+                if text and seen.first(xxhash.xxh3_128_digest(text)):
+                    chunk.append(shingle_set(text, words))
+                    held += len(chunk[-1])
                     if held >= CHUNK:
-                        out.append((None, -1, bytes(16), none, *report(chunk)))
+                        yield report()
                         chunk, held = [], 0
-                if out:
-                    yield batch_of(out)
         if chunk:
-            yield batch_of([(None, -1, bytes(16), none, *report(chunk))])
+            yield report()
+
+    counts = rows.select("text").mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") >= HOT)
+    return np.sort(counts.orderBy(F.desc("n"), "token").limit(HOT_MOST).select("token").toArrow().column(0).to_numpy())
+
+
+def to_sets(rows: DataFrame, words: int, link: int, hot) -> DataFrame:
+    """(doc_id, text, mark) -> sizes, 128-bit names and signatures of the sets. A set that a task has met before is not kept and has no signatures."""
+    names = [f.split()[0] for f in SETS.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen, none, frequent = _Seen(), np.empty(0, np.int64), hot.value
+        for batch in batches:
+            for start in range(0, batch.num_rows, BATCH):
+                part = batch.slice(start, BATCH)
+                ns, digests, kept, singles, pairs = [], [], [], [], []
+                for text in part.column(1).to_pylist():
+                    tokens = shingle_set(text, words)
+                    digest = xxhash.xxh3_128_digest(tokens.tobytes())
+                    new = len(tokens) > 0 and seen.first(digest)
+                    one, two = signatures(tokens, frequent, link) if new else (none, none)
+                    ns.append(len(tokens)), digests.append(digest), kept.append(new), singles.append(one), pairs.append(two)
+                name = np.frombuffer(b"".join(digests), "<i8").reshape(-1, 2)
+                columns = [part.column(0), part.column(2), pa.array(ns, pa.int32()), pa.array(name[:, 0]), pa.array(name[:, 1]), pa.array(kept), arrays(singles), arrays(pairs)]
+                yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return rows.mapInArrow(run, SETS)
+    return rows.select("doc_id", "text", "mark").mapInArrow(run, SETS)
 
 
-def signatures(tokens: np.ndarray, n: int, hot: np.ndarray, whole: bool, link: int = LINK) -> tuple[np.ndarray, np.ndarray] | None:
-    """Single and pair signatures of a set; None if its known tokens do not reach, so that the whole set is needed."""
+def signatures(tokens: np.ndarray, hot: np.ndarray, link: int = LINK) -> tuple[np.ndarray, np.ndarray]:
+    """Single and pair signatures of a set: its rare tokens come first, then the frequent ones, each class by hash."""
+    n = len(tokens)
     need = missing(n, link) + 1 + extra(n)
     at = np.minimum(np.searchsorted(hot, tokens), max(0, len(hot) - 1))
-    frequent = hot[at] == tokens if len(hot) else np.zeros(len(tokens), bool)
-    rare = tokens[~frequent]
-    if len(rare) >= need:
-        return rare[:need], tokens[:0]
-    if not whole and len(tokens) < n:
-        return None
-    often = tokens[frequent][: need - len(rare)]
-    singles, pairs = rare, tokens[:0]
+    frequent = hot[at] == tokens if len(hot) else np.zeros(n, bool)
+    singles, pairs = tokens[~frequent][:need], tokens[:0]
+    often = tokens[frequent][: need - len(singles)]
     if n * link <= PAIR_SETS * 100 and n <= PAIR_SETS:
         i, j = np.triu_indices(len(often), 1)
         x = often.view(np.uint64)
         pairs = mixed(mixed(x[i] + MIX[0]) ^ x[j]).view(np.int64)
     if n * 100 >= PAIR_SETS * link or n > PAIR_SETS:
-        singles = np.concatenate([rare, often])
+        singles = np.concatenate([singles, often])
     return singles, pairs
 
 
-SIGNED = "uid long, singles array<long>, pairs array<long>, whole boolean"
-
-
-def signed(sets: DataFrame, hot, link: int) -> DataFrame:
-    """(uid, n, tokens), the low parts of sets -> their signatures; whole: false where only the whole set can tell."""
-    names = [f.split()[0] for f in SIGNED.split(", ")]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        frequent = hot.value
-        for batch in batches:
-            for start in range(0, batch.num_rows, 2000):
-                part = batch.slice(start, 2000)
-                singles, pairs, known = [], [], []
-                column = part.column(2)
-                flat, offsets = column.values.to_numpy(zero_copy_only=False), column.offsets.to_numpy()
-                for i, n in enumerate(part.column(1).to_pylist()):
-                    got = signatures(flat[offsets[i] : offsets[i + 1]], n, frequent, False, link)
-                    known.append(got is not None)
-                    s, p = got or (flat[:0], flat[:0])
-                    singles.append(s), pairs.append(p)
-                yield pa.RecordBatch.from_arrays([part.column(0), arrays(singles), arrays(pairs), pa.array(known)], names=names)
-
-    return sets.select("uid", "n", "tokens").mapInArrow(run, SIGNED)
-
-
-def few(spark: SparkSession, small: DataFrame) -> DataFrame:
-    return F.broadcast(small) if small.count() <= FEW else small
-
-
-def whole_sets(docs: DataFrame, wanted: DataFrame, words: int, link: int, hot=None) -> DataFrame:
-    """wanted (uid, doc_id, hi, lo) with their whole sets as tokens or, if frequent tokens are given, their signatures as singles and pairs."""
-    wanted = staged(wanted, "wanted-sets")
-    texts = docs.join(few(docs.sparkSession, wanted.select("doc_id").distinct()), "doc_id", "left_semi")
+def texts_of(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """wanted (uid, doc_id, mark) with their texts. Only rows that pass a sieve of the wanted keys are shuffled."""
+    found = rows.where(sieve(wanted.select("doc_id", "mark"))("doc_id", "mark")).dropDuplicates(["doc_id", "mark"])
+    return found.join(wanted.select("uid", "doc_id", "mark").hint("merge"), ["doc_id", "mark"]).select("uid", "text")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for start in range(0, batch.num_rows, 500):
-                part = batch.slice(start, 500)
-                sets = [shingle_set(t, words) for t in part.column(1).to_pylist()]
-                name = np.frombuffer(b"".join(xxhash.xxh3_128_digest(s.tobytes()) for s in sets), "<i8").reshape(-1, 2)
-                found = [sets] if hot is None else list(zip(*(signatures(s, len(s), hot.value, True, link) for s in sets)))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(name[:, 0]), pa.array(name[:, 1]), *(arrays(list(x)) for x in found)], names=["doc_id", "hi", "lo", *out])
-
-    out = ["tokens"] if hot is None else ["singles", "pairs"]
-    sets = texts.mapInArrow(run, "doc_id long, hi long, lo long, " + ", ".join(f"{c} array<long>" for c in out))
-    # Rows equal in id and text give a set twice; neither lists nor links mind.
-    return sets.join(few(docs.sparkSession, wanted), ["doc_id", "hi", "lo"])
 
-
-def verified(docs: DataFrame, pairs: DataFrame, vertices: DataFrame, words: int, link: int) -> DataFrame:
-    """The pairs (u, v) whose whole sets link."""
-    pairs = staged(pairs, "candidates")
-    ids = pairs.select(F.col("u").alias("uid")).unionByName(pairs.select(F.col("v").alias("uid"))).distinct()
-    sets = staged(whole_sets(docs, vertices.join(ids, "uid", "left_semi").select("uid", "doc_id", "hi", "lo"), words, link).select("uid", "tokens"), "whole-sets")
+def verified(keep: Scratch, texts: DataFrame, pairs: DataFrame, words: int, link: int) -> DataFrame:
+    """The pairs (u, v) whose whole sets link. The partners u of a pivot v are dealt to blocks of BLOCK, so that a pivot with any
+    share of all pairs is no single task; each block streams behind its pivot's text."""
+    pairs = keep.table(pairs, "candidates")
+    pivots = keep.table(pairs.groupBy("v").agg(F.ceil(F.count("*") / BLOCK).alias("blocks")), "pivots")
+    of = lambda name: texts.withColumnRenamed("uid", name).hint("merge")
+    dealt = lookup(pairs, pivots, ["v"]).select("u", "v", F.pmod(F.xxhash64("u"), "blocks").alias("block"))
+    own = dealt.join(of("u"), "u").select("v", "block", "u", "text")
+    heads = pivots.join(of("v"), "v").select("v", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), F.lit(None).cast("long").alias("u"), "text")
+    both = heads.unionByName(own).repartition("v", "block").sortWithinPartitions("v", "block", F.asc_nulls_first("u"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pivot = np.empty(0, np.int64)
         for batch in batches:
             us, vs = [], []
-            for i in range(batch.num_rows):
-                a, b = (batch.column(c)[i].values.to_numpy(zero_copy_only=False) for c in (2, 3))
-                both = len(np.intersect1d(a, b, assume_unique=True))
-                if 100 * both >= link * (len(a) + len(b) - both):
-                    us.append(batch.column(0)[i].as_py()), vs.append(batch.column(1)[i].as_py())
+            for v, u, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+                tokens = shingle_set(text.as_py(), words)
+                if u is None:
+                    pivot = tokens
+                    continue
+                shared = len(np.intersect1d(pivot, tokens, assume_unique=True))
+                if 100 * shared >= link * (len(pivot) + len(tokens) - shared):
+                    us.append(u), vs.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], names=["u", "v"])
 
-    met = pairs.join(sets.withColumnsRenamed({"uid": "u", "tokens": "a"}), "u").join(sets.withColumnsRenamed({"uid": "v", "tokens": "b"}), "v")
-    return staged(met.select("u", "v", "a", "b").mapInArrow(run, "u long, v long"), "links")
+    links = keep.table(both.select("v", "u", "text").mapInArrow(run, "u long, v long"), "links")
+    keep.drop(pairs, pivots)
+    return links
 
 
 def overlaps(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
@@ -275,17 +316,21 @@ def overlaps(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def tile_links(docs: DataFrame, long: DataFrame, vertices: DataFrame, words: int, link: int) -> DataFrame:
+def tile_links(keep: Scratch, texts: DataFrame, long: DataFrame, words: int, link: int) -> DataFrame:
     """Links between components within long lists, without making their pairs: a list is dealt to tiles of about TILE sets,
     two tiles meet in a task as matrices, and only the links leave it."""
-    ids = long.select(F.col("u").alias("uid")).distinct()
-    sets = staged(whole_sets(docs, vertices.join(ids, "uid", "left_semi").select("uid", "doc_id", "hi", "lo"), words, link).select(F.col("uid").alias("u"), "tokens"), "tile-sets")
+
+    def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), arrays([shingle_set(t.as_py(), words) for t in batch.column(1)])], names=["u", "tokens"])
+
+    sets = texts.withColumnRenamed("uid", "u").join(long.select("u").distinct().hint("merge"), "u").select("u", "text").mapInArrow(shingled, "u long, tokens array<long>")
     tiles = long.withColumn("tile", F.pmod(F.xxhash64("u"), F.ceil(F.col("k") / TILE)).cast("int"))
-    tiles = tiles.join(sets, "u").groupBy("sig", "one", "tile").agg(F.collect_list(F.struct("u", "label", "tokens")).alias("sets"))
-    tiles = staged(tiles, "tiles")
+    tiles = tiles.join(sets.hint("merge"), "u").groupBy("sig", "one", "tile").agg(F.collect_list(F.struct("u", "label", "tokens")).alias("sets"))
+    tiles = keep.table(tiles, "tiles")
     index = tiles.select("sig", "one", "tile")
-    meets = index.join(index.withColumnRenamed("tile", "other"), ["sig", "one"]).where("tile <= other")
-    met = meets.join(tiles, ["sig", "one", "tile"]).join(tiles.select("sig", "one", F.col("tile").alias("other"), F.col("sets").alias("others")), ["sig", "one", "other"])
+    meets = index.join(index.withColumnRenamed("tile", "other").hint("merge"), ["sig", "one"]).where("tile <= other")
+    met = meets.join(tiles.hint("merge"), ["sig", "one", "tile"]).join(tiles.select("sig", "one", F.col("tile").alias("other"), F.col("sets").alias("others")).hint("merge"), ["sig", "one", "other"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -302,7 +347,9 @@ def tile_links(docs: DataFrame, long: DataFrame, vertices: DataFrame, words: int
                 x, y = np.nonzero((100 * both >= link * joined) & (own[:, None] != other[None, :]))
                 yield pa.RecordBatch.from_arrays([pa.array(u[x]), pa.array(v[y])], names=["u", "v"])
 
-    return staged(met.select("sets", "others").mapInArrow(run, "u long, v long").distinct(), "tile-links")
+    links = keep.table(met.select("sets", "others").mapInArrow(run, "u long, v long").distinct(), "tile-links")
+    keep.drop(tiles)
+    return links
 
 
 def components_of(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS, link: int = LINK) -> DataFrame:
@@ -316,90 +363,102 @@ def components_of(docs: DataFrame, key: str = "doc_id", text: str = "text", word
 
 def _components_of(docs: DataFrame, key: str, text: str, words: int, link: int) -> DataFrame:
     spark = docs.sparkSession
-    rows = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(NO_ID)).alias("doc_id"), whole_text(text).alias("text"))
-    sets = staged(to_sets(rows, words, link).withColumn("uid", F.monotonically_increasing_id()), "sets")
-    reports = sets.where("n < 0").select(F.explode(F.arrays_zip("hot", "hot_n")).alias("x")).groupBy("x.hot").agg(F.sum("x.hot_n").alias("n")).where(F.col("n") >= HOT)
-    hottest = reports.orderBy(F.desc("n"), "hot").limit(HOT_MOST).select("hot").toArrow().column(0).to_numpy()
-    hot = spark.sparkContext.broadcast(np.sort(hottest.astype(np.int64)))
-
-    # Equal sets are one vertex, named by the least uid.
-    named = sets.where("n > 0").select("uid", "doc_id", "n", "hi", "lo", (F.size("low") > 0).alias("kept"))
-    vertex = named.groupBy("hi", "lo").agg(F.min("uid").alias("rep"))
-    members = staged(named.join(vertex, ["hi", "lo"]), "members")
-    vertices = members.where(F.col("uid") == F.col("rep")).select("uid", "doc_id", "n", "hi", "lo")
-
-    # What other tasks have met too is left out: only the vertices themselves are indexed.
-    again = members.where(F.col("kept") & (F.col("uid") != F.col("rep"))).select("uid")
-    low = sets.where(F.size("low") > 0).join(few(spark, again), "uid", "left_anti").select("uid", "n", F.col("low").alias("tokens"))
-    own = staged(signed(low, hot, link), "signatures")
-    short = vertices.join(few(spark, own.where(~F.col("whole")).select("uid")), "uid")
-    more = staged(whole_sets(rows, short, words, link, hot).select("uid", "singles", "pairs"), "whole-signatures")
-    every = own.where("whole").select("uid", "singles", "pairs").unionByName(more)
-    marks = every.select(F.col("uid").alias("u"), F.explode("singles").alias("sig"), F.lit(1).alias("one")).unionByName(every.select(F.col("uid").alias("u"), F.explode("pairs").alias("sig"), F.lit(0).alias("one")))
+    keep = Scratch(spark)
+    given = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(NO_ID)).alias("doc_id"), whole_text(text).cast("binary").alias("text"))
+    rows = given.withColumn("mark", F.xxhash64("text"))
+    hot = spark.sparkContext.broadcast(frequent_tokens(given, words))
+    sets = keep.table(to_sets(rows, words, link, hot).withColumn("uid", F.monotonically_increasing_id()), "sets")
+
+    # Equal sets are one vertex, named by the least uid. Any of its documents' texts serves; that of the least uid is taken.
+    # Sets without tokens are linked with nothing.
+    empty = keep.table(sets.where("n = 0").select("doc_id", F.lit(0).cast("long").alias("n_shingles"), F.col("doc_id").alias("component_id")), "empty-sets")
+    named = keep.table(sets.where("n > 0").select("uid", "doc_id", "mark", "n", "hi", "lo", "kept"), "named-sets")
+    vertices = keep.table(named.groupBy("hi", "lo").agg(F.min("uid").alias("rep"), F.min("doc_id").alias("least")), "vertices")
+
+    # Signatures that several sets have. What several tasks have met is named by its vertex.
+    marks = sets.select(F.col("uid").alias("u"), F.explode("singles").alias("sig"), F.lit(1).alias("one")).unionByName(sets.select(F.col("uid").alias("u"), F.explode("pairs").alias("sig"), F.lit(0).alias("one")))
     marks = marks.repartition("sig", "one")
-    shared = marks.groupBy("sig", "one").agg(F.count("*").alias("k")).where(F.col("k") > 1).select("sig", "one")
-    lists = staged(marks.join(shared.hint("shuffle_hash"), ["sig", "one"]), "shared-signatures")
+    shared = marks.groupBy("sig", "one").agg(F.min("u").alias("a"), F.max("u").alias("b")).where("a < b").select("sig", "one")
+    lists = keep.table(marks.join(shared.hint("shuffle_hash"), ["sig", "one"]), "shared-signatures")
+    again = lookup(named.where("kept"), vertices, ["hi", "lo"]).where("uid <> rep").select(F.col("uid").alias("u"), "rep")
+    lists, raw = keep.table(lists.join(again.hint("merge"), "u", "left").select("sig", "one", F.coalesce("rep", "u").alias("u")).repartition("sig", "one").distinct(), "lists"), lists
+    keep.drop(raw, sets)
+
+    # Signatures with the same list are one list, which counts as often: copies share many.
+    whose = [F.bit_xor(F.xxhash64("u", F.lit(i))).alias(f"h{i}") for i in (1, 2)]
+    kinds = lists.groupBy("sig", "one").agg(F.count("*").alias("k"), *whose).where("k > 1")
+    kinds = kinds.groupBy("k", "h1", "h2").agg(F.min(F.struct("sig", "one")).alias("s"), F.sum("one").alias("ones"), F.sum(1 - F.col("one")).alias("twos")).select("s.sig", "s.one", "ones", "twos")
+    lists, raw = keep.table(lists.join(kinds.hint("merge"), ["sig", "one"]), "kinds-of-lists"), lists
+    keep.drop(raw)
+
     # Pairs of shared frequent tokens tell how many are shared: p pairs of s tokens, p = s (s - 1) / 2; without any, one may be.
     told = F.col("ones") + F.when(F.col("twos") > 0, (1 + F.sqrt(1 + 8 * F.col("twos"))) / 2).otherwise(1)
     # A vertex that shares too little with all others together can drop out.
-    enough = lists.groupBy("u").agg(F.sum("one").alias("ones"), F.sum(1 - F.col("one")).alias("twos")).join(vertices.select(F.col("uid").alias("u"), "n"), "u").where(told >= F.ceil(F.col("n") / 20) + 3 - 1e-9)
-    lists = staged(lists.join(few(spark, staged(enough.select("u", "n"), "sharing-vertices")), "u").select("sig", "one", "u", "n"), "signature-lists")
-
-    size = vertices.select(F.col("uid").alias("u"), "n")
-    near = lambda a, b: (F.col(a) * 100 >= F.col(b) * link) & (F.col(b) * 100 >= F.col(a) * link)
+    both = lists.groupBy("u").agg(F.sum("ones").alias("ones"), F.sum("twos").alias("twos"))
+    enough = both.join(named.withColumnRenamed("uid", "u").hint("merge"), "u").where(told >= F.ceil(F.col("n") / 20) + 3 - 1e-9)
+    enough = keep.table(enough.select("u", "n", "doc_id", "mark"), "sharing-vertices")
+    texts = keep.table(texts_of(rows, enough.withColumnRenamed("u", "uid")), "texts")
+    lists, raw = keep.table(lists.join(enough.select("u", "n").hint("merge"), "u"), "signature-lists"), lists
+    keep.drop(raw)
+
+    near = (F.col("n") * 100 >= F.col("m") * link) & (F.col("m") * 100 >= F.col("n") * link)
     least_extra = F.ceil(F.least("n", "m") / 20) + 2
 
-    links, labels = None, None
+    links, labels = [], None
     for turns in PIVOTS:
-        now = lists.withColumn("label", F.col("u")) if labels is None else lists.join(few(spark, labels), "u", "left").withColumn("label", F.coalesce("label", "u"))
+        now = lists.withColumn("label", F.col("u")) if labels is None else lists.join(labels.hint("merge"), "u", "left").withColumn("label", F.coalesce("label", "u"))
+        now = keep.table(now, "labelled-lists")
         # The nearest to each turn by exclusive or: one vertex of each list, the same one in all lists that hold it and its like.
-        nearest = [F.min(F.col("u").bitwiseXOR(F.lit(t))).bitwiseXOR(F.lit(t)).alias(f"p{i}") for i, t in enumerate(turns)]
-        several = now.groupBy("sig", "one").agg(F.min("label").alias("a"), F.max("label").alias("b"), *nearest).where("a < b")
+        nearest = [F.min_by(F.struct(F.col("u").alias("v"), F.col("n").alias("m"), F.col("label").alias("other")), F.col("u").bitwiseXOR(F.lit(t))).alias(f"p{i}") for i, t in enumerate(turns)]
+        several = now.groupBy("sig", "one").agg(F.count("*").alias("k"), F.min("label").alias("a"), F.max("label").alias("b"), *nearest).where("a < b").drop("a", "b")
         if turns:
             # Pivots only save work; a pair needs half of what a link would share to be looked at here.
-            several = several.select("sig", "one", F.explode(F.array_distinct(F.array(*[f"p{i}" for i in range(len(turns))]))).alias("v"))
-            others = size.withColumnsRenamed({"u": "v", "n": "m"})
-            others = others.withColumn("other", F.col("v")) if labels is None else others.join(few(spark, labels.withColumnsRenamed({"u": "v", "label": "other"})), "v", "left").withColumn("other", F.coalesce("other", "v"))
-            met = now.join(several, ["sig", "one"]).where("u <> v").join(others, "v").where((F.col("label") != F.col("other")) & near("n", "m"))
+            several = several.select("sig", "one", F.explode(F.array_distinct(F.array(*[f"p{i}" for i in range(len(turns))]))).alias("p")).select("sig", "one", "p.*")
+            met = lookup(now, keep.table(several, "pivots-of-lists"), ["sig", "one"]).where("u <> v").where((F.col("label") != F.col("other")) & near)
             met = met.withColumns({"more_ones": F.lit(0), "more_twos": F.lit(0)})
-            enough = told >= (least_extra + 1) / 2
+            share = told >= (least_extra + 1) / 2
         else:
-            now = now.join(several.select("sig", "one"), ["sig", "one"])
-            sizes = now.groupBy("sig", "one").agg(F.count("*").alias("k"))
-            now = staged(now.join(sizes, ["sig", "one"]), "mixed-lists")
+            now, raw = keep.table(lookup(now, keep.table(several, "sizes-of-lists"), ["sig", "one"]), "mixed-lists"), now
+            keep.drop(raw)
             long = now.where(F.col("k") > TILE)
-            tiled = tile_links(rows, long, vertices, words, link)
-            links = links.unionByName(tiled)
+            links.append(tile_links(keep, texts, long, words, link))
             # What a pair shares in long lists besides is at most the lesser number of them that either stands in.
-            seats = long.groupBy("u").agg(F.sum("one").alias("o"), F.sum(1 - F.col("one")).alias("t"))
-            now = now.where(F.col("k") <= TILE).drop("k").join(few(spark, staged(seats, "long-seats")), "u", "left").fillna(0, ["o", "t"])
+            seats = long.groupBy("u").agg(F.sum("ones").alias("o"), F.sum("twos").alias("t"))
+            now = now.where(F.col("k") <= TILE).drop("k").join(seats.hint("merge"), "u", "left").fillna(0, ["o", "t"])
             other = now.select("sig", "one", *[F.col(c).alias(d) for c, d in (("u", "v"), ("n", "m"), ("label", "other"), ("o", "o2"), ("t", "t2"))])
-            met = now.join(other, ["sig", "one"]).where((F.col("u") < F.col("v")) & (F.col("label") != F.col("other")) & near("n", "m"))
-            met = met.select("u", "v", "n", "m", "one", F.least("o", "o2").alias("more_ones"), F.least("t", "t2").alias("more_twos"))
-            enough = told >= least_extra + 1 - 1e-9
-        pairs = met.groupBy("u", "v", "n", "m").agg((F.sum("one") + F.max("more_ones")).alias("ones"), (F.sum(1 - F.col("one")) + F.max("more_twos")).alias("twos")).where(enough).select("u", "v")
-        new = verified(rows, pairs, vertices, words, link)
-        links = new if links is None else links.unionByName(new)
-        labels = staged(components(links), "labels")
-
-    final = members.join(labels.withColumnRenamed("u", "rep"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
-    least = final.groupBy("label").agg(F.min("doc_id").alias("component_id"))
-    linked = final.join(least, "label").select("doc_id", F.col("n").cast("long").alias("n_shingles"), "component_id")
-    every_row = linked.unionByName(sets.where("n = 0").select("doc_id", F.lit(0).cast("long").alias("n_shingles"), F.col("doc_id").alias("component_id")))
-    given = lambda c: F.when(F.col(c) != NO_ID, F.col(c)).alias(c)
-    return every_row.select(given("doc_id"), "n_shingles", given("component_id"))
+            met = now.join(other.hint("merge"), ["sig", "one"]).where((F.col("u") < F.col("v")) & (F.col("label") != F.col("other")) & near)
+            met = met.select("u", "v", "n", "m", "ones", "twos", F.least("o", "o2").alias("more_ones"), F.least("t", "t2").alias("more_twos"))
+            share = told >= least_extra + 1 - 1e-9
+        pairs = met.groupBy("u", "v", "n", "m").agg((F.sum("ones") + F.max("more_ones")).alias("ones"), (F.sum("twos") + F.max("more_twos")).alias("twos")).where(share).select("u", "v")
+        links.append(verified(keep, texts, pairs, words, link))
+        labels = components(reduce(DataFrame.unionByName, links))
+
+    final = vertices.join(labels.withColumnRenamed("u", "rep").hint("merge"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
+    final = keep.table(final, "labelled-vertices")
+    least = keep.table(final.groupBy("label").agg(F.min("least").alias("component_id")), "least-documents")
+    final = keep.table(lookup(final, least, ["label"]).select("hi", "lo", "component_id"), "component-of-vertices")
+    linked = lookup(named, final, ["hi", "lo"]).select("doc_id", F.col("n").cast("long").alias("n_shingles"), "component_id")
+    done = staged(linked.unionByName(empty).select(*[F.when(F.col(c) != NO_ID, F.col(c)).alias(c) if c != "n_shingles" else F.col(c) for c in linked.columns]), "components")
+    keep.clear()
+    return done
 
 
 def representatives(docs: DataFrame) -> DataFrame:
     """The pipeline's stage: of each component one row stays, the one with the least id (null ids count as the largest; of rows
     equal in id any one), and all that are linked with nothing. Rows have a key of their own: ids may repeat or be null."""
-    spark = docs.sparkSession
-    keyed = staged(docs.withColumn(ROW, F.monotonically_increasing_id()), "keyed-documents")
-    rows = components_of(keyed, ROW, words=STAGE_WORDS, link=STAGE_LINK).select(F.col("doc_id").alias(ROW), F.col("component_id").alias("component"))
-    rows = rows.join(keyed.select(ROW, F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id")), ROW)
-    groups = rows.groupBy("component").agg(F.min(F.struct("id", ROW))[ROW].alias("stays"), F.count("*").alias("n")).where("n > 1").drop("n")
-    gone = staged(rows.join(few(spark, staged(groups, "groups")), "component").where(F.col(ROW) != F.col("stays")).select(ROW), "copies")
-    return keyed.join(few(spark, gone), ROW, "left_anti").select(*docs.columns)
+    keep = Scratch(docs.sparkSession)
+    row = free_name(docs, ROW)
+    keyed = staged(docs.withColumn(row, F.monotonically_increasing_id()), "keyed-documents")
+    rows = components_of(keyed, row, words=STAGE_WORDS, link=STAGE_LINK).select(F.col("doc_id").alias("row"), F.col("component_id").alias("component"))
+    ids = keyed.select(F.col(row).alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"))
+    rows = keep.table(rows.join(ids.hint("merge"), "row"), "rows-of-components")
+    groups = keep.table(rows.groupBy("component").agg(F.min(F.struct("id", "row"))["row"].alias("stays")), "groups")
+    gone = staged(lookup(rows, groups, ["component"]).where("row <> stays").select(F.col("row").alias(row)), "copies")
+    keep.clear()
+    # Texts stay where they are but for those whose keys pass the sieve.
+    maybe = sieve(gone)(row)
+    kept = keyed.where(~maybe).unionByName(keyed.where(maybe).join(gone.hint("merge"), row, "left_anti"))
+    return kept.select(*docs.columns)
 
 
 def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
