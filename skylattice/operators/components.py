@@ -15,11 +15,11 @@ def _star(keep: Scratch, edges: DataFrame, large: bool) -> DataFrame:
     both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     near = both if large else both.where(F.col("v") < F.col("u"))
     least = keep.table(near.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("m", "u")), "least")
-    joined = lookup(near, least, ["u"])
     if large:
-        out = joined.where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
+        out = lookup(near, least, ["u"]).where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:
-        out = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
+        # After a large step the hubs are the least of their neighbours, with none smaller.
+        out = near.join(least.hint("merge"), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
     return keep.table(out.where(F.col("u") != F.col("v")).distinct(), "edges")
 
 
