@@ -31,9 +31,11 @@ and count as the largest; extra columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache, reduce
+from functools import reduce
+from itertools import chain
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
@@ -45,14 +47,14 @@ from .components import components
 WORDS, LINK = 4, 85
 #: The words and the link of the pipeline's stage.
 STAGE_WORDS, STAGE_LINK = 5, 80
-#: A token in so many documents is frequent; tasks report tokens in so many documents of a chunk; most frequent tokens kept.
+#: A token found so often is frequent; tasks report tokens found so often in a chunk of so many; most frequent tokens kept.
 HOT, HOT_IN_CHUNK, HOT_MOST, CHUNK = 40, 3, 1_000_000, 2_000_000
 #: Sets of up to so many tokens index pairs of frequent tokens; those above (less what a link allows) index them singly.
 PAIR_SETS = 100
 #: Lists of more sets are compared tile by tile.
 TILE = 128
-#: Rows of an Arrow batch, words whose hashes a worker remembers, and digests of texts or sets that a task remembers.
-BATCH, REMEMBERED, SEEN = 500, 200_000, 500_000
+#: Rows of an Arrow batch, and digests of texts or sets that a task remembers.
+BATCH, SEEN = 500, 500_000
 #: Partners of a pivot that one task streams behind its text.
 BLOCK = 512
 #: Each round's turns, by which lists choose pivots; the last round, without any, makes all pairs between components that are left.
@@ -64,97 +66,34 @@ ROW = "skylattice_row"
 MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 
 
-class _Hashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        h = xxhash.xxh3_64_intdigest(word)
-        if len(self) >= REMEMBERED:
-            self.clear()
-        self[word] = h
-        return h
-
-
-@lru_cache(maxsize=1)
-def word_hashes() -> _Hashes:
-    return _Hashes()
-
-
 def mixed(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(30))) * MIX[1]
     x = (x ^ (x >> np.uint64(27))) * MIX[2]
     return x ^ (x >> np.uint64(31))
 
 
-def shingle_set(text: bytes, size: int = WORDS) -> np.ndarray:
-    """Sorted distinct hashes of a text's shingles: ASCII lower case, words split at ASCII white space."""
-    words = text.lower().split()
-    if not words:
-        return np.empty(0, np.int64)
-    if len(words) < size:
-        return np.array([xxhash.xxh3_64_intdigest(b"\n".join(words), seed=len(words))], np.uint64).view(np.int64)
-    h = np.fromiter(map(word_hashes().__getitem__, words), np.uint64, len(words))
-    x = np.zeros(len(words) - size + 1, np.uint64)
-    for i in range(size):
-        x = mixed(x + MIX[0]) ^ h[i : len(h) - size + 1 + i] if i else h[: len(x)].copy()
-    return np.unique(mixed(x).view(np.int64))
-
-
-def missing(n: int, link: int = LINK) -> int:
-    """The most tokens of a set of n that a linked set can lack."""
-    return n - -(-link * n // 100)
-
-
-def extra(n: int) -> int:
-    return -(-n // 20) + 2
-
-
-SETS = 100
-#: Lists of more sets are compared tile by tile.
-TILE = 128
-#: Rows of an Arrow batch, words whose hashes a worker remembers, and digests of texts or sets that a task remembers.
-BATCH, REMEMBERED, SEEN = 500, 200_000, 500_000
-#: Partners of a pivot that one task streams behind its text.
-BLOCK = 512
-#: Each round's turns, by which lists choose pivots; the last round, without any, makes all pairs between components that are left.
-PIVOTS = ((0,), (0x2A6F0C5B37D1E948, 0x71D3B8E45A90C627, 0x15C8A27F6E3B90D4, 0x4E90D76B81F25A3C), ())
-#: Stands for a null id inside.
-NO_ID = 2**63 - 1
-#: The stage's own key of rows.
-ROW = "skylattice_row"
-MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
-
-
-class _Hashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        h = xxhash.xxh3_64_intdigest(word)
-        if len(self) >= REMEMBERED:
-            self.clear()
-        self[word] = h
-        return h
-
-
-@lru_cache(maxsize=1)
-def word_hashes() -> _Hashes:
-    return _Hashes()
-
-
-def mixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * MIX[1]
-    x = (x ^ (x >> np.uint64(27))) * MIX[2]
-    return x ^ (x >> np.uint64(31))
+def shingles(texts: list[bytes], size: int) -> list[np.ndarray]:
+    """The hashes of each text's shingles in order: ASCII lower case, words split at ASCII white space. All texts are hashed in one go."""
+    words = [t.lower().split() for t in texts]
+    n = np.array([len(w) for w in words], np.int64)
+    h = pd.util.hash_array(np.array(list(chain.from_iterable(words)), dtype=object), categorize=False)
+    x = h[: max(0, len(h) - size + 1)].copy()
+    for i in range(1, size):
+        x = mixed(x + MIX[0]) ^ h[i : i + len(x)]
+    x = mixed(x).view(np.int64)
+    out, start = [], 0
+    for w, count in zip(words, n.tolist()):
+        if 0 < count < size:
+            out.append(np.array([xxhash.xxh3_64_intdigest(b"\n".join(w), seed=count)], np.uint64).view(np.int64))
+        else:
+            out.append(x[start : start + max(0, count - size + 1)])
+        start += count
+    return out
 
 
 def shingle_set(text: bytes, size: int = WORDS) -> np.ndarray:
-    """Sorted distinct hashes of a text's shingles: ASCII lower case, words split at ASCII white space."""
-    words = text.lower().split()
-    if not words:
-        return np.empty(0, np.int64)
-    if len(words) < size:
-        return np.array([xxhash.xxh3_64_intdigest(b"\n".join(words), seed=len(words))], np.uint64).view(np.int64)
-    h = np.fromiter(map(word_hashes().__getitem__, words), np.uint64, len(words))
-    x = np.zeros(len(words) - size + 1, np.uint64)
-    for i in range(size):
-        x = mixed(x + MIX[0]) ^ h[i : len(h) - size + 1 + i] if i else h[: len(x)].copy()
-    return np.unique(mixed(x).view(np.int64))
+    """A text's sorted distinct shingles."""
+    return np.unique(shingles([text], size)[0])
 
 
 def missing(n: int, link: int = LINK) -> int:
@@ -166,11 +105,6 @@ def extra(n: int) -> int:
     return -(-n // 20) + 2
 
 
-def low_part(tokens: np.ndarray, link: int = LINK) -> np.ndarray:
-    """LOW_TIMES what signatures need: the share that may be missing and the twentieth of extra()."""
-    return tokens[: int(LOW_TIMES * (105 - link) / 100 * len(tokens)) + LOW_MORE]
-
-
 SETS = "doc_id long, mark long, n int, hi long, lo long, kept boolean, singles array<long>, pairs array<long>"
 
 
@@ -192,11 +126,11 @@ class _Seen(set):
 
 
 def frequent_tokens(rows: DataFrame, words: int) -> np.ndarray:
-    """The frequent class, sorted: tasks report the tokens that stand in HOT_IN_CHUNK documents of a chunk or more, and those
+    """The frequent class, sorted: tasks report the tokens that stand HOT_IN_CHUNK times in a chunk of documents or more, and those
     reported HOT times in all are frequent, the HOT_MOST most frequent ones at most. Texts that a task has met before do not count."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen, chunk, held = _Seen(), [], 0
+        seen, chunk = _Seen(), []
 
         def report() -> pa.RecordBatch:
             tokens, counts = np.unique(np.concatenate(chunk), return_counts=True)
@@ -204,13 +138,13 @@ def frequent_tokens(rows: DataFrame, words: int) -> np.ndarray:
             return pa.RecordBatch.from_arrays([pa.array(tokens[often]), pa.array(counts[often].astype(np.int64))], names=["token", "n"])
 
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                if text and seen.first(xxhash.xxh3_128_digest(text)):
-                    chunk.append(shingle_set(text, words))
-                    held += len(chunk[-1])
-                    if held >= CHUNK:
-                        yield report()
-                        chunk, held = [], 0
+            for start in range(0, batch.num_rows, BATCH):
+                texts = [t for t in batch.column(0).slice(start, BATCH).to_pylist() if seen.first(xxhash.xxh3_128_digest(t))]
+                chunk += shingles(texts, words)
+                held = sum(map(len, chunk))
+                if held >= CHUNK:
+                    yield report()
+                    chunk = []
         if chunk:
             yield report()
 
@@ -228,8 +162,8 @@ def to_sets(rows: DataFrame, words: int, link: int, hot) -> DataFrame:
             for start in range(0, batch.num_rows, BATCH):
                 part = batch.slice(start, BATCH)
                 ns, digests, kept, singles, pairs = [], [], [], [], []
-                for text in part.column(1).to_pylist():
-                    tokens = shingle_set(text, words)
+                for found in shingles(part.column(1).to_pylist(), words):
+                    tokens = np.unique(found)
                     digest = xxhash.xxh3_128_digest(tokens.tobytes())
                     new = len(tokens) > 0 and seen.first(digest)
                     one, two = signatures(tokens, frequent, link) if new else (none, none)
