@@ -6,6 +6,8 @@ piece's byte positions holds at each live position the rank of the pair that beg
 minimum; a merge changes three leaves (the merged position, its live neighbour to the left, the position that dies) and
 the logarithmic paths above them. Many pieces of similar length are merged side by side as rows of NumPy arrays.
 
+A piece of more than LONG_PIECE bytes is merged alone, by the same tree in plain lists.
+
 Spark deals the documents out; tasks stream Arrow batches, remember a bounded number of encoded words, and hold a few
 hundred documents' ids at a time. No shuffle, nothing gathered.
 
@@ -16,7 +18,7 @@ from __future__ import annotations
 
 import base64
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 from itertools import islice
 
 import numpy as np
@@ -25,12 +27,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import short_batches, whole_text, without
+from .common import free_name, short_batches, whole_text, without
 from .units import UnitCache
 
 NONE = np.int64(1) << np.int64(62)
 #: Cells of one block of side-by-side trees, documents in one output batch.
 CELLS, DOCS = 1 << 21, 256
+LONG_PIECE = 2048
 
 
 class SegmentTreeBPE:
@@ -110,12 +113,57 @@ class SegmentTreeBPE:
         data = ids.tobytes()
         return [data[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist())]
 
+    def merge_long(self, piece: bytes) -> bytes:
+        """As merge, for one piece of any length: some microseconds for each merge."""
+        n = len(piece)
+        width = max(2, 1 << (n - 1).bit_length())
+        token, none = [int(self.single[b]) for b in piece], (1 << 62)
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        find = self.pair_table.get
+        tree = [none] * (2 * width)
+        tree[width : width + n - 1] = [none if (r := find(a << 20 | b)) is None else r * width + i for i, (a, b) in enumerate(zip(token, token[1:]))]
+        for i in range(width - 1, 0, -1):
+            tree[i] = min(tree[2 * i], tree[2 * i + 1])
+
+        def update(at: int, value: int) -> None:
+            i = at + width
+            tree[i] = value
+            while i > 1:
+                i >>= 1
+                least = tree[2 * i] if tree[2 * i] <= tree[2 * i + 1] else tree[2 * i + 1]
+                if tree[i] == least:
+                    break
+                tree[i] = least
+
+        def leaf(at: int, nxt: int) -> int:
+            rank = find(token[at] << 20 | token[nxt]) if nxt < n else None
+            return none if rank is None else rank * width + at
+
+        while (best := tree[1]) < none:
+            rank, at = divmod(best, width)
+            dies = after[at]
+            nxt = after[dies]
+            token[at], token[dies], after[at] = rank, -1, nxt
+            if nxt < n:
+                before[nxt] = at
+            update(dies, none)
+            update(at, leaf(at, nxt))
+            if (left := before[at]) >= 0:
+                update(left, leaf(left, at))
+        return np.array([t for t in token if t >= 0], "<i4").tobytes()
+
+    @cached_property
+    def pair_table(self) -> dict[int, int]:
+        return dict(zip(self.pair_keys.tolist(), self.pair_ranks.tolist()))
+
     def encode_pieces(self, pieces: list[bytes]) -> list[bytes]:
         out: list[bytes] = [b""] * len(pieces)
         by_width: dict[int, list[int]] = {}
         for i, piece in enumerate(pieces):
             if (rank := self.ranks.get(piece)) is not None:
                 out[i] = rank.to_bytes(4, "little")
+            elif len(piece) > LONG_PIECE:
+                out[i] = self.merge_long(piece)
             elif piece:
                 by_width.setdefault(max(2, 1 << (len(piece) - 1).bit_length()), []).append(i)
         for width, at in by_width.items():
@@ -133,11 +181,13 @@ class Encoder:
     """Texts to ids: cut by the pattern, every match encoded separately."""
 
     def __init__(self, rank_path: str, pattern: str):
+        import public_tokenizers
         import regex
 
         self.find = regex.compile(pattern).findall
         self.bpe = SegmentTreeBPE(rank_path)
-        self.cache = UnitCache(self._encode_units)
+        # The rule for cutting texts into units holds for the public pattern; with another one texts are encoded whole.
+        self.cache = UnitCache(self._encode_units, whole=None if pattern == public_tokenizers.PATTERN else lambda text: True)
 
     def _encode_units(self, units: list[str]) -> list[bytes]:
         cut = [self.find(u) for u in units]
@@ -179,7 +229,7 @@ def round_trip(docs: DataFrame, rank_path: str, pattern: str, text: str = "text"
                     columns.append(pa.array([own.bpe.decode(np.frombuffer(x, "<i4").tolist()) for x in found], pa.binary()))
                 yield pa.RecordBatch.from_arrays(columns, names=[f.name for f in fields])
 
-    return docs.select(*keep, whole_text(text).alias("_text_")).mapInArrow(run, T.StructType(fields))
+    return docs.select(*keep, whole_text(text).alias(free_name(docs, "whole_text"))).mapInArrow(run, T.StructType(fields))
 
 
 def public_ranks() -> tuple[str, str]:

@@ -6,7 +6,7 @@ and doubled while it gives too many, so that every part of a text counts alike;
 equal or differ by the factor two are compared by the insert-and-delete edit distance of their chunk sequences.
 
 `neighbours` gives each document its next one in descending id order without putting all documents in one task: ids are
-cut into ranges at sampled quantiles, each range's last document is also sent, as a ghost, to the next range that has any
+cut into ranges of about RANGE_BYTES of text at sampled quantiles, each range's last document is also sent, as a ghost, to the next range that has any
 (the last range's to the first), and each range is streamed in order. Only the ranges' largest ids reach the driver.
 
 Null texts count as empty; empty texts have the empty signature and are like each other. Null ids come before all others;
@@ -31,6 +31,8 @@ from .common import short_batches, whole_text
 
 WINDOW, LEAST_BLOCK, CHUNKS, MOST = 7, 3, 64, 64
 LEAST, LONGEST = 16, 4096
+#: Text of one range, which is one task's, and the most ranges: what their ends take on the driver is bounded.
+RANGE_BYTES, RANGES = 16 << 20, 100_000
 LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
 PAIR = [a + b for a in LETTERS for b in LETTERS]
 
@@ -135,7 +137,7 @@ def in_ranges(docs: DataFrame, ranges: int) -> DataFrame:
     own = F.struct(F.col("range"), F.lit(0).alias("ghost"))
     both = F.when(F.col("after") >= 0, F.array(own, F.struct(F.col("after").alias("range"), F.lit(1).alias("ghost")))).otherwise(F.array(own))
     dealt = placed.withColumn("after", F.pandas_udf(ghosts, "long")("order")).select("order", "doc_id", "text", F.explode(both).alias("at")).select("at.range", "at.ghost", "order", "doc_id", "text")
-    return dealt.repartition("range").sortWithinPartitions("range", F.desc("ghost"), "order", "text").select("range", "ghost", "doc_id", "text")
+    return dealt.repartition(ranges, "range").sortWithinPartitions("range", F.desc("ghost"), "order", "text").select("range", "ghost", "doc_id", "text")
 
 
 RESULT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
@@ -166,8 +168,8 @@ def compared(ordered: DataFrame) -> DataFrame:
 def neighbours(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     short_batches(docs.sparkSession)
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), whole_text(text).alias("text"))
-    ranges = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return compared(in_ranges(rows, ranges))
+    size = rows.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    return compared(in_ranges(rows, min(RANGES, size // RANGE_BYTES + 1)))
 
 
 def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:

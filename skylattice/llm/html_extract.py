@@ -15,6 +15,7 @@ as the tags tell: a self-closed one ends at its tag, one that is never closed dr
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
@@ -27,12 +28,9 @@ from pyspark.sql import types as T
 
 from .common import short_batches
 
-TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style|iframe|textarea|title)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*(?<!/)>.*?(?:</\1\s*>|\Z)"
-    r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*(?:>|\Z)|</?[a-zA-Z][^<>]*(?:>|\Z)",
-    re.S | re.I,
-)
-ATTRIBUTE = re.compile(r"([a-zA-Z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
+NAME = re.compile(r"</?([a-zA-Z][a-zA-Z0-9:-]*+)")
+PLAIN = re.compile(r"[^<>\"']*+")
+ATTRIBUTE = re.compile(r"(?<![a-zA-Z-])([a-zA-Z-]++)\s*+=\s*+(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
 HIDDEN = re.compile(r"(?:^|\s)(?:hidden(?:\s|=|/|$)|aria-hidden\s*=\s*[\"']?true)|display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 #: Elements of raw text, foreign ones, and those dropped with all that stands in them.
@@ -153,10 +151,91 @@ def is_furniture(tag: str, attributes: str, in_article: bool) -> bool:
     return False
 
 
+class Scanner:
+    """The markup of a page from left to right. Every character is looked at a bounded number of times, whatever the page holds:
+    what is not found once is not searched again."""
+
+    def __init__(self, html: str):
+        self.html = html
+        self.gone: set[str] = set()
+
+    def find(self, what: str, at: int) -> int:
+        if what in self.gone:
+            return -1
+        found = self.html.find(what, at)
+        if found < 0:
+            self.gone.add(what)
+        return found
+
+    def end_of_tag(self, at: int) -> int:
+        """Of the > that ends the tag whose name ends at `at`, or -1: quoted values may hold anything, an open quote nothing but the tag's rest."""
+        while True:
+            at = PLAIN.match(self.html, at).end()
+            c = self.html[at : at + 1]
+            if c == ">":
+                return at
+            if c not in ("'", '"'):
+                return -1
+            close = self.find(c, at + 1)
+            if close < 0:
+                return -1
+            at = close + 1
+
+    def raw_end(self, tag: str, at: int) -> int:
+        """Where the raw text of an element, begun at `at`, and its closing tag end."""
+        end = re.compile(f"</{tag}\\s*+>", re.I).search(self.html, at)
+        return end.end() if end else len(self.html)
+
+    def after_junk(self, at: int) -> int:
+        """Behind what looks like a tag up to its > or the end of the page; -1 if another < comes first: then it is text."""
+        end = re.compile("[<>]").search(self.html, at + 1)
+        return len(self.html) if end is None else end.end() if end.group() == ">" else -1
+
+    def __iter__(self) -> Iterator[tuple[int, int, str, bool, str]]:
+        """(start, end, name, whether it closes, attributes) of each tag; comments and the like, and raw text with its element, have no name."""
+        html, at = self.html, 0
+        while (start := self.find("<", at)) >= 0:
+            if html.startswith("<!--", start):
+                end = self.find("-->", start + 4)
+                at = len(html) if end < 0 else end + 3
+                yield start, at, "", False, ""
+                continue
+            if html.startswith(("<!", "<?"), start):
+                end = self.find(">", start)
+                at = len(html) if end < 0 else end + 1
+                yield start, at, "", False, ""
+                continue
+            at = start + 1
+            m = NAME.match(html, start)
+            if m is None:
+                continue
+            tag, closing = m.group(1).lower(), html[start + 1] == "/"
+            end = self.end_of_tag(m.end())
+            if end < 0:
+                end = self.after_junk(start)
+                if end >= 0:
+                    at = end
+                    yield start, at, "", False, ""
+                continue
+            at = end + 1
+            attributes = html[m.end() : end]
+            if tag in RAW and not closing and not attributes.endswith("/"):
+                at = self.raw_end(tag, at)
+                yield start, at, "", False, ""
+                continue
+            # The reader may move on behind a raw element that ends itself.
+            moved = yield start, at, tag, closing, attributes
+            if moved is not None:
+                at = moved
+                yield 0, 0, "", False, ""
+
+
 def blocks_of(html: str) -> list[Block]:
     blocks: list[Block] = []
     open_tags: list[tuple[str, bool, bool, bool, bool, bool]] = []  # tag, and whether in an article, furniture, heading, link, what is dropped
     state = outside = ("", False, False, False, False, False)
+    names: Counter[str] = Counter()  # how many of each are open
+    scopes: list[int] = []  # places of open scopes
     last_ends: dict[str, int] = {}
     now: Block | None = None
 
@@ -176,6 +255,14 @@ def blocks_of(html: str) -> list[Block]:
         if state[4]:
             now.linked += len(text.split())
 
+    def close_from(depth: int) -> None:
+        for x in open_tags[depth:]:
+            names[x[0]] -= 1
+        del open_tags[depth:]
+        while scopes and scopes[-1] >= depth:
+            scopes.pop()
+        settle()
+
     def closed_later(tag: str) -> bool:
         if tag not in last_ends:
             last_ends[tag] = max((m.start() for m in re.finditer(f"</{tag}\\b", html, re.I)), default=-1)
@@ -190,38 +277,37 @@ def blocks_of(html: str) -> list[Block]:
             now = None
 
     at = 0
-    while m := TOKEN.search(html, at):
-        if m.start() > at:
-            put(html[at : m.start()])
-        at = m.end()
-        tag = (m.group(3) or "").lower()
+    scanner = Scanner(html)
+    tokens = iter(scanner)
+    for start, end, tag, closing, attributes in tokens:
+        if start > at:
+            put(html[at:start])
+        at = end
         if not tag:
             continue
         if tag == "br":
             put(" ")
             continue
-        if m.group(2):
-            if any(x[0] == tag for x in open_tags):
-                while open_tags.pop()[0] != tag:
-                    pass
-                settle()
+        if closing:
+            if names[tag] > 0:
+                close_from(next(i for i in range(len(open_tags) - 1, -1, -1) if open_tags[i][0] == tag))
         else:
-            for inner, enders in ENDS.items():
-                if tag in enders:
-                    depth = next((i for i in range(len(open_tags) - 1, -1, -1) if open_tags[i][0] == inner or open_tags[i][0] in SCOPES), -1)
-                    if depth >= 0 and open_tags[depth][0] == inner:
-                        del open_tags[depth:]
-                        settle()
-            closed = m.group(4).endswith("/")
-            if tag in RAW and closed and not any(x[0] in FOREIGN for x in open_tags):
+            # All elements that end so are scopes: only the innermost scope can be one that this tag ends.
+            while scopes and tag in ENDS.get(open_tags[scopes[-1]][0], ()):
+                close_from(scopes[-1])
+            closed = attributes.endswith("/")
+            if tag in RAW and closed and not any(names[x] > 0 for x in FOREIGN):
                 # HTML's own elements of raw text cannot be closed so.
-                end = re.compile(f"</{tag}\\s*>", re.I).search(html, at)
-                at = end.end() if end else len(html)
+                at = scanner.raw_end(tag, at)
+                tokens.send(at)
                 continue
             if tag not in VOID and not closed and not (tag in DROPPED and not closed_later(tag)):
                 _, article, furniture, heading, link, dropped = state
-                state = (tag, article or tag in ("article", "main"), furniture or is_furniture(tag, m.group(4), article), heading or tag in HEADINGS, link or tag == "a", dropped or tag in DROPPED)
+                state = (tag, article or tag in ("article", "main"), furniture or is_furniture(tag, attributes, article), heading or tag in HEADINGS, link or tag == "a", dropped or tag in DROPPED)
+                if tag in SCOPES:
+                    scopes.append(len(open_tags))
                 open_tags.append(state)
+                names[tag] += 1
         if state[5]:
             continue
         if tag in BLOCKS:

@@ -1,12 +1,13 @@
 """License scans by diagonal voting.
 
-Every rolling word 2-gram of a text is hashed and joined to the places where it stands in license templates. A hit
+Every rolling word 2-gram of a text is hashed and joined by Spark to the places where it stands in license templates. A hit
 votes for the diagonal (place in the text less place in the template). Neighbouring diagonals of a template are merged,
 so that a few inserted or lost words do no harm, and a merged diagonal is verified: it must hold enough of the
 template's places, the words themselves being compared and not only their hashes. DataFrame functions throughout.
 
-The templates are a fixed list of well under a thousand 2-grams, so broadcasting them is safe at any input size. Hits
-stay with their document until they are exploded; no step gathers more than one document's hits in one place.
+The templates are a fixed list of well under a thousand 2-grams, so broadcasting them is safe at any input size; the join
+streams over the exploded 2-grams, of which only hits, and one row for each document, are ever written. No step gathers
+more than one document's hits in one place.
 
 Null and empty texts have no words and no labels; repeated rows give repeated results; extra columns are ignored.
 """
@@ -74,25 +75,21 @@ def scan_licenses(docs: DataFrame, key: str = "doc_id", text: str = "text") -> D
     spark = docs.sparkSession
     rows = template_grams()
     grams = spark.createDataFrame(rows, "tmpl int, label string, phrase int, size int, place int, t0 string, t1 string").withColumn("hash", F.xxhash64("t0", "t1"))
-    known = [r[0] for r in grams.select("hash").distinct().collect()]  # the fixed templates' hashes
 
     words = F.col("words")
+    # The first place is the document's own, without a hash; 2-gram i stands at place i + 1.
     gram = lambda i: F.xxhash64(F.get(words, i), F.get(words, i + 1))
-    hits = F.when(F.size(words) > 1, F.filter(F.sequence(F.lit(0), F.size(words) - 2), lambda i: gram(i).isin(known)))
+    hashes = F.when(F.size(words) > 1, F.transform(F.sequence(F.lit(0), F.size(words) - 2), gram)).otherwise(F.array().cast("array<long>"))
     found = staged(
         docs.select(F.col(key).alias("key"), words_of(whole_text(text)).alias("words"))
         .withColumn("row", F.monotonically_increasing_id())
-        .select("row", "key", F.size(words).cast("long").alias("n_words"), F.transform(hits, lambda i: F.struct(i.alias("at"), gram(i).alias("hash"), F.get(words, i).alias("w0"), F.get(words, i + 1).alias("w1"))).alias("hits")),
+        .select("row", "key", "words", F.posexplode(F.concat(F.array(F.lit(None).cast("long")), hashes)).alias("at", "hash"))
+        .join(F.broadcast(grams), "hash", "left")
+        .where((F.col("at") == 0) | ((F.get(words, F.col("at") - 1) == F.col("t0")) & (F.get(words, F.col("at")) == F.col("t1"))))
+        .select("row", F.when(F.col("at") == 0, F.col("key")).alias("key"), F.when(F.col("at") == 0, F.size(words)).cast("long").alias("n_words"), (F.col("at") - 1).alias("at"), "tmpl", "label", "phrase", "size", "place"),
         "license-hits",
     )
-    votes = (
-        found.where(F.size("hits") > 0)
-        .select("row", F.explode("hits").alias("hit"))
-        .select("row", "hit.*")
-        .join(F.broadcast(grams), "hash")
-        .where((F.col("w0") == F.col("t0")) & (F.col("w1") == F.col("t1")))
-        .withColumn("diagonal", F.col("at") - F.col("place"))
-    )
+    votes = found.where("at >= 0").withColumn("diagonal", F.col("at") - F.col("place"))
     diagonals = votes.groupBy("row", "tmpl", "label", "phrase", "size", "diagonal").agg(
         F.count("*").alias("n"), F.min("at").alias("lo"), F.max("at").alias("hi"), F.collect_set("place").alias("places")
     )
@@ -125,7 +122,8 @@ def scan_licenses(docs: DataFrame, key: str = "doc_id", text: str = "text") -> D
         F.array_sort(F.collect_list(F.struct("first", "end", "label", "cover"))).alias("spans"),
     )
     return (
-        found.select("row", "key", "n_words")
+        found.where("at < 0")
+        .select("row", "key", "n_words")
         .join(by_row, "row", "left")
         .select(
             F.col("key").alias(key), "n_words", F.coalesce("n_base", F.lit(0).cast("long")).alias("n_base"), "first_word", "last_word",

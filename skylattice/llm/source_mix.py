@@ -8,8 +8,9 @@ Sorting one source in one task would not scale, so keys fall into BINS bins: bin
 aggregation), the bin in which the budget ends is found from at most BINS rows a source, and only that bin's documents
 are put in order. The plan is a row for each source, and taking documents is a map over them: their texts never move.
 
-The quality weight of a document is its share of distinct words. Null texts have size 0 and null sources are a source
+The quality weight of a document is its share of distinct words unless a column of weights is given. Null texts have size 0 and null sources are a source
 of their own, the last. Rows with equal ids have equal keys and are taken together. Empty tables give empty results.
+Extra columns pass by: mix_sources replaces only columns named as its results, the pipeline's stage none.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import staged, whole_text, without
+from .common import free_name, staged, whole_text, without
 
 WEIGHTS = (5, 2, 1)
 MOST = 3
@@ -28,19 +29,18 @@ FLOOR = 0.01
 FEW_SOURCES = 50_000
 
 
-def measured(docs: DataFrame, key: str, text: str, source: str) -> DataFrame:
-    """docs with size, mix_key and bin."""
+def measured(docs: DataFrame, key: str, text: str, source: str, weight: str | None = None) -> DataFrame:
+    """docs with a struct `mix_row`: size, mix_key, bin and mix_source of each document."""
     words = F.array_remove(F.split(whole_text(text), r"[\x20\x09-\x0D]+"), "")
     uniform = (F.conv(F.substring(F.md5(F.coalesce(F.col(key).cast("string"), F.lit("null")).cast("binary")), 1, 13), 16, 10).cast("long").cast("double") + 1.0) / F.lit(2.0**52)
-    quality = F.when(F.col("size") > 0, F.greatest(F.lit(FLOOR), F.col("distinct") / F.col("size"))).otherwise(1.0)
+    cut = F.col("mix_words")
+    share = F.when(F.size(cut) > 0, F.size(F.array_distinct(cut)) / F.size(cut)).otherwise(1.0)
+    quality = F.greatest(F.lit(FLOOR), F.coalesce(F.col(weight).cast("double"), F.lit(FLOOR)) if weight else share)
     return (
-        docs.withColumn("_words", words)
-        .withColumn("size", F.size("_words").cast("long"))
-        .withColumn("distinct", F.size(F.array_distinct("_words")))
-        .withColumn("mix_key", -F.log(uniform) / quality)
-        .withColumn("bin", F.least(F.lit(BINS - 1), F.floor((1 - F.exp(-F.col("mix_key"))) * BINS)).cast("int"))
-        .withColumn("mix_source", F.col(source))
-        .drop("_words", "distinct")
+        docs.withColumn("mix_words", words)
+        .withColumn("mix_row", F.struct(F.size(cut).cast("long").alias("size"), (-F.log(uniform) / quality).alias("mix_key"), F.col(source).alias("mix_source")))
+        .withColumn("mix_row", F.col("mix_row").withField("bin", F.least(F.lit(BINS - 1), F.floor((1 - F.exp(-F.col("mix_row.mix_key"))) * BINS)).cast("int")))
+        .drop("mix_words")
     )
 
 
@@ -102,34 +102,41 @@ def broadcast_few(plan: DataFrame) -> DataFrame:
     return F.broadcast(plan) if plan.count() <= FEW_SOURCES else plan
 
 
-def copies() -> Column:
-    more = (F.col("bin") < F.col("cut_bin")) | ((F.col("bin") == F.col("cut_bin")) & (F.col("mix_key") <= F.col("cut")))
-    return F.col("epochs") + F.coalesce(more, F.lit(False)).cast("long")
+def taken_rows(docs: DataFrame, key: str, text: str, source: str, weight: str | None = None) -> tuple[DataFrame, str]:
+    """docs with one more column, and its name: a struct of size, source_size, target and copies."""
+    out, names = free_name(docs, "mix_taken"), {c: free_name(docs, f"mix_{i}") for i, c in enumerate(docs.columns)}
+    # The documents' columns step aside while the mix's own are there.
+    rows = measured(docs.select([F.col(f"`{c}`").alias(n) for c, n in names.items()]), names[key], names[text], names[source], names[weight] if weight else None)
+    plan = plan_mix(staged(rows.select("mix_row.*"), "mix-sizes"))
+    joined = rows.join(broadcast_few(plan), F.col("mix_row.mix_source").eqNullSafe(F.col("plan_source")))
+    bin_, cut_bin = F.col("mix_row.bin"), F.col("cut_bin")
+    more = (bin_ < cut_bin) | ((bin_ == cut_bin) & (F.col("mix_row.mix_key") <= F.col("cut")))
+    taken = F.struct("mix_row.size", "source_size", "target", (F.col("epochs") + F.coalesce(more, F.lit(False)).cast("long")).alias("copies"))
+    return joined.select(*[F.col(n).alias(c) for c, n in names.items()], taken.alias(out)), out
 
 
-def mix_sources(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", measure: DataFrame | None = None) -> DataFrame:
-    """docs with size, source_size, target and copies: how often the mix takes each."""
-    docs = without(docs, "size", "source_size", "target", "copies", "mix_key", "mix_source", "bin")
-    rows = measured(docs, key, text, source)
-    slim = staged(rows.select(key, "mix_source", "size", "mix_key", "bin"), "mix-sizes") if measure is None else measure
-    plan = plan_mix(slim)
-    rows = rows if measure is None else measure
-    joined = rows.join(broadcast_few(plan), F.col("mix_source").eqNullSafe(F.col("plan_source")))
-    return joined.withColumn("copies", copies()).drop("plan_source", "mix_source", "mix_key", "bin", "epochs", "cut_bin", "cut")
+def mix_sources(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", weight: str | None = None) -> DataFrame:
+    """docs with size, source_size, target and copies: how often the mix takes each. weight: a column of quality weights."""
+    rows, taken = taken_rows(without(docs, "size", "source_size", "target", "copies"), key, text, source, weight)
+    return rows.select(*[c for c in rows.columns if c != taken], f"{taken}.*")
 
 
 def mixed_documents(docs: DataFrame) -> DataFrame:
     """The mix itself: every document as often as it is taken, with its own columns only."""
-    done = mix_sources(docs).where(F.col("copies") > 0)
-    own = [c for c in docs.columns]
-    return done.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select(*own)
+    rows, taken = taken_rows(docs, "doc_id", "text", "source")
+    copy = free_name(docs, "mix_copy")
+    copies = F.col(f"{taken}.copies")
+    return rows.where(copies > 0).withColumn(copy, F.explode(F.sequence(F.lit(1).cast("long"), copies))).select(*docs.columns)
 
 
 def op6_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    slim = staged(measured(docs.select("doc_id", "text", "source"), "doc_id", "text", "source").select("doc_id", "mix_source", "size", "mix_key", "bin"), "mix-sizes")
-    done = mix_sources(docs, measure=slim)
-    return done.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
+    # Sizes and keys are staged once: the result needs no texts.
+    slim = staged(measured(docs.select("doc_id", "text", "source"), "doc_id", "text", "source").select("doc_id", "mix_row.*"), "mix-sizes")
+    plan = plan_mix(slim)
+    done = slim.join(broadcast_few(plan), F.col("mix_source").eqNullSafe(F.col("plan_source")))
+    more = (F.col("bin") < F.col("cut_bin")) | ((F.col("bin") == F.col("cut_bin")) & (F.col("mix_key") <= F.col("cut")))
+    return done.select("doc_id", "size", "source_size", "target", (F.col("size") * (F.col("epochs") + F.coalesce(more, F.lit(False)).cast("long"))).alias("taken"))
 
 
 ORACLE = f"""

@@ -17,6 +17,7 @@ gives an empty index.
 from __future__ import annotations
 
 import os
+import re
 import struct
 import uuid
 import zlib
@@ -87,24 +88,29 @@ def open_store(uri: str):
 
 @lru_cache(maxsize=2)
 def library_encoder(path: str) -> UnitCache:
-    """Words encoded by the tokenizers library, remembered; special tokens' strings are ordinary text."""
+    """Words encoded by the tokenizers library, remembered. Texts that hold the string of an added token, which the library
+    gives that token's id, are encoded whole."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
+    added = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
+    special = re.compile("|".join(map(re.escape, added))).search if added else None
 
     def encode(units: list[str]) -> list[bytes]:
         out: list[bytes] = []
         for k in range(0, len(units), UNITS):
             part = units[k : k + UNITS]
+            if special and any(map(special, part)):
+                out += [np.array(tokenizer.encode(u, add_special_tokens=False).ids, "<u4").tobytes() for u in part]
+                continue
             found = tokenizer.encode(part, is_pretokenized=True, add_special_tokens=False)  # each unit by itself, in one call
             ends = (np.bincount(np.array(found.word_ids, np.int64), minlength=len(part)).cumsum() * 4).tolist()
             data = np.array(found.ids, "<u4").tobytes()
             out += [data[a:b] for a, b in zip([0, *ends], ends)]
         return out
 
-    return UnitCache(encode, REMEMBERED)
+    return UnitCache(encode, REMEMBERED, special)
 
 
 def write_records(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int, key: str = "doc_id", text: str = "text") -> DataFrame:

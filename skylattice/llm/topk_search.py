@@ -1,11 +1,13 @@
 """Exact top-k search by inner product over tiles.
 
-Components x become floor(1024 * x), integers, so scores are exact. Queries are dealt to tiles and candidates to
-shards by a hash of their ids; each shard meets each tile once, as one matrix product, and yields the k best of each
-query in that shard (partial selection). The lists are merged as a tree: first within groups of shards, then over all.
+Components x become floor(1024 * x), integers, so scores are exact. Queries are dealt to tiles, candidates to shards. Each
+shard streams through one task, its candidates first and then every tile of queries: one matrix product for each tile, of
+which the k best of each query stay (partial selection). The lists are merged as a tree: first within groups of shards,
+then over all.
 
-A shard is re-sent to as many tiles as the queries need (one for each `tile` queries), nothing is broadcast, and a
-task holds one tile, one shard and their product. Queries and candidates only meet where their vectors have the same length.
+Candidates are shuffled once, each query once for each shard, nothing is broadcast; a task holds one shard, one tile and
+their product, and there are as many tasks as shards, however few the queries. Candidates are dealt by row, not by id, so
+repeated ids and vectors spread. Queries and candidates only meet where their vectors have the same length.
 
 Vectors that are null, empty, or hold null or non-finite components take no part, as query or candidate. Ties go to
 the smaller id. Rows with equal ids are each their own candidate, but never one of the query with that id. A score must
@@ -22,12 +24,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-SCALE = 1024
-
+from .common import arrow_rows, staged
 
-def matrix(column: pa.Array, dim: int) -> np.ndarray:
-    flat = column.flatten().to_numpy(zero_copy_only=False)
-    return flat.reshape(len(column), dim)
+SCALE = 1024
 
 
 def product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -53,25 +52,35 @@ def packed(rows: DataFrame, by: list[str]) -> DataFrame:
     return rows.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("id", "vec"))).alias("rows")).select(*by, F.col("rows.id").alias("ids"), F.flatten("rows.vec").alias("vecs"))
 
 
-def search(tiles_and_shards: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
-    for batch in tiles_and_shards:
+def search(stream: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+    """Rows (shard, dim, tile, ids, vecs) in this order; tile -1 stands for candidates, which come before the queries that meet them."""
+    at, held, ids, vecs = None, [], np.empty(0, np.int64), np.empty((0, 0))
+    for batch in stream:
+        out = [[np.empty(0, np.int64)] for _ in range(4)]
         for i in range(batch.num_rows):
-            take = lambda name: batch.column(name)[i].values.to_numpy(zero_copy_only=False)  # noqa: E731, B023
-            dim, qids, ids = batch.column("dim")[i].as_py(), take("q_ids"), take("ids")
-            scores = product(take("q_vecs").reshape(len(qids), dim), take("vecs").reshape(len(ids), dim))
-            out_q, out_v, out_s = [], [], []
-            for q, row in zip(qids, scores):
+            shard, dim, tile = (batch.column(c)[i].as_py() for c in range(3))
+            some, flat = (batch.column(c)[i].values.to_numpy(zero_copy_only=False) for c in (3, 4))
+            matrix = flat.reshape(len(some), dim)
+            if tile < 0:
+                held = [*held, (some, matrix)] if at == (shard, dim) else [(some, matrix)]
+                at, ids = (shard, dim), None
+                continue
+            if at != (shard, dim):
+                continue
+            if ids is None:
+                ids, vecs = np.concatenate([x for x, _ in held]), np.concatenate([m for _, m in held])
+            for q, row in zip(some.tolist(), product(matrix, vecs)):
                 others = ids != q
                 own_ids, own = ids[others], row[others]
                 top = best_of(own_ids, own, k)
-                out_q.append(np.full(len(top), q)), out_v.append(own_ids[top]), out_s.append(own[top])
-            cat = lambda x: pa.array(np.concatenate(x).astype(np.int64) if x else np.empty(0, np.int64))
-            qs = cat(out_q)
-            yield pa.RecordBatch.from_arrays([qs, pa.array(np.full(len(qs), batch.column("shard")[i].as_py(), np.int64)), cat(out_v), cat(out_s)], names=["query_id", "shard", "vec_id", "score"])
+                for column, values in zip(out, (np.full(len(top), q), np.full(len(top), shard), own_ids[top], own[top])):
+                    column.append(values)
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype(np.int64)) for c in out], names=["query_id", "shard", "vec_id", "score"])
 
 
-def top_k(vectors: DataFrame, is_query: Column, key: str = "vec_id", vector: str = "embedding", k: int = 10, tile: int = 1024, shard: int = 1024, fan_in: int = 32) -> DataFrame:
+def top_k(vectors: DataFrame, is_query: Column, key: str = "vec_id", vector: str = "embedding", k: int = 10, tile: int = 512, shard: int = 8192, fan_in: int = 32) -> DataFrame:
     """query_id, rank (from 1), vec_id, score of each query's k best rows other than itself."""
+    spark = vectors.sparkSession
     x = F.col("vec")
     usable = F.coalesce(F.size(x) > 0, F.lit(False)) & F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")))
     rows = (
@@ -80,15 +89,17 @@ def top_k(vectors: DataFrame, is_query: Column, key: str = "vec_id", vector: str
         .select("id", F.size("vec").alias("dim"), F.transform("vec", lambda c: F.floor(c * SCALE).cast("double")).alias("vec"), "is_query")
     )
     n, n_queries = rows.agg(F.count("*"), F.count(F.when(F.col("is_query"), 1))).first()
-    n_tiles, n_shards = max(1, -(-n_queries // tile)), max(1, -(-n // shard))
-    tiles = packed(rows.where("is_query").withColumn("tile", F.pmod(F.xxhash64("id", F.lit("tile")), F.lit(n_tiles))).dropDuplicates(["id", "dim", "vec"]), ["dim", "tile"])
-    shards = packed(rows.withColumn("shard", F.pmod(F.xxhash64("id", F.lit("shard")), F.lit(n_shards))), ["dim", "shard"])
-    met = (
-        shards.withColumn("tile", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_tiles - 1).cast("long"))))
-        .join(tiles.withColumnsRenamed({"ids": "q_ids", "vecs": "q_vecs"}), ["dim", "tile"])
-        .select("dim", "shard", "ids", "vecs", "q_ids", "q_vecs")
-    )
-    lists = met.mapInArrow(lambda batches: search(batches, k), "query_id long, shard long, vec_id long, score long")
+    n_tiles, n_shards, n_blocks = max(1, -(-n_queries // tile)), max(1, -(-n // shard)), max(1, -(-shard // tile))
+    row = F.monotonically_increasing_id()
+    placed = rows.withColumn("row", row).withColumns({"shard": F.pmod(F.xxhash64("row"), F.lit(n_shards)), "block": F.pmod(F.xxhash64("row", F.lit("block")), F.lit(n_blocks))})
+    candidates = packed(placed, ["shard", "dim", "block"]).withColumn("tile", F.lit(-1).cast("long"))
+    queries = rows.where("is_query").dropDuplicates(["id", "dim", "vec"]).withColumn("tile", F.pmod(F.xxhash64("id", "vec"), F.lit(n_tiles)))
+    queries = packed(queries, ["dim", "tile"]).withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_shards - 1).cast("long"))))
+    columns = ["shard", "dim", "tile", "ids", "vecs"]
+    stream = candidates.select(columns).unionByName(queries.select(columns)).repartition(n_shards, "shard").sortWithinPartitions("shard", "dim", "tile")
+    # A row is a tile: some to a batch, not thousands.
+    with arrow_rows(spark, 16):
+        lists = staged(stream.mapInArrow(lambda batches: search(batches, k), "query_id long, shard long, vec_id long, score long"), "top-lists")
     best = lambda *by: F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("score"), "vec_id"))
     groups = max(1, -(-n_shards // fan_in))
     merged = lists.withColumn("part", F.pmod("shard", F.lit(groups))).withColumn("rank", best("query_id", "part")).where(F.col("rank") <= k)

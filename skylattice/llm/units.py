@@ -33,10 +33,11 @@ class _Known(dict):
 
 
 class UnitCache:
-    """encode: units -> their encodings, each as bytes."""
+    """encode: units -> their encodings, each as bytes. whole: tells the texts that must not be cut, besides those for which the rule does not hold."""
 
-    def __init__(self, encode: Callable[[list[str]], list[bytes]], remembered: int = REMEMBERED):
+    def __init__(self, encode: Callable[[list[str]], list[bytes]], remembered: int = REMEMBERED, whole: Callable[[str], object] | None = None):
         self.encode_units = encode
+        self.whole = whole
         self.remembered = remembered
         self.first, self.later = _Known(), _Known()
         self.tails: dict[str, bytes] = {}
@@ -65,7 +66,7 @@ class UnitCache:
             known.update(islice(((w, x) for w, x in known.passing.items() if len(w) <= LONG), room))
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        whole = [i for i, t in enumerate(texts) if UNSAFE(t)]
+        whole = [i for i, t in enumerate(texts) if UNSAFE(t) or (self.whole and self.whole(t))]
         split = [t.split(" ") for t in texts]
         for i in whole:
             split[i] = [""]

@@ -6,7 +6,9 @@ import corpus_pipeline
 import pytest
 from test_corpus_operators import brute_components, brute_lines, near_copies, words_of
 
-from skylattice.llm import byte_bpe, ngram_join, quality
+from pyspark.sql import functions as F
+
+from skylattice.llm import byte_bpe, common, ngram_join, quality
 
 
 def test_pipeline(spark, sf):
@@ -98,3 +100,35 @@ def test_near_duplicate_stage_with_repeated_and_null_ids(spark):
     got = stage(spark, spark.createDataFrame(rows, "doc_id long, text string"), "")
     assert got.columns == ["doc_id", "text"]
     assert sorted((r.doc_id or 0, r.text or "") for r in got.collect()) == sorted([(4, a), (0, b), (4, c), (1, ""), (1, ""), (0, "")])
+
+
+CLASHES = {
+    "quality": ["score", "predicted", "held_out", "label"],
+    "line_dedup": ["doc", "mark", "cuts", "_lines", "n_lines", "n_cut", "line_dedup_doc", "line_dedup_mark", "line_dedup_cuts", "line_dedup_lines", "line_dedup_done"],
+    "ngram_join": ["uid", "row", "id", "component", "stays", "skylattice_row"],
+    "source_mix": ["bin", "mix_key", "mix_source", "cut", "epochs", "plan_source", "size", "target", "copies", "mix_row", "mix_words", "mix_taken", "mix_copy", "cut_bin", "_copy", "mix_0"],
+    "byte_bpe": ["_text_", "whole_text"],
+}
+
+
+@pytest.mark.parametrize("name", CLASHES)
+def test_columns_of_the_user_survive(spark, sf, name):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").limit(60).select("doc_id", "text", "source", "n_chars").withColumns({c: F.concat(F.lit(f"{c}-"), "doc_id") for c in CLASHES[name]})
+    out = dict(corpus_pipeline.STAGES)[name](spark, docs, sf)
+    want = [c for c in docs.columns if name != "byte_bpe" or c != "text"]
+    assert [c for c in out.columns if c != "ids" or name != "byte_bpe"] == want
+    rows = out.collect()
+    assert rows and all(r[c] == f"{c}-{r.doc_id}" for r in rows for c in CLASHES[name])
+
+
+def test_pipeline_stages_on_an_empty_table(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").limit(0)
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs, sf).count() == 0, name
+
+
+def test_a_sieve_lets_all_its_keys_pass(spark):
+    keys = spark.range(0, 3000, 3).select(F.col("id").alias("k"))
+    passed = {r.id for r in spark.range(3000).where(common.sieve(keys)("id")).collect()}
+    assert set(range(0, 3000, 3)) <= passed and len(passed) < 1010
+    assert spark.range(5).where(common.sieve(keys.limit(0))("id")).count() == 0

@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import math
 import random
 import zlib
 
@@ -14,7 +15,7 @@ from skylattice.llm import byte_bpe, fingerprints, html_extract, license_scan, q
 
 ODD = [
     None, "", " ", "  ", "a", "\n", "a b", "a  b", "a \n b", " lead", "trail ", "tab\t tab", "don't we'll  it's", "ünïcödé  straße x", "数字123 и слова", "x" * 5000, "ab" * 3000 + " end",
-    "a  b", "\x1c \x1f a", "it 's\r\n\r\n  two", "🙂🙂 ‍", "\x00 null", "…  \t\n\n  z", "<|endoftext|> x",
+    "a  b", "\x1c \x1f a", "it 's\r\n\r\n  two", "🙂🙂 ‍", "\x00 null", "…  \t\n\n  z", "<|endoftext|> x", "see <|endoftext|> here", "<|endoftext|>", "a<|endoftext|>  b <|endoftext|><|endoftext|> c. ",
 ]
 
 
@@ -46,7 +47,6 @@ def test_records_equal_the_library(spark, texts, tmp_path):
 
     path = public_tokenizers.path("byte_bpe_50k.json")
     library = Tokenizer.from_file(path)
-    library.encode_special_tokens = True
     index = token_records.write_records(documents(spark, texts), str(tmp_path), path, 2)
     rows = sorted(token_records.numbered(token_records.read_files(index), index).collect(), key=lambda r: r.doc_id)
     start = 0
@@ -234,3 +234,179 @@ def test_quality_pairs_differ(n_good, n_bad):
     assert len(good) == max(quality.PAIRS * n_bad, n_good)
     assert len(set(zip(good.tolist(), bad.tolist()))) == min(len(good), n_good * n_bad)
     assert len(set(good.tolist())) == n_good and len(set(bad.tolist())) == n_bad
+
+
+def slow_fingerprint(text):
+    """Context-triggered piecewise hashing written a second time, a byte at a time."""
+    data = text.encode()
+    if not data:
+        return "3::"
+    hashes = []
+    for i in range(len(data)):
+        window = [data[i - j] if i >= j else 0 for j in range(7)]
+        shifted = 0
+        for j, byte in enumerate(window):
+            shifted ^= (byte << 5 * j) % 2**32
+        hashes.append((sum(byte * (8 - j) for j, byte in enumerate(window)) + shifted) % 2**32)
+    ends_for = lambda block: [i for i, h in enumerate(hashes) if h % block == block - 1]
+    block = 3
+    while block * 64 < len(data):
+        block *= 2
+    while len(ends_for(block)) < 32 and block > 3:
+        block //= 2
+    while len(ends_for(block)) >= 64 and (len(ends_for(2 * block)) >= 16 or len(ends_for(block)) >= 4096):
+        block *= 2
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    parts = []
+    for b in (block, 2 * block):
+        chunks, start = [], 0
+        for end in [*ends_for(b), len(data) - 1]:
+            if end >= start:
+                chunks.append(data[start : end + 1])
+                start = end + 1
+        parts.append("".join(letters[(zlib.crc32(c) & 0xFFF) >> 6] + letters[zlib.crc32(c) & 63] for c in chunks))
+    return f"{block}:{parts[0]}:{parts[1]}"
+
+
+def slow_likeness(a, b):
+    """1 less the insert-and-delete distance over the joint length, for signatures of equal block sizes, the better one."""
+    if a == b:
+        return 1.0
+    (m, *left), (n, *right) = a.split(":"), b.split(":")
+    best = 0.0
+    for i, x in enumerate(left):
+        for j, y in enumerate(right):
+            if int(m) << i != int(n) << j:
+                continue
+            x2, y2 = [x[k : k + 2] for k in range(0, len(x), 2)], [y[k : k + 2] for k in range(0, len(y), 2)]
+            row = list(range(len(y2) + 1))
+            for p, u in enumerate(x2, 1):
+                last, row[0] = row[0], p
+                for q, v in enumerate(y2, 1):
+                    last, row[q] = row[q], last if u == v else 1 + min(row[q], row[q - 1])
+            if x2 and y2:
+                best = max(best, 1 - row[-1] / (len(x2) + len(y2)))
+    return best
+
+
+def test_fingerprints_against_a_second_version(texts):
+    rng = random.Random(8)
+    some = [t or "" for t in texts[:45]] + ["ab\n" * 700, "".join(rng.choice("abc ") for _ in range(4000))]
+    prints = [fingerprints.fingerprint(t) for t in some]
+    assert prints == [slow_fingerprint(t) for t in some]
+    for text, own in zip(some, prints):
+        half = fingerprints.fingerprint(text[: len(text) // 2] + "something else entirely " * (len(text) // 48))
+        for other in (half, rng.choice(prints)):
+            assert abs(fingerprints.likeness(own, other) - slow_likeness(own, other)) < 1e-12
+
+
+def test_fingerprint_ranges_follow_the_data(spark, texts, monkeypatch):
+    docs = documents(spark, texts[:60])
+    want = sorted(tuple(r) for r in fingerprints.neighbours(docs).collect())
+    monkeypatch.setattr(fingerprints, "RANGE_BYTES", 5000)
+    assert sorted(tuple(r) for r in fingerprints.neighbours(docs).collect()) == want
+
+
+def test_quality_loss_and_gradient():
+    rng = np.random.default_rng(4)
+    d = rng.normal(0.4, 1, (200, 5))
+    w = quality.fit(d)
+    loss = lambda v: float(np.mean(np.log1p(np.exp(-d @ v))) + quality.RIDGE / 2 * v @ v)
+    slopes = [(loss(w + e) - loss(w - e)) / 2e-5 for e in np.eye(5) * 1e-5]
+    assert np.abs(slopes).max() < 1e-6
+    # Plain gradient descent, pair by pair, ends at the same place.
+    v = np.zeros(5)
+    for _ in range(4000):
+        g = np.zeros(5)
+        for row in d[:, None, :]:
+            g -= row[0] / (1 + math.exp(float(row[0] @ v)))
+        v -= 0.5 * (g / len(d) + quality.RIDGE * v) if np.abs(g).max() else 0
+        if np.abs(g / len(d) + quality.RIDGE * v).max() < 1e-7:
+            break
+    assert np.abs(v - w).max() < 1e-4
+
+
+def test_quality_threshold_is_a_quantile():
+    values, mass = np.array([4.0, 1.0, 3.0, 2.0]), np.full(4, 0.25)
+    assert quality.quantile(values, mass, 0.5) == 2.5 and quality.quantile(values, mass, 0.25) == 1.5
+    assert quality.quantile(values, mass, 0.0) == 1.0 and quality.quantile(values, mass, 1.0) == 4.0
+
+
+def test_top_k_spreads_candidates_of_one_tile(spark):
+    import pyspark.sql.functions as f
+
+    rows = [(i, [float((i * 7 + j * 3) % 11) for j in range(4)]) for i in range(200)] + [(5, [1.0] * 4)] * 100
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = topk_search.top_k(df, f.col("vec_id") % 100 == 0, k=4, shard=32)
+    scaled = [(i, [math.floor(1024 * x) for x in v]) for i, v in rows]
+    for q in (0, 100):
+        own = next(v for i, v in scaled if i == q)
+        want = sorted((-sum(a * b for a, b in zip(own, v)), i) for i, v in scaled if i != q)[:4]
+        assert [(-r.score, r.vec_id) for r in got.where(f"query_id = {q}").orderBy("rank").collect()] == want
+    seen = spark.createDataFrame([(i,) for i in range(300)], "row long").select(f.pmod(f.xxhash64("row"), f.lit(10)).alias("shard"))
+    assert seen.distinct().count() == 10
+
+
+def test_one_long_piece_is_merged_quickly():
+    import time
+
+    path, pattern = byte_bpe.public_ranks()
+    own = byte_bpe.encoder(path, pattern)
+    rng = random.Random(6)
+    for n in (5, 64, 700, 3000):
+        piece = "".join(rng.choice("abcdeéß") for _ in range(n)).encode()
+        assert own.bpe.merge_long(piece) == own.bpe.merge([piece], 1 << (len(piece) - 1).bit_length())[0]
+    start = time.time()
+    long = "".join(rng.choice("abcdefgh") for _ in range(200_000))
+    (ids,) = own.encode([long])
+    assert own.bpe.decode(np.frombuffer(ids, "<i4").tolist()) == long.encode() and time.time() - start < 20
+
+
+def test_bpe_with_another_pattern_encodes_texts_whole():
+    import tiktoken
+
+    path, _ = byte_bpe.public_ranks()
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(path, "rb"))}
+    pattern = r"[a-z ]+|[^a-z ]"
+    library = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    for text in ("several words in one match", "a b. c d", ""):
+        assert np.frombuffer(byte_bpe.Encoder(path, pattern).encode([text])[0], "<i4").tolist() == library.encode_ordinary(text)
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<script '" * 500_000, "<span>" * 400_000 + "</b>" * 400_000, "<p>" + "<span>" * 400_000 + "<hr>" * 400_000, "<a " + "a" * 5_000_000 + ">x</a>", "<" * 5_000_000,
+        "<a '" * 400_000 + '<a "' * 400_000, "<!--" * 1_000_000, "<svg><foreignObject>" + "<span>" * 300_000 + "<hr>" * 300_000 + "</svg>",
+    ],
+    ids=range(8),
+)
+def test_hostile_pages_take_linear_time(page):
+    import time
+
+    start = time.time()
+    html_extract.main_text(page)
+    assert time.time() - start < 10
+
+
+def test_single_document_operators_on_odd_tables(spark):
+    long = "mit license " * 30_000
+    docs = spark.createDataFrame([(1, long, 7), (1, long, 7), (None, None, 8), (2, "", 9)], "doc_id long, text string, key int")
+    rows = sorted((r.doc_id or 0, r.n_words, r.n_base, r.labels) for r in license_scan.scan_licenses(docs).collect())
+    assert rows == [(0, 0, 0, ""), (1, 60_000, 30_000, "mit"), (1, 60_000, 30_000, "mit"), (2, 0, 0, "")]
+    none = docs.limit(0)
+    assert license_scan.scan_licenses(none).count() == 0 and quality.scored(none, quality.learn(none, spark.createDataFrame([], "doc_id long, quality int"))).count() == 0
+    path, pattern = byte_bpe.public_ranks()
+    assert byte_bpe.round_trip(none, path, pattern).count() == 0
+    kept = byte_bpe.round_trip(docs.withColumnsRenamed({"key": "whole_text"}), path, pattern).collect()
+    assert sorted((r.doc_id or 0, r.whole_text, bytes(r.decoded).decode()) for r in kept) == [(0, 8, ""), (1, 7, long), (1, 7, long), (2, 9, "")]
+    assert html_extract.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+    same = sorted((r.doc_id or 0, r.near_next) for r in fingerprints.neighbours(docs).collect())
+    assert same[1][1] == 1.0 or same[2][1] == 1.0
+
+
+def test_mix_with_equal_keys_and_a_weight_column(spark):
+    docs = spark.createDataFrame([(5, "a b c", "s", 0.5, 1)] * 6 + [(i, "a b", "s", None, 2) for i in range(20)], "doc_id long, text string, source string, w double, size int")
+    rows = source_mix.mix_sources(docs, weight="w").collect()
+    assert len(rows) == 26 and len({r.copies for r in rows if r.doc_id == 5}) == 1
+    assert source_mix.mixed_documents(docs).select("size").distinct().count() <= 2
