@@ -14,27 +14,26 @@ def _star(keep: Scratch, edges: DataFrame, large: bool) -> DataFrame:
     The hub of a giant component is one key of the join: lookup() sends the largest hubs' least neighbours to all tasks."""
     both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     near = both if large else both.where(F.col("v") < F.col("u"))
-    least = keep.table(near.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("m", "u")), "least")
+    least = keep.table(near.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).withColumn("m", F.least("m", "u")), "least")
     if large:
-        out = lookup(near, least, ["u"]).where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
+        out = lookup(near, least.drop("n"), ["u"], least).where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:
         # After a large step the hubs are the least of their neighbours, with none smaller.
-        out = near.join(least.hint("merge"), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
+        out = near.join(least.drop("n").hint("merge"), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
     return keep.table(out.where(F.col("u") != F.col("v")).distinct(), "edges")
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(u, label) of every vertex that has an edge to a smaller one: label is the least vertex of its component.
 
-    Each step is an aggregation and a join; what changes between steps is told by a count and a checksum."""
+    Each step is an aggregation and a join. They end when the edges are stars: nothing has two parents, no parent has one."""
     keep = Scratch(edges.sparkSession)
     now = keep.table(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where(F.col("u") != F.col("v")).distinct(), "edges")
-    mark = None
     while True:
-        got = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if got == mark or got[0] == 0:
+        parents = now.select(F.col("v").alias("u")).distinct().join(now.select("u").hint("merge"), "u", "left_semi")
+        several = now.groupBy("u").agg(F.count("*").alias("n")).where("n > 1").select("u")
+        if parents.unionByName(several).isEmpty():
             break
-        mark = got
         now = _star(keep, _star(keep, now, True), False)
     labels = staged(now.select("u", F.col("v").alias("label")), "labels")
     keep.clear()

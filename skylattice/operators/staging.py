@@ -65,12 +65,11 @@ class Scratch:
         self.drop(*list(self.tables.values()))
 
 
-def lookup(rows: DataFrame, small: DataFrame, keys: list[str], how: str = "inner", counts: DataFrame | None = None) -> DataFrame:
-    """rows joined (inner or left) with small, which has few rows to a key, where a key may hold any share of rows.
+def lookup(rows: DataFrame, small: DataFrame, keys: list[str], counts: DataFrame) -> DataFrame:
+    """rows joined with small, which has few rows to a key, where a key may hold any share of rows.
 
-    The HOTTEST most frequent keys of rows, a fixed number at every size, meet small by broadcast; all others by a shuffled
-    join. Keys are not null. rows is read three times: give a written table. counts: of the keys that small has, as n, where known."""
-    counts = rows.groupBy(*keys).agg(F.count("*").alias("n")) if counts is None else counts
+    The HOTTEST keys of counts (keys, and their rows as n), a fixed number at every size, meet rows by broadcast; all others
+    by a shuffled join. Keys are not null. rows is read twice: give a written table."""
     top = F.broadcast(counts.orderBy(F.desc("n"), *keys).limit(HOTTEST).select(*keys))
-    hot = rows.join(top, keys, "left_semi").join(F.broadcast(small.join(top, keys, "left_semi")), keys, how)
-    return hot.unionByName(rows.join(top, keys, "left_anti").join(small.hint("merge"), keys, how))
+    hot = rows.join(F.broadcast(small.join(top, keys, "left_semi")), keys)
+    return hot.unionByName(rows.join(top, keys, "left_anti").join(small.hint("merge"), keys))
