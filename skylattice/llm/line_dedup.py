@@ -90,7 +90,7 @@ def repeated_runs(keep: Scratch, lines: DataFrame, least: int) -> DataFrame:
     """(doc, mark, pos, len, from_line, to_line) of the stretches that are later copies."""
     ids = ranked(keep, lines.groupBy("hi", "lo").agg(F.count("*").alias("n")).where(F.col("n") > 1), "hi", "lo")
     # Rows equal in id and text leave one set of lines.
-    live = lookup(lines, ids.drop("n"), ["hi", "lo"], counts=ids).drop("hi", "lo").dropDuplicates(PLACE)
+    live = lookup(lines, ids.drop("n"), ["hi", "lo"], ids).drop("hi", "lo").dropDuplicates(PLACE)
     live = keep.table(live, "repeated-lines")
     keep.drop(lines, ids)
     end = F.col("pos") + F.lit(0)
@@ -113,7 +113,7 @@ def repeated_runs(keep: Scratch, lines: DataFrame, least: int) -> DataFrame:
         ahead = suffixes.select("doc", "mark", (F.col("pos") - step).alias("pos"), F.col("rank").alias("r1"))
         pairs = keep.table(here.join(ahead.hint("merge"), PLACE), "pairs-of-ranks")
         ranks = ranked(keep, pairs.groupBy("r0", "r1").agg(F.count("*").alias("n")).where(F.col("n") > 1), "r0", "r1")
-        suffixes = keep.table(lookup(pairs, ranks.drop("n"), ["r0", "r1"], counts=ranks).select(*PLACE, "rank"), "suffixes")
+        suffixes = keep.table(lookup(pairs, ranks.drop("n"), ["r0", "r1"], ranks).select(*PLACE, "rank"), "suffixes")
         keep.drop(pairs, ranks)
         step *= 2
     if found is None:
@@ -122,9 +122,9 @@ def repeated_runs(keep: Scratch, lines: DataFrame, least: int) -> DataFrame:
     interval = ["len", "r0", "r1"]
     # The first place of each interval, found without sorting one: the least id, then mark, then place.
     sizes = keep.table(found.groupBy(*interval).agg(F.count("*").alias("n"), F.min("doc").alias("d")).where(F.col("n") > 1), "sizes-of-intervals")
-    first = lookup(found, sizes.drop("n"), interval, counts=sizes).where(F.col("doc") == F.col("d")).groupBy(*interval, "d", "mark").agg(F.min("pos").alias("p"))
+    first = lookup(found, sizes.drop("n"), interval, sizes).where(F.col("doc") == F.col("d")).groupBy(*interval, "d", "mark").agg(F.min("pos").alias("p"))
     first = keep.table(first.groupBy(*interval, "d").agg(F.min("mark").alias("m"), F.min_by("p", "mark").alias("p")), "first-places")
-    later = lookup(found, first, interval, counts=sizes)
+    later = lookup(found, first, interval, sizes)
     return later.where((F.col("doc") != F.col("d")) | (F.col("mark") != F.col("m")) | (F.col("pos") != F.col("p"))).select(*PLACE, "len", "from_line", "to_line")
 
 

@@ -202,11 +202,12 @@ def verified(keep: Scratch, texts: DataFrame, pairs: DataFrame, words: int, link
     """The pairs (u, v) whose whole sets link. The partners u of a pivot v are dealt to blocks of BLOCK, so that a pivot with any
     share of all pairs is no single task; each block streams behind its pivot's text."""
     pairs = keep.table(pairs, "candidates")
-    pivots = keep.table(pairs.groupBy("v").agg(F.ceil(F.count("*") / BLOCK).alias("blocks")), "pivots")
+    pivots = keep.table(pairs.groupBy("v").agg(F.count("*").alias("n")), "pivots")
     of = lambda name: texts.withColumnRenamed("uid", name).hint("merge")
-    dealt = lookup(pairs, pivots, ["v"]).select("u", "v", F.pmod(F.xxhash64("u"), "blocks").alias("block"))
+    blocks = F.ceil(F.col("n") / BLOCK)
+    dealt = lookup(pairs, pivots, ["v"], pivots).select("u", "v", F.pmod(F.xxhash64("u"), blocks).alias("block"))
     own = dealt.join(of("u"), "u").select("v", "block", "u", "text")
-    heads = pivots.join(of("v"), "v").select("v", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), F.lit(None).cast("long").alias("u"), "text")
+    heads = pivots.join(of("v"), "v").select("v", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)).alias("block"), F.lit(None).cast("long").alias("u"), "text")
     both = heads.unionByName(own).repartition("v", "block").sortWithinPartitions("v", "block", F.asc_nulls_first("u"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -307,14 +308,14 @@ def _components_of(docs: DataFrame, key: str, text: str, words: int, link: int)
     # Sets without tokens are linked with nothing.
     empty = keep.table(sets.where("n = 0").select("doc_id", F.lit(0).cast("long").alias("n_shingles"), F.col("doc_id").alias("component_id")), "empty-sets")
     named = keep.table(sets.where("n > 0").select("uid", "doc_id", "mark", "n", "hi", "lo", "kept"), "named-sets")
-    vertices = keep.table(named.groupBy("hi", "lo").agg(F.min("uid").alias("rep"), F.min("doc_id").alias("least")), "vertices")
+    vertices = keep.table(named.groupBy("hi", "lo").agg(F.min("uid").alias("rep"), F.min("doc_id").alias("least"), F.count("*").alias("n")), "vertices")
 
     # Signatures that several sets have. What several tasks have met is named by its vertex.
     marks = sets.select(F.col("uid").alias("u"), F.explode("singles").alias("sig"), F.lit(1).alias("one")).unionByName(sets.select(F.col("uid").alias("u"), F.explode("pairs").alias("sig"), F.lit(0).alias("one")))
     marks = marks.repartition("sig", "one")
     shared = marks.groupBy("sig", "one").agg(F.min("u").alias("a"), F.max("u").alias("b")).where("a < b").select("sig", "one")
     lists = keep.table(marks.join(shared.hint("shuffle_hash"), ["sig", "one"]), "shared-signatures")
-    again = lookup(named.where("kept"), vertices, ["hi", "lo"]).where("uid <> rep").select(F.col("uid").alias("u"), "rep")
+    again = lookup(named.where("kept").drop("n"), vertices, ["hi", "lo"], vertices).where("uid <> rep").select(F.col("uid").alias("u"), "rep")
     lists, raw = keep.table(lists.join(again.hint("merge"), "u", "left").select("sig", "one", F.coalesce("rep", "u").alias("u")).repartition("sig", "one").distinct(), "lists"), lists
     keep.drop(raw, sets)
 
@@ -338,24 +339,26 @@ def _components_of(docs: DataFrame, key: str, text: str, words: int, link: int)
     near = (F.col("n") * 100 >= F.col("m") * link) & (F.col("m") * 100 >= F.col("n") * link)
     least_extra = F.ceil(F.least("n", "m") / 20) + 2
 
-    links, labels = [], None
+    labels = None
     for turns in PIVOTS:
         now = lists.withColumn("label", F.col("u")) if labels is None else lists.join(labels.hint("merge"), "u", "left").withColumn("label", F.coalesce("label", "u"))
         now = keep.table(now, "labelled-lists")
         # The nearest to each turn by exclusive or: one vertex of each list, the same one in all lists that hold it and its like.
         nearest = [F.min_by(F.struct(F.col("u").alias("v"), F.col("n").alias("m"), F.col("label").alias("other")), F.col("u").bitwiseXOR(F.lit(t))).alias(f"p{i}") for i, t in enumerate(turns)]
         several = now.groupBy("sig", "one").agg(F.count("*").alias("k"), F.min("label").alias("a"), F.max("label").alias("b"), *nearest).where("a < b").drop("a", "b")
+        links = []
         if turns:
             # Pivots only save work; a pair needs half of what a link would share to be looked at here.
-            several = several.select("sig", "one", F.explode(F.array_distinct(F.array(*[f"p{i}" for i in range(len(turns))]))).alias("p")).select("sig", "one", "p.*")
-            met = lookup(now, keep.table(several, "pivots-of-lists"), ["sig", "one"]).where("u <> v").where((F.col("label") != F.col("other")) & near)
+            several = keep.table(several.select("sig", "one", "k", F.array_distinct(F.array(*[f"p{i}" for i in range(len(turns))])).alias("p")), "pivots-of-lists")
+            met = lookup(now, several.select("sig", "one", F.explode("p").alias("p")).select("sig", "one", "p.*"), ["sig", "one"], several.withColumnRenamed("k", "n")).where("u <> v").where((F.col("label") != F.col("other")) & near)
             met = met.withColumns({"more_ones": F.lit(0), "more_twos": F.lit(0)})
             share = told >= (least_extra + 1) / 2
         else:
-            now, raw = keep.table(lookup(now, keep.table(several, "sizes-of-lists"), ["sig", "one"]), "mixed-lists"), now
+            several = keep.table(several, "sizes-of-lists")
+            now, raw = keep.table(lookup(now, several, ["sig", "one"], several.withColumnRenamed("k", "n")), "mixed-lists"), now
             keep.drop(raw)
             long = now.where(F.col("k") > TILE)
-            links.append(tile_links(keep, texts, long, words, link))
+            links = [tile_links(keep, texts, long, words, link)]
             # What a pair shares in long lists besides is at most the lesser number of them that either stands in.
             seats = long.groupBy("u").agg(F.sum("ones").alias("o"), F.sum("twos").alias("t"))
             now = now.where(F.col("k") <= TILE).drop("k").join(seats.hint("merge"), "u", "left").fillna(0, ["o", "t"])
@@ -365,13 +368,17 @@ def _components_of(docs: DataFrame, key: str, text: str, words: int, link: int)
             share = told >= least_extra + 1 - 1e-9
         pairs = met.groupBy("u", "v", "n", "m").agg((F.sum("ones") + F.max("more_ones")).alias("ones"), (F.sum("twos") + F.max("more_twos")).alias("twos")).where(share).select("u", "v")
         links.append(verified(keep, texts, pairs, words, link))
-        labels = components(reduce(DataFrame.unionByName, links))
+        links = reduce(DataFrame.unionByName, links)
+        if labels is None:
+            labels = components(links)
+        elif not links.isEmpty():
+            labels = components(labels.withColumnRenamed("label", "v").unionByName(links))
 
     final = vertices.join(labels.withColumnRenamed("u", "rep").hint("merge"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
     final = keep.table(final, "labelled-vertices")
-    least = keep.table(final.groupBy("label").agg(F.min("least").alias("component_id")), "least-documents")
-    final = keep.table(lookup(final, least, ["label"]).select("hi", "lo", "component_id"), "component-of-vertices")
-    linked = lookup(named, final, ["hi", "lo"]).select("doc_id", F.col("n").cast("long").alias("n_shingles"), "component_id")
+    least = keep.table(final.groupBy("label").agg(F.min("least").alias("component_id"), F.count("*").alias("n")), "least-documents")
+    final = keep.table(lookup(final, least.drop("n"), ["label"], least).select("hi", "lo", "component_id", "n"), "component-of-vertices")
+    linked = lookup(named, final.drop("n"), ["hi", "lo"], final).select("doc_id", F.col("n").cast("long").alias("n_shingles"), "component_id")
     done = staged(linked.unionByName(empty).select(*[F.when(F.col(c) != NO_ID, F.col(c)).alias(c) if c != "n_shingles" else F.col(c) for c in linked.columns]), "components")
     keep.clear()
     return done
@@ -386,8 +393,8 @@ def representatives(docs: DataFrame) -> DataFrame:
     rows = components_of(keyed, row, words=STAGE_WORDS, link=STAGE_LINK).select(F.col("doc_id").alias("row"), F.col("component_id").alias("component"))
     ids = keyed.select(F.col(row).alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"))
     rows = keep.table(rows.join(ids.hint("merge"), "row"), "rows-of-components")
-    groups = keep.table(rows.groupBy("component").agg(F.min(F.struct("id", "row"))["row"].alias("stays")), "groups")
-    gone = staged(lookup(rows, groups, ["component"]).where("row <> stays").select(F.col("row").alias(row)), "copies")
+    groups = keep.table(rows.groupBy("component").agg(F.min(F.struct("id", "row"))["row"].alias("stays"), F.count("*").alias("n")), "groups")
+    gone = staged(lookup(rows, groups, ["component"], groups).where("row <> stays").select(F.col("row").alias(row)), "copies")
     keep.clear()
     # Texts stay where they are but for those whose keys pass the sieve.
     maybe = sieve(gone)(row)
