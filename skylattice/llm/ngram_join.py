@@ -14,7 +14,7 @@ Frequent tokens are those found often by counts over all documents (each task re
 its documents); which tokens are in the class only decides the order, never which links are found, so the class may be
 limited to the HOT_MOST most frequent and broadcast.
 
-Equal sets are one vertex, and signatures with equal lists of vertices one list with a weight: near copies share many. To
+Equal sets of a task are one vertex, and signatures with equal lists of vertices one list with a weight: near copies share many. To
 not make all pairs of a group of near copies, lists first link each vertex to a pivot or two of the list, and vertices that
 are already in one component are not compared again; what is left are lists that still hold several components: short ones
 make their pairs, long ones are cut into tiles whose sets meet as matrices, so that only links come out. Links within a
@@ -304,27 +304,20 @@ def _components_of(docs: DataFrame, key: str, text: str, words: int, link: int)
     hot = spark.sparkContext.broadcast(frequent_tokens(given, words))
     sets = keep.table(to_sets(rows, words, link, hot).withColumn("uid", F.monotonically_increasing_id()), "sets")
 
-    # Equal sets are one vertex, named by the least uid. Any of its documents' texts serves; that of the least uid is taken.
+    # A task signs equal sets once; equal sets of several tasks link like any others. All take the label of the least uid.
     # Sets without tokens are linked with nothing.
     empty = keep.table(sets.where("n = 0").select("doc_id", F.lit(0).cast("long").alias("n_shingles"), F.col("doc_id").alias("component_id")), "empty-sets")
     named = keep.table(sets.where("n > 0").select("uid", "doc_id", "mark", "n", "hi", "lo", "kept"), "named-sets")
     vertices = keep.table(named.groupBy("hi", "lo").agg(F.min("uid").alias("rep"), F.min("doc_id").alias("least"), F.count("*").alias("n")), "vertices")
 
-    # Signatures that several sets have. What several tasks have met is named by its vertex.
+    # Signatures that several sets have; those with the same list of sets are one list, which counts as often: copies share many.
     marks = sets.select(F.col("uid").alias("u"), F.explode("singles").alias("sig"), F.lit(1).alias("one")).unionByName(sets.select(F.col("uid").alias("u"), F.explode("pairs").alias("sig"), F.lit(0).alias("one")))
     marks = marks.repartition("sig", "one")
-    shared = marks.groupBy("sig", "one").agg(F.min("u").alias("a"), F.max("u").alias("b")).where("a < b").select("sig", "one")
-    lists = keep.table(marks.join(shared.hint("shuffle_hash"), ["sig", "one"]), "shared-signatures")
-    again = lookup(named.where("kept").drop("n"), vertices, ["hi", "lo"], vertices).where("uid <> rep").select(F.col("uid").alias("u"), "rep")
-    lists, raw = keep.table(lists.join(again.hint("merge"), "u", "left").select("sig", "one", F.coalesce("rep", "u").alias("u")).repartition("sig", "one").distinct(), "lists"), lists
-    keep.drop(raw, sets)
-
-    # Signatures with the same list are one list, which counts as often: copies share many.
     whose = [F.bit_xor(F.xxhash64("u", F.lit(i))).alias(f"h{i}") for i in (1, 2)]
-    kinds = lists.groupBy("sig", "one").agg(F.count("*").alias("k"), *whose).where("k > 1")
+    kinds = marks.groupBy("sig", "one").agg(F.count("*").alias("k"), *whose).where("k > 1")
     kinds = kinds.groupBy("k", "h1", "h2").agg(F.min(F.struct("sig", "one")).alias("s"), F.sum("one").alias("ones"), F.sum(1 - F.col("one")).alias("twos")).select("s.sig", "s.one", "ones", "twos")
-    lists, raw = keep.table(lists.join(kinds.hint("merge"), ["sig", "one"]), "kinds-of-lists"), lists
-    keep.drop(raw)
+    lists = keep.table(marks.join(kinds.hint("shuffle_hash"), ["sig", "one"]), "kinds-of-lists")
+    keep.drop(sets)
 
     # Pairs of shared frequent tokens tell how many are shared: p pairs of s tokens, p = s (s - 1) / 2; without any, one may be.
     told = F.col("ones") + F.when(F.col("twos") > 0, (1 + F.sqrt(1 + 8 * F.col("twos"))) / 2).otherwise(1)
@@ -358,7 +351,8 @@ def _components_of(docs: DataFrame, key: str, text: str, words: int, link: int)
             now, raw = keep.table(lookup(now, several, ["sig", "one"], several.withColumnRenamed("k", "n")), "mixed-lists"), now
             keep.drop(raw)
             long = now.where(F.col("k") > TILE)
-            links = [tile_links(keep, texts, long, words, link)]
+            if not long.isEmpty():
+                links = [tile_links(keep, texts, long, words, link)]
             # What a pair shares in long lists besides is at most the lesser number of them that either stands in.
             seats = long.groupBy("u").agg(F.sum("ones").alias("o"), F.sum("twos").alias("t"))
             now = now.where(F.col("k") <= TILE).drop("k").join(seats.hint("merge"), "u", "left").fillna(0, ["o", "t"])
