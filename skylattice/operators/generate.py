@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from skylattice.functions.kinematics import uniform
 
-# The five sites of the stream generator (id, x, y, range, period, chances of PSR and SSR detection).
+# Five sites of our own choosing (id, x, y, range, period, chances of PSR and SSR detection).
 SITES = [(0, 0.0, 0.0, 120000.0, 5.5, 0.9, 0.95), (1, 60000.0, 20000.0, 110000.0, 6.0, 0.88, 0.94), (2, -50000.0, 40000.0, 100000.0, 7.0, 0.86, 0.93), (3, 20000.0, -70000.0, 100000.0, 8.0, 0.85, 0.92), (4, -60000.0, -50000.0, 90000.0, 9.0, 0.84, 0.9)]
 SITE_SCHEMA = "site int, sx double, sy double, max_range double, period double, psr double, ssr double"
 
