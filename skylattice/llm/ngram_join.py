@@ -16,7 +16,7 @@ limited to the HOT_MOST most frequent and broadcast.
 
 Equal sets of a task are one vertex, and signatures with equal lists of vertices one list with a weight: near copies share many. To
 not make all pairs of a group of near copies, lists first link each vertex to a pivot or two of the list, and vertices that
-are already in one component are not compared again; what is left are lists that still hold several components: short ones
+these links show to be in one component are not compared again; what is left are lists that still hold several components: short ones
 make their pairs, long ones are cut into tiles whose sets meet as matrices, so that only links come out. Links within a
 component need not be found, links between components all are.
 
@@ -287,6 +287,15 @@ def tile_links(keep: Scratch, texts: DataFrame, long: DataFrame, words: int, lin
     return links
 
 
+def hooked(keep: Scratch, links: DataFrame) -> DataFrame:
+    """(u, label) of every vertex linked with a smaller one: the least vertex that its least one is linked with, or that one. Equal labels
+    are in one component, not always the other way round: enough to not compare what is known to be together."""
+    ends = links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
+    least = keep.table(ends.groupBy("u").agg(F.min("v").alias("label")), "least-links")
+    above = least.select(F.col("u").alias("label"), F.col("label").alias("above"))
+    return keep.table(least.join(above.hint("merge"), "label", "left").select("u", F.coalesce("above", "label").alias("label")), "hooks")
+
+
 def components_of(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS, link: int = LINK) -> DataFrame:
     """doc_id, n_shingles, component_id for each row of docs. words: of a shingle; link: the least likeness of linked sets, in percent."""
     if words < 1 or link not in (80, 85, 90, 95):
@@ -332,7 +341,7 @@ def _components_of(docs: DataFrame, key: str, text: str, words: int, link: int)
     near = (F.col("n") * 100 >= F.col("m") * link) & (F.col("m") * 100 >= F.col("n") * link)
     least_extra = F.ceil(F.least("n", "m") / 20) + 2
 
-    labels = None
+    labels, found = None, []
     for turns in PIVOTS:
         now = lists.withColumn("label", F.col("u")) if labels is None else lists.join(labels.hint("merge"), "u", "left").withColumn("label", F.coalesce("label", "u"))
         now = keep.table(now, "labelled-lists")
@@ -362,11 +371,10 @@ def _components_of(docs: DataFrame, key: str, text: str, words: int, link: int)
             share = told >= least_extra + 1 - 1e-9
         pairs = met.groupBy("u", "v", "n", "m").agg((F.sum("ones") + F.max("more_ones")).alias("ones"), (F.sum("twos") + F.max("more_twos")).alias("twos")).where(share).select("u", "v")
         links.append(verified(keep, texts, pairs, words, link))
-        links = reduce(DataFrame.unionByName, links)
-        if labels is None:
-            labels = components(links)
-        elif not links.isEmpty():
-            labels = components(labels.withColumnRenamed("label", "v").unionByName(links))
+        found += links
+        if turns:
+            labels = hooked(keep, reduce(DataFrame.unionByName, found))
+    labels = components(reduce(DataFrame.unionByName, found))
 
     final = vertices.join(labels.withColumnRenamed("u", "rep").hint("merge"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
     final = keep.table(final, "labelled-vertices")
