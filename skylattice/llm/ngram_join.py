@@ -58,7 +58,7 @@ BATCH, SEEN = 500, 500_000
 #: Partners of a pivot that one task streams behind its text.
 BLOCK = 512
 #: Each round's turns, by which lists choose pivots; the last round, without any, makes all pairs between components that are left.
-PIVOTS = ((0,), (0x2A6F0C5B37D1E948, 0x71D3B8E45A90C627, 0x15C8A27F6E3B90D4, 0x4E90D76B81F25A3C), ())
+PIVOTS = ((0, 0x2A6F0C5B37D1E948), ())
 #: Stands for a null id inside.
 NO_ID = 2**63 - 1
 #: The stage's own key of rows.
