@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from skylattice.functions import kinematics as k
+from skylattice.functions import perceptron
 from skylattice.operators import assignment, generate, kalman, metrics, pairs, tracker, truth, windows
 from skylattice.plans.measurements import DAY, HOUR, MEAS, meas, windows_sql
 
@@ -543,3 +544,76 @@ def histogram_bins(spark, sf):
 def assignment_matrix(spark, sf):
     g = assignment.greedy_nearest(*frame_tracks(spark, sf))
     return g.withColumn("column", F.concat(F.lit("t"), F.col("track_id") % 4)).groupBy("frame").pivot("column", ["t0", "t1", "t2", "t3"]).count().fillna(0)
+
+
+# --- perceptron scores and what follows from them ------------------------------------------------
+
+
+def mlp_sql(features: list[str], sizes: tuple[int, ...]) -> str:
+    """The probability of a perceptron with made weights, over columns."""
+    x = "[" + ", ".join(f"coalesce({f}, 0)::double" for f in features) + "]"
+    for layer, (n, units) in enumerate(zip(sizes, sizes[1:])):
+        rule = lambda i: f"((({layer * 31} + u * 17 + {i} * 7) % 21 - 10)::double / {2.0 * n}::double)"  # noqa: B023, E731
+        dot = f"list_dot_product([{', '.join(rule(i) for i in range(n))}], {x}) + {rule(n)}"
+        x = f"list_transform(range({units}), lambda u: {dot if layer == len(sizes) - 2 else f'greatest(0, {dot})'})"
+    return f"1 / (1 + exp(-({x})[1]))"
+
+
+CLUTTER_SIZES, PAIR_SIZES = (8, 16, 8, 1), (6, 16, 8, 1)
+
+
+@query(f"with {MEAS}, s as (select seq, {mlp_sql([f'f{i}' for i in range(8)], CLUTTER_SIZES)} score from (select seq, {FEATURES} from meas)) select seq, round(score, 6) score from s where score < 0.7")
+def clutter_filter_mlp(spark, sf):
+    score = perceptron.probability([F.col(f"f{i}") for i in range(8)], perceptron.made_weights(spark, CLUTTER_SIZES))
+    return with_features(meas(spark, sf)).withColumn("score", score).where("score < 0.7").select("seq", r(F.col("score"), "score"))
+
+
+PSR_FEATURES = [
+    f"{D3} / 1e5", f"(a.vx * b.vx + a.vy * b.vy) / (({SPEED('a')} + 1e-8) * ({SPEED('b')} + 1e-8))", f"abs({SPEED('a')} - {SPEED('b')}) / 1000", WRAP, f"abs({ELEV('a')} - {ELEV('b')})",
+    "abs(a.amplitude - b.amplitude) / 100",
+]
+FEATURED = ", ".join(f"{f} f{i}" for i, f in enumerate(PSR_FEATURES))
+SCORED = f"p as (select a.win, a.seq seq_a, b.seq seq_b, sqrt({D2}) d, {FEATURED} {PAIRS} where a.meas_type = 'PSR' and b.meas_type = 'PSR'), s as (select win, seq_a, seq_b, d, {mlp_sql([f'f{i}' for i in range(6)], PAIR_SIZES)} prob from p)"
+
+
+def scored_pairs(spark, sf) -> DataFrame:
+    """win, seq_a, seq_b, d and the perceptron's probability of pairs of primary plots within the gate."""
+    p = pairs.gated_by_grid(hours(spark, sf).where("meas_type = 'PSR'"))
+    prob = perceptron.probability(list(k.psr_pair_features("a", "b").values()), perceptron.made_weights(spark, PAIR_SIZES))
+    return p.select(F.col("a.win").alias("win"), F.col("a.seq").alias("seq_a"), F.col("b.seq").alias("seq_b"), F.sqrt(pairs.square()).alias("d"), prob.alias("prob"))
+
+
+@query(f"with {W}, {SCORED} select seq_a, seq_b, round(prob, 6) prob from s")
+def pair_scores(spark, sf):
+    return scored_pairs(spark, sf).select("seq_a", "seq_b", r(F.col("prob"), "prob"))
+
+
+@query(f"with {W}, {SCORED}, k as (select * from s where prob > 0.3) select win, seq_a src, seq_b dst, round(prob, 6) prob, round(d / 1000, 6) km from k union all select win, seq_b, seq_a, round(prob, 6), round(d / 1000, 6) from k")
+def tracking_graph(spark, sf):
+    kept = scored_pairs(spark, sf).where("prob > 0.3").select("win", F.explode(F.array(F.struct(F.col("seq_a").alias("src"), F.col("seq_b").alias("dst")), F.struct(F.col("seq_b").alias("src"), F.col("seq_a").alias("dst")))).alias("e"), "prob", "d")
+    return kept.select("win", "e.*", r(F.col("prob"), "prob"), r(F.col("d") / 1000, "km"))
+
+
+@query(f"""with {W}, {SCORED} select win, seq_a i, seq_b j from s where prob >= 0.5 union all select win, seq_b, seq_a from s where prob >= 0.5
+union all select win, seq, seq from w where meas_type = 'PSR'""")
+def association_matrix(spark, sf):
+    linked = scored_pairs(spark, sf).where("prob >= 0.5").select("win", F.explode(F.array(F.struct(F.col("seq_a").alias("i"), F.col("seq_b").alias("j")), F.struct(F.col("seq_b").alias("i"), F.col("seq_a").alias("j")))).alias("e")).select("win", "e.*")
+    return linked.unionByName(hours(spark, sf).where("meas_type = 'PSR'").select("win", F.col("seq").alias("i"), F.col("seq").alias("j")))
+
+
+@query(f"with {W} select win, track_id, dense_rank() over (partition by win order by track_id)::int cluster, count(*)::bigint n, round(avg(x), 4) x, round(avg(y), 4) y from w where track_id <> -1 group by win, track_id")
+def oracle_clusters(spark, sf):
+    g = hours(spark, sf).where("track_id <> -1").groupBy("win", "track_id").agg(F.count("*").alias("n"), r(F.avg("x"), "x", 4), r(F.avg("y"), "y", 4))
+    return g.withColumn("cluster", F.dense_rank().over(Window.partitionBy("win").orderBy("track_id")))
+
+
+@query(f"with {MEAS} select seq, round(x / 1e5, 8) xn, round(coalesce(vx, 0) / 1e3, 8) vxn, round(x / 1e5 * 1e5, 4) x, round(coalesce(vx, 0) / 1e3 * 1e3, 4) vx from meas")
+def state_scaled(spark, sf):
+    v = F.coalesce(F.col("vx"), F.lit(0.0))
+    return meas(spark, sf).select("seq", r(F.col("x") / 1e5, "xn", 8), r(v / 1e3, "vxn", 8), r(F.col("x") / 1e5 * 1e5, "x", 4), r(v / 1e3 * 1e3, "vx", 4))
+
+
+@query("select user_id % 7 as epoch, round(avg(value), 6) mean_loss, round(avg(case when event_type <> 'error' then 1.0 else 0.0 end), 6) mean_truths from events group by 1")
+def epoch_means(spark, sf):
+    e = spark.read.parquet(f"{sf}/events.parquet")
+    return e.groupBy((F.col("user_id") % 7).alias("epoch")).agg(r(F.avg("value"), "mean_loss"), r(F.avg(F.when(F.col("event_type") != "error", 1.0).otherwise(0.0)), "mean_truths"))

@@ -208,3 +208,29 @@ def test_split_by_id_ranks_in_bins(spark):
     assert got == {i: k < len(order) * 80 // 100 for k, i in enumerate(order)}
     plan = windows.split_by_id(spark.range(9), "id", 80)._jdf.queryExecution().optimizedPlan().toString()
     assert "row_number() windowspecdefinition(bin" in plan
+
+
+def test_perceptron_weights(spark, tmp_path):
+    """Weights go through a table, a folded normalisation equals one after the layer, no table is a warning, odd models are refused."""
+    import numpy as np
+    import pytest
+    from pyspark.sql import functions as F
+
+    from skylattice.functions import perceptron
+
+    weights = perceptron.made_weights(spark, (2, 3, 1))
+    stats = spark.createDataFrame([(u, 0.1 * u, 1.0 + u, 2.0, -0.5) for u in range(3)], "unit int, mean double, variance double, gain double, shift double")
+    perceptron.fold_normalisation(weights, 0, stats).write.parquet(str(tmp_path / "w"))
+    back = perceptron.load(spark, str(tmp_path / "w"))
+    rows = spark.createDataFrame([(1.0, 2.0), (-3.0, None)], "a double, b double")
+    got = [x["p"] for x in rows.select(perceptron.probability([F.col("a"), F.col("b")], back).alias("p")).collect()]
+    w = {(x["layer"], x["unit"]): (x["bias"], x["weights"]) for x in weights.collect()}
+    want = []
+    for a, b in ((1.0, 2.0), (-3.0, 0.0)):
+        hidden = [max(0.0, (w[0, u][0] + w[0, u][1][0] * a + w[0, u][1][1] * b - 0.1 * u) / (1.0 + u + 1e-5) ** 0.5 * 2.0 - 0.5) for u in range(3)]
+        want.append(1 / (1 + np.exp(-(w[1, 0][0] + sum(h * v for h, v in zip(hidden, w[1, 0][1]))))))
+    assert np.allclose(got, want)
+    with pytest.warns(UserWarning):
+        assert perceptron.load(spark, str(tmp_path / "none")) is None
+    with pytest.raises(ValueError):
+        perceptron.probability([F.col("a")], back)
