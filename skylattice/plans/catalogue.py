@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from skylattice.functions import kinematics as k
 from skylattice.functions import perceptron
-from skylattice.operators import assignment, generate, kalman, metrics, pairs, tracker, truth, windows
+from skylattice.operators import assignment, existence, generate, kalman, metrics, pairs, tracker, truth, windows
 from skylattice.plans.measurements import DAY, HOUR, MEAS, meas, windows_sql
 
 QUERIES: dict = {}
@@ -617,3 +617,16 @@ def state_scaled(spark, sf):
 def epoch_means(spark, sf):
     e = spark.read.parquet(f"{sf}/events.parquet")
     return e.groupBy((F.col("user_id") % 7).alias("epoch")).agg(r(F.avg("value"), "mean_loss"), r(F.avg(F.when(F.col("event_type") != "error", 1.0).otherwise(0.0)), "mean_truths"))
+
+
+@query(f"""with {W}, s as (select win, seq id, (user_id % 2 = 0 and win % 3 <> 0) is_track, (seq * 7919 % 1000)::double / 1000 prob, seq % 11 = 0 suppressed, seq % 9 age, seq % 4 hits from w),
+c as (select win, count(*) filter (where is_track) nt, count(*) filter (where not is_track) nm from s group by win),
+kept as (select win, id, is_track, prob, case when not is_track or prob > 0.4 then 0 else age + 1 end age, case when not is_track then 1 when prob > 0.4 then hits + 1 else hits end hits
+  from s join c using (win) where case when is_track then prob + case when nm < 12 then 0.3 else 0.0 end > 0.4 else prob > case when nt = 0 then 0.32 else 0.5 end and (nt = 0 or not suppressed) end)
+select win, id, is_track, prob, age::bigint age, hits::bigint hits from kept where prob > 0.3 or age < 5 qualify row_number() over (partition by win order by prob desc, id) <= 6""")
+def existence_lifecycle(spark, sf):
+    rows = hours(spark, sf).select(
+        "win", F.col("seq").alias("id"), ((F.col("user_id") % 2 == 0) & (F.col("win") % 3 != 0)).alias("is_track"), ((F.col("seq") * 7919 % 1000).cast("double") / 1000).alias("prob"),
+        (F.col("seq") % 11 == 0).alias("suppressed"), (F.col("seq") % 9).alias("age"), (F.col("seq") % 4).alias("hits"),
+    )
+    return existence.live_tracks(rows, existence.Existence(few=12, boost=0.3, cap=6))
