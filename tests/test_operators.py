@@ -234,3 +234,17 @@ def test_perceptron_weights(spark, tmp_path):
         assert perceptron.load(spark, str(tmp_path / "none")) is None
     with pytest.raises(ValueError):
         perceptron.probability([F.col("a")], back)
+
+
+def test_auc_of_probabilities_spreads_over_ranges(spark):
+    """Scores between 0 and 1 with ties and nulls, against all pairs."""
+    import random
+
+    from skylattice.operators import metrics
+
+    rng = random.Random(5)
+    rows = [(rng.choice([None, *[i / 40 for i in range(40)]]), rng.random() < 0.4) for _ in range(400)]
+    got = metrics.auc(spark.createDataFrame([(s, int(y)) for s, y in rows], "s double, y int"), "s", "y").first()
+    pos, neg = ([s for s, y in rows if s is not None and y == want] for want in (True, False))
+    won = sum((p > n) + (p == n) / 2 for p in pos for n in neg)
+    assert (got["positives"], got["negatives"], got["auc"]) == (len(pos), len(neg), round(won / len(pos) / len(neg), 6))
