@@ -44,7 +44,7 @@ class UnitCache:
 
     def _encode(self, known: _Known, units: list[str], lead: str) -> dict[str, bytes]:
         """The units' encodings with `lead` before each; words and their tails are looked up or encoded apart."""
-        cut = {w: b for w in units if 0 < len(w) - len(b := w.rstrip(TAIL)) <= MOST_TAIL and b.isalpha() and max(b) < LETTERS_END}
+        cut = {w: b for w in units if 0 < len(w) - len(b := w.rstrip(TAIL)) <= MOST_TAIL and b.isalpha() and (b.isascii() or max(b) < LETTERS_END)}
         tails = {w[len(b) :] for w, b in cut.items()} - self.tails.keys()
         self.tails.update(zip(tails, self.encode_units(list(tails))))
         plain = list({w for w in units if w not in cut}.union(filterfalse(known.__contains__, cut.values())))
@@ -63,7 +63,10 @@ class UnitCache:
         if new:
             known.passing = self._encode(known, new, lead)
             room = max(0, self.remembered - len(known))
-            known.update(islice(((w, x) for w, x in known.passing.items() if len(w) <= LONG), room))
+            if len(known.passing) > room or max(map(len, known.passing)) > LONG:
+                known.update(islice(((w, x) for w, x in known.passing.items() if len(w) <= LONG), room))
+            else:
+                known.update(known.passing)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         whole = [i for i, t in enumerate(texts) if UNSAFE(t) or (self.whole and self.whole(t))]
