@@ -9,6 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from skylattice.operators.staging import Scratch, fresh_path, lookup, shared_dir, staged  # noqa: F401
 
@@ -87,3 +88,18 @@ def sieve(keys: DataFrame) -> Callable[..., Column]:
         return pd.Series(found)
 
     return lambda *columns: maybe(F.xxhash64(*columns))
+
+
+def positions(df: DataFrame, by: list[str], column: str) -> DataFrame:
+    """A written table of df's rows with their place (from 0) in the order of the columns `by`.
+
+    Rows are dealt to ranges and sorted there; only one count for each range is put in order. `by` must tell rows apart, or
+    rows that it does not may stand in any order; many rows that it does not tell apart share one range."""
+    row = free_name(df, "row")
+    cut = staged(df.repartitionByRange(*by).sortWithinPartitions(*by).withColumn(row, F.monotonically_increasing_id()), "positions")
+    part, low = F.shiftright(row, 33), F.col(row).bitwiseAND(F.lit((1 << 33) - 1))
+    counts = cut.groupBy(part.alias("part")).count()
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    # As many rows as there are ranges.
+    starts = counts.select("part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("start"))
+    return cut.join(F.broadcast(starts.withColumnRenamed("part", "_part")), part == F.col("_part")).withColumn(column, F.col("start") + low).drop(row, "_part", "start")
