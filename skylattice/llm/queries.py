@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, fingerprints, html_extract, license_scan, line_dedup, merkle, ngram_join, quality, simhash, source_mix, token_records, topk_search
+from . import byte_bpe, fingerprints, html_extract, license_scan, line_dedup, merkle, ngram_join, quality, simhash, source_mix, token_records, topk_search, whitening
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_quality": quality.op9_quality,
     "op10_topk_search": topk_search.op10_topk_search,
     "op11_simhash": simhash.op11_simhash,
+    "op12_whitening": whitening.op12_whitening,
     "op13_merkle_manifest": merkle.op13_merkle_manifest,
 }
 
