@@ -9,7 +9,8 @@ The templates are a fixed list of well under a thousand 2-grams, so broadcasting
 streams over the exploded 2-grams, of which only hits, and one row for each document, are ever written. No step gathers
 more than one document's hits in one place.
 
-Null and empty texts have no words and no labels; repeated rows give repeated results; extra columns are ignored.
+Null and empty texts have no words and no labels; repeated rows give repeated results; extra columns are ignored. Time and
+memory grow in proportion to a text's length: exploded rows hold a 2-gram, not the text that it stands in.
 """
 
 from __future__ import annotations
@@ -77,16 +78,18 @@ def scan_licenses(docs: DataFrame, key: str = "doc_id", text: str = "text") -> D
     grams = spark.createDataFrame(rows, "tmpl int, label string, phrase int, size int, place int, t0 string, t1 string").withColumn("hash", F.xxhash64("t0", "t1"))
 
     words = F.col("words")
-    # The first place is the document's own, without a hash; 2-gram i stands at place i + 1.
-    gram = lambda i: F.xxhash64(F.get(words, i), F.get(words, i + 1))
-    hashes = F.when(F.size(words) > 1, F.transform(F.sequence(F.lit(0), F.size(words) - 2), gram)).otherwise(F.array().cast("array<long>"))
+    # The first place is the document's own, without a 2-gram; 2-gram i stands at place i + 1. Rows carry two words, not their text's.
+    gram = lambda i: F.struct(F.xxhash64(F.get(words, i), F.get(words, i + 1)).alias("hash"), F.get(words, i).alias("w0"), F.get(words, i + 1).alias("w1"))
+    own = F.array(F.struct(F.lit(None).cast("long").alias("hash"), F.lit(None).cast("string").alias("w0"), F.lit(None).cast("string").alias("w1")))
+    rolling = F.when(F.size(words) > 1, F.concat(own, F.transform(F.sequence(F.lit(0), F.size(words) - 2), gram))).otherwise(own)
     found = staged(
         docs.select(F.col(key).alias("key"), words_of(whole_text(text)).alias("words"))
-        .withColumn("row", F.monotonically_increasing_id())
-        .select("row", "key", "words", F.posexplode(F.concat(F.array(F.lit(None).cast("long")), hashes)).alias("at", "hash"))
+        .select(F.monotonically_increasing_id().alias("row"), "key", F.size(words).cast("long").alias("n_words"), "words")
+        .select("row", "key", "n_words", F.posexplode(rolling).alias("at", "gram"))
+        .select("row", "key", "n_words", "at", "gram.*")
         .join(F.broadcast(grams), "hash", "left")
-        .where((F.col("at") == 0) | ((F.get(words, F.col("at") - 1) == F.col("t0")) & (F.get(words, F.col("at")) == F.col("t1"))))
-        .select("row", F.when(F.col("at") == 0, F.col("key")).alias("key"), F.when(F.col("at") == 0, F.size(words)).cast("long").alias("n_words"), (F.col("at") - 1).alias("at"), "tmpl", "label", "phrase", "size", "place"),
+        .where((F.col("at") == 0) | ((F.col("w0") == F.col("t0")) & (F.col("w1") == F.col("t1"))))
+        .select("row", F.when(F.col("at") == 0, F.col("key")).alias("key"), F.when(F.col("at") == 0, F.col("n_words")).alias("n_words"), (F.col("at") - 1).alias("at"), "tmpl", "label", "phrase", "size", "place"),
         "license-hits",
     )
     votes = found.where("at >= 0").withColumn("diagonal", F.col("at") - F.col("place"))
