@@ -39,7 +39,7 @@ READ = "part int, place long, doc_id long, first long, n_tokens long, ids_crc32
 #: Documents of one output batch, units of one call of the library.
 DOCS, UNITS = 512, 5000
 #: Words that a worker remembers at most, with their ids some 200 bytes each.
-REMEMBERED = 1_000_000
+REMEMBERED = 500_000
 
 
 def masked(data: bytes) -> int:
@@ -97,6 +97,17 @@ def library_encoder(path: str) -> UnitCache:
     added = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
     special = re.compile("|".join(map(re.escape, added))).search if added else None
 
+    # Bytes of each token: byte-level tokens have one character for each. Others do not add up to their units' bytes.
+    n_bytes = np.zeros(tokenizer.get_vocab_size(), np.int64)
+    for token, i in tokenizer.get_vocab().items():
+        n_bytes[i] = len(token)
+
+    def by_library(units: list[str]) -> list[bytes]:
+        found = tokenizer.encode(units, is_pretokenized=True, add_special_tokens=False)
+        ends = (np.bincount(np.array(found.word_ids, np.int64), minlength=len(units)).cumsum() * 4).tolist()
+        data = np.array(found.ids, "<u4").tobytes()
+        return [data[a:b] for a, b in zip([0, *ends], ends)]
+
     def encode(units: list[str]) -> list[bytes]:
         out: list[bytes] = []
         for k in range(0, len(units), UNITS):
@@ -104,9 +115,14 @@ def library_encoder(path: str) -> UnitCache:
             if special and any(map(special, part)):
                 out += [np.array(tokenizer.encode(u, add_special_tokens=False).ids, "<u4").tobytes() for u in part]
                 continue
-            found = tokenizer.encode(part, is_pretokenized=True, add_special_tokens=False)  # each unit by itself, in one call
-            ends = (np.bincount(np.array(found.word_ids, np.int64), minlength=len(part)).cumsum() * 4).tolist()
-            data = np.array(found.ids, "<u4").tobytes()
+            # Each unit by itself, in one call; the fast one does not tell where units end, but their bytes do.
+            ids = np.array(tokenizer.encode_batch_fast([part], is_pretokenized=True, add_special_tokens=False)[0].ids, np.int64)
+            upto, want = n_bytes[ids].cumsum(), np.fromiter((len(u.encode()) for u in part), np.int64, len(part)).cumsum()
+            ends = np.searchsorted(upto, want, "right")
+            if not np.array_equal(np.r_[0, upto][ends], want):
+                out += by_library(part)
+                continue
+            data, ends = ids.astype("<u4").tobytes(), (ends * 4).tolist()
             out += [data[a:b] for a, b in zip([0, *ends], ends)]
         return out
 

@@ -2,8 +2,9 @@
 
 Byte-level tokenizers first split a text by public_tokenizers.PATTERN. A single space between two other characters
 always begins a match there, so each word with its leading space is encoded by itself and the results are joined. Where
-white space follows a space the rule does not hold, and the whole text is encoded at once instead. The pattern also cuts
-between a run of letters and punctuation after it, so an unknown word with such a tail is encoded from the two.
+white space follows a space the rule does not hold, and the whole text is encoded at once instead. So it is with one or two line
+ends between other characters, each a match of its own: a line end goes with the word after it. The pattern also cuts between a
+run of letters and punctuation after it, so an unknown word with such a tail is encoded from the two.
 """
 
 from __future__ import annotations
@@ -19,8 +20,13 @@ REMEMBERED, LONG = 300_000, 48
 #: Punctuation after a word, letters only and those of before U+0250, is encoded by itself if it has MOST_TAIL characters at most.
 TAIL, MOST_TAIL, LETTERS_END = ".,;:!?%$#&*", 4, "\u0250"
 
-#: A space before white space or the end: there the rule above does not hold.
+#: A space before white space or the end: there the rule above does not hold. Nor does that of line ends where other white space is.
 UNSAFE = re.compile(r" (?:\s|\Z)").search
+OTHER_SPACE = re.compile(r"[^\S \n]").search
+
+
+def unsafe(text: str) -> bool:
+    return bool("\n\n\n" in text or text.endswith("\n\n") or UNSAFE(text) or OTHER_SPACE(text) or "\n " in text)
 
 
 class _Known(dict):
@@ -43,12 +49,12 @@ class UnitCache:
         self.tails: dict[str, bytes] = {}
 
     def _encode(self, known: _Known, units: list[str], lead: str) -> dict[str, bytes]:
-        """The units' encodings with `lead` before each; words and their tails are looked up or encoded apart."""
+        """The units' encodings with `lead` before each that does not begin with a line end; words and their tails are looked up or encoded apart."""
         cut = {w: b for w in units if 0 < len(w) - len(b := w.rstrip(TAIL)) <= MOST_TAIL and b.isalpha() and max(b) < LETTERS_END}
         tails = {w[len(b) :] for w, b in cut.items()} - self.tails.keys()
         self.tails.update(zip(tails, self.encode_units(list(tails))))
         plain = list({w for w in units if w not in cut}.union(filterfalse(known.__contains__, cut.values())))
-        got = dict(zip(plain, self.encode_units([lead + w for w in plain])))
+        got = dict(zip(plain, self.encode_units([w if w.startswith("\n") else lead + w for w in plain])))
         for w, b in cut.items():
             got[w] = (got[b] if b in got else known[b]) + self.tails[w[len(b) :]]
         return got
@@ -66,8 +72,8 @@ class UnitCache:
             known.update(islice(((w, x) for w, x in known.passing.items() if len(w) <= LONG), room))
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        whole = [i for i, t in enumerate(texts) if UNSAFE(t) or (self.whole and self.whole(t))]
-        split = [t.split(" ") for t in texts]
+        whole = [i for i, t in enumerate(texts) if unsafe(t) or (self.whole and self.whole(t))]
+        split = [t.replace("\n", " \n").split(" ") for t in texts]
         for i in whole:
             split[i] = [""]
         first = [w.pop(0) for w in split]
