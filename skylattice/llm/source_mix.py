@@ -4,9 +4,11 @@ Each source has a target number of words. Whole epochs of it come first; what re
 document gets the exponential key -ln(u) / w, u a uniform number made from its id and w its quality weight, and the
 documents with the smallest keys are taken until their summed sizes come nearest to what remains.
 
-Sorting one source in one task would not scale, so keys fall into BINS bins: bins are summed for all sources (a partial
-aggregation), the bin in which the budget ends is found from at most BINS rows a source, and only that bin's documents
-are put in order. The plan is a row for each source, and taking documents is a map over them: their texts never move.
+Sorting one source in one task would not scale, so the key at which a budget ends is closed in on: the interval of keys that
+holds it, at first all of a source's, is cut into BINS bins, which are summed for all sources (a partial aggregation); the
+bin in which the budget ends, from its least to its largest key, is the next interval. This ends when an interval holds
+LEFT rows at most or one key only, whatever the weights, and only those rows are put in order. The plan is a row for each
+source, which Spark broadcasts or joins by its size; taking documents is a map over them.
 
 The quality weight of a document is its share of distinct words unless a column of weights is given. Null texts have size 0 and null sources are a source
 of their own, the last. Rows with equal ids have equal keys and are taken together. Empty tables give empty results.
@@ -24,13 +26,13 @@ from .common import free_name, staged, whole_text, without
 WEIGHTS = (5, 2, 1)
 MOST = 3
 BINS = 4096
+#: Rows of a source that are put in order at most, those of equal keys counting as one.
+LEFT = 4096
 FLOOR = 0.01
-#: Sources up to which the plan is broadcast; beyond it the documents are joined by shuffling.
-FEW_SOURCES = 50_000
 
 
 def measured(docs: DataFrame, key: str, text: str, source: str, weight: str | None = None) -> DataFrame:
-    """docs with a struct `mix_row`: size, mix_key, bin and mix_source of each document."""
+    """docs with a struct `mix_row`: size, mix_key and mix_source of each document."""
     words = F.array_remove(F.split(whole_text(text), r"[\x20\x09-\x0D]+"), "")
     uniform = (F.conv(F.substring(F.md5(F.coalesce(F.col(key).cast("string"), F.lit("null")).cast("binary")), 1, 13), 16, 10).cast("long").cast("double") + 1.0) / F.lit(2.0**52)
     cut = F.col("mix_words")
@@ -39,7 +41,6 @@ def measured(docs: DataFrame, key: str, text: str, source: str, weight: str | No
     return (
         docs.withColumn("mix_words", words)
         .withColumn("mix_row", F.struct(F.size(cut).cast("long").alias("size"), (-F.log(uniform) / quality).alias("mix_key"), F.col(source).alias("mix_source")))
-        .withColumn("mix_row", F.col("mix_row").withField("bin", F.least(F.lit(BINS - 1), F.floor((1 - F.exp(-F.col("mix_row.mix_key"))) * BINS)).cast("int")))
         .drop("mix_words")
     )
 
@@ -66,40 +67,53 @@ def targets(sizes: DataFrame) -> DataFrame:
     )
 
 
+def same_source(left: str, right: str) -> Column:
+    return F.col(left).eqNullSafe(F.col(right))
+
+
+def close_in(rows: DataFrame, at: DataFrame) -> DataFrame:
+    """One round: at (at_source, budget, lo, hi, before) -> the same for the bin of [lo, hi] in which the budget ends, and the rows n in it.
+    before: the sizes of all keys below lo."""
+    width = F.col("hi") - F.col("lo")
+    bin_ = F.when(width > 0, F.least(F.lit(BINS - 1), F.floor((F.col("mix_key") - F.col("lo")) / width * BINS))).otherwise(0)
+    inside = rows.join(at.drop("n"), same_source("mix_source", "at_source") & F.col("mix_key").between(F.col("lo"), F.col("hi")))
+    bins = inside.withColumn("bin", bin_).groupBy("at_source", "budget", "before", "bin").agg(
+        F.sum("size").alias("binned"), F.min("mix_key").alias("lo"), F.max("mix_key").alias("hi"), F.count("*").alias("n"))
+    reached = F.col("before") + F.sum("binned").over(Window.partitionBy("at_source").orderBy("bin"))
+    ends = bins.withColumn("reached", reached).where(F.col("reached") >= F.col("budget"))
+    found = F.struct("bin", "budget", "lo", "hi", (F.col("reached") - F.col("binned")).alias("before"), "n")
+    return ends.groupBy("at_source").agg(F.min_by(found, "bin").alias("end")).select("at_source", *[F.col(f"end.{c}").alias(c) for c in ("budget", "lo", "hi", "before", "n")])
+
+
 def plan_mix(rows: DataFrame) -> DataFrame:
     """A row for each source: source_size, target, epochs and the cut, up to which keys are taken once more."""
-    bins = staged(rows.groupBy("mix_source", "bin").agg(F.sum("size").alias("binned")), "mix-bins")
-    budgets = targets(bins.groupBy("mix_source").agg(F.sum("binned").alias("source_size")))
+    sums = rows.groupBy("mix_source").agg(F.sum("size").alias("source_size"), F.min("mix_key").alias("lo"), F.max("mix_key").alias("hi"))
+    sums = staged(sums, "mix-sums")
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
-    budgets = staged(budgets.withColumn("epochs", epochs).withColumn("budget", F.col("target") - F.col("epochs") * F.col("source_size")), "mix-budgets")
-    same = budgets["mix_source"].eqNullSafe(bins["mix_source"])
-    running = F.sum("binned").over(Window.partitionBy("mix_source").orderBy("bin"))
-    ends = (
-        bins.join(budgets.drop("source_size", "target", "epochs"), same)
-        .select(bins["mix_source"], "bin", "binned", "budget")
-        .withColumn("reached", running)
-        .where(F.col("reached") >= F.col("budget"))
-        .groupBy("mix_source")
-        .agg(F.min_by(F.struct("bin", (F.col("reached") - F.col("binned")).alias("before"), "budget"), "bin").alias("end"))
-        .select("mix_source", "end.*")
-    )
-    ends = staged(ends, "mix-ends")
-    # The documents of each source's last bin, in key order; the prefix nearest to the budget, the empty one included.
-    last = rows.join(broadcast_few(ends.withColumnsRenamed({"mix_source": "end_source", "bin": "end_bin"})), F.col("mix_source").eqNullSafe(F.col("end_source")) & (F.col("bin") == F.col("end_bin")))
-    steps = last.groupBy("mix_source", "end_bin", "budget", "before", "mix_key").agg(F.sum("size").alias("n")).withColumn("reached", F.col("before") + F.sum("n").over(Window.partitionBy("mix_source").orderBy("mix_key")))
-    choice = steps.groupBy("mix_source").agg(F.min(F.struct(F.abs(F.col("reached") - F.col("budget")).alias("off"), F.col("mix_key").alias("cut"))).alias("best"), F.first("before").alias("before"), F.first("budget").alias("budget"))
-    cuts = choice.select(F.col("mix_source").alias("cut_source"), F.when(F.col("best.off") < F.col("budget") - F.col("before"), F.col("best.cut")).alias("cut"))
-    ends = ends.withColumnsRenamed({"mix_source": "end_source", "bin": "cut_bin"}).select("end_source", "cut_bin")
-    return staged(
-        budgets.join(ends, F.col("mix_source").eqNullSafe(F.col("end_source")), "left").join(cuts, F.col("mix_source").eqNullSafe(F.col("cut_source")), "left").select(
-            F.col("mix_source").alias("plan_source"), "source_size", "target", "epochs", "cut_bin", "cut"
-        ),
-        "mix-plan",
-    )
-
-
-def broadcast_few(plan: DataFrame) -> DataFrame:
-    return F.broadcast(plan) if plan.count() <= FEW_SOURCES else plan
+    budgets = staged(targets(sums.select("mix_source", "source_size")).withColumn("epochs", epochs).withColumn("budget", F.col("target") - F.col("epochs") * F.col("source_size")), "mix-budgets")
+    at = budgets.select(F.col("mix_source").alias("at_source"), "budget").join(sums.drop("source_size"), same_source("at_source", "mix_source")).select("at_source", "budget", "lo", "hi", F.lit(0).cast("long").alias("before"))
+    done = None
+    while True:
+        at = staged(close_in(rows, at), "mix-interval")
+        small = (F.col("n") <= LEFT) | (F.col("lo") == F.col("hi"))
+        done = at.where(small) if done is None else done.unionByName(at.where(small))
+        at = at.where(~small)
+        if at.isEmpty():
+            break
+    # The rows of each source's last interval, in key order; the prefix nearest to the budget, the empty one included.
+    last = rows.join(done.drop("n"), same_source("mix_source", "at_source") & F.col("mix_key").between(F.col("lo"), F.col("hi")))
+    steps = last.groupBy("at_source", "budget", "before", "mix_key").agg(F.sum("size").alias("n")).withColumn("reached", F.col("before") + F.sum("n").over(Window.partitionBy("at_source").orderBy("mix_key")))
+    off = F.abs(F.col("reached") - F.col("budget"))
+    choice = steps.groupBy("at_source").agg(F.min(F.struct(off.alias("off"), F.col("mix_key").alias("cut"))).alias("best"), F.first("before").alias("before"), F.first("budget").alias("budget"), F.min("mix_key").alias("lo"))
+    # Where nothing of the interval is taken, the keys below it are: none of them is as large as lo.
+    cut = F.when(F.col("best.off") < F.col("budget") - F.col("before"), F.col("best.cut"))
+    cuts = choice.select(F.col("at_source").alias("cut_source"), cut.alias("cut"), F.col("lo").alias("below"))
+    return staged(budgets.join(cuts, same_source("mix_source", "cut_source"), "left").select(F.col("mix_source").alias("plan_source"), "source_size", "target", "epochs", "cut", "below"), "mix-plan")
+
+
+def once_more(key: str) -> Column:
+    """Whether the row is among those that are taken once more than the whole epochs."""
+    return F.coalesce(F.when(F.col("cut").isNull(), F.col(key) < F.col("below")).otherwise(F.col(key) <= F.col("cut")), F.lit(False))
 
 
 def taken_rows(docs: DataFrame, key: str, text: str, source: str, weight: str | None = None) -> tuple[DataFrame, str]:
@@ -108,10 +122,8 @@ def taken_rows(docs: DataFrame, key: str, text: str, source: str, weight: str |
     # The documents' columns step aside while the mix's own are there.
     rows = measured(docs.select([F.col(f"`{c}`").alias(n) for c, n in names.items()]), names[key], names[text], names[source], names[weight] if weight else None)
     plan = plan_mix(staged(rows.select("mix_row.*"), "mix-sizes"))
-    joined = rows.join(broadcast_few(plan), F.col("mix_row.mix_source").eqNullSafe(F.col("plan_source")))
-    bin_, cut_bin = F.col("mix_row.bin"), F.col("cut_bin")
-    more = (bin_ < cut_bin) | ((bin_ == cut_bin) & (F.col("mix_row.mix_key") <= F.col("cut")))
-    taken = F.struct("mix_row.size", "source_size", "target", (F.col("epochs") + F.coalesce(more, F.lit(False)).cast("long")).alias("copies"))
+    joined = rows.join(plan, same_source("mix_row.mix_source", "plan_source"))
+    taken = F.struct("mix_row.size", "source_size", "target", (F.col("epochs") + once_more("mix_row.mix_key").cast("long")).alias("copies"))
     return joined.select(*[F.col(n).alias(c) for c, n in names.items()], taken.alias(out)), out
 
 
@@ -121,22 +133,20 @@ def mix_sources(docs: DataFrame, key: str = "doc_id", text: str = "text", source
     return rows.select(*[c for c in rows.columns if c != taken], f"{taken}.*")
 
 
-def mixed_documents(docs: DataFrame) -> DataFrame:
-    """The mix itself: every document as often as it is taken, with its own columns only."""
-    rows, taken = taken_rows(docs, "doc_id", "text", "source")
+def mixed_documents(docs: DataFrame, weight: str | None = None) -> DataFrame:
+    """The mix itself: every document as often as it is taken, with its own columns only, that of the weights left out."""
+    rows, taken = taken_rows(docs, "doc_id", "text", "source", weight)
     copy = free_name(docs, "mix_copy")
     copies = F.col(f"{taken}.copies")
-    return rows.where(copies > 0).withColumn(copy, F.explode(F.sequence(F.lit(1).cast("long"), copies))).select(*docs.columns)
+    return rows.where(copies > 0).withColumn(copy, F.explode(F.sequence(F.lit(1).cast("long"), copies))).select(*[c for c in docs.columns if c != weight])
 
 
 def op6_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     # Sizes and keys are staged once: the result needs no texts.
     slim = staged(measured(docs.select("doc_id", "text", "source"), "doc_id", "text", "source").select("doc_id", "mix_row.*"), "mix-sizes")
-    plan = plan_mix(slim)
-    done = slim.join(broadcast_few(plan), F.col("mix_source").eqNullSafe(F.col("plan_source")))
-    more = (F.col("bin") < F.col("cut_bin")) | ((F.col("bin") == F.col("cut_bin")) & (F.col("mix_key") <= F.col("cut")))
-    return done.select("doc_id", "size", "source_size", "target", (F.col("size") * (F.col("epochs") + F.coalesce(more, F.lit(False)).cast("long"))).alias("taken"))
+    done = slim.join(plan_mix(slim), same_source("mix_source", "plan_source"))
+    return done.select("doc_id", "size", "source_size", "target", (F.col("size") * (F.col("epochs") + once_more("mix_key").cast("long"))).alias("taken"))
 
 
 ORACLE = f"""
