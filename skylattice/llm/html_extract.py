@@ -2,9 +2,15 @@
 
 A page's html is cut into flat blocks of text at the tags that begin or end a block. Each block has its word count, its
 link density (share of words inside links), the same of the blocks before and after it, and three marks of where it
-stands: inside an article or main element, inside a part marked as furniture (menus, footers, adverts, forms, comments
-and the like, by tag, class, id or role), and whether it is a heading. A decision tree, grown on the small labelled table
-below by Gini impurity, keeps or drops each block; the kept ones, joined by newlines, are the text.
+stands: inside an article or main element (or on a page that has none), inside furniture (menus, footers, adverts, forms,
+comments and the like), and whether it is a heading. A decision tree, grown on the small labelled table below by Gini impurity,
+keeps or drops each block; the kept ones, joined by newlines, are the text.
+
+Furniture is told by tag, by role, and by whole names: a class or id counts only if every word in it is a word of furniture or
+of layout (share-bar, not share-price), a text's own elements (paragraphs, headings, items, cells) only by the words of adverts,
+and their ids never, for those are made from what they say. Sections inside an article are not told by the weaker words as an
+id. An element told by name, or a form, that holds more than half of the article's words is no furniture, unless it is one of
+reader comments.
 
 Pages are independent: one streaming map, no shuffle. The tree is grown from the fixed table wherever it is needed.
 Null and empty pages give empty texts; markup cut off at the end of a page is dropped; repeated rows repeat. Elements of
@@ -41,11 +47,16 @@ BLOCKS = set("address article aside blockquote body button caption center dd det
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 FURNITURE = set("nav footer aside form menu dialog button fieldset head label".split())
 ROLES = set("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
-WORDS = set(
-    "ad ads advert adverts advertisement advertising adbox adslot banner breadcrumb breadcrumbs byline captcha comment comments commentlist consent cookie cookies copyright dialog disqus footer gdpr "
-    "header login masthead menu modal nav navbar navigation newsletter notice notification overlay pager pagination paywall popup popular promo promoted promotion recommended related reply replies respond rail share sharing "
-    "sidebar signin signup skip social sponsor sponsored subscribe subscription tags toolbar tooltip topbar trending warning widget".split()
-)
+# Words of adverts, of reader comments, other words of furniture, weaker ones, and words of layout, in classes and ids.
+ADVERTS = set("ad ads advert adverts advertisement adbox adslot consent cookie cookies gdpr sponsored".split())
+COMMENTS = set("comment comments commentlist disqus respond replies".split())
+STRONG = set("breadcrumb breadcrumbs footer login masthead menu modal nav navbar newsletter pager pagination paywall popup sidebar signin signup toolbar topbar widget".split())
+WEAK = set("advertising banner byline captcha copyright dialog header navigation notice notification overlay popular promo promoted promotion rail recommended related reply share sharing skip social sponsor subscribe subscription tags tooltip trending".split())
+LAYOUT = set("area articles bar block body bottom box btn button buttons center col column container content count cta fixed form global group icon icons inner item items left line link links list main message mobile page panel placeholder post posts primary right row secondary section site slot small sticky stories strip text title toggle top unit wrap wrapper".split())
+#: Elements that a text itself is made of.
+OWN = set("p h1 h2 h3 h4 h5 h6 li dt dd blockquote pre td th tr table tbody figure figcaption caption em strong b i u code mark sup sub q cite abbr time".split())
+#: Share of the article's words from which on an element is no furniture by its name; so many names in each other are looked at.
+LARGE, NAMES_DEEP = 0.5, 4
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 #: An open element of the key ends at the start of one of its values.
 ENDS = {"p": BLOCKS, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "option": {"option"}}
@@ -70,11 +81,19 @@ LABELLED = [
     # furniture outside of articles: menus, adverts, notices, footers, side columns
     (1, 1.0, 0, 0.0, 1, 1.0, 0, 1, 0, 0), (1, 1.0, 1, 1.0, 1, 1.0, 0, 1, 0, 0), (2, 1.0, 1, 1.0, 9, 0.0, 0, 1, 0, 0), (9, 0.0, 1, 1.0, 11, 0.0, 0, 1, 0, 0),
     (14, 0.0, 40, 0.0, 0, 0.0, 0, 1, 0, 0), (40, 0.1, 2, 1.0, 9, 0.0, 0, 1, 0, 0), (70, 0.0, 80, 0.0, 0, 0.0, 0, 1, 0, 0), (120, 0.0, 9, 0.0, 6, 0.0, 0, 1, 0, 0), (3, 0.0, 2, 0.0, 5, 1.0, 0, 1, 1, 0),
-    # pages without an article element: texts among links and short lines
-    (50, 0.0, 2, 1.0, 40, 0.0, 0, 0, 0, 1), (40, 0.05, 50, 0.0, 35, 0.0, 0, 0, 0, 1), (18, 0.0, 40, 0.0, 60, 0.0, 0, 0, 0, 1), (5, 0.0, 60, 0.0, 45, 0.0, 0, 0, 0, 1), (8, 0.0, 3, 1.0, 55, 0.0, 0, 0, 1, 1),
-    (4, 0.0, 25, 0.0, 30, 0.0, 0, 0, 0, 1), (25, 0.2, 18, 0.0, 3, 1.0, 0, 0, 0, 1), (14, 0.0, 8, 0.0, 20, 0.0, 0, 0, 0, 1), (100, 0.1, 6, 0.0, 5, 0.9, 0, 0, 0, 1), (6, 0.0, 2, 1.0, 80, 0.0, 0, 0, 1, 1),
-    (2, 1.0, 3, 1.0, 3, 1.0, 0, 0, 0, 0), (6, 0.9, 40, 0.0, 5, 1.0, 0, 0, 0, 0), (12, 0.8, 4, 1.0, 9, 0.9, 0, 0, 0, 0), (20, 0.95, 30, 0.0, 3, 1.0, 0, 0, 0, 0), (3, 0.0, 2, 1.0, 2, 1.0, 0, 0, 0, 0),
-    (5, 0.0, 4, 1.0, 3, 1.0, 0, 0, 0, 0), (4, 0.0, 30, 0.0, 0, 0.0, 0, 0, 0, 0), (7, 0.5, 9, 0.6, 4, 1.0, 0, 0, 0, 0), (30, 0.7, 8, 1.0, 6, 1.0, 0, 0, 0, 0), (4, 1.0, 0, 0.0, 50, 0.0, 0, 0, 0, 0), (3, 1.0, 60, 0.0, 50, 0.0, 0, 0, 0, 0),
+    # outside of the article on pages that have one
+    (12, 0.0, 3, 1.0, 40, 0.0, 0, 0, 0, 0), (40, 0.0, 12, 0.0, 9, 0.0, 0, 0, 0, 0), (5, 0.0, 0, 0.0, 30, 0.0, 0, 0, 1, 0), (90, 0.1, 60, 0.0, 0, 0.0, 0, 0, 0, 0), (2, 1.0, 2, 1.0, 2, 1.0, 0, 0, 0, 0), (3, 0.0, 50, 0.0, 2, 1.0, 0, 0, 0, 0),
+    # pages without an article element: long texts, short paragraphs, lists and headings
+    (50, 0.0, 2, 1.0, 40, 0.0, 0.5, 0, 0, 1), (40, 0.05, 50, 0.0, 35, 0.0, 0.5, 0, 0, 1), (18, 0.0, 40, 0.0, 60, 0.0, 0.5, 0, 0, 1), (5, 0.0, 60, 0.0, 45, 0.0, 0.5, 0, 0, 1), (8, 0.0, 3, 1.0, 55, 0.0, 0.5, 0, 1, 1),
+    (4, 0.0, 25, 0.0, 30, 0.0, 0.5, 0, 0, 1), (25, 0.2, 18, 0.0, 3, 1.0, 0.5, 0, 0, 1), (14, 0.0, 8, 0.0, 20, 0.0, 0.5, 0, 0, 1), (100, 0.1, 6, 0.0, 5, 0.9, 0.5, 0, 0, 1), (6, 0.0, 2, 1.0, 80, 0.0, 0.5, 0, 1, 1),
+    (10, 0.0, 5, 0.0, 10, 0.0, 0.5, 0, 0, 1), (10, 0.0, 10, 0.0, 0, 0.0, 0.5, 0, 0, 1), (5, 0.0, 0, 0.0, 10, 0.0, 0.5, 0, 1, 1), (3, 0.0, 3, 0.0, 3, 0.0, 0.5, 0, 0, 1), (3, 0.0, 3, 0.0, 0, 0.0, 0.5, 0, 0, 1), (1, 0.0, 2, 0.0, 2, 0.0, 0.5, 0, 0, 1),
+    (1, 0.0, 0, 0.0, 0, 0.0, 0.5, 0, 0, 1), (30, 0.0, 0, 0.0, 0, 0.0, 0.5, 0, 0, 1), (4, 0.0, 30, 0.0, 0, 0.0, 0.5, 0, 0, 1), (6, 0.0, 9, 0.0, 3, 1.0, 0.5, 0, 0, 1), (7, 0.0, 2, 1.0, 9, 0.0, 0.5, 0, 0, 1), (20, 0.3, 20, 0.25, 12, 0.2, 0.5, 0, 0, 1),
+    (3, 1.0, 60, 0.0, 50, 0.0, 0.5, 0, 0, 1), (5, 1.0, 12, 0.0, 9, 0.0, 0.5, 0, 0, 1), (12, 0.5, 20, 0.1, 15, 0.0, 0.5, 0, 0, 1), (40, 0.6, 30, 0.0, 25, 0.1, 0.5, 0, 0, 1), (3, 0.0, 14, 0.0, 4, 1.0, 0.5, 0, 1, 1), (2, 0.0, 8, 0.0, 5, 0.0, 0.5, 0, 1, 1),
+    (1, 0.0, 3, 0.33, 1, 1.0, 0.5, 0, 0, 1), (3, 0.0, 12, 0.1, 2, 1.0, 0.5, 0, 0, 1), (2, 0.0, 30, 0.0, 1, 1.0, 0.5, 0, 0, 1), (4, 0.0, 3, 1.0, 12, 0.0, 0.5, 0, 0, 1), (3, 0.33, 9, 0.0, 1, 0.0, 0.5, 0, 0, 1), (8, 0.25, 2, 1.0, 3, 0.0, 0.5, 0, 0, 1),
+    # and the menus around them: runs of links, and the short labels between them
+    (2, 1.0, 3, 1.0, 3, 1.0, 0.5, 0, 0, 0), (6, 0.9, 40, 0.0, 5, 1.0, 0.5, 0, 0, 0), (12, 0.8, 4, 1.0, 9, 0.9, 0.5, 0, 0, 0), (20, 0.95, 30, 0.0, 3, 1.0, 0.5, 0, 0, 0), (3, 0.0, 2, 1.0, 2, 1.0, 0.5, 0, 0, 0), (1, 1.0, 0, 0.0, 1, 1.0, 0.5, 0, 0, 0),
+    (2, 0.0, 4, 1.0, 3, 1.0, 0.5, 0, 0, 0), (7, 0.5, 9, 0.6, 4, 1.0, 0.5, 0, 0, 0), (30, 0.7, 8, 1.0, 6, 1.0, 0.5, 0, 0, 0), (4, 1.0, 0, 0.0, 50, 0.0, 0.5, 0, 0, 0), (2, 1.0, 1, 1.0, 12, 0.0, 0.5, 0, 0, 0), (3, 1.0, 4, 1.0, 0, 0.0, 0.5, 0, 0, 0), (2, 1.0, 9, 0.0, 0, 0.0, 0.5, 0, 0, 0),
+    (30, 0.0, 10, 0.0, 12, 0.0, 0.5, 1, 0, 0), (5, 0.0, 0, 0.0, 20, 0.0, 0.5, 1, 0, 0), (8, 0.2, 40, 0.0, 0, 0.0, 0.5, 1, 0, 0), (3, 0.0, 9, 0.0, 3, 0.0, 0.5, 1, 1, 0),
 ]
 
 
@@ -87,7 +106,7 @@ class Node:
     high: Node | None = None
 
 
-def grow(rows: list[tuple], depth: int = 6) -> Node:
+def grow(rows: list[tuple], depth: int = 10) -> Node:
     """A decision tree by Gini impurity; ties go to the first feature and the lowest limit."""
     n, good = len(rows), sum(r[-1] for r in rows)
     node = Node(good / n)
@@ -122,7 +141,7 @@ def keeps(features: tuple) -> bool:
 @dataclass
 class Block:
     article: bool
-    furniture: bool
+    furniture: tuple[bool, tuple[int, ...]]
     heading: bool
     parts: list[str] = field(default_factory=list)
     linked: int = 0
@@ -134,21 +153,37 @@ class Block:
         self.words = self.text.count(" ") + 1 if self.text else 0
 
 
-def is_furniture(tag: str, attributes: str, in_article: bool) -> bool:
+def named(name: str, words: set[str]) -> bool:
+    """Whether a class or id has one of the words, and no others but those of furniture and layout."""
+    parts = [w.lower() for w in re.findall(r"[A-Z]?[a-z]+|[A-Z]+|[^\W\d_]+", name)]
+    return any(w in words for w in parts) and all(w in ADVERTS or w in COMMENTS or w in STRONG or w in WEAK or w in LAYOUT for w in parts)
+
+
+def furniture(tag: str, attributes: str, in_article: bool) -> str:
+    """"" for none, "sure", or "name" where an element that holds most of the article is none after all."""
+    if tag == "form":
+        return "name"
     if tag in FURNITURE or (tag == "header" and not in_article):
-        return True
+        return "sure"
     if not attributes or tag in ("body", "html", "article", "main"):
-        return False
+        return ""
     if HIDDEN.search(attributes):
-        return True
+        return "sure"
     for name, *values in ATTRIBUTE.findall(attributes):
-        value = "".join(values)
-        if name.lower() in ("class", "id"):
-            if any(w.lower() in WORDS for w in re.findall(r"[A-Z]?[a-z]+|[A-Z]+", value)):
-                return True
-        elif name.lower() == "role" and value.lower() in ROLES:
-            return True
-    return False
+        value, name = "".join(values), name.lower()
+        if name == "role" and value.lower() in ROLES:
+            return "sure"
+        if name not in ("class", "id") or (name == "id" and tag in OWN):
+            continue
+        for one in value.split():
+            if tag in OWN:
+                if named(one, ADVERTS):
+                    return "sure"
+            elif named(one, COMMENTS):
+                return "sure"
+            elif named(one, ADVERTS | STRONG) or (named(one, WEAK) and not (name == "id" and tag == "section" and in_article)):
+                return "name"
+    return ""
 
 
 class Scanner:
@@ -232,8 +267,10 @@ class Scanner:
 
 def blocks_of(html: str) -> list[Block]:
     blocks: list[Block] = []
-    open_tags: list[tuple[str, bool, bool, bool, bool, bool]] = []  # tag, and whether in an article, furniture, heading, link, what is dropped
-    state = outside = ("", False, False, False, False, False)
+    # tag, and whether in an article, furniture (for sure, and elements by their name), heading, link, what is dropped
+    open_tags: list[tuple[str, bool, tuple[bool, tuple[int, ...]], bool, bool, bool]] = []
+    state = outside = ("", False, (False, ()), False, False, False)
+    n_named = 0
     names: Counter[str] = Counter()  # how many of each are open
     scopes: list[int] = []  # places of open scopes
     last_ends: dict[str, int] = {}
@@ -302,8 +339,11 @@ def blocks_of(html: str) -> list[Block]:
                 tokens.send(at)
                 continue
             if tag not in VOID and not closed and not (tag in DROPPED and not closed_later(tag)):
-                _, article, furniture, heading, link, dropped = state
-                state = (tag, article or tag in ("article", "main"), furniture or is_furniture(tag, attributes, article), heading or tag in HEADINGS, link or tag == "a", dropped or tag in DROPPED)
+                _, article, (sure, names_in), heading, link, dropped = state
+                told = "" if sure else furniture(tag, attributes, article)
+                if told == "name" and len(names_in) < NAMES_DEEP:
+                    names_in, n_named = (*names_in, n_named), n_named + 1
+                state = (tag, article or tag in ("article", "main"), (sure or told == "sure", names_in), heading or tag in HEADINGS, link or tag == "a", dropped or tag in DROPPED)
                 if tag in SCOPES:
                     scopes.append(len(open_tags))
                 open_tags.append(state)
@@ -320,16 +360,29 @@ def blocks_of(html: str) -> list[Block]:
     return blocks
 
 
-def main_text(html: str) -> str:
-    blocks = blocks_of(html)
+def features_of(blocks: list[Block]) -> list[tuple]:
+    """The features of each block, in the order of FEATURES."""
+    has_article = any(b.article for b in blocks)
+    held: Counter[int] = Counter()
+    total = 0
+    for b in blocks:
+        if (b.article or not has_article) and not b.furniture[0]:
+            total += b.words
+            for i in b.furniture[1]:
+                held[i] += b.words
+    large = {i for i, n in held.items() if n > LARGE * total}
     density = [min(1.0, b.linked / b.words) for b in blocks]
-    kept = []
+    out = []
     for i, b in enumerate(blocks):
         before = (blocks[i - 1].words, density[i - 1]) if i else (0, 0.0)
         after = (blocks[i + 1].words, density[i + 1]) if i + 1 < len(blocks) else (0, 0.0)
-        if keeps((b.words, density[i], *before, *after, b.article, b.furniture, b.heading)):
-            kept.append(b.text)
-    return "\n".join(kept)
+        out.append((b.words, density[i], *before, *after, 0.5 if not has_article else float(b.article), b.furniture[0] or any(n not in large for n in b.furniture[1]), b.heading))
+    return out
+
+
+def main_text(html: str) -> str:
+    blocks = blocks_of(html)
+    return "\n".join(b.text for b, x in zip(blocks, features_of(blocks)) if keeps(x))
 
 
 def extract(pages: DataFrame, html: str = "html", out: str = "text") -> DataFrame:
