@@ -410,3 +410,94 @@ def test_mix_with_equal_keys_and_a_weight_column(spark):
     rows = source_mix.mix_sources(docs, weight="w").collect()
     assert len(rows) == 26 and len({r.copies for r in rows if r.doc_id == 5}) == 1
     assert source_mix.mixed_documents(docs).select("size").distinct().count() <= 2
+
+
+def test_license_scan_takes_time_in_proportion_to_a_text(spark):
+    import time
+
+    words = 1_000_000
+    docs = spark.createDataFrame([(1, " ".join(f"w{i % 977}" for i in range(words)) + " released under the mit license")], "doc_id long, text string")
+    license_scan.scan_licenses(spark.createDataFrame([(1, "mit license")], "doc_id long, text string")).collect()
+    start = time.time()
+    (row,) = license_scan.scan_licenses(docs).collect()
+    assert (row.n_words, row.first_word, row.labels, row.score) == (words + 5, words + 3, "mit", 1.0) and time.time() - start < 20
+
+
+def test_units_at_line_ends_and_other_white_space():
+    """Words are remembered by themselves only where the library cuts there: hostile runs of white space, punctuation and added tokens."""
+    import random
+
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    library, own = Tokenizer.from_file(path), token_records.library_encoder(path)
+    rng = random.Random(7)
+    bits = ["a", "the", "Word", "'s", "don't", " ", "  ", "\n", "\n\n", "\n\n\n", "\t", "\r\n", "\x85", " ", "　", "\x1c", ".", ",", "%%%", "12", "é", "ñandú", "<|endoftext|>", "​", "😀", "_", "-"]
+    for _ in range(150):
+        texts = ["".join(rng.choice(bits) for _ in range(rng.randrange(14))) for _ in range(25)]
+        for text, ids in zip(texts, own.encode(texts)):
+            assert np.frombuffer(ids, "<u4").tolist() == library.encode(text, add_special_tokens=False).ids, repr(text)
+
+
+def test_token_records_of_a_long_text_and_repeated_null_ids(spark, tmp_path):
+    import public_tokenizers
+
+    long = "token records\n" * 200_000
+    docs = spark.createDataFrame([(None, "b"), (None, "a"), (None, "a"), (3, long), (-1, None)], "doc_id long, text string")
+    index = token_records.write_records(docs, f"file://{tmp_path}/r", public_tokenizers.path("byte_bpe_50k.json"), 2)
+    rows = token_records.numbered(token_records.read_files(index), index).orderBy("start").collect()
+    assert [r.doc_id for r in rows] == [None, None, None, -1, 3] and [r.n_tokens for r in rows[:4]] == [2, 2, 2, 1]
+    assert rows[0].ids_crc32 == rows[1].ids_crc32 != rows[2].ids_crc32 and rows[4].n_tokens > 400_000
+
+
+LAYOUTS = {
+    "section ids": ('<article><h1>Head</h1><p>Words of the text stand here.</p><section id="social-history"><h2>Kept</h2><p>Kept too</p></section></article>', "Head\nWords of the text stand here.\nKept\nKept too"),
+    "heading ids": ('<article><h2 id="in-popular-culture">Popular</h2><p id="advertising">Kept</p><h2 id="trending">Trending</h2><p class="warning">Mind it</p></article>', "Popular\nKept\nTrending\nMind it"),
+    "compound classes": ('<article><p>One two three four</p><div class="share-price">Kept</div><section class="comment-free">Kept</section><div class="share-bar">Out</div><div class="ad-slot">Out</div></article>', "One two three four\nKept\nKept"),
+    "sections named like furniture": ('<article><p>One two three four</p><section id="popular"><h2>Popular</h2><p>Kept</p></section><div id="comments"><p>Out</p></div></article>', "One two three four\nPopular\nKept"),
+    "no article": ("<body><h1>A heading</h1>" + "<p>ten short words stand in each of these few paragraphs</p>" * 3 + "</body>", "A heading" + "\nten short words stand in each of these few paragraphs" * 3),
+    "list without article": ("<body><ul>" + "".join(f"<li>item number {i}</li>" for i in range(5)) + "</ul></body>", "\n".join(f"item number {i}" for i in range(5))),
+    "menus without article": ("<body><ul>" + "<li><a href=x>One link</a></li>" * 5 + "</ul><h1>Head</h1><p>Short text.</p><p>See <a href=y>this</a> page too.</p><div><a href=z>About</a></div><div><a href=z>Imprint</a></div></body>", "Head\nShort text.\nSee this page too."),
+    "page in a form and a menu's box": ('<body><form id="all"><div class="nav-container"><article><p>The whole article</p><button>Out</button></article></div></form></body>', "The whole article"),
+    "comments larger than the article": ('<body><article><p>Small article</p></article><section class="comments"><article>' + "out " * 200 + "</article></section></body>", "Small article"),
+    "furniture": ('<body><header>Out</header><nav>Out</nav><div class="cookieBanner">Out</div><main><p>Kept words of text</p><p class="ad">Out</p><aside>Out</aside><form>Out</form></main><footer>Out</footer></body>', "Kept words of text"),
+}
+
+
+@pytest.mark.parametrize("name", LAYOUTS)
+def test_html_layouts(name):
+    page, want = LAYOUTS[name]
+    assert html_extract.main_text(page) == want
+
+
+def test_mix_closes_in_on_the_cut_whatever_the_weights(spark, monkeypatch):
+    """Weights of 0.01, null and 1, and few rows put in order: against a plain sort of the keys."""
+    import hashlib
+    import math
+
+    monkeypatch.setattr(source_mix, "BINS", 16)
+    monkeypatch.setattr(source_mix, "LEFT", 8)
+    rows = [(i, " ".join(["w"] * (1 + i % 9)), f"s{i % 4}" if i % 5 else None, [None, 0.01, 1.0, 0.3][i % 4]) for i in range(1200)] + [(7, "a b c", "s3", 0.5)] * 40
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, w double")
+    got = source_mix.mix_sources(docs, weight="w").collect()
+    by_source = {}
+    for r in got:
+        by_source.setdefault(r.source, []).append(r)
+    for part in by_source.values():
+        key = lambda r: -math.log((int(hashlib.md5(str(r.doc_id).encode()).hexdigest()[:13], 16) + 1) / 2**52) / max(0.01, 0.01 if r.w is None else r.w)
+        epochs = min(r.copies for r in part)
+        budget = part[0].target - math.floor(part[0].target / part[0].source_size) * part[0].source_size
+        sums, total = {}, 0
+        for r in sorted(part, key=key):
+            total += r.size
+            sums[key(r)] = total
+        best = min((abs(t - budget), k) for k, t in sums.items())
+        want = {k for k in sums if k <= best[1]} if best[0] < budget else set()
+        assert {key(r) for r in part if r.copies > epochs} in (want, set() if len(want) == len(sums) else want)
+    plan = source_mix.measured(docs.select("doc_id", "text", "source", "w"), "doc_id", "text", "source", "w").select("mix_row.*")
+    sums = plan.groupBy("mix_source").agg(F.min("mix_key").alias("lo"), F.max("mix_key").alias("hi"), (F.sum("size") / 2).alias("budget"))
+    at = sums.select(F.col("mix_source").alias("at_source"), "budget", "lo", "hi", F.lit(0).cast("long").alias("before"), F.lit(0).cast("long").alias("n"))
+    for _ in range(6):
+        at = source_mix.close_in(plan, at)
+    assert all(r.n <= 8 or r.lo == r.hi for r in at.collect())
