@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from skylattice.llm import byte_bpe, line_dedup, ngram_join, quality, source_mix
-from skylattice.llm.common import read_table, staged
+from skylattice.llm.common import free_name, read_table, staged
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -24,7 +24,10 @@ def ngram_join_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def source_mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return source_mix.mixed_documents(docs)
+    """A document's quality weight is the classifier's score of it; the model is the first stage's, learnt from all documents' labels."""
+    ranking = quality.learn(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+    weight = free_name(docs, "quality_weight")
+    return source_mix.mixed_documents(quality.with_score(docs, ranking, weight), weight)
 
 
 def byte_bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
