@@ -2,28 +2,28 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from heapq import heappop, heappush
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .components import components
+from .staging import staged
 
-def hungarian(cost: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Rows and columns of the cheapest complete assignment, by shortest augmenting paths with potentials."""
-    if cost.size == 0:
-        return np.empty(0, int), np.empty(0, int)
-    if cost.shape[0] > cost.shape[1]:
-        cols, rows = hungarian(cost.T)
-        order = np.argsort(rows)
-        return rows[order], cols[order]
-    n, m = cost.shape
+
+def augmented(n: int, m: int, row: Callable[[int], np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The cheapest assignment of n rows to n of m >= n columns, by shortest augmenting paths with potentials; row(i): the costs
+    of row i, asked for when they are needed, so memory is n + m."""
     u, v, owner = np.zeros(n + 1), np.zeros(m + 1), np.zeros(m + 1, int)
     for i in range(1, n + 1):
         owner[0], j0 = i, 0
         least, back, used = np.full(m + 1, np.inf), np.zeros(m + 1, int), np.zeros(m + 1, bool)
         while owner[j0]:
             used[j0] = True
-            slack = cost[owner[j0] - 1] - u[owner[j0]] - v[1:]
+            slack = row(owner[j0] - 1) - u[owner[j0]] - v[1:]
             better = ~used[1:] & (slack < least[1:])
             least[1:][better], back[1:][better] = slack[better], j0
             j1 = int(np.argmin(np.where(used[1:], np.inf, least[1:]))) + 1
@@ -41,34 +41,115 @@ def hungarian(cost: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return rows[order], at[order]
 
 
-#: A frame's predictions times its truths at most: 200 MB of distances, of which a solver's task holds one matrix and one axis.
-MOST_PAIRS = 25_000_000
+def hungarian(cost: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and columns of the cheapest complete assignment."""
+    if cost.size == 0:
+        return np.empty(0, int), np.empty(0, int)
+    if cost.shape[0] > cost.shape[1]:
+        cols, rows = hungarian(cost.T)
+        order = np.argsort(rows)
+        return rows[order], cols[order]
+    return augmented(*cost.shape, lambda i: cost[i])
+
+
+def sparse_assignment(a: np.ndarray, b: np.ndarray, cost: np.ndarray, limit: float = 1.0) -> np.ndarray:
+    """Indexes of the edges (a[k], b[k], cost[k]) of the cheapest one-to-one assignment in which staying alone costs `limit`.
+
+    It is what a complete assignment over a matrix filled up with `limit` keeps below it, without that matrix: every row may
+    take its edges or a column of its own, and rows are added one by one along shortest augmenting paths over the edges."""
+    edges: dict[int, list[tuple[int, float, int]]] = {}
+    for k in np.lexsort((b, a)).tolist():
+        if cost[k] < limit:
+            edges.setdefault(int(a[k]), []).append((int(b[k]), float(cost[k]) - limit, k))
+    price_a: dict[int, float] = {}
+    price_b: dict[object, float] = {}
+    owner: dict[object, int] = {}
+    taken: dict[int, tuple[object, int]] = {}  # row -> its column and edge
+    for start in sorted(edges):
+        # A column is (0, b), or (1, row) for staying alone.
+        options = lambda r: [((0, j), c, k) for j, c, k in edges[r]] + [((1, r), 0.0, -1)]
+        price_a[start] = min(c - price_b.get(j, 0.0) for j, c, _ in options(start))
+        best: dict[object, float] = {}
+        came: dict[object, tuple[int, int]] = {}
+        done: list[object] = []
+        closed, heap, row, base = set(), [], start, 0.0
+        while True:
+            for j, c, k in options(row):
+                d = base + c - price_a[row] - price_b.get(j, 0.0)
+                if j not in closed and d < best.get(j, np.inf):
+                    best[j], came[j] = d, (row, k)
+                    heappush(heap, (d, j))
+            while heap[0][1] in closed:
+                heappop(heap)
+            base, j = heappop(heap)
+            if j not in owner:
+                break
+            closed.add(j)
+            done.append(j)
+            row = owner[j]
+        for x in done:
+            price_b[x] = price_b.get(x, 0.0) - (base - best[x])
+            price_a[owner[x]] += base - best[x]
+        price_a[start] += base
+        while True:
+            row, k = came[j]
+            before = taken.get(row)
+            owner[j], taken[row] = row, (j, k)
+            if before is None:
+                break
+            j = before[0]
+    return np.array(sorted(k for _, k in taken.values() if k >= 0), int)
+
+
+GATED = "frame long, a long, b long, cost double"
+
+
+def assign_within_gate(edges: DataFrame, limit: float = 1.0) -> DataFrame:
+    """(frame, a, b, cost) of the cheapest one-to-one assignment of each frame over its edges below `limit`, those outside a gate costing `limit`.
+
+    Edges that share no end are independent, so Spark cuts frames into connected parts first and each part is solved by itself:
+    a task holds a part's edges, not a frame's matrix. edges: frame, a, b, cost. Null costs are no edges."""
+    inside = edges.where(F.col("cost") < limit).select("frame", "a", "b", "cost")
+    vertex = lambda side, c: F.struct(F.col("frame").alias("frame"), F.lit(side).alias("side"), F.col(c).alias("id"))
+    inside = staged(inside.withColumns({"va": vertex(0, "a"), "vb": vertex(1, "b")}), "gate-edges")
+    parts = components(inside.select(F.col("va").alias("u"), F.col("vb").alias("v")))
+    # b's vertex always has a label: a's is smaller.
+    labelled = inside.join(parts.withColumnRenamed("u", "vb"), "vb").select("frame", "a", "b", "cost", "label")
+
+    def solve(part: pd.DataFrame) -> pd.DataFrame:
+        keep = sparse_assignment(part["a"].to_numpy(), part["b"].to_numpy(), part["cost"].to_numpy(), limit)
+        return part.iloc[keep][["frame", "a", "b", "cost"]]
+
+    return labelled.groupBy("label").applyInPandas(solve, GATED)
+
+
 MATCHES = "frame long, pred_id long, gt_id long, dist double"
 
 
 def match_frames(pred: DataFrame, truth: DataFrame, gate: float = 5000.0) -> DataFrame:
     """(frame, pred_id, gt_id, dist): the assignment is made before the gate is applied, so it may match less than a gated one. Frames are independent.
-    One of more than MOST_PAIRS pairs fails, named, before its matrix: an assignment made before the gate depends on all of them."""
+    An optimum over all pairs needs them all, but never at once: a task holds the positions of one frame and a row of distances."""
 
     def solve(key: tuple, p: pd.DataFrame, g: pd.DataFrame) -> pd.DataFrame:
         p, g = p.sort_values("id"), g.sort_values("id")
-        if len(p) * len(g) > MOST_PAIRS:
-            raise ValueError(f"frame {key[0]} has {len(p)} predictions and {len(g)} truths, more than {MOST_PAIRS} pairs")
-        d = np.zeros((len(p), len(g)))
-        for c in ("x", "y", "z"):
-            d += (p[c].to_numpy()[:, None] - g[c].to_numpy()[None]) ** 2
-        d = np.sqrt(d)
-        i, j = hungarian(d)
-        near = d[i, j] < gate
-        return pd.DataFrame({"frame": key[0], "pred_id": p["id"].to_numpy()[i[near]], "gt_id": g["id"].to_numpy()[j[near]], "dist": d[i, j][near]})
+        few, many = (p, g) if len(p) <= len(g) else (g, p)
+        x, y = few[["x", "y", "z"]].to_numpy(float), many[["x", "y", "z"]].to_numpy(float)
+        distances = lambda k: np.sqrt(((y - x[k]) ** 2).sum(1))
+        i, j = augmented(len(x), len(y), distances) if len(x) else (np.empty(0, int), np.empty(0, int))
+        d = np.sqrt(((x[i] - y[j]) ** 2).sum(1))
+        near = d < gate
+        i, j = (i, j) if few is p else (j, i)
+        return pd.DataFrame({"frame": key[0], "pred_id": p["id"].to_numpy()[i[near]], "gt_id": g["id"].to_numpy()[j[near]], "dist": d[near]})
 
     return pred.select("frame", "id", "x", "y", "z").groupBy("frame").cogroup(truth.select(F.col("frame").alias("gt_frame"), F.col("id"), F.col("x"), F.col("y"), F.col("z")).groupBy("gt_frame")).applyInPandas(solve, MATCHES)
 
 
-def frame_counts(pred: DataFrame, truth: DataFrame, matches: DataFrame) -> DataFrame:
-    """frame, n_pred, n_gt, matches, fp, fn, dist_sum for every frame that has either."""
+def frame_counts(pred: DataFrame, truth: DataFrame, matches: DataFrame, switches: DataFrame | None = None) -> DataFrame:
+    """frame, n_pred, n_gt, matches, fp, fn, dist_sum, id_switches for every frame that has either. switches: a row for each, with its frame."""
     n = lambda df, name: df.groupBy("frame").agg(F.count("*").alias(name))
-    counts = n(pred, "n_pred").join(n(truth, "n_gt"), "frame", "full").join(matches.groupBy("frame").agg(F.count("*").alias("matches"), F.sum("dist").alias("dist_sum")), "frame", "left").fillna(0)
+    counts = n(pred, "n_pred").join(n(truth, "n_gt"), "frame", "full").join(matches.groupBy("frame").agg(F.count("*").alias("matches"), F.sum("dist").alias("dist_sum")), "frame", "left")
+    counts = counts.join(n(switches, "id_switches"), "frame", "left") if switches is not None else counts.withColumn("id_switches", F.lit(0).cast("long"))
+    counts = counts.fillna(0)
     return counts.withColumns({"fp": F.col("n_pred") - F.col("matches"), "fn": F.col("n_gt") - F.col("matches")})
 
 

@@ -13,18 +13,18 @@ def ratio(a: Column, b: Column) -> Column:
     return F.when(b != 0, a / b).otherwise(0.0)
 
 
-def summary(counts: DataFrame, switches: Column | None = None) -> DataFrame:
-    """MOTA, MOTP, precision, recall, F1 and rates from per-frame counts; all 0 without frames."""
-    s = counts.agg(F.count("*").alias("frames"), *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("matches", "fp", "fn", "dist_sum")])
+def summary(counts: DataFrame) -> DataFrame:
+    """MOTA, MOTP, precision, recall, F1 and rates from per-frame counts; all 0 without frames. id_switches may be among the counts."""
+    counts = counts if "id_switches" in counts.columns else counts.withColumn("id_switches", F.lit(0))
+    s = counts.agg(F.count("*").alias("frames"), *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("matches", "fp", "fn", "dist_sum", "id_switches")])
     c = F.col
-    s = s.withColumn("id_switches", switches if switches is not None else F.lit(0).cast("long"))
     s = s.withColumns({"precision": ratio(c("matches"), c("matches") + c("fp")), "recall": ratio(c("matches"), c("matches") + c("fn"))})
     motp = F.when(c("frames") == 0, 0.0).when(c("matches") == 0, NO_MATCH_MOTP).otherwise(c("dist_sum") / c("matches"))
     mota = F.when(c("matches") + c("fn") == 0, 0.0).otherwise(1 - (c("fn") + c("fp") + c("id_switches")) / (c("matches") + c("fn")))
     r = lambda x, n: F.round(x, 6).alias(n)
     return s.select(
         r(mota, "mota"), r(motp, "motp"), r(c("precision"), "precision"), r(c("recall"), "recall"), r(ratio(2 * c("precision") * c("recall"), c("precision") + c("recall")), "f1"),
-        r(ratio(c("fp"), c("frames")), "fp_rate"), r(ratio(c("fn"), c("frames")), "fn_rate"), c("matches").cast("long").alias("total_matches"), c("fp").cast("long").alias("fp"), c("fn").cast("long").alias("fn"), "id_switches",
+        r(ratio(c("fp"), c("frames")), "fp_rate"), r(ratio(c("fn"), c("frames")), "fn_rate"), c("matches").cast("long").alias("total_matches"), c("fp").cast("long").alias("fp"), c("fn").cast("long").alias("fn"), c("id_switches").cast("long").alias("id_switches"),
     )
 
 
@@ -34,6 +34,27 @@ def id_switches(matches: DataFrame) -> DataFrame:
     return matches.withColumns({"was": F.lag("pred_id").over(w), "was_frame": F.lag("frame").over(w)}).where((F.col("was_frame") == F.col("frame") - 1) & (F.col("was") != F.col("pred_id")))
 
 
+#: Frames that are numbered together.
+FRAMES = 65_536
+
+
+def frames_before(frames: DataFrame) -> DataFrame:
+    """(frame, before): the next earlier frame of the table, null for the first. Frames are ordered within bins, the bins by one row each."""
+    binned = frames.select("frame").distinct().withColumn("bin", F.floor(F.col("frame") / FRAMES))
+    last = binned.groupBy("bin").agg(F.max("frame").alias("last"))
+    carried = last.select("bin", F.max("last").over(Window.orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)).alias("carried"))
+    within = F.lag("frame").over(Window.partitionBy("bin").orderBy("frame"))
+    return binned.join(F.broadcast(carried), "bin").select("frame", F.coalesce(within, "carried").alias("before"))
+
+
+def stateful_switches(matches: DataFrame, scored: DataFrame) -> DataFrame:
+    """frame, gt_id, pred_id, was: matches whose truth had another prediction in the last frame before that was scored, one that had both
+    predictions and truths; frames without either are passed over, as a tracker's evaluation passes over them. scored: frame."""
+    w = Window.partitionBy("gt_id").orderBy("frame")
+    lagged = matches.withColumns({"was": F.lag("pred_id").over(w), "was_frame": F.lag("frame").over(w)}).where(F.col("was") != F.col("pred_id"))
+    return lagged.join(frames_before(scored), "frame").where(F.col("was_frame") == F.col("before")).select("frame", "gt_id", "pred_id", "was")
+
+
 def classifier(rows: DataFrame, label: str, predicted: Column) -> DataFrame:
     t, p = F.col(label) == 1, predicted
     s = rows.agg(F.count_if(t & p).alias("tp"), F.count_if(~t & p).alias("fp"), F.count_if(t & ~p).alias("fn"))

@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from skylattice.functions import kinematics as k
 from skylattice.functions import perceptron
-from skylattice.operators import assignment, existence, generate, kalman, metrics, pairs, tracker, truth, windows
+from skylattice.operators import assignment, existence, generate, kalman, metrics, pairs, staging, tracker, truth, windows
 from skylattice.plans.measurements import DAY, HOUR, MEAS, meas, windows_sql
 
 QUERIES: dict = {}
@@ -289,14 +289,63 @@ def matching(spark, sf) -> tuple[DataFrame, DataFrame, DataFrame]:
     return pred, gt, assignment.match_frames(pred, gt)
 
 
-@query()
+# The cheapest complete assignment by dynamic programming over the subsets of the larger side: for frames of some dozen rows.
+OPTIMUM = f"""ht as (select frame, 'p' side, seq id, x, y, z from ms union all select frame, 'g', track_id, x, y, z from trk),
+hn as (select frame, count(*) filter (where side = 'p') np, count(*) filter (where side = 'g') ng from ht group by frame),
+few as (select frame, id, x, y, z, row_number() over (partition by frame order by id) i from ht join hn using (frame) where np > 0 and ng > 0 and side = case when np <= ng then 'p' else 'g' end),
+many as (select frame, id, x, y, z, row_number() over (partition by frame order by id) - 1 k from ht join hn using (frame) where np > 0 and ng > 0 and side = case when np <= ng then 'g' else 'p' end),
+dp(frame, i, used, cost, picks) as (select frame, 0::bigint, 0::hugeint, 0.0::double, []::bigint[] from hn where np > 0 and ng > 0
+  union all select frame, i + 1, used2, min(cost2), arg_min(picks2, cost2)
+  from (select d.frame, d.i, d.used + (1::hugeint << m.k::int) used2, d.cost + {D3} cost2, list_append(d.picks, m.k) picks2
+    from dp d join few a on a.frame = d.frame and a.i = d.i + 1 join many b on b.frame = d.frame join many m on m.frame = b.frame and m.k = b.k where (d.used >> m.k::int) & 1 = 0) group by frame, i, used2),
+best as (select frame, picks from dp join hn using (frame) where i = least(np, ng) qualify row_number() over (partition by frame order by cost) = 1),
+picked as (select frame, unnest(picks) k, unnest(range(1, len(picks) + 1)) i from best),
+matched as (select p.frame, case when np <= ng then a.id else b.id end pred_id, case when np <= ng then b.id else a.id end gt_id, {D3} dist
+  from picked p join hn using (frame) join few a on a.frame = p.frame and a.i = p.i join many b on b.frame = p.frame and b.k = p.k where {D3} < 5000)"""
+
+
+@query(f"with recursive {W}, {TRK}, {OPTIMUM} select frame, pred_id, gt_id, round(dist, 4) dist from matched")
 def hungarian_match(spark, sf):
     return matching(spark, sf)[2].withColumn("dist", F.round("dist", 4))
 
 
-@query()
+@query(f"""with recursive {W}, {TRK}, {OPTIMUM},
+both_sides as (select frame, lag(frame) over (order by frame) before from hn where np > 0 and ng > 0),
+named as (select m.frame, gt_id, user_id pred from matched m join w on seq = pred_id),
+moved as (select *, lag(pred) over g was, lag(frame) over g was_frame from named window g as (partition by gt_id order by frame)),
+s as (select count(*) n from moved join both_sides using (frame) where was <> pred and was_frame = before),
+c as (select count(*) frames, sum(np) p, sum(ng) g, (select count(*) from matched) m, (select coalesce(sum(dist), 0) from matched) d, (select n from s) sw from hn)
+select round(1 - ((g - m) + (p - m) + sw) / g, 6) mota, round(d / m, 6) motp, round(m / p, 6) "precision", round(m / g, 6) recall, round(2 * (m / p) * (m / g) / (m / p + m / g), 6) f1,
+round((p - m) / frames, 6) fp_rate, round((g - m) / frames, 6) fn_rate, m::bigint total_matches, (p - m)::bigint fp, (g - m)::bigint fn, sw::bigint id_switches from c""")
 def mot_metrics(spark, sf):
-    return metrics.summary(assignment.frame_counts(*matching(spark, sf)))
+    """A prediction is known from frame to frame by its user."""
+    pred, gt, matches = matching(spark, sf)
+    pred, gt, matches = staging.staged(pred, "mot-pred"), staging.staged(gt, "mot-truth"), staging.staged(matches, "mot-matches")
+    named = matches.join(hours(spark, sf).select(F.col("seq").alias("pred_id"), F.col("user_id").alias("name")), "pred_id").select("frame", "gt_id", F.col("name").alias("pred_id"))
+    switches = metrics.stateful_switches(named, pred.select("frame").intersect(gt.select("frame")))
+    return metrics.summary(assignment.frame_counts(pred, gt, matches, switches))
+
+
+GATE_COST = "1 - 1 / (1 + exp((sqrt({d}) - 4000) / 1000))"
+
+
+@query(f"""with recursive {W}, {TRK}, e as (select a.frame, a.track_id, b.seq, {GATE_COST.format(d=D2)} cost from trk a join ms b on a.frame = b.frame and {D2} < 64000000),
+rows_ as (select frame, track_id, row_number() over (partition by frame order by track_id) i from (select distinct frame, track_id from e)),
+cols as (select frame, seq, row_number() over (partition by frame order by seq) - 1 k from (select distinct frame, seq from e)),
+g as (select frame, i, k, cost from e join rows_ using (frame, track_id) join cols using (frame, seq)),
+dp(frame, i, used, n, cost) as (select distinct frame, 0::bigint, 0::hugeint, 0::bigint, 0.0::double from e
+  union all select frame, i + 1, used2, arg_min(n2, cost2), min(cost2) from (
+    select d.frame, d.i, d.used used2, d.n n2, d.cost + 1 cost2 from dp d join rows_ t on t.frame = d.frame and t.i = d.i + 1
+    union all select d.frame, d.i, d.used + (1::hugeint << g.k::int), d.n + 1, d.cost + g.cost from dp d join g on g.frame = d.frame and g.i = d.i + 1 and (d.used >> g.k::int) & 1 = 0) group by frame, i, used2),
+ends as (select frame, max(i) top from rows_ group by frame)
+select frame, n matches, round(cost - (top - n), 6) cost from (select frame, top, n, cost from dp join ends using (frame) where i = top qualify row_number() over (partition by frame order by cost) = 1)""")
+def gate_assignment(spark, sf):
+    """Matches and their total cost of each frame's cheapest assignment within the gate."""
+    t, m = frame_tracks(spark, sf)
+    near = t.alias("a").join(m.alias("b"), (F.col("a.frame") == F.col("b.frame")) & (pairs.square() < 64000000.0))
+    cost = 1 - 1 / (1 + F.exp((F.sqrt(pairs.square()) - 4000) / 1000))
+    edges = near.select(F.col("a.frame").alias("frame"), F.col("a.track_id").alias("a"), F.col("b.seq").alias("b"), cost.alias("cost"))
+    return assignment.assign_within_gate(edges).groupBy("frame").agg(F.count("*").alias("matches"), r(F.sum("cost"), "cost"))
 
 
 @query(f"""with {W}, c as (select win frame, count(*) filter (where meas_type = 'PSR') p, count(*) filter (where meas_type = 'SSR') g from w group by win), q as (select sum(least(p, g)) m, sum(p - least(p, g)) fp, sum(g - least(p, g)) fn, count(*) n from c)
