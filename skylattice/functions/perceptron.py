@@ -41,25 +41,40 @@ def fold_normalisation(weights: DataFrame, layer: int, stats: DataFrame, eps: fl
     return weights.where(F.col("layer") != layer).unionByName(here)
 
 
-def probability(features: list[Column], weights: DataFrame) -> Column:
-    """The sigmoid of the last layer's one unit; ReLU between layers. Null features count as 0."""
+def layers(weights: DataFrame, n_features: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(matrix, biases) of each layer, from a model's table."""
     rows = weights.orderBy("layer", "unit").limit(MOST_UNITS + 1).collect()
     if len(rows) > MOST_UNITS:
         raise ValueError(f"a model has {MOST_UNITS} units at most")
-    layers = []
+    found = []
     for layer in sorted({r["layer"] for r in rows}):
         units = [r for r in rows if r["layer"] == layer]
-        layers.append((np.array([r["weights"] for r in units]).T, np.array([r["bias"] for r in units])))
-    if not layers or layers[-1][0].shape[1] != 1 or layers[0][0].shape[0] != len(features):
+        found.append((np.array([r["weights"] for r in units]).T, np.array([r["bias"] for r in units])))
+    if not found or found[-1][0].shape[1] != 1 or found[0][0].shape[0] != n_features:
         raise ValueError("the model's layers do not fit: one unit at its end, a weight for each feature")
+    return found
+
+
+def forward(model: list[tuple[np.ndarray, np.ndarray]], x: np.ndarray) -> np.ndarray:
+    """The sigmoid of the last layer's one unit for each row of x; ReLU between layers."""
+    for i, (w, b) in enumerate(model):
+        x = x @ w + b
+        if i < len(model) - 1:
+            x = np.maximum(x, 0.0)
+    return 1.0 / (1.0 + np.exp(-np.clip(x[:, 0], -700, 700)))
+
+
+def probability(features: list[Column], weights: DataFrame) -> Column:
+    """forward() over columns. Null features count as 0."""
+    model = layers(weights, len(features))
 
     @F.pandas_udf("double")
     def run(*columns: pd.Series) -> pd.Series:
-        x = np.column_stack([c.to_numpy(np.float64) for c in columns])
-        for i, (w, b) in enumerate(layers):
-            x = x @ w + b
-            if i < len(layers) - 1:
-                x = np.maximum(x, 0.0)
-        return pd.Series(1.0 / (1.0 + np.exp(-x[:, 0])))
+        return pd.Series(forward(model, np.column_stack([c.to_numpy(np.float64) for c in columns])))
 
     return run(*[F.coalesce(f.cast("double"), F.lit(0.0)) for f in features])
+
+
+def save(weights: DataFrame, path: str) -> None:
+    """Writes a model's table, at most MOST_UNITS rows, as one file."""
+    weights.select("layer", "unit", "bias", "weights").orderBy("layer", "unit").coalesce(1).write.mode("overwrite").parquet(path)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from skylattice.functions import kinematics as k
-from skylattice.functions import perceptron
+from skylattice.functions import perceptron, training
 from skylattice.operators import assignment, existence, generate, kalman, metrics, pairs, staging, tracker, truth, windows
 from skylattice.plans.measurements import DAY, HOUR, MEAS, meas, windows_sql
 
@@ -447,15 +447,28 @@ def track_cap_topk(spark, sf):
 
 
 def scenes(spark, sf) -> DataFrame:
-    """Scenes are radars here: many independent states."""
+    """A scene is a radar's day here: independent states, more of them the more days there are."""
     h = hours(spark, sf)
     origin = h.agg(F.min("t").alias("o"))
-    return h.crossJoin(F.broadcast(origin)).withColumns({"scene": F.col("radar_id").cast("long"), "t": F.col("t") - F.col("o")})
+    return h.crossJoin(F.broadcast(origin)).withColumns({"vz": F.lit(None).cast("double"), "scene": F.floor(F.col("win") / 24) * 5 + F.col("radar_id"), "t": F.col("t") - F.col("o")})
+
+
+@query()
+def classifier_fit(spark, sf):
+    """The fitted models of clutter and of both kinds of pairs, as they do on ids that they were not learnt from."""
+    h = staging.staged(scenes(spark, sf), "fit-measurements")
+    found = zip(("clutter", "psr", "ssr"), (training.fit_clutter(h), *training.fit_pairs(h)))
+    rows = [(name, f.steps, f.n_train, f.n_held_out, f.precision, f.recall, f.f1) for name, f in found if f]
+    return spark.createDataFrame(rows, "model string, steps int, n_train long, n_held_out long, precision double, recall double, f1 double")
 
 
 @query()
 def tracker_hybrid_batch(spark, sf):
-    return tracker.track_scenes(scenes(spark, sf), 3600.0)
+    """Clutter filtered, pairs clustered and tracks associated by the models fitted to the same measurements."""
+    h = staging.staged(scenes(spark, sf), "scenes")
+    clutter, (psr, ssr) = training.fit_clutter(h), training.fit_pairs(h)
+    kept = h.where(perceptron.probability(k.clutter_features(), clutter.weights) < 0.7) if clutter else h
+    return tracker.track_scenes(kept, 3600.0, psr=psr and psr.weights, ssr=ssr and ssr.weights)
 
 
 @query()
@@ -463,9 +476,6 @@ def tracker_sort_batch(spark, sf):
     return tracker.track_scenes(scenes(spark, sf), 3600.0, tracker.SORT_RULES)
 
 
-# --- splits, sets, sequences ---------------------------------------------------------------------
-
-
 @query(f"with {MEAS}, o as (select seq, row_number() over (order by t_us // {DAY}, t_us, seq) k, count(*) over () n from meas) select seq, case when k <= floor(n * 70 / 100) then 'train' when k <= floor(n * 85 / 100) then 'val' else 'test' end part from o")
 def split_temporal(spark, sf):
     return windows.split_by_time(meas(spark, sf), (70, 85))

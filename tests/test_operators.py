@@ -10,6 +10,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from skylattice.functions import perceptron, training
 from skylattice.operators import assignment, generate, kalman, metrics, pairs, tracker, windows
 from skylattice.plans import catalogue
 from skylattice.sources import streams
@@ -105,32 +106,133 @@ def test_windows_include_empty_ones(spark):
 
 
 def meas_row(t, x, **more):
-    return {"t": t, "x": x, "y": 0.0, "vx": 0.0, "vy": 0.0, "mode_3a": None, "mode_s": None, "seq": 0} | more
+    return {"t": t, "x": x, "y": 0.0, "z": 0.0, "vx": 0.0, "vy": 0.0, "vz": 0.0, "amplitude": None, "meas_type": "PSR", "mode_3a": None, "mode_s": None, "seq": 0} | more
 
 
 def test_track_life():
     life = tracker.Tracker()
-    assert life.step([meas_row(0.5, 0.0)], 1.0) == []
-    assert life.step([meas_row(1.5, 10.0)], 2.0) == []
-    (confirmed,) = life.step([meas_row(2.5, 20.0)], 3.0)
+    step = lambda rows, end: life.step(tracker.clustered_here(rows, life.rules, life.models), end)
+    assert step([meas_row(0.5, 0.0)], 1.0) == []
+    assert step([meas_row(1.5, 10.0)], 2.0) == []
+    (confirmed,) = step([meas_row(2.5, 20.0)], 3.0)
     assert (confirmed.track_id, confirmed.hits, confirmed.age) == (0, 3, 0)
     for i in range(9):
-        assert [t.age for t in life.step([], 4.0 + i)] == [i + 1]
-    assert life.step([], 13.0) == [] and life.tracks == []
-    assert [t.track_id for t in life.step([meas_row(20.0, 0.0, seq=i) for i in range(3)], 21.0)] == [1]  # a cluster of three confirms at birth
-    assert len(life.step([meas_row(21.2, 0.0, mode_s="a"), meas_row(21.3, 50.0, mode_s="b")], 22.0)) == 1 and len(life.tracks) == 2
+        assert [t.age for t in step([], 4.0 + i)] == [i + 1]
+    assert step([], 13.0) == [] and life.tracks == []
+    assert [t.track_id for t in step([meas_row(20.0, 0.0, seq=i) for i in range(3)], 21.0)] == [1]  # a cluster of three confirms at birth
+    assert len(step([meas_row(21.2, 0.0, mode_s="a"), meas_row(21.3, 50.0, mode_s="b")], 22.0)) == 1 and len(life.tracks) == 2
+
+
+def fitted_models(spark, sf):
+    h = catalogue.scenes(spark, sf)
+    return h, [f and f.weights for f in training.fit_pairs(h)]
+
+
+def test_clusters_in_a_task_equal_those_of_spark(spark, sf):
+    h, (psr, ssr) = fitted_models(spark, sf)
+    h = h.where("scene < 30")
+    for models in ((None, None), (psr, ssr)):
+        want = sorted((r.scene, r.win, r.first, r.size, round(r.x, 6), round(r.z, 6), round(r.vx or 0.0, 6), r.mode_3a, r.mode_s) for r in tracker.fused_reports(h, psr=models[0], ssr=models[1]).collect())
+        got, by_window = [], {}
+        for r in tracker.with_defaults(h).collect():
+            by_window.setdefault((r.scene, r.win), []).append(r.asDict())
+        for (scene, win), rows in by_window.items():
+            rows.sort(key=lambda r: r["seq"])
+            got += [(scene, win, m["size"], round(m["x"], 6), round(m["z"], 6), round(m["vx"], 6), m["mode_3a"], m["mode_s"]) for m in tracker.clustered_here(rows, tracker.HYBRID_RULES, tracker.Classifiers.of(*models))]
+        assert sorted(map(repr, got)) == sorted(repr(w[:2] + w[3:]) for w in want) and any(w[3] > 1 for w in want)
 
 
 def test_batch_equals_stream(spark, sf, tmp_path):
-    rows = catalogue.scenes(spark, sf).select("scene", "win", "seq", "t", "x", "y", "vx", "vy", "mode_3a", "mode_s")
-    want = sorted(map(tuple, tracker.track_scenes(rows, 3600.0).collect()))
-    last = rows.agg(F.max("win")).first()[0]
-    for i in range(4):  # four micro-batches of whole windows
-        rows.where(F.floor(F.col("win") * 4 / (last + 1)) == i).coalesce(1).write.parquet(str(tmp_path / "in" / f"b{i}"))
-    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(str(tmp_path / "in"))
-    out = tracks.track_stream(stream, 3600.0).writeStream.outputMode("append").format("memory").queryName("tracked").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
-    out.awaitTermination(120)
-    assert sorted(map(tuple, spark.table("tracked").collect())) == want and want
+    """Every window is cut over three micro-batches, rows out of order within the watermark; the query is stopped and restarted from its
+    checkpoint; a far row of its own scene moves the watermark past the last window."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    h, (psr, ssr) = fitted_models(spark, sf)
+    rows = h.where("scene < 10").select("scene", "win", "seq", "t", "x", "y", "z", "vx", "vy", "amplitude", "meas_type", "mode_3a", "mode_s")
+    # Ten days later: Spark takes a row at the epoch itself as late.
+    rows = rows.withColumns({"t": F.col("t") + 864_000, "win": F.col("win") + 240}).withColumn("ts", F.timestamp_micros((F.col("t") * 1e6).cast("long")))
+    want = sorted(map(repr, tracker.track_scenes(rows, 3600.0, psr=psr, ssr=ssr).collect()))
+    span = 48 * 3600.0  # lateness of the whole test: any order is within it
+    batches = [rows.where(F.pmod(F.xxhash64("seq"), F.lit(3)) == i) for i in range(3)]
+    end = spark.createDataFrame([(99, 0, -1, 1e7, 0.0, 0.0, 0.0, 0.0, 0.0, 50.0, "PSR", None, None)], rows.drop("ts").schema).withColumn("ts", F.timestamp_micros(F.lit(10**13)))
+    out = []
+    for i, part in enumerate([*batches, end, end.withColumn("seq", F.lit(-2).cast("long"))]):
+        part.orderBy(F.xxhash64("seq")).coalesce(1).write.parquet(str(tmp_path / "in" / f"b{i}"))
+        if i in (1, 3, 4):  # a start of the query for the first two files, and one for each group after them
+            stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(str(tmp_path / "in"))
+            q = tracks.track_stream(stream, 3600.0, f"{int(span)} seconds", psr=psr, ssr=ssr).writeStream.outputMode("append").format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+            q.awaitTermination(180)
+            assert q.exception() is None
+            out.append(spark.read.schema(tracker.TRACKS).parquet(str(tmp_path / "out")).where("scene <> 99"))
+    got = sorted(map(repr, out[-1].collect()))
+    assert got == want and len(want) > 20
+
+
+@settings(max_examples=80, deadline=None)
+@given(st.integers(1, 7), st.integers(1, 7), st.integers(0, 100_000))
+def test_sparse_assignment_costs_what_the_dense_one_costs(n, m, seed):
+    rng = np.random.default_rng(seed)
+    cost = np.where(rng.random((n, m)) < 0.5, rng.random((n, m)).round(2), 1.0)
+    a, b = np.nonzero(cost < 1)
+    keep = assignment.sparse_assignment(a, b, cost[a, b])
+    assert len(set(a[keep])) == len(keep) == len(set(b[keep]))
+    i, j = assignment.hungarian(cost)
+    assert (cost[a, b][keep] - 1).sum() == pytest.approx((cost[i, j] - 1).sum())
+
+
+def test_assignment_by_connected_parts(spark):
+    rng = np.random.default_rng(4)
+    edges = [(f, int(a), int(b), float(rng.random() * 1.3)) for f in range(6) for a in range(12) for b in rng.choice(14, 3, replace=False)] + [(9, 1, 1, None), (9, 2, 2, float("nan"))]
+    got = assignment.assign_within_gate(spark.createDataFrame(edges, "frame long, a long, b long, cost double")).collect()
+    for f in range(6):
+        cost = np.ones((12, 14))
+        for frame_, a, b, c in edges:
+            if frame_ == f:
+                cost[a, b] = min(c, 1.0)
+        i, j = assignment.hungarian(cost)
+        mine = [r for r in got if r.frame == f]
+        assert sum(r.cost - 1 for r in mine) == pytest.approx((cost[i, j] - 1).sum()) and len({r.a for r in mine}) == len(mine) == len({r.b for r in mine})
+    assert {r.frame for r in got} == set(range(6))
+
+
+def test_frames_need_no_matrix(spark):
+    rng = np.random.default_rng(8)
+    p, g = ([(0, i, *(float(v) for v in x)) for i, x in enumerate(rng.random((n, 3)) * 100)] for n in (60, 90))
+    for few, many in ((p, g), (g, p)):
+        got = {(r.pred_id, r.gt_id) for r in assignment.match_frames(frame(spark, few), frame(spark, many), 30.0).collect()}
+        d = np.linalg.norm(np.array([x[2:] for x in few])[:, None] - np.array([x[2:] for x in many])[None], axis=2)
+        i, j = assignment.hungarian(d)
+        assert got == {(a, b) for a, b in zip(i.tolist(), j.tolist()) if d[a, b] < 30}
+    assert assignment.match_frames(frame(spark, p), frame(spark, [])).count() == 0
+
+
+def test_switches_pass_over_frames_that_are_not_scored(spark):
+    rng = random.Random(2)
+    scored = sorted(rng.sample(range(-70_000, 140_000), 300))
+    matches = [(f, g, rng.randrange(3)) for f in scored for g in range(4) if rng.random() < 0.7]
+    want, held = set(), {}
+    for f in scored:
+        now = {g: p for x, g, p in matches if x == f}
+        want |= {(f, g, p, held[g]) for g, p in now.items() if g in held and held[g] != p}
+        held = now
+    got = metrics.stateful_switches(spark.createDataFrame(matches, "frame long, gt_id long, pred_id long"), spark.createDataFrame([(f,) for f in scored], "frame long"))
+    assert {tuple(r) for r in got.collect()} == want and len(want) > 100
+
+
+def test_classifiers_are_fitted_and_saved(spark, sf, tmp_path):
+    rng = random.Random(6)
+    rows = [(i, rng.gauss(0, 1), rng.gauss(0, 1)) for i in range(1500)]
+    df = spark.createDataFrame(rows, "id long, a double, b double").withColumn("y", (F.col("a") - 2 * F.col("b") > 1.5).cast("int"))
+    fitted = training.fit(df, [F.col("a"), F.col("b")], F.col("y"), F.col("id"))
+    assert fitted.f1 > 0.9 and fitted.n_train + fitted.n_held_out == 1500 and fitted.steps in training.STEPS
+    perceptron.save(fitted.weights, str(tmp_path / "model"))
+    back = perceptron.load(spark, str(tmp_path / "model"))
+    score = lambda w: [r.p for r in df.orderBy("id").select(perceptron.probability([F.col("a"), F.col("b")], w).alias("p")).limit(50).collect()]
+    assert score(back) == score(fitted.weights)
+    assert training.fit(df.where("y = 1"), [F.col("a")], F.col("y"), F.col("id")) is None
+    h = catalogue.scenes(spark, sf)
+    _, ssr = training.fit_pairs(h)
+    clutter = training.fit_clutter(h)
+    assert ssr.f1 > 0 and clutter.f1 > 0.5
 
 
 def test_watermarked_counts(spark, sf, tmp_path):
@@ -192,15 +294,6 @@ def test_window_components_gather_no_window(spark):
     assert "Pandas" not in got._jdf.queryExecution().executedPlan().toString()
 
 
-def test_frames_beyond_the_bound_are_refused(spark, monkeypatch):
-    p, g = frame(spark, [(0, i, 1.0 * i, 0.0, 0.0) for i in range(3)]), frame(spark, [(0, i, 1.0 * i, 0.0, 0.0) for i in range(4)])
-    assert assignment.match_frames(p, g).count() == 3
-    monkeypatch.setattr(assignment, "MOST_PAIRS", 11)
-    p, g = p.limit(3), g.limit(4)
-    with pytest.raises(Exception, match="more than 11 pairs"):
-        assignment.match_frames(p, g).collect()
-
-
 def test_split_by_id_ranks_in_bins(spark):
     ids = [None, *range(500), 3, 3]
     got = {r.id: r.train for r in windows.split_by_id(spark.createDataFrame([(i,) for i in ids], "id long"), "id", 80).collect()}
