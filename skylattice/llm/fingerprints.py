@@ -6,11 +6,11 @@ and doubled while it gives too many, so that every part of a text counts alike;
 equal or differ by the factor two are compared by the insert-and-delete edit distance of their chunk sequences.
 
 `neighbours` gives each document its next one in descending id order without putting all documents in one task: ids are
-cut into ranges of about RANGE_BYTES of text at sampled quantiles, each range's last document is also sent, as a ghost, to the next range that has any
-(the last range's to the first), and each range is streamed in order. Only the ranges' largest ids reach the driver.
+cut into ranges of about RANGE_BYTES of text, by id, beginning and hash of the text, so that no id is too frequent for a range; each range's last document
+is also sent, as a ghost, to the next range (the last range's to the first), and each range is streamed in order. Only the ranges' largest keys reach the driver.
 
 Null texts count as empty; empty texts have the empty signature and are like each other. Null ids come before all others;
-equal ids follow each other by text. A single document is its own neighbour. A text that repeats itself may have more
+equal ids follow each other by the first 64 characters of text, then by its hash. Repeated rows stay in one range. A single document is its own neighbour. A text that repeats itself may have more
 than MOST chunks: a hash value that returns all along it stops ending chunks at one doubling, which then would leave
 fewer than LEAST; it keeps them up to LONGEST, where the comparison's cost ends it.
 """
@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import hashlib
 import zlib
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,7 +39,7 @@ PAIR = [a + b for a in LETTERS for b in LETTERS]
 
 
 def rolling(raw: np.ndarray) -> np.ndarray:
-    """The rolling hash after each byte: the window's sum, its sum weighted by nearness, and its shifted exclusive or."""
+    """The rolling hash after each byte: the window's sum weighted by nearness and its shifted exclusive or, mixed."""
     n = len(raw)
     padded = np.concatenate([np.zeros(WINDOW - 1, np.uint32), raw.astype(np.uint32)])
     total, mixed = np.zeros(n, np.uint32), np.zeros(n, np.uint32)
@@ -46,7 +47,11 @@ def rolling(raw: np.ndarray) -> np.ndarray:
         byte = padded[WINDOW - 1 - j : WINDOW - 1 - j + n]
         total += byte * np.uint32(1 + WINDOW - j)
         mixed ^= byte << np.uint32(5 * j)
-    return total + mixed
+    # Sums of a window take few residues of some block sizes: mixed, all are equally likely, so chunks follow the length.
+    mixed ^= total * np.uint32(0x9E3779B1)
+    mixed ^= mixed >> np.uint32(15)
+    mixed *= np.uint32(0x85EBCA77)
+    return mixed ^ mixed >> np.uint32(13)
 
 
 def signature(data: bytes, ends: np.ndarray) -> str:
@@ -117,27 +122,29 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - half] + following[:half]
 
 
-def in_ranges(docs: DataFrame, ranges: int) -> DataFrame:
-    """(range, ghost, doc_id, text) rows, each range sorted; its ghosts, which come first, are the documents before its own."""
-    order = F.coalesce(F.col("doc_id"), F.lit(-(2**63)))
-    placed = docs.withColumn("order", order)
-    bounds = sorted(set(placed.agg(F.percentile_approx("order", [i / ranges for i in range(1, ranges)] or [0.5], 100 * ranges)).first()[0] or []))
+#: What rows are put in order by: id, nulls first, the beginning of the text, a hash of all of it.
+ORDER = ("order", "head", "hash")
 
-    def find(ids: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(np.array(bounds, np.int64), ids.to_numpy(), "left")).astype("int64")
 
-    placed = placed.withColumn("range", F.pandas_udf(find, "long")("order"))
-    last = sorted((r["range"], r["last"]) for r in placed.groupBy("range").agg(F.max("order").alias("last")).collect())
-    # The range after each range's largest id, the first one after the last.
-    follows = {top: last[(i + 1) % len(last)][0] for i, (_, top) in enumerate(last)}
+def in_ranges(docs: DataFrame, ranges: int) -> DataFrame:
+    """(range, ghost, doc_id, text) rows, each range sorted; its ghosts, which come first, are the documents before its own."""
+    placed = docs.withColumns({"order": F.coalesce(F.col("doc_id"), F.lit(-(2**63))), "head": F.substring("text", 1, 64), "hash": F.xxhash64("text")})
+    # Only the keys are shuffled to find each range's largest one; a row is of the first range whose largest key is not below its own.
+    keys = placed.select(*ORDER).repartitionByRange(ranges, *ORDER)
+    bounds = sorted(tuple(r["last"]) for r in keys.groupBy(F.spark_partition_id()).agg(F.max(F.struct(*ORDER)).alias("last")).collect())
+    n = max(1, len(bounds))
 
-    def ghosts(ids: pd.Series) -> pd.Series:
-        return ids.map(lambda x: follows.get(x, -1)).astype("int64")
+    @F.pandas_udf("range long, after long")
+    def place(order: pd.Series, head: pd.Series, hashed: pd.Series) -> pd.DataFrame:
+        found = [bisect_left(bounds, k) for k in zip(order.tolist(), head.tolist(), hashed.tolist())]
+        # A range's largest row is also sent to the range after it, the last one's to the first.
+        after = [(i + 1) % n if bounds[i] == k else -1 for i, k in zip(found, zip(order.tolist(), head.tolist(), hashed.tolist()))]
+        return pd.DataFrame({"range": found, "after": after}, dtype="int64")
 
-    own = F.struct(F.col("range"), F.lit(0).alias("ghost"))
-    both = F.when(F.col("after") >= 0, F.array(own, F.struct(F.col("after").alias("range"), F.lit(1).alias("ghost")))).otherwise(F.array(own))
-    dealt = placed.withColumn("after", F.pandas_udf(ghosts, "long")("order")).select("order", "doc_id", "text", F.explode(both).alias("at")).select("at.range", "at.ghost", "order", "doc_id", "text")
-    return dealt.repartition(ranges, "range").sortWithinPartitions("range", F.desc("ghost"), "order", "text").select("range", "ghost", "doc_id", "text")
+    own = F.struct(F.col("place.range").alias("range"), F.lit(0).alias("ghost"))
+    both = F.when(F.col("place.after") >= 0, F.array(own, F.struct(F.col("place.after").alias("range"), F.lit(1).alias("ghost")))).otherwise(F.array(own))
+    dealt = placed.withColumn("place", place(*ORDER)).select("doc_id", "text", *ORDER, F.explode(both).alias("at")).select("at.range", "at.ghost", "doc_id", "text", *ORDER)
+    return dealt.repartition(n, "range").sortWithinPartitions("range", F.desc("ghost"), *ORDER).select("range", "ghost", "doc_id", "text")
 
 
 RESULT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
@@ -153,7 +160,7 @@ def compared(ordered: DataFrame) -> DataFrame:
             for start in range(0, batch.num_rows, 256):
                 part, out = batch.slice(start, 256), []
                 for ghost, doc_id, text in zip(*(part.column(i).to_pylist() for i in (1, 2, 3))):
-                    own = fingerprint(text)
+                    own = print_of_it if text == following else fingerprint(text)
                     if not ghost:
                         other = edited(text, following)
                         changed = own if other == text else fingerprint(other)
@@ -169,7 +176,9 @@ def neighbours(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
     short_batches(docs.sparkSession)
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), whole_text(text).alias("text"))
     size = rows.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
-    return compared(in_ranges(rows, min(RANGES, size // RANGE_BYTES + 1)))
+    # Small tables still use the cluster's cores.
+    ranges = min(RANGES, max(size // RANGE_BYTES + 1, docs.sparkSession.sparkContext.defaultParallelism))
+    return compared(in_ranges(rows, ranges))
 
 
 def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:

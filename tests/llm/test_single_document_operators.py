@@ -247,7 +247,9 @@ def slow_fingerprint(text):
         shifted = 0
         for j, byte in enumerate(window):
             shifted ^= (byte << 5 * j) % 2**32
-        hashes.append((sum(byte * (8 - j) for j, byte in enumerate(window)) + shifted) % 2**32)
+        mixed = shifted ^ sum(byte * (8 - j) for j, byte in enumerate(window)) * 0x9E3779B1 % 2**32
+        mixed = (mixed ^ mixed >> 15) * 0x85EBCA77 % 2**32
+        hashes.append(mixed ^ mixed >> 13)
     ends_for = lambda block: [i for i, h in enumerate(hashes) if h % block == block - 1]
     block = 3
     while block * 64 < len(data):
@@ -501,3 +503,23 @@ def test_mix_closes_in_on_the_cut_whatever_the_weights(spark, monkeypatch):
     for _ in range(6):
         at = source_mix.close_in(plan, at)
     assert all(r.n <= 8 or r.lo == r.hi for r in at.collect())
+
+
+def test_half_equal_texts_are_half_alike(spark, sf):
+    texts = [r.text for r in spark.read.parquet(f"{sf}/documents.parquet").where("n_chars between 1500 and 20000").orderBy("doc_id").collect()]
+    texts = [t for t in texts if len(set(t.split())) > 0.3 * len(t.split())]
+    near = [fingerprints.likeness(fingerprints.fingerprint(a), fingerprints.fingerprint(a[: len(a) - len(a) // 2] + (b * 9)[: len(a) // 2])) for a, b in zip(texts, texts[1:])]
+    assert len(near) > 40 and sum(0.25 <= x <= 0.75 for x in near) > 0.9 * len(near)
+
+
+def test_fingerprints_of_rows_with_one_id(spark, monkeypatch):
+    """All rows have one id or none: they are dealt to many ranges, in the order of their texts, and each meets the one before it."""
+    monkeypatch.setattr(fingerprints, "RANGE_BYTES", 300)
+    texts = [f"{i:03d} " + f"word{i} " * 20 for i in range(60)]
+    docs = spark.createDataFrame([(None if i % 2 else 5, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    rows = fingerprints.neighbours(docs).collect()
+    order = sorted(((-1 if i % 2 else 5), t) for i, t in enumerate(texts))
+    want = {(d if d == 5 else None, hashlib.sha256(fingerprints.edited(t, order[k - 1][1]).encode()).hexdigest()) for k, (d, t) in enumerate(order)}
+    assert {(r.doc_id, r.edited_sha256) for r in rows} == want and len(rows) == 60
+    ranged = fingerprints.in_ranges(docs, 12).groupBy("range").count().collect()
+    assert len(ranged) > 6 and max(r["count"] for r in ranged) < 25
