@@ -1,16 +1,18 @@
-"""Constant-velocity Kalman filter as a fold in SQL functions.
+"""Constant-velocity Kalman filter over tracks whose associations are known, in SQL functions.
 
 All axes share one covariance triple (position, position with velocity, velocity), since the noises are equal and diagonal;
-so the filter needs no matrices and, where associations are known, no Python.
+so the filter needs two-row matrices only and no Python.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import scan
+
 
 @dataclass(frozen=True)
 class Noise:
@@ -24,61 +26,12 @@ HYBRID = Noise()
 SORT = Noise(100.0, 1000.0, 0.1, 50.0)
 
 
-def let(value: Column, body) -> Column:
-    """Names a value inside a Column expression, so that it is computed once."""
-    return F.transform(F.array(value), body)[0]
-
-
-def predict(s: Column, dt: Column, q: float) -> Column:
-    return F.struct(
-        (s["x"] + s["vx"] * dt).alias("x"), (s["y"] + s["vy"] * dt).alias("y"), s["vx"].alias("vx"), s["vy"].alias("vy"),
-        (s["a"] + dt * s["b"] * 2.0 + dt * dt * s["c"] + q).alias("a"), (s["b"] + dt * s["c"]).alias("b"), (s["c"] + q).alias("c"),
-    )
-
-
-def update(s: Column, m: Column, r: float) -> Column:
-    """With position only, or with velocity too where one is given and not 0."""
-    def position_only() -> Column:
-        k1, k2 = s["a"] / (s["a"] + r), s["b"] / (s["a"] + r)
-        dx, dy = m["x"] - s["x"], m["y"] - s["y"]
-        return F.struct(
-            (s["x"] + k1 * dx).alias("x"), (s["y"] + k1 * dy).alias("y"), (s["vx"] + k2 * dx).alias("vx"), (s["vy"] + k2 * dy).alias("vy"),
-            ((F.lit(1.0) - k1) * s["a"]).alias("a"), ((F.lit(1.0) - k1) * s["b"]).alias("b"), (s["c"] - k2 * s["b"]).alias("c"),
-        )
-
-    def with_velocity() -> Column:
-        d = (s["a"] + r) * (s["c"] + r) - s["b"] * s["b"]
-        k11, k12, k22 = (s["a"] * (s["c"] + r) - s["b"] * s["b"]) / d, s["b"] * r / d, (s["c"] * (s["a"] + r) - s["b"] * s["b"]) / d
-        y = {c: m[c] - s[c] for c in ("x", "y", "vx", "vy")}
-        return F.struct(
-            (s["x"] + k11 * y["x"] + k12 * y["vx"]).alias("x"), (s["y"] + k11 * y["y"] + k12 * y["vy"]).alias("y"),
-            (s["vx"] + k12 * y["x"] + k22 * y["vx"]).alias("vx"), (s["vy"] + k12 * y["y"] + k22 * y["vy"]).alias("vy"),
-            (k11 * r).alias("a"), (k12 * r).alias("b"), (k22 * r).alias("c"),
-        )
-
-    return F.when((m["vx"] != 0) | (m["vy"] != 0), with_velocity()).otherwise(position_only())
-
-
 def fold(rows: DataFrame, noise: Noise = HYBRID) -> DataFrame:
-    """The filter's last state for each track, over its measurements in time order. A track's history is one array; tracks are many."""
-    m = F.struct("t", "seq", F.col("x"), F.col("y"), F.coalesce("vx", F.lit(0.0)).alias("vx"), F.coalesce("vy", F.lit(0.0)).alias("vy"))
-    ordered = rows.groupBy("track_id").agg(F.array_sort(F.collect_list(m)).alias("m"))
-    first = F.col("m")[0]
-    zero = F.struct(first["x"].alias("x"), first["y"].alias("y"), first["vx"].alias("vx"), first["vy"].alias("vy"), F.lit(noise.p_pos).alias("a"), F.lit(0.0).alias("b"), F.lit(noise.p_vel).alias("c"))
-    start = F.struct(first["t"].alias("t"), zero.alias("s"))
-
-    def step(acc: Column, row: Column) -> Column:
-        dt = F.greatest(row["t"] - acc["t"], F.lit(0.0))
-        return F.struct(row["t"].alias("t"), let(predict(acc["s"], dt, noise.q), lambda s: update(s, row, noise.r)).alias("s"))
-
-    done = ordered.select("track_id", F.size("m").cast("long").alias("n"), F.aggregate(F.slice("m", 2, 2**30), start, step)["s"].alias("s"))
-    return done.select("track_id", "n", *[F.round(F.col(f"s.{c}"), 3).alias(c) for c in ("x", "y", "vx", "vy")], F.round("s.a", 2).alias("p_pos"))
+    """The filter's last state for each track, over its measurements in time order, by a scan of pieces: a track may have any length."""
+    done = scan.kalman(rows, noise.p_pos, noise.p_vel, noise.q, noise.r)
+    return done.select("track_id", "n", *[F.round(c, 3).alias(c) for c in ("x", "y", "vx", "vy")], F.round("p_pos", 2).alias("p_pos"))
 
 
 def smoothed(rows: DataFrame, alpha: float = 0.7, gain: float = 0.2) -> DataFrame:
     """The fixed-gain smoother: the velocity follows the step from the position before its update."""
-    ordered = rows.groupBy("track_id").agg(F.array_sort(F.collect_list(F.struct("t_us", "seq", "x", "y"))).alias("m"))
-    first = F.col("m")[0]
-    start = F.struct(first["x"].alias("x"), first["y"].alias("y"), F.lit(0.0).alias("vx"), F.lit(0.0).alias("vy"))
-    step = lambda s, r: F.struct((s["x"] * (1 - alpha) + r["x"] * alpha).alias("x"), (s["y"] * (1 - alpha) + r["y"] * alpha).alias("y"), ((r["x"] - s["x"]) * gain).alias("vx"), ((r["y"] - s["y"]) * gain).alias("vy"))
-    return ordered.select("track_id", F.aggregate(F.slice("m", 2, 2**30), start, step).alias("s")).select("track_id", *[F.round(F.col(f"s.{c}"), 4).alias(c) for c in ("x", "y", "vx", "vy")])
+    return scan.smoothed(rows, alpha, gain).select("track_id", *[F.round(F.col(f"s.{c}"), 4).alias(c) for c in ("x", "y", "vx", "vy")])

@@ -6,7 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from skylattice.functions import kinematics, perceptron
+
 from .components import components
+from .staging import Scratch, staged
 
 
 def windowed_pairs(rows: DataFrame, condition: Column | None = None) -> DataFrame:
@@ -34,13 +37,86 @@ def gated_by_grid(rows: DataFrame, gate: float = 2000.0) -> DataFrame:
     return left.alias("a").join(right.alias("b"), on)
 
 
+def distance() -> Column:
+    return F.sqrt(square() + (F.col("a.z") - F.col("b.z")) * (F.col("a.z") - F.col("b.z")))
+
+
+def around(rows: DataFrame, cell: Column) -> tuple[DataFrame, DataFrame]:
+    """rows with their cells, of width `cell`, and rows with the nine cells around theirs."""
+    place = lambda c: F.floor(F.col(c) / cell)
+    own = rows.withColumns({"cx": place("x"), "cy": place("y")})
+    nine = F.transform(F.sequence(F.lit(0), F.lit(8)), lambda i: F.struct((F.floor(i / 3) - 1).alias("dx"), (i % 3 - 1).alias("dy")))
+    spread = own.withColumn("step", F.explode(nine)).withColumns({"cx": F.col("cx") + F.col("step.dx"), "cy": F.col("cy") + F.col("step.dy")}).drop("step")
+    return own, spread
+
+
+def within_radius(rows: DataFrame, radius: float) -> DataFrame:
+    """Directed edges (win, src, dst, d) of a window's rows that are apart and nearer than the radius, by cells of that width."""
+    if radius <= 0:
+        return rows.select("win", F.col("seq").alias("src"), F.col("seq").alias("dst"), F.lit(0.0).alias("d")).limit(0)
+    own, spread = around(rows.select("win", "seq", "x", "y", "z"), F.lit(float(radius)))
+    on = (F.col("a.win") == F.col("b.win")) & (F.col("a.cx") == F.col("b.cx")) & (F.col("a.cy") == F.col("b.cy")) & (F.col("a.seq") != F.col("b.seq")) & (distance() > 0) & (distance() < radius)
+    return own.alias("a").join(spread.alias("b"), on).select(F.col("a.win").alias("win"), F.col("a.seq").alias("src"), F.col("b.seq").alias("dst"), distance().alias("d"))
+
+
+def nearest(rows: DataFrame, k: int) -> DataFrame:
+    """Directed edges (win, src, dst, d) from each row to the k nearest others of its window (all, if fewer), ties to the smaller seq.
+
+    Rows look for others in the nine cells around their own, narrow ones first: a row whose k-th nearest is nearer than a cell is wide
+    is settled, for all that is outside is farther; the others look again in cells twice as wide, until one cell is wider than the
+    window. Where many rows stand in one place only the first k + 1 of them are looked at: the others are nobody's k nearest. Rows
+    with a null coordinate have no neighbours."""
+    keep = Scratch(rows.sparkSession)
+    known = rows.select("win", "seq", "x", "y", "z").where("win is not null and seq is not null and x is not null and y is not null and z is not null")
+    extent = F.greatest(F.max("x") - F.min("x"), F.max("y") - F.min("y"), F.lit(1e-9))
+    # So narrow that an even window has about k rows in nine cells, and half as wide, for windows that are not even.
+    sizes = known.groupBy("win").agg(extent.alias("extent"), F.count("*").alias("n"))
+    sizes = sizes.select("win", "extent", (F.col("extent") * F.sqrt(F.lit(float(k + 1)) / F.col("n")) / 6).alias("cell"))
+    all_rows = keep.table(known.join(sizes, "win"), "nearest-rows")
+    first = F.row_number().over(Window.partitionBy("win", "x", "y", "z").orderBy("seq"))
+    held = keep.table(all_rows.withColumn("copy", first).where(F.col("copy") <= k + 1).drop("copy"), "nearest-places")
+    found, left, step = None, all_rows, 0
+    while True:
+        cell = F.col("cell") * float(2**step)
+        own, _ = around(left, cell)
+        _, spread = around(held, cell)
+        on = (F.col("a.win") == F.col("b.win")) & (F.col("a.cx") == F.col("b.cx")) & (F.col("a.cy") == F.col("b.cy")) & (F.col("a.seq") != F.col("b.seq"))
+        pairs = own.alias("a").join(spread.alias("b"), on).select(F.col("a.win").alias("win"), F.col("a.seq").alias("src"), F.col("b.seq").alias("dst"), distance().alias("d"))
+        best = pairs.withColumn("rank", F.row_number().over(Window.partitionBy("win", "src").orderBy("d", "dst"))).where(F.col("rank") <= k)
+        got = best.groupBy("win", "src").agg(F.max("d").alias("far"), F.count("*").alias("m"), F.collect_list(F.struct("dst", "d")).alias("e"))
+        # As many as k nearer than the cell is wide; or the nine cells hold the whole window.
+        cover = left.select("win", F.col("seq").alias("src"), cell.alias("_cell"), "extent").join(got, ["win", "src"], "left")
+        settled = ((F.col("m") == k) & (F.col("far") < F.col("_cell"))) | (F.col("_cell") > F.col("extent"))
+        cover = keep.table(cover.withColumn("settled", F.coalesce(settled, F.lit(False))), "nearest-settled")
+        edges = cover.where("settled").select("win", "src", F.explode("e").alias("e")).select("win", "src", "e.dst", "e.d")
+        found = edges if found is None else found.unionByName(edges)
+        left = keep.table(all_rows.join(cover.where("not settled").select("win", F.col("src").alias("seq")), ["win", "seq"], "left_semi"), "nearest-left")
+        if left.isEmpty():
+            break
+        step += 1
+    out = staged(found, "nearest")
+    keep.clear()
+    return out
+
+
 def neighbour_edges(rows: DataFrame, radius: float, k: int) -> DataFrame:
     """Directed edges (win, src, dst, d): nearer than the radius and apart, or among the k nearest (ties to the smaller seq)."""
-    on = (F.col("a.win") == F.col("b.win")) & (F.col("a.seq") != F.col("b.seq"))
-    d = F.sqrt(square() + (F.col("a.z") - F.col("b.z")) * (F.col("a.z") - F.col("b.z")))
-    pairs = rows.alias("a").join(rows.alias("b"), on).select(F.col("a.win").alias("win"), F.col("a.seq").alias("src"), F.col("b.seq").alias("dst"), d.alias("d"))
-    ranked = pairs.withColumn("rank", F.row_number().over(Window.partitionBy("win", "src").orderBy("d", "dst")))
-    return ranked.where(((F.col("d") > 0) & (F.col("d") < radius)) | (F.col("rank") <= k)).drop("rank")
+    near = nearest(rows, k)
+    return within_radius(rows, radius).unionByName(near).distinct() if radius > 0 else near
+
+
+def edge_attributes(edges: DataFrame, rows: DataFrame, psr: DataFrame | None = None, ssr: DataFrame | None = None) -> DataFrame:
+    """edges with what tells their ends apart: dx, dy, dz, dvx, dvy, dvz (source less target, null velocities as 0) and prob, by the models
+    of pairs (see functions/perceptron.py), 0 without one. As for a graph's nodes, transponder codes are not compared."""
+    names = ("win", "seq", "x", "y", "z", "vx", "vy", "amplitude", "meas_type")
+    end = lambda side: rows.select(F.struct(*names).alias(side), F.col("win").alias(f"_{side}w"), F.col("seq").alias(f"_{side}s"))
+    both = edges.join(end("a"), (F.col("win") == F.col("_aw")) & (F.col("src") == F.col("_as"))).join(end("b"), (F.col("win") == F.col("_bw")) & (F.col("dst") == F.col("_bs")))
+    v = lambda side, c: F.coalesce(F.col(f"{side}.{c}"), F.lit(0.0))
+    primary = (F.col("a.meas_type") == "PSR") & (F.col("b.meas_type") == "PSR")
+    other = list(kinematics.ssr_pair_features("a", "b").values())[:2] + [F.lit(0.0), F.lit(0.0)]
+    score = lambda model, features: F.lit(0.0) if model is None else perceptron.probability(features, model)
+    prob = F.when(primary, score(psr, list(kinematics.psr_pair_features("a", "b").values()))).otherwise(score(ssr, other))
+    return both.select(*edges.columns, *[(v("a", c) - v("b", c)).alias(f"d{c}") for c in ("x", "y", "z", "vx", "vy")], F.lit(0.0).alias("dvz"), prob.alias("prob"))
 
 
 def window_components(rows: DataFrame, edges: DataFrame) -> DataFrame:

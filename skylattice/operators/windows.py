@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from . import scan
+
 
 def with_window(rows: DataFrame, width_us: int, time: str = "t_us") -> DataFrame:
     """win: the half-open window of each row, counted from the earliest time. The origin is one row, safe to broadcast."""
@@ -49,24 +51,33 @@ def sequences(rows: DataFrame, length: int = 5) -> DataFrame:
 
 
 def ema(rows: DataFrame, value: str, keep: float = 0.95) -> DataFrame:
-    """Exponential moving average of each target, seeded with its first value: a fold over the ordered values, no Python."""
-    ordered = rows.groupBy("track_id").agg(F.array_sort(F.collect_list(F.struct("t_us", "seq", F.col(value).alias("v")))).alias("a"))
-    folded = F.aggregate(F.slice("a", 2, 2**30), F.col("a")[0]["v"], lambda acc, r: acc * keep + r["v"] * (1 - keep))
-    return ordered.select("track_id", F.size("a").cast("long").alias("n"), F.round(folded, 4).alias("ema"))
+    """Exponential moving average of each target, seeded with its first value, by a scan of pieces: a track may have any length."""
+    return scan.ema(rows, value, keep).select("track_id", "n", F.round("ema", 4).alias("ema"))
 
 
 def split_by_time(rows: DataFrame, bounds_percent: tuple[int, int]) -> DataFrame:
-    """train, val, test by row counts in time order. The bounds are two order statistics of each day's counts, so no task sorts all rows:
-    days are counted, the day that holds a bound is found, and only that day is ranked."""
-    day = F.floor(F.col("t_us") / 86_400_000_000)
+    """train, val, test by row counts in time order. Days are counted; a day that holds no bound gets its part from the counts alone, and only
+    the days that hold one, two at most, are ranked, by pieces of a second: no task sorts all rows, or a day's."""
+    day, second = F.floor(F.col("t_us") / 86_400_000_000), F.floor(F.col("t_us") / 1_000_000)
     dayed = rows.withColumn("day", day)
+    earlier = lambda *by: Window.orderBy(*by).rowsBetween(Window.unboundedPreceding, -1)
     counts = dayed.groupBy("day").agg(F.count("*").alias("n"))
-    before = counts.withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("day").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     total = counts.agg(F.sum("n").alias("total"))
-    rank = F.col("before") + F.row_number().over(Window.partitionBy("day").orderBy("t_us", "seq"))
-    ranked = dayed.join(before.drop("n"), "day").withColumn("rank", rank).crossJoin(F.broadcast(total))
-    a, b = (F.floor(F.col("total") * p / 100) for p in bounds_percent)
-    return ranked.select("seq", F.when(F.col("rank") <= a, "train").when(F.col("rank") <= b, "val").otherwise("test").alias("part"))
+    # A row for each day.
+    counted = counts.withColumn("before", F.coalesce(F.sum("n").over(earlier("day")), F.lit(0))).crossJoin(F.broadcast(total))
+    for i, p in enumerate(bounds_percent):
+        counted = counted.withColumn(f"b{i}", F.floor(F.col("total") * p / 100))
+    holds = lambda i: (F.col("before") < F.col(f"b{i}")) & (F.col("before") + F.col("n") > F.col(f"b{i}"))
+    counted = counted.withColumn("cut", holds(0) | holds(1))
+    placed = dayed.join(counted.drop("n", "total"), "day")
+    part = lambda rank: F.when(rank <= F.col("b0"), "train").when(rank <= F.col("b1"), "val").otherwise("test").alias("part")
+    inside = placed.where("cut").withColumn("second", second)
+    seconds = inside.groupBy("day", "second").agg(F.count("*").alias("in_second"))
+    of_day = Window.partitionBy("day").orderBy("second").rowsBetween(Window.unboundedPreceding, -1)
+    starts = seconds.select("day", "second", F.coalesce(F.sum("in_second").over(of_day), F.lit(0)).alias("start"))
+    rank = F.col("before") + F.col("start") + F.row_number().over(Window.partitionBy("day", "second").orderBy("t_us", "seq"))
+    ranked = inside.join(starts, ["day", "second"]).select("seq", part(rank))
+    return placed.where("not cut").select("seq", part(F.col("before") + 1)).unionByName(ranked)
 
 
 def split_by_id(ids: DataFrame, key: str, percent: int, seed: int = 42) -> DataFrame:

@@ -180,6 +180,17 @@ def radius_or_knn_edges(spark, sf):
     return pairs.neighbour_edges(hours(spark, sf), 6000.0, 3).select("src", "dst", r(F.col("d"), "d", 4))
 
 
+@query(f"""with {W}, {NEAR}, k as (select * from ranked where rank <= 3 or (d > 0 and d < 6000))
+select src, dst, round(a.x - b.x, 4) dx, round(a.y - b.y, 4) dy, round(a.z - b.z, 4) dz, round(coalesce(a.vx, 0) - coalesce(b.vx, 0), 4) dvx, round(coalesce(a.vy, 0) - coalesce(b.vy, 0), 4) dvy,
+round(case when a.meas_type = 'PSR' and b.meas_type = 'PSR' then PSR_PROB else SSR_PROB end, 6) prob from k join w a on a.seq = src join w b on b.seq = dst""")
+def graph_edges(spark, sf):
+    """The graph's edges with their attributes, scored by models with made weights, as SQL has them."""
+    h = hours(spark, sf)
+    made = lambda sizes: perceptron.made_weights(spark, sizes)
+    e = pairs.edge_attributes(pairs.neighbour_edges(h, 6000.0, 3), h, made(PAIR_SIZES), made(SSR_SIZES))
+    return e.select("src", "dst", *[r(F.col(c), c, 4) for c in ("dx", "dy", "dz", "dvx", "dvy")], r(F.col("prob"), "prob"))
+
+
 def clustered(spark, sf) -> DataFrame:
     h = hours(spark, sf)
     edges = pairs.gated_by_grid(h).select(F.col("a.win").alias("win"), F.col("a.seq").alias("src"), F.col("b.seq").alias("dst"))
@@ -256,6 +267,46 @@ def calibration_median(spark, sf):
     return truth.calibration(meas(spark, sf))
 
 
+POSITIONED = """pos as (select *, case when track_id <> -1 or seq % 2 = 0 then 24.2 + y / 111320.0 + (seq % 7 - 3)::double / 10000 end source_lat, 54.1 + x / 101000.0 + (seq % 5 - 2)::double / 10000 source_lon,
+  case when seq % 3 <> 0 then x + 1.5 end gt_x, case when seq % 4 <> 0 then y - 2.5 end gt_y from meas),
+used as (select * from (select * from pos order by t_us, seq limit 500) where track_id <> -1 and source_lat is not null),
+la as (select count(*) n, median(source_lat - y / 111320.0) origin_lat, 111320.0::double lat_scale from used),
+lb as (select *, lat_scale * cos(radians(origin_lat)) lon_scale from la),
+origin as (select n, origin_lat, (select median(source_lon - x / (select lon_scale from lb)) from used) origin_lon, lat_scale, lon_scale from lb)"""
+
+
+def positioned(spark, sf) -> DataFrame:
+    """Measurements with what a report says of its place, and the true place of some."""
+    seq, d = F.col("seq"), lambda c: c.cast("double")
+    return meas(spark, sf).withColumns({
+        "source_lat": F.when((F.col("track_id") != -1) | (seq % 2 == 0), 24.2 + F.col("y") / 111320.0 + d(seq % 7 - 3) / 10000), "source_lon": 54.1 + F.col("x") / 101000.0 + d(seq % 5 - 2) / 10000,
+        "gt_x": F.when(seq % 3 != 0, F.col("x") + 1.5), "gt_y": F.when(seq % 4 != 0, F.col("y") - 2.5),
+    })
+
+
+@query(f"with {MEAS}, {POSITIONED} select n, round(origin_lat, 6) origin_lat, round(origin_lon, 6) origin_lon, round(lat_scale, 4) lat_scale, round(lon_scale, 4) lon_scale from origin")
+def calibrated_origin(spark, sf):
+    o = truth.calibrated_origin(positioned(spark, sf))
+    return o.select("n", r(F.col("origin_lat"), "origin_lat"), r(F.col("origin_lon"), "origin_lon"), r(F.col("lat_scale"), "lat_scale", 4), r(F.col("lon_scale"), "lon_scale", 4))
+
+
+STEP = 6 * HOUR
+
+
+@query(f"""with {MEAS}, {POSITIONED}, s as (select track_id, t_us, seq, case when gt_x is not null and gt_y is not null then gt_x else (source_lon - origin_lon) * lon_scale end x,
+  case when gt_x is not null and gt_y is not null then gt_y else (source_lat - origin_lat) * lat_scale end y, z, coalesce(vx, 0) vx, coalesce(vy, 0) vy from pos, origin where track_id <> -1 and track_id % 4 <> 1),
+lo as (select * from s qualify row_number() over (partition by track_id, t_us order by seq) = 1), hi as (select * from s qualify row_number() over (partition by track_id, t_us order by seq desc) = 1),
+ticks as (select track_id, unnest(range((min(t_us) + {STEP} - 1) // {STEP}, max(t_us) // {STEP} + 1)) tick from s group by track_id),
+a as (select k.track_id, k.tick, k.tick * {STEP} t, b.t_us t1, b.x x1, b.y y1, b.z z1, b.vx vx1, b.vy vy1 from ticks k asof join lo b on k.track_id = b.track_id and k.tick * {STEP} <= b.t_us),
+b as (select a.*, h.t_us t0, h.x x0, h.y y0, h.z z0, h.vx vx0, h.vy vy0 from a asof left join hi h on a.track_id = h.track_id and a.t > h.t_us)
+select track_id, tick, {', '.join(f'round(case when t0 is null then {c}1 else {c}0 + (t - t0)::double / (t1 - t0) * ({c}1 - {c}0) end, 4) {c}' for c in ('x', 'y', 'z', 'vx', 'vy'))}, 0.0::double vz from b""")
+def truth_states(spark, sf):
+    """Tracks' states every six hours, of the ids that a quarter does not belong to."""
+    rows = positioned(spark, sf)
+    found = truth.states_at(truth.trajectories(rows, truth.calibrated_origin(rows)), STEP, rows.where("track_id % 4 <> 1").select("track_id"))
+    return found.select("track_id", "tick", *[r(F.col(c), c, 4) for c in ("x", "y", "z", "vx", "vy")], "vz")
+
+
 # --- assignment and metrics ----------------------------------------------------------------------
 
 TRK = "trk as (select win frame, user_id track_id, x, y, z from (select *, row_number() over (partition by win, user_id order by seq) n from w where meas_type = 'SSR' and track_id <> -1) where n = 1), ms as (select win frame, seq, x, y, z from w where meas_type = 'PSR')"
@@ -618,7 +669,7 @@ def mlp_sql(features: list[str], sizes: tuple[int, ...]) -> str:
     return f"1 / (1 + exp(-({x})[1]))"
 
 
-CLUTTER_SIZES, PAIR_SIZES = (8, 16, 8, 1), (6, 16, 8, 1)
+CLUTTER_SIZES, PAIR_SIZES, SSR_SIZES = (8, 16, 8, 1), (6, 16, 8, 1), (4, 8, 1)
 
 
 @query(f"with {MEAS}, s as (select seq, {mlp_sql([f'f{i}' for i in range(8)], CLUTTER_SIZES)} score from (select seq, {FEATURES} from meas)) select seq, round(score, 6) score from s where score < 0.7")
@@ -635,6 +686,9 @@ FEATURED = ", ".join(f"{f} f{i}" for i, f in enumerate(PSR_FEATURES))
 SCORED = f"p as (select a.win, a.seq seq_a, b.seq seq_b, sqrt({D2}) d, {FEATURED} {PAIRS} where a.meas_type = 'PSR' and b.meas_type = 'PSR'), s as (select win, seq_a, seq_b, d, {mlp_sql([f'f{i}' for i in range(6)], PAIR_SIZES)} prob from p)"
 
 
+ORACLES["graph_edges"] = ORACLES["graph_edges"].replace("PSR_PROB", mlp_sql(PSR_FEATURES, PAIR_SIZES)).replace("SSR_PROB", mlp_sql([f"{D3} / 1e5", WRAP, "0.0", "0.0"], SSR_SIZES))
+
+
 def scored_pairs(spark, sf) -> DataFrame:
     """win, seq_a, seq_b, d and the perceptron's probability of pairs of primary plots within the gate."""
     p = pairs.gated_by_grid(hours(spark, sf).where("meas_type = 'PSR'"))
