@@ -1,4 +1,4 @@
-"""Synthetic measurements and augmentation, by hashes of keys: the same at any partitioning."""
+"""Radar sites, scans, codes and augmentation of measurements, by hashes of keys: the same at any partitioning."""
 
 from __future__ import annotations
 
@@ -61,28 +61,3 @@ def augmented(rows: DataFrame, drop: float = 0.1, hide: float = 0.2, bias: dict[
             shift = F.when(F.col("radar_id") == sensor, F.lit(by)).otherwise(shift)
         kept = kept.withColumn("x", F.col("x") + shift)
     return kept
-
-
-def flights(spark: SparkSession, n: int, frames: int, dt: float, seed: int = 1) -> DataFrame:
-    """Straight flights with reflection at the edges: positions in closed form (a triangle wave), no recurrence."""
-    u = lambda s: uniform(F.col("track_id"), seed=seed + s)
-    start = spark.range(n).withColumnRenamed("id", "track_id").withColumns({"x0": u(0) * 160000 - 80000, "y0": u(1) * 160000 - 80000, "z": 3000 + u(2) * 8000, "speed": 120 + u(3) * 200, "course": u(4) * 2 * math.pi})
-    moved = start.withColumn("frame", F.explode(F.sequence(F.lit(0), F.lit(frames - 1)))).withColumn("t", F.col("frame") * dt)
-    edge = 90000.0
-
-    def reflected(p0: str, v: Column) -> Column:
-        p = F.pmod(F.col(p0) + v * F.col("t") + edge, F.lit(4 * edge))
-        return F.when(p <= 2 * edge, p - edge).otherwise(3 * edge - p)
-
-    return moved.withColumns({"vx": F.col("speed") * F.cos("course"), "vy": F.col("speed") * F.sin("course")}).withColumns({"x": reflected("x0", F.col("vx")), "y": reflected("y0", F.col("vy"))}).select("track_id", "frame", "t", "x", "y", "z", "vx", "vy")
-
-
-def detections(truth: DataFrame, radars: DataFrame, seed: int = 3) -> DataFrame:
-    """Measurements of flights by radars: range gate, detection chance, noise in position."""
-    k = [F.col("track_id"), F.col("frame"), F.col("site")]
-    return seen_by(truth, radars).where(uniform(*k, seed=seed) < F.col("psr")).withColumns({"x": F.col("x") + 150 * normal(*k, seed=seed + 1), "y": F.col("y") + 150 * normal(*k, seed=seed + 3)}).select("track_id", "frame", "t", "site", "x", "y", "z")
-
-
-def false_alarms(spark: SparkSession, frames: int, per_frame: int, seed: int = 9) -> DataFrame:
-    k = [F.col("frame"), F.col("i")]
-    return spark.range(frames).withColumnRenamed("id", "frame").withColumn("i", F.explode(F.sequence(F.lit(1), F.lit(per_frame)))).select("frame", F.lit(-1).cast("long").alias("track_id"), (uniform(*k, seed=seed) * 200000 - 100000).alias("x"), (uniform(*k, seed=seed + 1) * 200000 - 100000).alias("y"), F.when(uniform(*k, seed=seed + 2) < 0.7, "PSR").otherwise("SSR").alias("meas_type"))

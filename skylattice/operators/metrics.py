@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .staging import staged
+
 NO_MATCH_MOTP = 15000.0
 
 
@@ -63,19 +65,14 @@ def classifier(rows: DataFrame, label: str, predicted: Column) -> DataFrame:
     return s.select("tp", "fp", "fn", *[F.round(x, 6).alias(n) for n, x in (("precision", c("precision")), ("recall", c("recall")), ("f1", 2 * c("precision") * c("recall") / (c("precision") + c("recall") + e)))])
 
 
-#: Ranges of scores that are ranked apart; their bounds are one row.
-RANGES = 256
-
-
 def auc(rows: DataFrame, score: str, label: str) -> DataFrame:
     """Share of (positive, negative) pairs in order, ties counting half: from counts for each distinct score, whose running sums are taken
-    within RANGES ranges of about as many distinct scores each and over the ranges' totals, so no task sorts all rows. Null scores take no part."""
-    by_score = rows.groupBy(score).agg(F.sum(F.when(F.col(label) == 1, 1).otherwise(0)).alias("p"), F.sum(F.when(F.col(label) == 1, 0).otherwise(1)).alias("n"))
-    by_score = by_score.where(F.col(score).isNotNull())
-    bounds = by_score.agg(F.percentile_approx(score, [i / RANGES for i in range(1, RANGES)]).alias("bounds"))
-    bins = by_score.crossJoin(F.broadcast(bounds)).withColumn("bin", F.size(F.filter("bounds", lambda b: b <= F.col(score)))).drop("bounds")
-    per = bins.groupBy("bin").agg(F.sum("p").alias("bp"))
-    above = per.select("bin", F.coalesce(F.sum("bp").over(Window.orderBy(F.desc("bin")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("above"))
-    w = Window.partitionBy("bin").orderBy(F.desc(score)).rowsBetween(Window.unboundedPreceding, -1)
-    pairs = bins.join(above, "bin").select("p", "n", ((F.col("above") + F.coalesce(F.sum("p").over(w), F.lit(0)) + F.col("p") / 2) * F.col("n")).alias("won"))
+    within sorted ranges of scores and over the ranges' totals, so no task sorts all rows. Null scores take no part."""
+    by_score = rows.where(F.col(score).isNotNull()).groupBy(score).agg(F.sum(F.when(F.col(label) == 1, 1).otherwise(0)).alias("p"), F.sum(F.when(F.col(label) == 1, 0).otherwise(1)).alias("n"))
+    ranged = staged(by_score.repartitionByRange(F.desc(score)).withColumn("range", F.spark_partition_id()), "auc-ranges")
+    before = lambda *order: Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    per = ranged.groupBy("range").agg(F.sum("p").alias("bp"))
+    above = per.select("range", F.coalesce(F.sum("bp").over(before("range")), F.lit(0)).alias("above"))
+    w = Window.partitionBy("range").orderBy(F.desc(score)).rowsBetween(Window.unboundedPreceding, -1)
+    pairs = ranged.join(F.broadcast(above), "range").select("p", "n", ((F.col("above") + F.coalesce(F.sum("p").over(w), F.lit(0)) + F.col("p") / 2) * F.col("n")).alias("won"))
     return pairs.agg(F.sum("p").alias("positives"), F.sum("n").alias("negatives"), F.sum("won").alias("won")).select("positives", "negatives", F.round(ratio(F.col("won"), F.col("positives") * F.col("negatives")), 6).alias("auc"))

@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from skylattice.functions import kinematics as k
 from skylattice.functions import perceptron, training
-from skylattice.operators import assignment, existence, generate, kalman, metrics, pairs, staging, tracker, truth, windows
+from skylattice.operators import assignment, existence, generate, kalman, losses, metrics, pairs, search, staging, tracker, truth, windows
 from skylattice.plans.measurements import DAY, HOUR, MEAS, meas, windows_sql
 
 QUERIES: dict = {}
@@ -377,6 +377,50 @@ def mot_metrics(spark, sf):
     return metrics.summary(assignment.frame_counts(pred, gt, matches, switches))
 
 
+ELEMENT = "case when abs({d}) < 1 then 0.5 * ({d}) * ({d}) else abs({d}) - 0.5 end"
+OFF = " + ".join("(" + ELEMENT.format(d=f"coalesce(p.{c}, 0) - coalesce(g.{c}, 0)") + ")" for c in ("x", "y", "z", "vx", "vy"))
+ENTROPY = "(greatest(logit, 0) - logit * {t} + ln(1 + exp(-abs(logit))))"
+FOCAL = f"0.25 * pow(1 - exp(-{ENTROPY}), 2) * {ENTROPY}"
+
+
+@query(f"""with recursive {W}, {TRK}, {OPTIMUM},
+ps as (select win frame, seq id, x, y, z, vx, vy, (z - 1800) / 400 logit from w where meas_type = 'PSR'),
+gs as (select win frame, user_id id, x, y, z, vx, vy from w where meas_type = 'SSR' and track_id <> -1 qualify row_number() over (partition by win, user_id order by seq) = 1),
+pairs as (select m.frame, pred_id, logit, ({OFF}) / 6 off_ from matched m join ps p on p.id = pred_id join gs g on g.frame = m.frame and g.id = gt_id),
+a as (select frame, count(*) matched, avg(off_) regression, avg({FOCAL.format(t=1)}) matched_focal, avg((logit - 4) * (logit - 4)) matched_logit from pairs group by frame),
+f as (select frame, avg({FOCAL.format(t=0)}) false_alarm from ps where id not in (select pred_id from pairs) group by frame),
+t as (select frame, np n_pred, ng n_gt, coalesce(matched, 0) matched, coalesce(regression, 0) regression, coalesce(matched_focal, 0) matched_focal, coalesce(matched_logit, 0) matched_logit,
+  case when ng > 0 then coalesce(false_alarm, 0) else 0 end false_alarm, 2.0 * (ng - coalesce(matched, 0)) miss, 0.5 * (np - ng) * (np - ng) cardinality from hn left join a using (frame) left join f using (frame))
+select frame, n_pred, n_gt, matched, round(regression, 4) regression, round(matched_focal, 6) matched_focal, round(matched_logit, 6) matched_logit, round(false_alarm, 6) false_alarm, miss::double miss, cardinality::double cardinality,
+round(regression + matched_focal + false_alarm + miss + 2 * matched_logit + cardinality, 4) loss from t""")
+def set_losses(spark, sf):
+    gt, pred = frame_tracks(spark, sf)
+    h = hours(spark, sf).withColumnRenamed("win", "frame").withColumn("vz", F.lit(0.0))
+    p = pred.select("frame", "seq").join(h.drop("frame"), "seq").select("frame", F.col("seq").alias("id"), *losses.STATE, ((F.col("z") - 1800) / 400).alias("logit"))
+    g = gt.select("frame", F.col("track_id").alias("id"), "x", "y", "z", *[F.lit(0.0).alias(c) for c in ("vx", "vy", "vz")])  # beacons have no velocity
+    out = losses.set_loss(p, g, staging.staged(matching(spark, sf)[2], "loss-matches"))
+    return out.select("frame", "n_pred", "n_gt", "matched", r(F.col("regression"), "regression", 4), *[r(F.col(c), c) for c in ("matched_focal", "matched_logit", "false_alarm")], "miss", "cardinality", r(F.col("loss"), "loss", 4))
+
+
+GATES = [500.0, 1000.0, 2000.0, 3500.0, 5000.0, 8000.0]
+
+
+@query(f"""with recursive {W}, {TRK}, {OPTIMUM.replace("< 5000)", "< 1e12)")}, g(param) as (values {', '.join(f'({x}::double)' for x in GATES)}),
+score as (select round_, param, (select count(*) from hn where frame % share = 0) frames, (select sum(np) from hn where frame % share = 0) p, (select sum(ng) from hn where frame % share = 0) gt,
+  (select count(*) from matched m where m.frame % share = 0 and m.dist < param) m from g, (values (1, 4), (2, 2), (3, 1)) x(round_, share)),
+scored as (select round_, param, frames, round(1 - ((gt - m) + (p - m)) / gt, 6) mota from score),
+r1 as (select *, row_number() over (order by mota desc, param) <= 3 kept from scored where round_ = 1),
+r2 as (select s.*, row_number() over (order by s.mota desc, s.param) <= 2 kept from scored s join r1 on r1.param = s.param and r1.kept where s.round_ = 2),
+r3 as (select s.*, row_number() over (order by s.mota desc, s.param) <= 1 kept from scored s join r2 on r2.param = s.param and r2.kept where s.round_ = 3)
+select round_ "round", param, frames, mota, kept from (select * from r1 union all select * from r2 union all select * from r3)""")
+def gate_search(spark, sf):
+    """The match gate with the best MOTA, from six of them by three rounds over a quarter, a half and all of the frames."""
+    gt, pred = frame_tracks(spark, sf)
+    gt, pred = gt.withColumnRenamed("track_id", "id"), pred.withColumnRenamed("seq", "id")
+    matches = staging.staged(assignment.match_frames(pred, gt, 1e12).select("frame", "dist"), "search-matches")
+    return search.halving(search.gate_scores(staging.staged(pred, "search-pred"), staging.staged(gt, "search-truth"), matches), GATES, 3, spark)
+
+
 GATE_COST = "1 - 1 / (1 + exp((sqrt({d}) - 4000) / 1000))"
 
 

@@ -11,7 +11,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from skylattice.functions import perceptron, training
-from skylattice.operators import assignment, generate, kalman, metrics, pairs, tracker, windows
+from skylattice.operators import assignment, kalman, metrics, pairs, tracker, windows
 from skylattice.plans import catalogue
 from skylattice.sources import streams
 from skylattice.streaming import tracks
@@ -276,15 +276,6 @@ def test_sources(spark, tmp_path):
         streams.load_config('{"clutter_threshold": 2}')
 
 
-def test_generators_do_not_depend_on_partitioning(spark):
-    flights = generate.flights(spark, 20, 10, 3.0)
-    assert flights.count() == 200 and flights.where("abs(x) > 90000 or abs(y) > 90000").count() == 0
-    seen = generate.detections(flights, generate.sites(spark))
-    again = generate.detections(flights.repartition(7), generate.sites(spark))
-    assert 0 < seen.count() < 1000 and sorted(seen.collect()) == sorted(again.collect())
-    assert generate.false_alarms(spark, 5, 3).count() == 15
-
-
 def test_window_components_gather_no_window(spark):
     # One hot window, a chain: labels must cross all of it, and no task may be given the window's edges.
     df = spark.createDataFrame([(0, i) for i in range(300)], "win long, seq long")
