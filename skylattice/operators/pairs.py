@@ -59,6 +59,10 @@ def within_radius(rows: DataFrame, radius: float) -> DataFrame:
     return own.alias("a").join(spread.alias("b"), on).select(F.col("a.win").alias("win"), F.col("a.seq").alias("src"), F.col("b.seq").alias("dst"), distance().alias("d"))
 
 
+#: Rows of a window that are compared with each other without cells.
+FEW = 256
+
+
 def nearest(rows: DataFrame, k: int) -> DataFrame:
     """Directed edges (win, src, dst, d) from each row to the k nearest others of its window (all, if fewer), ties to the smaller seq.
 
@@ -71,7 +75,9 @@ def nearest(rows: DataFrame, k: int) -> DataFrame:
     extent = F.greatest(F.max("x") - F.min("x"), F.max("y") - F.min("y"), F.lit(1e-9))
     # So narrow that an even window has about k rows in nine cells, and half as wide, for windows that are not even.
     sizes = known.groupBy("win").agg(extent.alias("extent"), F.count("*").alias("n"))
-    sizes = sizes.select("win", "extent", (F.col("extent") * F.sqrt(F.lit(float(k + 1)) / F.col("n")) / 6).alias("cell"))
+    # A window of few rows is one cell.
+    even = F.col("extent") * F.sqrt(F.lit(float(k + 1)) / F.col("n")) / 6
+    sizes = sizes.select("win", "extent", F.when(F.col("n") <= FEW, F.col("extent") * 1.01).otherwise(even).alias("cell"))
     all_rows = keep.table(known.join(sizes, "win"), "nearest-rows")
     first = F.row_number().over(Window.partitionBy("win", "x", "y", "z").orderBy("seq"))
     held = keep.table(all_rows.withColumn("copy", first).where(F.col("copy") <= k + 1).drop("copy"), "nearest-places")

@@ -2,7 +2,7 @@
 
 A track's rows are cut into pieces of at most PIECE rows: they are dealt to ranges of (track, time) and sorted there, so a long track
 is in many tasks. Each piece is folded by itself to a map that can be put after the maps of earlier pieces: affine for the moving
-average and the smoother, for the Kalman filter an element of its associative form (A, b, C, eta, J). A track then has one row for each
+average and the smoother, for the Kalman filter an element of its associative form. A track then has one row for each
 piece, whose maps are applied in order. No array holds more than a piece, or the pieces of a track.
 """
 
@@ -66,91 +66,97 @@ def smoothed(rows: DataFrame, alpha: float = 0.7, gain: float = 0.2, key: str =
     return done.select(key, "n", "s")
 
 
-# --- The Kalman filter's associative form ---------------------------------------------------------
-# An element maps any state before it to the one after it, and elements combine in any grouping. Axes share A, C and J.
+# --- The Kalman filter -----------------------------------------------------------------------------
+# What a piece does to any state before it is an element: the mean it leads to is A x + b with covariance C, and its measurements say of x
+# what eta and J say (in information form). Axes share A, C and J. Expressions are written as SQL text: some hundred terms as Column
+# objects take longer to make than a small table to filter.
 
 AXES = ("x", "y")
-SHARED = ("a11", "a12", "a21", "a22", "c11", "c12", "c22", "j11", "j12", "j22")
 
 
-def named(values: dict[str, Column]) -> Column:
-    return F.struct(*[values[n].alias(n) for n in (*SHARED, *[f"{v}{x}" for x in AXES for v in ("b1", "b2", "e1", "e2")])])
+def struct(**fields: str) -> str:
+    return "named_struct(" + ", ".join(f"'{name}', {value}" for name, value in fields.items()) + ")"
+
+
+def bound(name: str, value: str, body: str) -> str:
+    """let() in text."""
+    return f"transform(array({value}), {name} -> {body})[0]"
+
+
+def advanced(e: str, dt: str, m: str, q: float, r: float) -> str:
+    """The element e after a prediction over dt and an update with m: by position, or by velocity too where one is given and not 0."""
+    moved = struct(
+        t=f"{m}.t", a11=f"{e}.a11 + {dt} * {e}.a21", a12=f"{e}.a12 + {dt} * {e}.a22", a21=f"{e}.a21", a22=f"{e}.a22",
+        c11=f"{e}.c11 + 2 * {dt} * {e}.c12 + {dt} * {dt} * {e}.c22 + {q}D", c12=f"{e}.c12 + {dt} * {e}.c22", c22=f"{e}.c22 + {q}D",
+        j11=f"{e}.j11", j12=f"{e}.j12", j22=f"{e}.j22", **{f"e{n}{x}": f"{e}.e{n}{x}" for x in AXES for n in "12"},
+        **{f"b1{x}": f"{e}.b1{x} + {dt} * {e}.b2{x}" for x in AXES}, **{f"b2{x}": f"{e}.b2{x}" for x in AXES},
+    )
+
+    def updated(moving: bool) -> str:
+        # Gain k, inverse innovation covariance s, innovations y and w of position and velocity.
+        if moving:
+            d = f"((p.c11 + {r}D) * (p.c22 + {r}D) - p.c12 * p.c12)"
+            gains = {"k11": f"(p.c11 * (p.c22 + {r}D) - p.c12 * p.c12) / {d}", "k12": f"{r}D * p.c12 / {d}", "k22": f"(p.c22 * (p.c11 + {r}D) - p.c12 * p.c12) / {d}"}
+            gains |= {"s11": f"(p.c22 + {r}D) / {d}", "s12": f"-p.c12 / {d}", "s22": f"(p.c11 + {r}D) / {d}"}
+        else:
+            gains = {"k11": f"p.c11 / (p.c11 + {r}D)", "k12": f"p.c12 / (p.c11 + {r}D)", "s11": f"1 / (p.c11 + {r}D)"}
+        gains |= {f"y{x}": f"{m}.{x} - p.b1{x}" for x in AXES} | ({f"w{x}": f"{m}.v{x} - p.b2{x}" for x in AXES} if moving else {})
+        out = {"t": "p.t"}
+        for c in "12":
+            out[f"a1{c}"] = f"p.a1{c} - g.k11 * p.a1{c}" + (f" - g.k12 * p.a2{c}" if moving else "")
+            out[f"a2{c}"] = f"p.a2{c} - g.k12 * p.a1{c}" + (f" - g.k22 * p.a2{c}" if moving else "")
+        out |= {"c11": f"{r}D * g.k11", "c12": f"{r}D * g.k12", "c22": f"{r}D * g.k22"} if moving else {"c11": "(1 - g.k11) * p.c11", "c12": "(1 - g.k11) * p.c12", "c22": "p.c22 - g.k12 * p.c12"}
+        sa = lambda r_, c: f"(g.s1{r_} * p.a1{c} + g.s{r_}2 * p.a2{c})" if r_ == "2" else f"(g.s11 * p.a1{c} + g.s12 * p.a2{c})"
+        for r_, c in (("1", "1"), ("1", "2"), ("2", "2")):
+            out[f"j{r_}{c}"] = f"p.j{r_}{c} + " + (f"p.a1{r_} * {sa('1', c)} + p.a2{r_} * {sa('2', c)}" if moving else f"p.a1{r_} * p.a1{c} * g.s11")
+        for x in AXES:
+            for c in "12":
+                out[f"e{c}{x}"] = f"p.e{c}{x} + " + (f"p.a1{c} * (g.s11 * g.y{x} + g.s12 * g.w{x}) + p.a2{c} * (g.s12 * g.y{x} + g.s22 * g.w{x})" if moving else f"p.a1{c} * g.s11 * g.y{x}")
+            out[f"b1{x}"] = f"p.b1{x} + g.k11 * g.y{x}" + (f" + g.k12 * g.w{x}" if moving else "")
+            out[f"b2{x}"] = f"p.b2{x} + g.k12 * g.y{x}" + (f" + g.k22 * g.w{x}" if moving else "")
+        return bound("g", struct(**gains), struct(**{n: out[n] for n in FIELDS}))
 
+    return bound("p", moved, f"case when {m}.vx != 0 or {m}.vy != 0 then {updated(True)} else {updated(False)} end")
 
-def initial(m: Column, p_pos: float, p_vel: float) -> Column:
-    """The element of a track's first measurement, which does not depend on what was before."""
-    zero = F.lit(0.0)
-    shared = dict.fromkeys(SHARED, zero) | {"c11": F.lit(p_pos), "c22": F.lit(p_vel)}
-    return named(shared | {k: v for x in AXES for k, v in ((f"b1{x}", m[x]), (f"b2{x}", m[f"v{x}"]), (f"e1{x}", zero), (f"e2{x}", zero))})
 
+FIELDS = ("t", "a11", "a12", "a21", "a22", "c11", "c12", "c22", "j11", "j12", "j22", *[f"{v}{x}" for x in AXES for v in ("e1", "e2", "b1", "b2")])
+NOTHING = {"a11": "1D", "a22": "1D"}  # the element of no rows: what was before stays
 
-def step(dt: Column, m: Column, q: float, r: float) -> Column:
-    """The element of a prediction over dt and an update: by position, or by velocity too where one is given and not 0."""
-    g, s = q / (q + r), q + r
 
-    def both(moving: bool) -> Column:
-        w = 1 - g if moving else 1.0
-        shared = {
-            "a11": F.lit(1 - g), "a12": dt * (1 - g), "a21": F.lit(0.0), "a22": F.lit(w), "c11": F.lit((1 - g) * q), "c12": F.lit(0.0), "c22": F.lit(w * q),
-            "j11": F.lit(1 / s), "j12": dt / s, "j22": (dt * dt + (1.0 if moving else 0.0)) / s,
-        }
-        for x in AXES:
-            v = m[f"v{x}"] if moving else F.lit(0.0)
-            shared |= {f"b1{x}": m[x] * g, f"b2{x}": v * g, f"e1{x}": m[x] / s, f"e2{x}": (m[x] * dt + v) / s}
-        return named(shared)
-
-    return F.when((m["vx"] != 0) | (m["vy"] != 0), both(True)).otherwise(both(False))
-
-
-def combined(i: Column, j: Column) -> Column:
-    """The element of i and then j."""
-    # M = I + C_i J_j and its inverse D; G = A_j D.
-    m = {
-        "11": F.lit(1.0) + i["c11"] * j["j11"] + i["c12"] * j["j12"], "12": i["c11"] * j["j12"] + i["c12"] * j["j22"],
-        "21": i["c12"] * j["j11"] + i["c22"] * j["j12"], "22": F.lit(1.0) + i["c12"] * j["j12"] + i["c22"] * j["j22"],
-    }
-
-    def with_inverse(d: Column) -> Column:
-        g = lambda r, c: j[f"a{r}1"] * d[f"d1{c}"] + j[f"a{r}2"] * d[f"d2{c}"]
-        # H = A_i^T D^T, since J and C are symmetric.
-        h = lambda r, c: i[f"a1{r}"] * d[f"d{c}1"] + i[f"a2{r}"] * d[f"d{c}2"]
-        gh = F.struct(*[g(r, c).alias(f"g{r}{c}") for r in "12" for c in "12"], *[h(r, c).alias(f"h{r}{c}") for r in "12" for c in "12"])
-
-        def rest(f: Column) -> Column:
-            gc = lambda r, c: f[f"g{r}1"] * i[f"c1{c}" if c == "2" else "c11"] + f[f"g{r}2"] * i[f"c{c}2" if c == "2" else "c12"]
-            hj = lambda r, c: f[f"h{r}1"] * j["j11" if c == "1" else "j12"] + f[f"h{r}2"] * j["j12" if c == "1" else "j22"]
-            out = {f"a{r}{c}": f[f"g{r}1"] * i[f"a1{c}"] + f[f"g{r}2"] * i[f"a2{c}"] for r in "12" for c in "12"}
-            for r, c in (("1", "1"), ("1", "2"), ("2", "2")):
-                out[f"c{r}{c}"] = gc(r, "1") * j[f"a{c}1"] + gc(r, "2") * j[f"a{c}2"] + j[f"c{r}{c}"]
-                out[f"j{r}{c}"] = hj(r, "1") * i[f"a1{c}"] + hj(r, "2") * i[f"a2{c}"] + i[f"j{r}{c}"]
-            for x in AXES:
-                b1, b2, e1, e2 = i[f"b1{x}"], i[f"b2{x}"], j[f"e1{x}"], j[f"e2{x}"]
-                u1, u2 = b1 + i["c11"] * e1 + i["c12"] * e2, b2 + i["c12"] * e1 + i["c22"] * e2
-                w1, w2 = e1 - j["j11"] * b1 - j["j12"] * b2, e2 - j["j12"] * b1 - j["j22"] * b2
-                for r in "12":
-                    out[f"b{r}{x}"] = f[f"g{r}1"] * u1 + f[f"g{r}2"] * u2 + j[f"b{r}{x}"]
-                    out[f"e{r}{x}"] = f[f"h{r}1"] * w1 + f[f"h{r}2"] * w2 + i[f"e{r}{x}"]
-            return named(out)
-
-        return let(gh, rest)
-
-    inverse = lambda t: F.struct((t["22"] / t["det"]).alias("d11"), (-t["12"] / t["det"]).alias("d12"), (-t["21"] / t["det"]).alias("d21"), (t["11"] / t["det"]).alias("d22"))
-    whole = let(F.struct(*[c.alias(n) for n, c in m.items()]), lambda t: F.struct(*[t[n].alias(n) for n in m], (t["11"] * t["22"] - t["12"] * t["21"]).alias("det")))
-    return let(let(whole, inverse), with_inverse)
+def element(t: str, **values: str) -> str:
+    return struct(**{n: t if n == "t" else f"cast({values.get(n, '0D')} as double)" for n in FIELDS})
+
+
+def applied(s: str, e: str) -> str:
+    """The state s, an element that nothing before it matters to (A = 0), after the element e."""
+    det = f"((1 + {s}.c11 * {e}.j11 + {s}.c12 * {e}.j12) * (1 + {s}.c12 * {e}.j12 + {s}.c22 * {e}.j22) - ({s}.c11 * {e}.j12 + {s}.c12 * {e}.j22) * ({s}.c12 * {e}.j11 + {s}.c22 * {e}.j12))"
+    d = struct(
+        d11=f"(1 + {s}.c12 * {e}.j12 + {s}.c22 * {e}.j22) / {det}", d12=f"-({s}.c11 * {e}.j12 + {s}.c12 * {e}.j22) / {det}",
+        d21=f"-({s}.c12 * {e}.j11 + {s}.c22 * {e}.j12) / {det}", d22=f"(1 + {s}.c11 * {e}.j11 + {s}.c12 * {e}.j12) / {det}",
+    )
+    g = struct(**{f"g{r}{c}": f"{e}.a{r}1 * d.d1{c} + {e}.a{r}2 * d.d2{c}" for r in "12" for c in "12"})
+    out = {"t": f"{e}.t"}
+    gc = lambda r, c: f"(g.g{r}1 * {s}.c{'12' if c == '2' else '11'} + g.g{r}2 * {s}.c{'22' if c == '2' else '12'})"
+    for r, c in (("1", "1"), ("1", "2"), ("2", "2")):
+        out[f"c{r}{c}"] = f"{gc(r, '1')} * {e}.a{c}1 + {gc(r, '2')} * {e}.a{c}2 + {e}.c{r}{c}"
+    for x in AXES:
+        u1, u2 = f"({s}.b1{x} + {s}.c11 * {e}.e1{x} + {s}.c12 * {e}.e2{x})", f"({s}.b2{x} + {s}.c12 * {e}.e1{x} + {s}.c22 * {e}.e2{x})"
+        out |= {f"b{r}{x}": f"g.g{r}1 * {u1} + g.g{r}2 * {u2} + {e}.b{r}{x}" for r in "12"}
+    return bound("d", d, bound("g", g, element(out.pop("t"), **out)))
 
 
 def kalman(rows: DataFrame, p_pos: float, p_vel: float, q: float, r: float, key: str = "track_id", order: tuple[str, ...] = ("t", "seq"), bits: int = PIECE_BITS) -> DataFrame:
     """(key, n, x, y, vx, vy, p_pos): the filter's last state, rows with t, x, y, vx, vy; null velocities count as 0."""
     values = [F.col(c).cast("double").alias(c) for c in ("x", "y")] + [F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in ("vx", "vy")]
     cut = pieces(rows, key, list(order), *values, bits=bits)
-    dt = lambda a, b: F.greatest(b["t"] - a["t"], F.lit(0.0))
-    # All rows of a piece but its first, which needs the time of the piece before; null for a piece of one row.
-    second = F.when(F.size("m") > 1, step(dt(F.col("m")[0], F.col("m")[1]), F.col("m")[1], q, r))
-    start = F.struct(F.get("m", F.lit(1))["t"].alias("t"), second.alias("e"))
-    rest = F.aggregate(F.slice("m", 3, 2**30), start, lambda s, row: F.struct(row["t"].alias("t"), combined(s["e"], step(dt(s, row), row, q, r)).alias("e")))["e"]
-    onto = lambda e, p: F.when(p["rest"].isNull(), e).otherwise(combined(e, p["rest"]))
-    go = lambda s, p: F.struct(p["last"].alias("t"), let(combined(s["e"], step(dt(s, p["first"]), p["first"], q, r)), lambda e: onto(e, p)).alias("e"))
-    begin = lambda p: F.struct(p["last"].alias("t"), let(initial(p["first"], p_pos, p_vel), lambda e: onto(e, p)).alias("e"))
-    done = scanned(cut, key, {"first": F.col("m")[0], "last": F.element_at("m", -1)["t"], "rest": rest}, begin, go)
-    e = lambda n: F.col(f"s.e.{n}")
-    return done.select(key, "n", e("b1x").alias("x"), e("b1y").alias("y"), e("b2x").alias("vx"), e("b2y").alias("vy"), e("c11").alias("p_pos"))
+    later = lambda s, m: advanced(s, f"greatest({m}.t - {s}.t, 0D)", m, q, r)
+    # All rows of a piece but its first, which needs the time of the piece before.
+    rest = F.expr(f"aggregate(slice(m, 2, 1073741824), {element('m[0].t', **NOTHING)}, (s, m1) -> {later('s', 'm1')})")
+    born = element("p[0].first.t", c11=f"{p_pos}D", c22=f"{p_vel}D", **{f"b1{x}": f"p[0].first.{x}" for x in AXES}, **{f"b2{x}": f"p[0].first.v{x}" for x in AXES})
+    kept = cut.select(key, F.struct("piece", F.size("m").cast("long").alias("n"), F.col("m")[0].alias("first"), rest.alias("rest")).alias("p"))
+    ordered = kept.groupBy(key).agg(F.array_sort(F.collect_list("p")).alias("p"))
+    onto = bound("f", later("s", "p1.first"), applied("f", "p1.rest"))
+    last = F.expr(f"aggregate(slice(p, 2, 1073741824), {bound('s0', born, applied('s0', 'p[0].rest'))}, (s, p1) -> {onto})")
+    n = F.aggregate("p", F.lit(0).cast("long"), lambda acc, p: acc + p["n"])
+    done = ordered.select(key, n.alias("n"), last.alias("s"))
+    return done.select(key, "n", *[F.col(f"s.{c}").alias(name) for c, name in (("b1x", "x"), ("b1y", "y"), ("b2x", "vx"), ("b2y", "vy"), ("c11", "p_pos"))])

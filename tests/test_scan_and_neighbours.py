@@ -76,8 +76,9 @@ def brute_nearest(rows, src, k):
 
 
 @pytest.mark.parametrize("k", [1, 4])
-def test_nearest_against_brute_force(spark, k):
+def test_nearest_against_brute_force(spark, k, monkeypatch):
     """Even and crowded windows, many rows in one place, a window of one row, fewer rows than k, far outliers, ties."""
+    monkeypatch.setattr(pairs, "FEW", 30)
     rng = random.Random(k)
     rows = [(0, i, rng.uniform(-1e4, 1e4), rng.uniform(-1e4, 1e4), rng.uniform(0, 900)) for i in range(900)]
     rows += [(1, 1000 + i, 5.0, 5.0, 1.0) for i in range(120)] + [(1, 1200 + i, rng.gauss(0, 3), rng.gauss(0, 3), 0.0) for i in range(150)] + [(1, 1400, 1e6, -1e6, 0.0)]
