@@ -9,7 +9,7 @@ equal or differ by the factor two are compared by the insert-and-delete edit dis
 cut into ranges of about RANGE_BYTES of text, by id, beginning and hash of the text, so that no id is too frequent for a range; each range's last document
 is also sent, as a ghost, to the next range (the last range's to the first), and each range is streamed in order. Only the ranges' largest keys reach the driver.
 
-Null texts count as empty; empty texts have the empty signature and are like each other. Null ids come before all others;
+Columns other than id and text are ignored, whatever their names. Null texts count as empty; empty texts have the empty signature and are like each other. Null ids come before all others;
 equal ids follow each other by the first 64 characters of text, then by its hash. Repeated rows stay in one range. A single document is its own neighbour. A text that repeats itself may have more
 than MOST chunks: a hash value that returns all along it stops ending chunks at one doubling, which then would leave
 fewer than LEAST; it keeps them up to LONGEST, where the comparison's cost ends it.

@@ -13,7 +13,7 @@ id. An element told by name, or a form, that holds more than half of the article
 reader comments.
 
 Pages are independent: one streaming map, no shuffle. The tree is grown from the fixed table wherever it is needed.
-Null and empty pages give empty texts; markup cut off at the end of a page is dropped; repeated rows repeat. Elements of
+A column of pages named like the result is replaced by it. Null and empty pages give empty texts; markup cut off at the end of a page is dropped; repeated rows repeat. Elements of
 raw text are dropped to their closing tag or the end of the page; drawings, objects, lists of choices and the like as far
 as the tags tell: a self-closed one ends at its tag, one that is never closed drops nothing. The text of formulas stays.
 """

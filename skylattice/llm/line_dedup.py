@@ -17,7 +17,7 @@ documents with cuts, which are shuffled to join them, at every size alike.
 
 Words are what stands between ASCII white space; a line without any is blank. Null and empty texts stay as they are; null
 ids come first; rows equal in id and text count as one and share its result. Extra columns pass by: dedup_lines replaces only
-columns named n_lines or n_cut, the pipeline's stage none.
+columns named n_lines or n_cut, the pipeline's stage none. A text of any length is one value of a row; it is cut into lines in one pass.
 """
 
 from __future__ import annotations

@@ -25,7 +25,7 @@ are told apart by a Bloom filter of fixed size and only they are shuffled. Joins
 a count of rows; hot keys go through lookup() or are dealt to blocks. Staged tables are deleted as soon as they have been read.
 
 Null and empty texts have no shingles and are linked with nothing; equal ids are separate documents; null ids stay null
-and count as the largest; extra columns are ignored.
+and count as the largest; extra columns are ignored. A text of any length is one set, which a task holds whole: 8 bytes a shingle.
 """
 
 from __future__ import annotations
@@ -41,8 +41,9 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from skylattice.operators.components import components
+
 from .common import Scratch, arrow_rows, free_name, lookup, sieve, staged, whole_text
-from .components import components
 
 WORDS, LINK = 4, 85
 #: The words and the link of the pipeline's stage.

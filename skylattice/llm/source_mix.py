@@ -12,7 +12,7 @@ source, which Spark broadcasts or joins by its size; taking documents is a map o
 
 The quality weight of a document is its share of distinct words unless a column of weights is given. Null texts have size 0 and null sources are a source
 of their own, the last. Rows with equal ids have equal keys and are taken together. Empty tables give empty results.
-Extra columns pass by: mix_sources replaces only columns named as its results, the pipeline's stage none.
+A text of any length is only counted. Extra columns pass by: mix_sources replaces only columns named as its results, the pipeline's stage none.
 """
 
 from __future__ import annotations

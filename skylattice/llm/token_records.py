@@ -10,6 +10,7 @@ Texts are shuffled once, by ranges of ids. Each attempt of a task writes a file
 index names count, so lost executors and repeated attempts do no harm. Files go through pyarrow.fs to the shared folder
 that spark.checkpoint.dir names. Only one total for each file is put in order to number the ids over all files.
 
+A text of any length is one record, whose ids a task holds whole. Columns other than id and text are ignored, whatever their names.
 Null texts count as empty and yield the end id alone; rows with equal ids follow each other by text; an empty table
 gives an empty index.
 """

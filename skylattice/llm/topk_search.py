@@ -10,7 +10,9 @@ their product, and there are as many tasks as shards, however few the queries. C
 repeated ids and vectors spread. Queries and candidates only meet where their vectors have the same length.
 
 Vectors that are null, empty, or hold null or non-finite components take no part, as query or candidate. Ties go to
-the smaller id. Rows with equal ids are each their own candidate, but never one of the query with that id. A score must
+the smaller id. Rows with equal ids are each their own candidate, but never one of the query with that id; query rows with one id
+and different vectors share one list, in which a candidate stands once for each of them. Vectors may have any length, one row of
+them is one value; other columns are ignored, whatever their names. A score must
 fit a 64-bit integer; products whose exact sum could pass 2^53 are computed with Python's integers and clipped to 64 bits.
 """
 
