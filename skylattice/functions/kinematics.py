@@ -27,6 +27,17 @@ def clutter_features() -> list[Column]:
     ]
 
 
+def node_features() -> list[Column]:
+    """A graph node's ten numbers: the clutter features with the code last but one, and a place for the hash of mode S, which is 0."""
+    code = F.when(F.coalesce(F.col("mode_3a"), F.lit("")) != "", (F.col("mode_3a").cast("double") - 1000) / 1000)
+    xyz, v = ["x", "y", "z"], ["vx", "vy", "vz"]
+    c = lambda name, scale, default=0.0: F.coalesce(F.col(name), F.lit(default)) / scale
+    return [
+        *[c(n, s) for n, s in zip(xyz, (1e5, 1e5, 2e4))], *[c(n, s) for n, s in zip(v, (100.0, 100.0, 50.0))], c("amplitude", 100.0, 50.0),
+        F.when(F.col("meas_type") == "SSR", 1.0).otherwise(0.0), F.coalesce(code, F.lit(0.0)), F.lit(0.0),
+    ]
+
+
 def linear(features: list[Column], weights: tuple[float, ...], bias: float) -> Column:
     """The default scorer's logit; trained weights fit the same place."""
     total = F.lit(bias)

@@ -30,6 +30,12 @@ def summary(counts: DataFrame) -> DataFrame:
     )
 
 
+def formatted(summary_row: DataFrame) -> DataFrame:
+    """text: the summary as one line."""
+    names = {"MOTA: %.3f": "mota", "MOTP: %.1f": "motp", "Precision: %.3f": "precision", "Recall: %.3f": "recall", "F1: %.3f": "f1", "ID_SW: %d": "id_switches", "FP/frame: %.1f": "fp_rate", "FN/frame: %.1f": "fn_rate"}
+    return summary_row.select(F.format_string(" | ".join(names), *names.values()).alias("text"))
+
+
 def id_switches(matches: DataFrame) -> DataFrame:
     """Matches whose truth had another prediction in the frame before."""
     w = Window.partitionBy("gt_id").orderBy("frame")

@@ -13,7 +13,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from dataclasses import asdict, dataclass, field
+from dataclasses import asdict, dataclass, field, replace
 
 import numpy as np
 import pandas as pd
@@ -55,6 +55,18 @@ HYBRID_RULES = Rules()
 SORT_RULES = Rules(noise=SORT, gate=15000.0, clustered=False, birth_velocity=1.0, last_age_lives=True, first_windows=3, gate_last=True)
 
 
+#: The older tracker: slower to confirm, quicker to forget, and a track of the last age still lives.
+LEGACY_RULES = Rules(min_hits=5, max_age=5, last_age_lives=True)
+RULES = {"hybrid": HYBRID_RULES, "sort": SORT_RULES, "legacy": LEGACY_RULES}
+
+
+def rules_of(name: str, **changes: object) -> Rules:
+    """A tracker's rules by name, with changes."""
+    if name not in RULES:
+        raise ValueError(f"no tracker {name!r}: one of {', '.join(sorted(RULES))}")
+    return replace(RULES[name], **changes)
+
+
 @dataclass(frozen=True)
 class Classifiers:
     """Layers of the models for pairs of primary plots and for pairs with a beacon, as perceptron.layers() gives them."""
@@ -198,6 +210,10 @@ class Tracker:
         self.tracks = sorted(self.tracks, key=lambda t: -t.hits)[: rule.cap] if len(self.tracks) > rule.cap else self.tracks
         return [t for t in self.tracks if t.confirmed or self.windows <= rule.first_windows]
 
+    def reset(self) -> None:
+        """Forgets the tracks; ids go on."""
+        self.tracks = []
+
     def dump(self) -> dict:
         return {"tracks": [asdict(t) for t in self.tracks], "next_id": self.next_id, "windows": self.windows}
 

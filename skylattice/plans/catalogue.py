@@ -94,6 +94,13 @@ def clutter_features(spark, sf):
 LOGIT = " + ".join([str(k.CLUTTER_BIAS), *[f"f{i} * ({w})" for i, w in enumerate(k.CLUTTER_WEIGHTS)]])
 
 
+@query(f"""with {MEAS} select seq, round(x / 1e5, 8) n0, round(y / 1e5, 8) n1, round(z / 2e4, 8) n2, round(coalesce(vx, 0) / 100, 8) n3, round(coalesce(vy, 0) / 100, 8) n4, 0.0::double n5, round(coalesce(amplitude, 50) / 100, 8) n6,
+case when meas_type = 'SSR' then 1.0 else 0.0 end::double n7, round(coalesce((mode_3a::double - 1000) / 1000, 0), 8) n8, 0.0::double n9 from meas""")
+def node_features(spark, sf):
+    m = meas(spark, sf).withColumn("vz", F.lit(None).cast("double"))
+    return m.select("seq", *[r(c, f"n{i}", 8) for i, c in enumerate(k.node_features())])
+
+
 @query(f"with {MEAS}, s as (select seq, 1 / (1 + exp(-({LOGIT}))) score from (select seq, {FEATURES} from meas)) select seq, round(score, 6) score from s where score < 0.7")
 def clutter_filter_linear(spark, sf):
     f = with_features(meas(spark, sf))

@@ -39,6 +39,22 @@ def test_metrics_of_one_match(spark):
     assert (row.mota, row.total_matches, row.motp) == (1.0, 1, round(2**0.5, 6))
 
 
+def test_trackers_by_name_and_formatted_metrics(spark):
+    assert tracker.rules_of("sort") is not None and tracker.rules_of("legacy").max_age == 5 and tracker.rules_of("hybrid", cap=7).cap == 7
+    with pytest.raises(ValueError, match="no tracker"):
+        tracker.rules_of("kalmann")
+    life = tracker.Tracker(tracker.LEGACY_RULES)
+    report = tracker.as_report({"t": 0.5, "x": 0.0, "y": 0.0, "z": 0.0, "vx": None, "vy": None, "vz": None, "mode_3a": None, "mode_s": None, "size": 5})
+    assert [t.track_id for t in life.step([report], 1.0)] == [0]  # confirmed at birth by its cluster
+    assert [len(life.step([], 2.0 + i)) for i in range(6)] == [1, 1, 1, 1, 1, 0]  # of age 5 it still lives
+    life.step([report], 9.0)
+    life.reset()
+    assert life.tracks == [] and life.next_id == 2
+    p, g = frame(spark, [(0, 1, 10.0, 20.0, 0.0), (1, 2, 0.0, 0.0, 0.0)]), frame(spark, [(0, 7, 13.0, 24.0, 0.0)])
+    line = metrics.formatted(metrics.summary(assignment.frame_counts(p, g, assignment.match_frames(p, g, 100.0)))).first().text
+    assert line == "MOTA: 0.000 | MOTP: 5.0 | Precision: 0.500 | Recall: 1.000 | F1: 0.667 | ID_SW: 0 | FP/frame: 0.5 | FN/frame: 0.0"
+
+
 def test_assignment_comes_before_the_gate(spark):
     p = frame(spark, [(0, 1, 0.0, 0.0, 0.0), (0, 2, 90.0, 0.0, 0.0)])
     g = frame(spark, [(0, 1, 80.0, 0.0, 0.0), (0, 2, 201.0, 0.0, 0.0)])
