@@ -152,7 +152,7 @@ ELEV = lambda s: f"atan2({s}.z, sqrt({s}.x * {s}.x + {s}.y * {s}.y))"  # noqa: E
 round(abs({SPEED('a')} - {SPEED('b')}) / 1000, 6) speed_diff, round({WRAP}, 5) azimuth_diff, round(abs({ELEV('a')} - {ELEV('b')}), 5) elevation_diff, round(abs(a.amplitude - b.amplitude) / 100, 6) amplitude_diff
 {PAIRS} where a.meas_type = 'PSR' and b.meas_type = 'PSR'""")
 def pair_features_psr(spark, sf):
-    p = pairs.gated(hours(spark, sf)).where("a.meas_type = 'PSR' and b.meas_type = 'PSR'")
+    p = pairs.gated_by_grid(hours(spark, sf)).where("a.meas_type = 'PSR' and b.meas_type = 'PSR'")
     places = {"vel_cos": 5, "azimuth_diff": 5, "elevation_diff": 5}
     return p.select(F.col("a.seq").alias("seq_a"), F.col("b.seq").alias("seq_b"), *[r(c, n, places.get(n, 6)) for n, c in k.psr_pair_features("a", "b").items()])
 
@@ -162,7 +162,7 @@ AGREE = lambda c: f"case when a.{c} is null or b.{c} is null then 0.0 when a.{c}
 
 @query(f"with {W} select a.seq seq_a, b.seq seq_b, round({D3} / 1e5, 6) dist, round({WRAP}, 5) azimuth_diff, {AGREE('mode_3a')} mode_3a_match, {AGREE('mode_s')} mode_s_match {PAIRS} where a.meas_type = 'SSR' or b.meas_type = 'SSR'")
 def pair_features_ssr(spark, sf):
-    p = pairs.gated(hours(spark, sf)).where("a.meas_type = 'SSR' or b.meas_type = 'SSR'")
+    p = pairs.gated_by_grid(hours(spark, sf)).where("a.meas_type = 'SSR' or b.meas_type = 'SSR'")
     f = k.ssr_pair_features("a", "b")
     return p.select(F.col("a.seq").alias("seq_a"), F.col("b.seq").alias("seq_b"), r(f["dist"], "dist"), r(f["azimuth_diff"], "azimuth_diff", 5), f["mode_3a_match"].alias("mode_3a_match"), f["mode_s_match"].alias("mode_s_match"))
 
@@ -794,3 +794,60 @@ def existence_lifecycle(spark, sf):
         (F.col("seq") % 11 == 0).alias("suppressed"), (F.col("seq") % 9).alias("age"), (F.col("seq") % 4).alias("hits"),
     )
     return existence.live_tracks(rows, existence.Existence(few=12, boost=0.3, cap=6))
+
+
+# --- shapes of rows ------------------------------------------------------------------------------
+
+
+@query(f"""with {MEAS} select seq, round(t, 4) t, round(x, 2) x, round(y, 2) y, round(greatest(z - 1100, 0), 2) z, round(coalesce(vx, 0), 3) vx, round(coalesce(vy, 0), 3) vy, case when amplitude is not null then round(greatest(amplitude - 30, 5), 2) end amplitude from meas""")
+def emitted_values(spark, sf):
+    """Values as they are written: rounded, heights not below 0, amplitudes not below 5."""
+    v = lambda c: F.coalesce(F.col(c), F.lit(0.0))
+    amplitude = F.when(F.col("amplitude").isNotNull(), F.round(F.greatest(F.col("amplitude") - 30, F.lit(5.0)), 2)).alias("amplitude")
+    return meas(spark, sf).select("seq", r(F.col("t"), "t", 4), r(F.col("x"), "x", 2), r(F.col("y"), "y", 2), r(F.greatest(F.col("z") - 1100, F.lit(0.0)), "z", 2), r(v("vx"), "vx", 3), r(v("vy"), "vy", 3), amplitude)
+
+
+@query(f"""with {MEAS} select seq, x c0, y c1, z c2, coalesce(vx, 0) c3, coalesce(vy, 0) c4, case when meas_type = 'SSR' then 0.0 else coalesce(amplitude, 0) end c5, case when meas_type = 'SSR' then coalesce(mode_3a::double, 0) else 0.0 end c6,
+case when meas_type = 'SSR' then 1.0 else 0.0 end::double c7 from meas""")
+def dataset_rows(spark, sf):
+    """Eight numbers of each report: beacons have a code and no amplitude, plots an amplitude and no code."""
+    beacon, zero = F.col("meas_type") == "SSR", F.lit(0.0)
+    code = F.when(beacon, F.coalesce(F.col("mode_3a").cast("double"), zero)).otherwise(zero)
+    amplitude = F.when(beacon, zero).otherwise(F.coalesce(F.col("amplitude"), zero))
+    columns = [F.col("x"), F.col("y"), F.col("z"), F.coalesce("vx", zero), F.coalesce("vy", zero), amplitude, code, F.when(beacon, 1.0).otherwise(zero)]
+    return meas(spark, sf).select("seq", *[c.alias(f"c{i}") for i, c in enumerate(columns)])
+
+
+@query(f"with {MEAS} select seq, coalesce(x, 0) s0, coalesce(y, 0) s1, coalesce(z, 0) s2, coalesce(vx, 0) s3, coalesce(vy, 0) s4, 0.0::double s5, coalesce(amplitude, 0)::double s6 from meas")
+def frame_vectors(spark, sf):
+    """Seven numbers of each report, missing ones as 0."""
+    m = meas(spark, sf).withColumn("vz", F.lit(None).cast("double"))
+    return m.select("seq", *[F.coalesce(F.col(c), F.lit(0.0)).alias(f"s{i}") for i, c in enumerate(("x", "y", "z", "vx", "vy", "vz", "amplitude"))])
+
+
+@query(f"""with {MEAS}, i as (select distinct track_id from meas where track_id <> -1), o as (select track_id, row_number() over (order by ((track_id + 42) * 2654435761) % 4294967291, track_id) k, count(*) over () n from i)
+select seq, track_id from meas where track_id = -1 or track_id in (select track_id from o where k <= floor(n * 80 / 100))""")
+def train_rows(spark, sf):
+    """The reports of the train ids, and clutter."""
+    m = meas(spark, sf)
+    train = windows.split_by_id(m.where("track_id <> -1").select("track_id"), "track_id", 80).where("train").select("track_id")
+    return m.where("track_id <> -1").join(train, "track_id", "left_semi").select("seq", "track_id").unionByName(m.where("track_id = -1").select("seq", "track_id"))
+
+
+@query(f"with {W} select win, seq, round(1 / (1 + exp(-(z - 1800) / 400)), 6) prob from w qualify row_number() over (partition by win order by z desc, seq) <= 5")
+def top_proposals(spark, sf):
+    """The five likeliest of each window."""
+    top = windows.top_per(hours(spark, sf), "win", 5, F.desc("z"), F.col("seq"))
+    return top.select("win", "seq", r(k.sigmoid((F.col("z") - 1800) / 400), "prob"))
+
+
+@query(f"""with {REACH}, f as (select win, cluster, count(*) n from cl group by win, cluster), g as (select win, string_agg(cluster::varchar || ':' || n::varchar, ',' order by cluster) fused from f group by win)
+select w.win frame, string_agg(seq::varchar, ',' order by seq) measurements, any_value(fused) fused_tracks, string_agg(case when track_id <> -1 then track_id::varchar end, ',' order by seq) ground_truth from w join g using (win) group by w.win""")
+def replay_fused(spark, sf):
+    """A frame's reports, what they are fused to (cluster and size) and its truths, as a replay shows them."""
+    h = clustered(spark, sf).select("win", "seq", "track_id", "cluster")
+    listed = lambda value, by: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col(by), value.alias("v")))), lambda x: x["v"]), ",")
+    fused = h.groupBy("win", "cluster").count().groupBy("win").agg(listed(F.concat_ws(":", F.col("cluster"), F.col("count")), "cluster").alias("fused_tracks"))
+    truth_ = F.when(F.col("track_id") != -1, F.col("track_id").cast("string"))
+    frames = h.groupBy("win").agg(listed(F.col("seq").cast("string"), "seq").alias("measurements"), listed(truth_, "seq").alias("ground_truth"), F.count(truth_).alias("n"))
+    return frames.join(fused, "win").select(F.col("win").alias("frame"), "measurements", "fused_tracks", F.when(F.col("n") > 0, F.col("ground_truth")).alias("ground_truth"))
