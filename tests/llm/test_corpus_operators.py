@@ -6,7 +6,8 @@ import re
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from skylattice.llm import components, line_dedup, ngram_join
+from skylattice.llm import line_dedup, ngram_join
+from skylattice.operators import components
 
 SCHEMA = "doc_id long, text string"
 
