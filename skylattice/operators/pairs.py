@@ -29,14 +29,20 @@ def gated(rows: DataFrame, gate: float = 2000.0) -> DataFrame:
 
 def gated_by_grid(rows: DataFrame, gate: float = 2000.0) -> DataFrame:
     """The same pairs for large windows: cells of the gate's width join their neighbours, so a window's rows spread over tasks and most pairs are never made."""
-    cell = lambda c: F.floor(F.col(c) / gate)
-    left = rows.withColumns({"cx": cell("x"), "cy": cell("y")})
-    around = F.transform(F.sequence(F.lit(0), F.lit(8)), lambda i: F.struct((F.floor(i / 3) - 1).alias("dx"), (i % 3 - 1).alias("dy")))
-    right = left.withColumn("step", F.explode(around)).withColumns({"cx": F.col("cx") + F.col("step.dx"), "cy": F.col("cy") + F.col("step.dy")}).drop("step")
+    # A little wider, so that rounding parts no pair that stands a gate apart.
+    left, right = around(rows, F.lit(gate * (1 + 1e-9)))
     on = (F.col("a.win") == F.col("b.win")) & (F.col("a.cx") == F.col("b.cx")) & (F.col("a.cy") == F.col("b.cy")) & (F.col("a.seq") < F.col("b.seq")) & (square() <= gate * gate)
     return left.alias("a").join(right.alias("b"), on)
 
 
+def pairs_within(rows: DataFrame, *keys: str) -> DataFrame:
+    """One row, n: how many pairs with a.seq < b.seq agree in all keys, none of them null. They are counted, not made: all pairs of
+    a group's rows less those of equal seq."""
+    same = rows.dropna(subset=[*keys, "seq"]).groupBy(*keys, "seq").agg(F.count("*").alias("m"))
+    groups = same.groupBy(*keys).agg(F.sum("m").alias("m"), F.sum(F.col("m") * F.col("m")).alias("equal"))
+    return groups.agg(F.coalesce(F.sum(F.shiftright(F.col("m") * F.col("m") - F.col("equal"), 1)), F.lit(0).cast("long")).alias("n"))
+
+
 def distance() -> Column:
     return F.sqrt(square() + (F.col("a.z") - F.col("b.z")) * (F.col("a.z") - F.col("b.z")))
 
