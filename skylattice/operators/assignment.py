@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .pairs import around
+from .pairs import nearest_of
 from .staging import staged
 
 
@@ -161,12 +161,7 @@ def greedy_nearest(tracks: DataFrame, meas: DataFrame, gate: float = 15000.0) ->
 
 
 def nearest_in_gate(tracks: DataFrame, meas: DataFrame, gate: float) -> DataFrame:
-    """(frame, track_id, seq, dist): each track's nearest measurement nearer than the gate, ties to the smaller seq. Tracks meet the measurements
-    of the nine cells around their own, cells as wide as the gate."""
-    own, spread = around(tracks, F.lit(float(gate)))[0], around(meas, F.lit(float(gate)))[1]
-    t, m = own.alias("t"), spread.alias("m")
-    d = lambda c: F.col(f"t.{c}") - F.col(f"m.{c}")
-    dist = F.sqrt(d("x") * d("x") + d("y") * d("y") + d("z") * d("z"))
-    on = (F.col("t.frame") == F.col("m.frame")) & (F.col("t.cx") == F.col("m.cx")) & (F.col("t.cy") == F.col("m.cy")) & (dist < gate)
-    joined = t.join(m, on).select(F.col("t.frame").alias("frame"), F.col("t.track_id").alias("track_id"), F.struct(dist.alias("dist"), F.col("m.seq").alias("seq")).alias("c"))
-    return joined.groupBy("frame", "track_id").agg(F.min("c").alias("c")).select("frame", "track_id", "c.seq", "c.dist")
+    """(frame, track_id, seq, dist): each track's nearest measurement nearer than the gate, ties to the smaller seq. However wide the gate,
+    a track meets only the measurements near it."""
+    found = nearest_of(tracks.withColumnsRenamed({"frame": "win", "track_id": "seq"}), meas.withColumnRenamed("frame", "win"), gate)
+    return found.withColumnsRenamed({"win": "frame", "src": "track_id", "dst": "seq", "d": "dist"})

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -65,48 +69,171 @@ def within_radius(rows: DataFrame, radius: float) -> DataFrame:
     return own.alias("a").join(spread.alias("b"), on).select(F.col("a.win").alias("win"), F.col("a.seq").alias("src"), F.col("b.seq").alias("dst"), distance().alias("d"))
 
 
-#: Rows of a window that are compared with each other without cells.
+#: Rows of a window that stand near each other and are compared as one leaf.
 FEW = 256
 
+LEAVES = "win long, seq long, x double, y double, z double, leaf long, held boolean, far double, near array<struct<dst:long,d:double>>"
+
+
+def spread_bits(value: Column, bits: int = 20) -> Column:
+    """The bits of a number of so many bits with a 0 after each."""
+    for shift, mask in ((16, 0x0000FFFF0000FFFF), (8, 0x00FF00FF00FF00FF), (4, 0x0F0F0F0F0F0F0F0F), (2, 0x3333333333333333), (1, 0x5555555555555555)):
+        value = value.bitwiseOR(F.shiftleft(value, shift)).bitwiseAND(F.lit(mask))
+    return value
+
+
+def leaves(rows: DataFrame, k: int) -> DataFrame:
+    """LEAVES: rows (win, seq, x, y, z, none null) cut into leaves of FEW rows of a window at most, with the k nearest others within their leaf.
+
+    Rows are dealt by ranges of a curve that fills the plane, so leaves have few rows wherever and however unevenly those stand, and no window
+    goes to one task. held: whether a row may be another's neighbour; of many rows in one place the first k + 1 of a batch are enough.
+    far: the distance of the k-th found, infinite if there are fewer."""
+    extent = rows.groupBy("win").agg(F.min("x").alias("x0"), F.min("y").alias("y0"), F.greatest(F.max("x") - F.min("x"), F.max("y") - F.min("y"), F.lit(1e-9)).alias("extent"))
+    step = lambda c: spread_bits(F.least(F.lit((1 << 20) - 1), F.floor((F.col(c) - F.col(f"{c}0")) / F.col("extent") * (1 << 20))))
+    placed = rows.select("win", "seq", "x", "y", "z").join(F.broadcast(extent), "win").withColumn("code", F.shiftleft(step("x"), 1).bitwiseOR(step("y"))).drop("x0", "y0", "extent")
+    order = ("win", "code", "x", "y", "z", "seq")
+    dealt = placed.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id().cast("long"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        leaf = 0
+        for batch in batches:
+            win = batch["win"].to_numpy()
+            if not len(win):
+                continue
+            starts = np.flatnonzero(np.r_[True, win[1:] != win[:-1]])
+            for a, b in zip(starts, [*starts[1:], len(win)]):
+                # Even leaves: none of a handful of rows beside full ones.
+                for at in np.array_split(np.arange(a, b), -(-(b - a) // FEW)):
+                    part = batch.iloc[at].sort_values("seq", kind="stable")
+                    yield nearest_in_leaf(part, k).assign(leaf=(int(batch["part"].iloc[0]) << 32) + leaf)[[f.split()[0] for f in LEAVES.split(", ")]]
+                    leaf += 1
+
+    return dealt.mapInPandas(run, LEAVES)
+
+
+def least(d: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places (i, j) of the k least finite entries of each row of d, in order of i, entry and j."""
+    # All that are as near as the k-th, then a stable order.
+    last = np.partition(d, k - 1, axis=1)[:, k - 1 : k] if d.shape[1] > k else np.inf
+    i, j = np.nonzero((d <= last) & np.isfinite(d))
+    order = np.lexsort((j, d[i, j], i))
+    i, j = i[order], j[order]
+    first = np.arange(len(i)) - np.searchsorted(i, i) < k
+    return i[first], j[first]
+
+
+def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """As distance(), to the last bit."""
+    dx, dy, dz = (a[:, None, i] - b[None, :, i] for i in range(3))
+    return np.sqrt(dx * dx + dy * dy + dz * dz)
+
+
+def nearest_in_leaf(part: pd.DataFrame, k: int) -> pd.DataFrame:
+    """part, in order of seq, with held, far and near of its rows."""
+    seq, xyz = part["seq"].to_numpy(), part[["x", "y", "z"]].to_numpy(float)
+    d = distances(xyz, xyz)
+    d[seq[:, None] == seq[None, :]] = np.inf
+    i, j = least(d, k)
+    first = np.searchsorted(i, np.arange(len(seq) + 1))
+    found = list(zip(seq[j].tolist(), d[i, j].tolist()))
+    near = [found[a:b] for a, b in zip(first, first[1:])]
+    return part.assign(held=part.groupby(["x", "y", "z"], sort=False).cumcount() <= k, far=[x[-1][1] if len(x) == k else np.inf for x in near], near=near)
+
+
+#: Rows that ask for the same leaf in one task, and those compared with it at once.
+ASKS, BLOCK = 65_536, 1024
+
+
+def in_leaves(asks: DataFrame, rows: DataFrame, k: int, apart: bool) -> DataFrame:
+    """(win, src, dst, d): for each of asks (win, seq, x, y, z, far, leaf) the k nearest of that leaf's rows not farther than far; apart: of
+    another seq. A leaf that many rows ask for is dealt to several tasks."""
+    shares = asks.groupBy("leaf").agg(F.ceil(F.count("*") / ASKS).alias("shares"))
+    a = asks.join(shares, "leaf").withColumn("share", F.pmod(F.xxhash64("seq"), F.col("shares"))).drop("shares")
+    b = rows.select("leaf", "seq", "x", "y", "z").join(shares, "leaf").withColumn("share", F.explode(F.sequence(F.lit(0).cast("long"), F.col("shares") - 1))).drop("shares")
+
+    def solve(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        b = b.sort_values("seq", kind="stable")
+        seq, there, out = b["seq"].to_numpy(), b[["x", "y", "z"]].to_numpy(float), []
+        for start in range(0, len(a) if len(b) else 0, BLOCK):
+            part = a.iloc[start : start + BLOCK]
+            d = distances(part[["x", "y", "z"]].to_numpy(float), there)
+            d[d > part["far"].to_numpy()[:, None] * ROOM] = np.inf
+            own = part["seq"].to_numpy()
+            if apart:
+                d[own[:, None] == seq[None, :]] = np.inf
+            i, j = least(d, k)
+            out.append(pd.DataFrame({"win": part["win"].to_numpy()[i], "src": own[i], "dst": seq[j], "d": d[i, j]}))
+        return pd.concat(out) if out else pd.DataFrame({"win": [], "src": [], "dst": [], "d": []})
+
+    return a.groupBy("leaf", "share").cogroup(b.groupBy("leaf", "share")).applyInPandas(solve, "win long, src long, dst long, d double")
+
+
+def outside(a: str, b: str) -> Column:
+    """The square of the distance from a's place to b's box, 0 inside."""
+    off = [F.greatest(F.col(f"{b}.{c}0") - F.col(f"{a}.{c}"), F.col(f"{a}.{c}") - F.col(f"{b}.{c}1"), F.lit(0.0)) for c in ("x", "y", "z")]
+    return off[0] * off[0] + off[1] * off[1] + off[2] * off[2]
+
+
+def farthest(a: str, b: str) -> Column:
+    """The square of the distance from a's place to the farthest corner of b's box."""
+    off = [F.greatest(F.abs(F.col(f"{b}.{c}0") - F.col(f"{a}.{c}")), F.abs(F.col(f"{a}.{c}") - F.col(f"{b}.{c}1"))) for c in ("x", "y", "z")]
+    return off[0] * off[0] + off[1] * off[1] + off[2] * off[2]
+
+
+def boxes(cut: DataFrame) -> DataFrame:
+    """A row for each leaf with the box around its held rows: one in FEW of the rows."""
+    ends = [f(c).alias(c + n) for c in ("x", "y", "z") for f, n in ((F.min, "0"), (F.max, "1"))]
+    return cut.where("held").groupBy("win", "leaf").agg(F.count("*").alias("n"), *ends)
+
+
+#: Squares of distances are compared with a little room, so that rounding leaves no leaf out.
+ROOM = 1 + 1e-9
+
 
 def nearest(rows: DataFrame, k: int) -> DataFrame:
     """Directed edges (win, src, dst, d) from each row to the k nearest others of its window (all, if fewer), ties to the smaller seq.
 
-    Rows look for others in the nine cells around their own, narrow ones first: a row whose k-th nearest is nearer than a cell is wide
-    is settled, for all that is outside is farther; the others look again in cells twice as wide, until one cell is wider than the
-    window. Where many rows stand in one place only the first k + 1 of them are looked at: the others are nobody's k nearest. Rows
-    with a null coordinate have no neighbours."""
+    Each row looks among its leaf's rows first; then only in those other leaves whose box is not farther than the k-th it has found, or,
+    where its leaf has too few, than the farthest corner of some leaf that has enough. Rows with a null coordinate have no neighbours."""
     keep = Scratch(rows.sparkSession)
     known = rows.select("win", "seq", "x", "y", "z").where("win is not null and seq is not null and x is not null and y is not null and z is not null")
-    extent = F.greatest(F.max("x") - F.min("x"), F.max("y") - F.min("y"), F.lit(1e-9))
-    # So narrow that an even window has about k rows in nine cells, and half as wide, for windows that are not even.
-    sizes = known.groupBy("win").agg(extent.alias("extent"), F.count("*").alias("n"))
-    # A window of few rows is one cell.
-    even = F.col("extent") * F.sqrt(F.lit(float(k + 1)) / F.col("n")) / 6
-    sizes = sizes.select("win", "extent", F.when(F.col("n") <= FEW, F.col("extent") * 1.01).otherwise(even).alias("cell"))
-    all_rows = keep.table(known.join(sizes, "win"), "nearest-rows")
-    first = F.row_number().over(Window.partitionBy("win", "x", "y", "z").orderBy("seq"))
-    held = keep.table(all_rows.withColumn("copy", first).where(F.col("copy") <= k + 1).drop("copy"), "nearest-places")
-    found, left, step = None, all_rows, 0
-    while True:
-        cell = F.col("cell") * float(2**step)
-        own, _ = around(left, cell)
-        _, spread = around(held, cell)
-        on = (F.col("a.win") == F.col("b.win")) & (F.col("a.cx") == F.col("b.cx")) & (F.col("a.cy") == F.col("b.cy")) & (F.col("a.seq") != F.col("b.seq"))
-        pairs = own.alias("a").join(spread.alias("b"), on).select(F.col("a.win").alias("win"), F.col("a.seq").alias("src"), F.col("b.seq").alias("dst"), distance().alias("d"))
-        best = pairs.withColumn("rank", F.row_number().over(Window.partitionBy("win", "src").orderBy("d", "dst"))).where(F.col("rank") <= k)
-        got = best.groupBy("win", "src").agg(F.max("d").alias("far"), F.count("*").alias("m"), F.collect_list(F.struct("dst", "d")).alias("e"))
-        # As many as k nearer than the cell is wide; or the nine cells hold the whole window.
-        cover = left.select("win", F.col("seq").alias("src"), cell.alias("_cell"), "extent").join(got, ["win", "src"], "left")
-        settled = ((F.col("m") == k) & (F.col("far") < F.col("_cell"))) | (F.col("_cell") > F.col("extent"))
-        cover = keep.table(cover.withColumn("settled", F.coalesce(settled, F.lit(False))), "nearest-settled")
-        edges = cover.where("settled").select("win", "src", F.explode("e").alias("e")).select("win", "src", "e.dst", "e.d")
-        found = edges if found is None else found.unionByName(edges)
-        left = keep.table(all_rows.join(cover.where("not settled").select("win", F.col("src").alias("seq")), ["win", "seq"], "left_semi"), "nearest-left")
-        if left.isEmpty():
-            break
-        step += 1
-    out = staged(found, "nearest")
+    cut = keep.table(leaves(known, k), "nearest-leaves")
+    box = keep.table(boxes(cut), "nearest-boxes")
+    q = cut.select("win", "seq", "x", "y", "z", "leaf", F.pow("far", F.lit(2.0)).alias("far2"))
+    few = q.where("far2 = double('infinity')").alias("a").join(box.where(F.col("n") > k).alias("b"), "win")
+    few = few.groupBy("win", "a.leaf", "a.seq").agg(F.min(farthest("a", "b")).alias("reach"))
+    bounded = q.where("far2 < double('infinity')").unionByName(q.where("far2 = double('infinity')").join(few, ["win", "leaf", "seq"], "left").select("win", "seq", "x", "y", "z", "leaf", F.coalesce("reach", "far2").alias("far2")))
+    on = (F.col("a.win") == F.col("b.win")) & (F.col("a.leaf") != F.col("b.leaf")) & (outside("a", "b") <= F.col("a.far2") * ROOM)
+    asks = bounded.alias("a").join(F.broadcast(box).alias("b"), on).select("a.win", "a.seq", "a.x", "a.y", "a.z", F.sqrt("a.far2").alias("far"), F.col("b.leaf").alias("leaf"))
+    asks = keep.table(asks, "nearest-asks")
+    beyond = in_leaves(asks, cut.where("held"), k, True)
+    within = cut.select("win", F.col("seq").alias("src"), F.explode("near").alias("e")).select("win", "src", "e.dst", "e.d")
+    rank = F.row_number().over(Window.partitionBy("win", "src").orderBy("d", "dst"))
+    out = staged(within.unionByName(beyond).withColumn("rank", rank).where(F.col("rank") <= k).drop("rank"), "nearest")
+    keep.clear()
+    return out
+
+
+def nearest_of(rows: DataFrame, others: DataFrame, gate: float) -> DataFrame:
+    """(win, src, dst, d): for each of rows (win, seq, x, y, z) the nearest of others nearer than the gate, ties to the smaller seq of those.
+
+    Rows look in the leaf of the least farthest corner first, then in those whose box is not farther than what they have found there."""
+    keep = Scratch(rows.sparkSession)
+    whole = "win is not null and seq is not null and x is not null and y is not null and z is not null"
+    cut = keep.table(leaves(others.where(whole), 1).drop("near", "far"), "nearest-leaves").where("held")
+    box = keep.table(boxes(cut), "nearest-boxes")
+    places = keep.table(rows.select("win", "seq", "x", "y", "z").where(whole), "nearest-rows")
+
+    both = places.alias("a").join(F.broadcast(box).alias("b"), F.col("a.win") == F.col("b.win")).where(outside("a", "b") <= gate * gate * ROOM)
+    first = both.groupBy("a.win", "a.seq", "a.x", "a.y", "a.z").agg(F.min_by("b.leaf", farthest("a", "b")).alias("leaf")).withColumn("far", F.lit(float(gate)))
+    first = keep.table(first, "nearest-first")
+    near = keep.table(in_leaves(first, cut, 1, False), "nearest-found")
+    known = first.join(near.select("win", F.col("src").alias("seq"), "d"), ["win", "seq"], "left").withColumn("far", F.coalesce("d", "far"))
+    on = (F.col("a.win") == F.col("b.win")) & (F.col("a.leaf") != F.col("b.leaf")) & (outside("a", "b") <= F.col("a.far") * F.col("a.far") * ROOM)
+    asks = known.alias("a").join(F.broadcast(box).alias("b"), on).select("a.win", "a.seq", "a.x", "a.y", "a.z", "a.far", F.col("b.leaf").alias("leaf"))
+    more = in_leaves(keep.table(asks, "nearest-asks"), cut, 1, False)
+    best = near.unionByName(more).where(F.col("d") < gate).groupBy("win", "src").agg(F.min(F.struct("d", "dst")).alias("best"))
+    out = staged(best.select("win", "src", "best.dst", "best.d"), "nearest")
     keep.clear()
     return out
 
