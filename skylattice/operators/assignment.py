@@ -17,29 +17,44 @@ from .staging import staged
 
 def augmented(n: int, m: int, row: Callable[[int], np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """The cheapest assignment of n rows to n of m >= n columns, by shortest augmenting paths with potentials; row(i): the costs
-    of row i, asked for when they are needed, so memory is n + m."""
-    u, v, owner = np.zeros(n + 1), np.zeros(m + 1), np.zeros(m + 1, int)
-    for i in range(1, n + 1):
-        owner[0], j0 = i, 0
-        least, back, used = np.full(m + 1, np.inf), np.zeros(m + 1, int), np.zeros(m + 1, bool)
-        while owner[j0]:
-            used[j0] = True
-            slack = row(owner[j0] - 1) - u[owner[j0]] - v[1:]
-            better = ~used[1:] & (slack < least[1:])
-            least[1:][better], back[1:][better] = slack[better], j0
-            j1 = int(np.argmin(np.where(used[1:], np.inf, least[1:]))) + 1
-            delta = least[j1]
-            u[owner[used]] += delta
-            v[used] -= delta
-            least[~used] -= delta
-            j0 = j1
-        while j0:
-            owner[j0] = owner[back[j0]]
-            j0 = back[j0]
-    at = np.flatnonzero(owner[1:])
-    rows = owner[1:][at] - 1
-    order = np.argsort(rows)
-    return rows[order], at[order]
+    of row i, none of them NaN, asked for when they are needed, so memory is n + m. Rows whose cheapest column nobody has taken yet get it
+    at once; only the others search for paths, and potentials change once for each path."""
+    u, v, owner, mate = np.zeros(n), np.zeros(m), np.full(m, -1), np.full(n, -1)
+    for i in range(n):
+        cost = row(i)
+        j = int(np.argmin(cost))
+        u[i] = cost[j]
+        if owner[j] < 0:
+            owner[j], mate[i] = i, j
+    reach, back, nearer = np.empty(m), np.empty(m, int), np.empty(m, bool)
+    for start in np.flatnonzero(mate < 0).tolist():
+        reach.fill(np.inf)
+        price, i, far, closed, at = v.copy(), start, 0.0, [], []
+        while True:
+            way = row(i) - price
+            way += far - u[i]
+            np.less(way, reach, out=nearer)
+            np.copyto(reach, way, where=nearer)
+            np.copyto(back, i, where=nearer)
+            j = int(np.argmin(reach))
+            far = reach[j]
+            if owner[j] < 0:
+                break
+            closed.append(j)
+            at.append(far)
+            # A closed column is infinitely far from now on.
+            reach[j], price[j] = np.inf, -np.inf
+            i = int(owner[j])
+        gain = far - np.array(at)
+        u[owner[closed]] += gain
+        v[closed] -= gain
+        u[start] += far
+        i = -1
+        while i != start:
+            i = int(back[j])
+            owner[j] = i
+            mate[i], j = j, int(mate[i])
+    return np.arange(n), mate
 
 
 def hungarian(cost: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -129,20 +144,23 @@ MATCHES = "frame long, pred_id long, gt_id long, dist double"
 
 def match_frames(pred: DataFrame, truth: DataFrame, gate: float = 5000.0) -> DataFrame:
     """(frame, pred_id, gt_id, dist): the assignment is made before the gate is applied, so it may match less than a gated one. Frames are independent.
-    An optimum over all pairs needs them all, but never at once: a task holds the positions of one frame and a row of distances."""
+    An optimum over all pairs needs them all, but never at once: a task holds the positions of one frame and a row of distances. Rows without
+    a position have no distance to any and match nothing."""
 
     def solve(key: tuple, p: pd.DataFrame, g: pd.DataFrame) -> pd.DataFrame:
         p, g = p.sort_values("id"), g.sort_values("id")
         few, many = (p, g) if len(p) <= len(g) else (g, p)
         x, y = few[["x", "y", "z"]].to_numpy(float), many[["x", "y", "z"]].to_numpy(float)
-        distances = lambda k: np.sqrt(((y - x[k]) ** 2).sum(1))
+        across = [np.ascontiguousarray(c) for c in y.T]
+        distances = lambda k: np.sqrt(sum((c - x[k, i]) ** 2 for i, c in enumerate(across)))
         i, j = augmented(len(x), len(y), distances) if len(x) else (np.empty(0, int), np.empty(0, int))
         d = np.sqrt(((x[i] - y[j]) ** 2).sum(1))
         near = d < gate
         i, j = (i, j) if few is p else (j, i)
         return pd.DataFrame({"frame": key[0], "pred_id": p["id"].to_numpy()[i[near]], "gt_id": g["id"].to_numpy()[j[near]], "dist": d[near]})
 
-    return pred.select("frame", "id", "x", "y", "z").groupBy("frame").cogroup(truth.select(F.col("frame").alias("gt_frame"), F.col("id"), F.col("x"), F.col("y"), F.col("z")).groupBy("gt_frame")).applyInPandas(solve, MATCHES)
+    pred, truth = (side.select("frame", "id", "x", "y", "z").where("not (isnan(x + y + z) or x + y + z is null)") for side in (pred, truth))
+    return pred.groupBy("frame").cogroup(truth.withColumnRenamed("frame", "gt_frame").groupBy("gt_frame")).applyInPandas(solve, MATCHES)
 
 
 def frame_counts(pred: DataFrame, truth: DataFrame, matches: DataFrame, switches: DataFrame | None = None) -> DataFrame:
