@@ -211,7 +211,8 @@ def batches_of(rows: Iterator, n: int) -> Iterator[list]:
 
 
 def round_trip(docs: DataFrame, rank_path: str, pattern: str, text: str = "text", keep: list[str] | None = None, decode: bool = True) -> DataFrame:
-    """The kept columns of docs (all but the text by default) with ids (array<int>) and, if asked for, decoded (binary): the bytes the ids stand for."""
+    """The kept columns of docs (all but the text by default) with ids (array<int>) and decoded (binary): the bytes the ids stand for. Without
+    the column the ids are decoded all the same and must give the text's bytes: ids that lose some of it are an error."""
     short_batches(docs.sparkSession)
     keep = [c for c in (docs.columns if keep is None else keep) if c not in (text, "ids", "decoded")]
     fields = [docs.schema[c] for c in keep] + [T.StructField("ids", T.ArrayType(T.IntegerType()))] + [T.StructField("decoded", T.BinaryType())] * decode
@@ -221,12 +222,16 @@ def round_trip(docs: DataFrame, rank_path: str, pattern: str, text: str = "text"
         for batch in batches:
             for start in range(0, batch.num_rows, DOCS):
                 part = batch.slice(start, DOCS)
-                found = own.encode(part.column(len(keep)).to_pylist())
+                texts = part.column(len(keep)).to_pylist()
+                found = own.encode(texts)
+                decoded = [own.bpe.decode(np.frombuffer(x, "<i4").tolist()) for x in found]
                 offsets = np.concatenate([[0], np.cumsum([len(x) // 4 for x in found])]).astype(np.int32)
                 ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(found), "<i4")))
                 columns = [*part.columns[: len(keep)], ids]
                 if decode:
-                    columns.append(pa.array([own.bpe.decode(np.frombuffer(x, "<i4").tolist()) for x in found], pa.binary()))
+                    columns.append(pa.array(decoded, pa.binary()))
+                elif decoded != [t.encode() for t in texts]:
+                    raise ValueError("the ids of a text do not decode to it")
                 yield pa.RecordBatch.from_arrays(columns, names=[f.name for f in fields])
 
     return docs.select(*keep, whole_text(text).alias(free_name(docs, "whole_text"))).mapInArrow(run, T.StructType(fields))
@@ -239,7 +244,7 @@ def public_ranks() -> tuple[str, str]:
 
 
 def encode_documents(docs: DataFrame) -> DataFrame:
-    """The columns of docs less the text, with ids: the last stage of the pipeline."""
+    """The columns of docs less the text, with ids that were decoded and compared with it: the last stage of the pipeline."""
     return round_trip(without(docs, "ids"), *public_ranks(), decode=False)
 
 
