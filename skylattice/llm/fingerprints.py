@@ -155,7 +155,7 @@ def compared(ordered: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, kinds = [f.split()[0] for f in RESULT.split(", ")], (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64())
-        following, print_of_it = "", ""
+        following, print_of_it = "", fingerprint("")
         for batch in batches:
             for start in range(0, batch.num_rows, 256):
                 part, out = batch.slice(start, 256), []
