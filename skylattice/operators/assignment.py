@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .pairs import nearest_of
-from .staging import staged
+from .staging import parts, staged
 
 
 def augmented(n: int, m: int, row: Callable[[int], np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -160,7 +160,9 @@ def match_frames(pred: DataFrame, truth: DataFrame, gate: float = 5000.0) -> Dat
         return pd.DataFrame({"frame": key[0], "pred_id": p["id"].to_numpy()[i[near]], "gt_id": g["id"].to_numpy()[j[near]], "dist": d[near]})
 
     pred, truth = (side.select("frame", "id", "x", "y", "z").where("not (isnan(x + y + z) or x + y + z is null)") for side in (pred, truth))
-    return pred.groupBy("frame").cogroup(truth.withColumnRenamed("frame", "gt_frame").groupBy("gt_frame")).applyInPandas(solve, MATCHES)
+    n = parts(pred.sparkSession)
+    pred, truth = pred.repartition(n, "frame"), truth.withColumnRenamed("frame", "gt_frame").repartition(n, "gt_frame")
+    return pred.groupBy("frame").cogroup(truth.groupBy("gt_frame")).applyInPandas(solve, MATCHES)
 
 
 def frame_counts(pred: DataFrame, truth: DataFrame, matches: DataFrame, switches: DataFrame | None = None) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql.window import Window
 from skylattice.functions import kinematics, perceptron
 
 from .components import components
-from .staging import Scratch, staged
+from .staging import Scratch, parts, staged
 
 
 def windowed_pairs(rows: DataFrame, condition: Column | None = None) -> DataFrame:
@@ -92,7 +92,7 @@ def leaves(rows: DataFrame, k: int) -> DataFrame:
     step = lambda c: spread_bits(F.least(F.lit((1 << 20) - 1), F.floor((F.col(c) - F.col(f"{c}0")) / F.col("extent") * (1 << 20))))
     placed = rows.select("win", "seq", "x", "y", "z").join(F.broadcast(extent), "win").withColumn("code", F.shiftleft(step("x"), 1).bitwiseOR(step("y"))).drop("x0", "y0", "extent")
     order = ("win", "code", "x", "y", "z", "seq")
-    dealt = placed.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id().cast("long"))
+    dealt = placed.repartitionByRange(parts(rows.sparkSession), *order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id().cast("long"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         leaf = 0
@@ -165,6 +165,8 @@ def in_leaves(asks: DataFrame, rows: DataFrame, k: int, apart: bool) -> DataFram
             out.append(pd.DataFrame({"win": part["win"].to_numpy()[i], "src": own[i], "dst": seq[j], "d": d[i, j]}))
         return pd.concat(out) if out else pd.DataFrame({"win": [], "src": [], "dst": [], "d": []})
 
+    n = parts(rows.sparkSession)
+    a, b = a.repartition(n, "leaf", "share"), b.repartition(n, "leaf", "share")
     return a.groupBy("leaf", "share").cogroup(b.groupBy("leaf", "share")).applyInPandas(solve, "win long, src long, dst long, d double")
 
 

@@ -39,6 +39,11 @@ def delete(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def parts(spark: SparkSession) -> int:
+    """Into how many parts small rows are dealt that take long to work on: Spark would join parts by their bytes and leave most cores idle."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+
+
 class Scratch:
     """Staged tables of one operator, deleted once what was made of them is written itself."""
 
