@@ -18,7 +18,8 @@ Equal sets of a task are one vertex, and signatures with equal lists of vertices
 not make all pairs of a group of near copies, lists first link each vertex to a pivot or two of the list, and vertices that
 these links show to be in one component are not compared again; what is left are lists that still hold several components: short ones
 make their pairs, long ones are cut into tiles whose sets meet as matrices, so that only links come out. Links within a
-component need not be found, links between components all are.
+component need not be found, links between components all are. A link that no short list shows lies in e + 1 signatures of long lists, so that
+a vertex may leave its longest lists as long as these tell of fewer: the shortest list of the pair's still holds both.
 
 Texts are read twice, to find the frequent class and to sign the sets, and once more for the sets that may have a link: these
 are told apart by a Bloom filter of fixed size and only they are shuffled. Joins are shuffled at every size, nothing waits for
@@ -38,8 +39,9 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from skylattice.operators.components import components
 
@@ -52,8 +54,9 @@ STAGE_WORDS, STAGE_LINK = 5, 80
 HOT, HOT_IN_CHUNK, HOT_MOST, CHUNK = 40, 3, 1_000_000, 2_000_000
 #: Sets of up to so many tokens index pairs of frequent tokens; those above (less what a link allows) index them singly.
 PAIR_SETS = 100
-#: Lists of more sets are compared tile by tile.
+#: Lists of more sets are compared tile by tile; sets and tokens of a tile, about; rows of two tiles in an Arrow batch.
 TILE = 128
+TILE_SETS, TILE_TOKENS, TILE_ROWS = 1024, 1 << 17, 8
 #: Rows of an Arrow batch, and digests of texts or sets that a task remembers.
 BATCH, SEEN = 500, 500_000
 #: Partners of a pivot that one task streams behind its text.
@@ -252,6 +255,22 @@ def overlaps(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
     return out
 
 
+def told(ones: Column, twos: Column) -> Column:
+    """How many shared tokens so many shared signatures tell of at most: p pairs of s frequent tokens, p = s (s - 1) / 2; without any, one may be."""
+    return ones + F.when(twos > 0, (1 + F.sqrt(1 + 8 * twos)) / 2).otherwise(1)
+
+
+def shares_enough(ones: str = "ones", twos: str = "twos") -> Column:
+    """Whether signatures tell of as many shared tokens as a link of a set of n asks for."""
+    return told(F.col(ones), F.col(twos)) >= F.ceil(F.col("n") / 20) + 3 - 1e-9
+
+
+def without_longest(long: DataFrame) -> DataFrame:
+    """long (u, n, sig, one, k, ones, twos) less the longest lists of each vertex that together tell of too little for a link."""
+    upto = Window.partitionBy("u").orderBy(F.desc("k"), "sig", "one").rowsBetween(Window.unboundedPreceding, 0)
+    return long.withColumns({"all_ones": F.sum("ones").over(upto), "all_twos": F.sum("twos").over(upto)}).where(shares_enough("all_ones", "all_twos")).drop("all_ones", "all_twos")
+
+
 def tile_links(keep: Scratch, texts: DataFrame, long: DataFrame, words: int, link: int) -> DataFrame:
     """Links between components within long lists, without making their pairs: a list is dealt to tiles of about TILE sets,
     two tiles meet in a task as matrices, and only the links leave it."""
@@ -261,11 +280,11 @@ def tile_links(keep: Scratch, texts: DataFrame, long: DataFrame, words: int, lin
             yield pa.RecordBatch.from_arrays([batch.column(0), arrays([shingle_set(t.as_py(), words) for t in batch.column(1)])], names=["u", "tokens"])
 
     sets = texts.withColumnRenamed("uid", "u").join(long.select("u").distinct().hint("merge"), "u").select("u", "text").mapInArrow(shingled, "u long, tokens array<long>")
-    tiles = long.withColumn("tile", F.pmod(F.xxhash64("u"), F.ceil(F.col("k") / TILE)).cast("int"))
+    tiles = long.withColumn("tile", F.pmod(F.xxhash64("u"), F.greatest(F.ceil(F.col("k") / TILE_SETS), F.ceil(F.col("mass") / TILE_TOKENS))).cast("int"))
     tiles = tiles.join(sets.hint("merge"), "u").groupBy("sig", "one", "tile").agg(F.collect_list(F.struct("u", "label", "tokens")).alias("sets"))
     tiles = keep.table(tiles, "tiles")
     index = tiles.select("sig", "one", "tile")
-    meets = index.join(index.withColumnRenamed("tile", "other").hint("merge"), ["sig", "one"]).where("tile <= other")
+    meets = index.join(index.withColumnRenamed("tile", "other").hint("merge"), ["sig", "one"]).where("tile < other")
     met = meets.join(tiles.hint("merge"), ["sig", "one", "tile"]).join(tiles.select("sig", "one", F.col("tile").alias("other"), F.col("sets").alias("others")).hint("merge"), ["sig", "one", "other"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -283,7 +302,10 @@ def tile_links(keep: Scratch, texts: DataFrame, long: DataFrame, words: int, lin
                 x, y = np.nonzero((100 * both >= link * joined) & (own[:, None] != other[None, :]))
                 yield pa.RecordBatch.from_arrays([pa.array(u[x]), pa.array(v[y])], names=["u", "v"])
 
-    links = keep.table(met.select("sets", "others").mapInArrow(run, "u long, v long").distinct(), "tile-links")
+    # A tile meets itself where it lies.
+    met = tiles.select("sets", F.col("sets").alias("others")).unionByName(met.select("sets", "others"))
+    with arrow_rows(texts.sparkSession, TILE_ROWS):
+        links = keep.table(met.mapInArrow(run, "u long, v long").distinct(), "tile-links")
     keep.drop(tiles)
     return links
 
@@ -329,11 +351,9 @@ def _components_of(docs: DataFrame, key: str, text: str, words: int, link: int)
     lists = keep.table(marks.join(kinds.hint("shuffle_hash"), ["sig", "one"]), "kinds-of-lists")
     keep.drop(sets)
 
-    # Pairs of shared frequent tokens tell how many are shared: p pairs of s tokens, p = s (s - 1) / 2; without any, one may be.
-    told = F.col("ones") + F.when(F.col("twos") > 0, (1 + F.sqrt(1 + 8 * F.col("twos"))) / 2).otherwise(1)
     # A vertex that shares too little with all others together can drop out.
     both = lists.groupBy("u").agg(F.sum("ones").alias("ones"), F.sum("twos").alias("twos"))
-    enough = both.join(named.withColumnRenamed("uid", "u").hint("merge"), "u").where(told >= F.ceil(F.col("n") / 20) + 3 - 1e-9)
+    enough = both.join(named.withColumnRenamed("uid", "u").hint("merge"), "u").where(shares_enough())
     enough = keep.table(enough.select("u", "n", "doc_id", "mark"), "sharing-vertices")
     texts = keep.table(texts_of(rows, enough.withColumnRenamed("u", "uid")), "texts")
     lists, raw = keep.table(lists.join(enough.select("u", "n").hint("merge"), "u"), "signature-lists"), lists
@@ -348,28 +368,32 @@ def _components_of(docs: DataFrame, key: str, text: str, words: int, link: int)
         now = keep.table(now, "labelled-lists")
         # The nearest to each turn by exclusive or: one vertex of each list, the same one in all lists that hold it and its like.
         nearest = [F.min_by(F.struct(F.col("u").alias("v"), F.col("n").alias("m"), F.col("label").alias("other")), F.col("u").bitwiseXOR(F.lit(t))).alias(f"p{i}") for i, t in enumerate(turns)]
-        several = now.groupBy("sig", "one").agg(F.count("*").alias("k"), F.min("label").alias("a"), F.max("label").alias("b"), *nearest).where("a < b").drop("a", "b")
+        several = now.groupBy("sig", "one").agg(F.count("*").alias("k"), F.sum("n").alias("mass"), F.min("label").alias("a"), F.max("label").alias("b"), *nearest).where("a < b").drop("a", "b")
         links = []
         if turns:
             # Pivots only save work; a pair needs half of what a link would share to be looked at here.
             several = keep.table(several.select("sig", "one", "k", F.array_distinct(F.array(*[f"p{i}" for i in range(len(turns))])).alias("p")), "pivots-of-lists")
             met = lookup(now, several.select("sig", "one", F.explode("p").alias("p")).select("sig", "one", "p.*"), ["sig", "one"], several.withColumnRenamed("k", "n")).where("u <> v").where((F.col("label") != F.col("other")) & near)
             met = met.withColumns({"more_ones": F.lit(0), "more_twos": F.lit(0)})
-            share = told >= (least_extra + 1) / 2
+            share = told(F.col("ones"), F.col("twos")) >= (least_extra + 1) / 2
         else:
             several = keep.table(several, "sizes-of-lists")
             now, raw = keep.table(lookup(now, several, ["sig", "one"], several.withColumnRenamed("k", "n")), "mixed-lists"), now
             keep.drop(raw)
+            # Only these lists tell of links between components: again, what shares too little in them can drop out.
+            enough = now.groupBy("u", "n").agg(F.sum("ones").alias("ones"), F.sum("twos").alias("twos")).where(shares_enough()).select("u")
+            now, raw = keep.table(now.join(enough.hint("merge"), "u"), "sharing-lists"), now
+            keep.drop(raw)
             long = now.where(F.col("k") > TILE)
             if not long.isEmpty():
-                links = [tile_links(keep, texts, long, words, link)]
+                links = [tile_links(keep, texts, without_longest(long), words, link)]
             # What a pair shares in long lists besides is at most the lesser number of them that either stands in.
             seats = long.groupBy("u").agg(F.sum("ones").alias("o"), F.sum("twos").alias("t"))
-            now = now.where(F.col("k") <= TILE).drop("k").join(seats.hint("merge"), "u", "left").fillna(0, ["o", "t"])
+            now = now.where(F.col("k") <= TILE).drop("k", "mass").join(seats.hint("merge"), "u", "left").fillna(0, ["o", "t"])
             other = now.select("sig", "one", *[F.col(c).alias(d) for c, d in (("u", "v"), ("n", "m"), ("label", "other"), ("o", "o2"), ("t", "t2"))])
             met = now.join(other.hint("merge"), ["sig", "one"]).where((F.col("u") < F.col("v")) & (F.col("label") != F.col("other")) & near)
             met = met.select("u", "v", "n", "m", "ones", "twos", F.least("o", "o2").alias("more_ones"), F.least("t", "t2").alias("more_twos"))
-            share = told >= least_extra + 1 - 1e-9
+            share = told(F.col("ones"), F.col("twos")) >= least_extra + 1 - 1e-9
         pairs = met.groupBy("u", "v", "n", "m").agg((F.sum("ones") + F.max("more_ones")).alias("ones"), (F.sum("twos") + F.max("more_twos")).alias("twos")).where(share).select("u", "v")
         links.append(verified(keep, texts, pairs, words, link))
         found += links
