@@ -118,7 +118,7 @@ def library_encoder(path: str) -> UnitCache:
                 continue
             # Each unit by itself, in one call; the fast one does not tell where units end, but their bytes do.
             ids = np.array(tokenizer.encode_batch_fast([part], is_pretokenized=True, add_special_tokens=False)[0].ids, np.int64)
-            upto, want = n_bytes[ids].cumsum(), np.fromiter((len(u.encode()) for u in part), np.int64, len(part)).cumsum()
+            upto, want = n_bytes[ids].cumsum(), np.fromiter(map(len, part if all(map(str.isascii, part)) else map(str.encode, part)), np.int64, len(part)).cumsum()
             ends = np.searchsorted(upto, want, "right")
             if not np.array_equal(np.r_[0, upto][ends], want):
                 out += by_library(part)

@@ -9,7 +9,7 @@ run of letters and punctuation after it, so an unknown word with such a tail is
 
 from __future__ import annotations
 
-import re
+import sys
 from collections.abc import Callable
 from itertools import filterfalse, islice
 
@@ -20,13 +20,16 @@ REMEMBERED, LONG = 300_000, 48
 #: Punctuation after a word, letters only and those of before U+0250, is encoded by itself if it has MOST_TAIL characters at most.
 TAIL, MOST_TAIL, LETTERS_END = ".,;:!?%$#&*", 4, "\u0250"
 
-#: A space before white space or the end: there the rule above does not hold. Nor does that of line ends where other white space is.
-UNSAFE = re.compile(r" (?:\s|\Z)").search
-OTHER_SPACE = re.compile(r"[^\S \n]").search
+#: White space other than spaces and line ends: where it stands, neither rule holds. ASCII first.
+OTHER_SPACE = [c for c in map(chr, range(sys.maxunicode + 1)) if c.isspace() and c not in " \n"]
+ASCII_SPACE = [c for c in OTHER_SPACE if c.isascii()]
 
 
 def unsafe(text: str) -> bool:
-    return bool("\n\n\n" in text or text.endswith("\n\n") or UNSAFE(text) or OTHER_SPACE(text) or "\n " in text)
+    """Whether a rule does not hold: a space before white space or the end, three line ends or two at the end, a line end before a space, other white space."""
+    if "  " in text or " \n" in text or "\n " in text or "\n\n\n" in text or text.endswith((" ", "\n\n")):
+        return True
+    return any(c in text for c in (ASCII_SPACE if text.isascii() else OTHER_SPACE))
 
 
 class _Known(dict):
@@ -50,7 +53,7 @@ class UnitCache:
 
     def _encode(self, known: _Known, units: list[str], lead: str) -> dict[str, bytes]:
         """The units' encodings with `lead` before each that does not begin with a line end; words and their tails are looked up or encoded apart."""
-        cut = {w: b for w in units if 0 < len(w) - len(b := w.rstrip(TAIL)) <= MOST_TAIL and b.isalpha() and max(b) < LETTERS_END}
+        cut = {w: b for w in units if 0 < len(w) - len(b := w.rstrip(TAIL)) <= MOST_TAIL and b.isalpha() and (b.isascii() or max(b) < LETTERS_END)}
         tails = {w[len(b) :] for w, b in cut.items()} - self.tails.keys()
         self.tails.update(zip(tails, self.encode_units(list(tails))))
         plain = list({w for w in units if w not in cut}.union(filterfalse(known.__contains__, cut.values())))
