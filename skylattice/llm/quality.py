@@ -3,12 +3,12 @@
 A document's strength is linear in features of its text. For a pair of a preferred (label 1) and another document
 (label 0) the chance that the first wins is the logistic function of the difference of their strengths; the weights
 minimise that loss, with a small ridge, over pairs, by Newton steps on feature differences. The threshold is the quantile of
-the sample's scores at the share of label 0 among all labels, each class weighing its share, and scores are moved so that it
+the labelled rows' scores at the share of label 0 among all labels, each class weighing its share, and scores are moved so that it
 stands at CUT.
 
-Learning uses at most SAMPLE labelled rows of each class, those with the smallest hashes of their ids (a documented
-bound: what reaches the driver does not grow with the input); scoring is a map over all documents' whole texts. Where labelled
-ids repeat in the documents, at most 4 * SAMPLE of their rows teach, those with the least ids.
+Every labelled row teaches. Features are a map over whole texts; only they, not the texts, meet the labels. Rows are numbered, pairs
+are joined by number, PAIRS of them for each row of label 0 and each row of label 1 at least once, and a Newton step sums gradient and
+Hessian over all pairs in the tasks: only sums of 48 x 48 numbers reach the driver. The threshold is closed in on by histograms, exact.
 
 Null and empty texts have the features of an empty text. Labels that are null or neither 0 nor 1 teach nothing. Without
 labels of both classes every score is 0.5. Repeated rows get equal scores; other columns pass by untouched: scored() replaces
@@ -20,17 +20,18 @@ from __future__ import annotations
 import math
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 from operator import eq
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import short_batches, whole_text, without
+from .common import Scratch, positions, short_batches, staged, whole_text, without
 
-SAMPLE = 3000
 #: Preferred documents that each other document is paired with.
 PAIRS = 12
 RIDGE = 1e-2
@@ -38,6 +39,8 @@ CUT = 0.3
 FEATURES = 16
 #: Standardised features are cut off here, so that no single one decides.
 REACH = 6.0
+#: Bins of a histogram of strengths; distinct strengths that may reach the driver in the end.
+BINS, LEFT = 4096, 4096
 
 CLASSES = np.zeros((256, 6))
 CLASSES[ord("A") : ord("Z") + 1, 0] = 1
@@ -73,33 +76,30 @@ def expand(x: np.ndarray, mean: np.ndarray, sd: np.ndarray) -> np.ndarray:
 
 
 def meetings(n_good: int, n_bad: int) -> tuple[np.ndarray, np.ndarray]:
-    """Which good row meets which bad one. Each class meets the other in turn, so that every sampled row is in some pair;
+    """Which good row meets which bad one. Each class meets the other in turn, so that every row is in some pair;
     the turns come back after the sizes' least common multiple, each time one good row further on, until all pairs have been."""
     i = np.arange(max(PAIRS * n_bad, n_good))
     return (i * 7919 + i // math.lcm(n_good, n_bad)) % n_good, i % n_bad
 
 
+@dataclass(frozen=True)
 class Ranking:
-    """Weights of the strengths and the move that puts the threshold at CUT."""
+    """Weights of the strengths and the move that puts the threshold at CUT; not trained without both classes."""
 
-    def __init__(self, x: np.ndarray, y: np.ndarray, share: float):
-        """share: of label 0 among all labels that may be learnt from."""
-        good, bad = np.flatnonzero(y == 1), np.flatnonzero(y == 0)
-        self.trained = bool(len(good) and len(bad))
-        if not self.trained:
-            return
-        self.mean, self.sd = x.mean(0), np.maximum(x.std(0), 1e-6)
-        e = expand(x, self.mean, self.sd)
-        one, other = meetings(len(good), len(bad))
-        pairs = e[good[one]] - e[bad[other]]
-        self.weights = fit(pairs)
-        s = e @ self.weights
-        self.threshold = quantile(s, np.where(y == 0, share / len(bad), (1 - share) / len(good)), share)
+    trained: bool = False
+    mean: np.ndarray | None = None
+    sd: np.ndarray | None = None
+    weights: np.ndarray | None = None
+    threshold: float = 0.0
+
+    def strength(self, x: np.ndarray) -> np.ndarray:
+        # Row by row, so that a text's strength does not depend on its batch.
+        return (expand(x, self.mean, self.sd) * self.weights).sum(1)
 
     def score(self, x: np.ndarray) -> np.ndarray:
         if not self.trained:
             return np.full(len(x), 0.5)
-        s = expand(x, self.mean, self.sd) @ self.weights - self.threshold + np.log(CUT / (1 - CUT))
+        s = self.strength(x) - self.threshold + np.log(CUT / (1 - CUT))
         return 1 / (1 + np.exp(-np.clip(s, -30, 30)))
 
 
@@ -111,41 +111,127 @@ def quantile(values: np.ndarray, mass: np.ndarray, share: float) -> float:
     return float(values[max(0, at - 1) : at + 1].mean())
 
 
-def fit(differences: np.ndarray, steps: int = 25) -> np.ndarray:
-    """Minimises the mean of log(1 + exp(-w . d)) + RIDGE / 2 |w|^2."""
-    w, n = np.zeros(differences.shape[1]), len(differences)
+def slopes(differences: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """One row: the loss's gradient, summed over the differences, and its Hessian, flattened."""
+    p = 1 / (1 + np.exp(np.clip(differences @ w, -30, 30)))
+    return np.concatenate([-(differences * p[:, None]).sum(0), ((differences * (p * (1 - p))[:, None]).T @ differences).ravel()])
+
+
+def newton(summed: Callable[[np.ndarray], np.ndarray], n: int, width: int, steps: int = 25) -> np.ndarray:
+    """Minimises the mean of log(1 + exp(-w . d)) + RIDGE / 2 |w|^2 over n differences d; summed(w): slopes() over all of them."""
+    w = np.zeros(width)
     for _ in range(steps):
-        p = 1 / (1 + np.exp(np.clip(differences @ w, -30, 30)))
-        gradient = -(differences * p[:, None]).sum(0) / n + RIDGE * w
-        hessian = (differences * (p * (1 - p))[:, None]).T @ differences / n + RIDGE * np.eye(len(w))
-        step = np.linalg.solve(hessian, gradient)
-        w -= step
+        sums = summed(w) / n
+        step = np.linalg.solve(sums[width:].reshape(width, width) + RIDGE * np.eye(width), sums[:width] + RIDGE * w)
+        w = w - step
         if np.abs(step).max() < 1e-8:
             break
     return w
 
 
+def fit(differences: np.ndarray, steps: int = 25) -> np.ndarray:
+    """newton() over differences in memory."""
+    return newton(lambda w: slopes(differences, w), len(differences), differences.shape[1], steps)
+
+
 def held_out(key: str = "doc_id") -> Column:
     return F.crc32(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary")) % 5 == 0
 
 
-def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality") -> Ranking:
+def described(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, x): the features of each row's text."""
     short_batches(docs.sparkSession)
-    usable = labels.where(F.col(key).isNotNull() & F.col(label).isin(0, 1) & ~held_out(key)).select(key, label)
-    counts = {r[label]: r["count"] for r in usable.groupBy(label).count().collect()}
-    sample = None
-    for y in (0, 1):
-        part = usable.where(F.col(label) == y).orderBy(F.xxhash64(key), key).limit(SAMPLE)
-        sample = part if sample is None else sample.unionByName(part)
-    # At most 2 * SAMPLE rows are broadcast; the texts' features, not the texts, reach the driver.
-    texts = docs.select(F.col(key), whole_text(text).alias("text")).join(F.broadcast(sample), key)
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            yield pd.DataFrame({"key": part[key], "label": part[label], "x": [features(t) for t in part["text"]]})
+    @F.pandas_udf("array<double>")
+    def features_of(texts: pd.Series) -> pd.Series:
+        return pd.Series([features(t) for t in texts], dtype=object)
+
+    return docs.select(key, features_of(whole_text(text)).alias("x"))
+
 
-    rows = texts.mapInPandas(run, "key long, label int, x array<double>").orderBy("key", "label", "x").limit(4 * SAMPLE).collect()
-    return Ranking(np.array([r["x"] for r in rows]).reshape(len(rows), FEATURES), np.array([r["label"] for r in rows], int), counts.get(0, 0) / max(1, sum(counts.values())))
+def summed(table: DataFrame, of: Callable[..., np.ndarray], *columns: str) -> np.ndarray:
+    """The sum of of(...) over batches of a table's columns of arrays, each given as a matrix: a row for each task reaches the driver."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = None
+        for batch in batches:
+            if batch.num_rows:
+                part = of(*[c.flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1) for c in batch.columns])
+                total = part if total is None else total + part
+        if total is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([total.tolist()], pa.list_(pa.float64()))], names=["total"])
+
+    return np.sum([r["total"] for r in table.select(*columns).mapInArrow(run, "total array<double>").collect()], axis=0)
+
+
+def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality") -> Ranking:
+    return learn_from(described(docs, key, text), labels, key, label)
+
+
+def learn_from(known: DataFrame, labels: DataFrame, key: str = "doc_id", label: str = "quality") -> Ranking:
+    """The ranking that all labelled rows of known, see described(), teach."""
+    spark, keep = known.sparkSession, Scratch(known.sparkSession)
+    usable = labels.where(F.col(key).isNotNull() & F.col(label).isin(0, 1) & ~held_out(key)).select(key, F.col(label).cast("int").alias("y"))
+    counts = {r["y"]: r["count"] for r in usable.groupBy("y").count().collect()}
+    rows = keep.table(known.join(usable, key).select("y", F.col(key).alias("key"), "x"), "quality-rows")
+    n_bad, n_good = rows.agg(F.count_if(F.col("y") == 0), F.count_if(F.col("y") == 1)).first()
+    if not n_bad or not n_good:
+        keep.clear()
+        return Ranking()
+    n = n_bad + n_good
+    mean = summed(rows, lambda x: x.sum(0), "x") / n
+    sd = np.maximum(np.sqrt(summed(rows, lambda x: ((x - mean) ** 2).sum(0), "x") / n), 1e-6)
+    pairs = keep.table(meeting_rows(spark, rows, n_good, n_bad), "quality-pairs")
+    n_pairs = max(PAIRS * n_bad, n_good)
+    over = lambda w: summed(pairs, lambda one, other: slopes(expand(one, mean, sd) - expand(other, mean, sd), w), "one", "other")
+    ranking = Ranking(True, mean, sd, newton(over, n_pairs, 3 * FEATURES))
+
+    @F.pandas_udf("double")
+    def strength(x: pd.Series) -> pd.Series:
+        return pd.Series(ranking.strength(np.array(x.tolist()).reshape(len(x), FEATURES)))
+
+    share = counts.get(0, 0) / sum(counts.values())
+    strengths = keep.table(rows.select("y", strength("x").alias("s")), "quality-strengths")
+    threshold = spread_quantile(strengths, share / n_bad, (1 - share) / n_good, share)
+    keep.clear()
+    return Ranking(True, mean, sd, ranking.weights, threshold)
+
+
+def meeting_rows(spark: SparkSession, rows: DataFrame, n_good: int, n_bad: int) -> DataFrame:
+    """(one, other): the features of a good and a bad row of each of meetings(), rows numbered by key and features in their class."""
+    placed = positions(rows, ["y", "key", "x"], "place").select("place", "x")
+    i = spark.range(max(PAIRS * n_bad, n_good))
+    turn = F.expr(f"(id * 7919L + id div {math.lcm(n_good, n_bad)}L) % {n_good}L")
+    met = i.select("id", (turn + n_bad).alias("good"), (F.col("id") % n_bad).alias("bad"))
+    met = met.join(placed.select(F.col("place").alias("bad"), F.col("x").alias("other")), "bad")
+    return met.join(placed.select(F.col("place").alias("good"), F.col("x").alias("one")), "good").select("one", "other")
+
+
+def spread_quantile(strengths: DataFrame, of_bad: float, of_good: float, share: float) -> float:
+    """quantile() of a table (y, s) whose rows of y = 0 have the mass of_bad, others of_good; of equal strengths the least mass comes first.
+
+    The strengths between which the share is reached lie in one bin of a histogram, which is cut again until it has few rows or one strength."""
+    mass = lambda r: r["bad"] * of_bad + r["good"] * of_good
+    sums = (F.count_if(F.col("y") == 0).alias("bad"), F.count_if(F.col("y") == 1).alias("good"), F.min("s").alias("lo"), F.max("s").alias("hi"), F.count("*").alias("n"))
+    at, below = strengths.agg(*sums).first(), {"bad": 0, "good": 0}
+    while at["n"] > LEFT and at["lo"] < at["hi"]:
+        bin_ = F.least(F.lit(BINS - 1), F.floor((F.col("s") - at["lo"]) / (at["hi"] - at["lo"]) * BINS))
+        bins = strengths.where(F.col("s").between(at["lo"], at["hi"])).groupBy(bin_.alias("bin")).agg(*sums).orderBy("bin").collect()
+        for at in bins:
+            upto = {c: below[c] + at[c] for c in below}
+            if mass(upto) > share + 1e-9 or at is bins[-1]:
+                break
+            below = upto
+    values, masses = [], []
+    if (before := strengths.where(F.col("s") < at["lo"]).agg(F.max("s").alias("s")).first()["s"]) is not None:
+        values, masses = [before], [mass(below)]
+    for r in strengths.where(F.col("s").between(at["lo"], at["hi"])).groupBy("s").agg(*sums[:2]).orderBy("s").collect():
+        first = min(m for c, m in (("bad", of_bad), ("good", of_good)) if r[c])
+        values, masses = values + [r["s"]] * 2, masses + [first, mass(r) - first]
+    # Where all of the interval is within the share, the next strength is above it.
+    if (after := strengths.where(F.col("s") > at["hi"]).agg(F.min("s").alias("s")).first()["s"]) is not None:
+        values, masses = values + [after], masses + [1.0]
+    return quantile(np.array(values), np.array(masses), share)
 
 
 def with_score(docs: DataFrame, ranking: Ranking, column: str, text: str = "text") -> DataFrame:
@@ -177,9 +263,16 @@ def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    ranking = learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return scored(docs, ranking).select("doc_id", held_out().alias("held_out"), "score", "predicted")
+    # Features are staged once, for learning and for the scores.
+    known = staged(described(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")), "quality-features")
+    ranking = learn_from(known, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+    @F.pandas_udf("double")
+    def score(x: pd.Series) -> pd.Series:
+        return pd.Series(ranking.score(np.array(x.tolist()).reshape(len(x), FEATURES)))
+
+    done = known.withColumn("score", score("x"))
+    return done.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= CUT).cast("int").alias("predicted"))
 
 
 def in_holdout(doc_id: int) -> bool:
