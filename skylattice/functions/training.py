@@ -43,9 +43,21 @@ def held_out(ids: Column, seed: int = 42) -> Column:
 
 def fit(rows: DataFrame, features: list[Column], label: Column, ids: Column, steps: tuple[int, ...] = STEPS) -> Fitted | None:
     """None where the ids learnt from have no positive or no negative rows. Null features count as 0, null labels are left out."""
-    spark = rows.sparkSession
-    x = F.array(*[F.coalesce(f.cast("double"), F.lit(0.0)) for f in features])
-    data = staged(rows.select(x.alias("x"), label.cast("double").alias("y"), held_out(ids).alias("out")).where("y is not null"), "fit-rows")
+    return fit_staged(staged(learnable(rows, numbers(features), label, ids), "fit-rows"), len(features), steps)
+
+
+def learnable(rows: DataFrame, x: Column, label: Column, ids: Column, *others: Column) -> DataFrame:
+    """(x, y, out): features, label and whether the id is held out; and others."""
+    return rows.select(x.alias("x"), label.cast("double").alias("y"), held_out(ids).alias("out"), *others).where("y is not null")
+
+
+def numbers(features: list[Column]) -> Column:
+    return F.array(*[F.coalesce(f.cast("double"), F.lit(0.0)) for f in features])
+
+
+def fit_staged(data: DataFrame, width: int, steps: tuple[int, ...] = STEPS) -> Fitted | None:
+    """fit() of a written table of learnable() rows, of so many features."""
+    spark = data.sparkSession
     n = data.where("not out").agg(F.count_if(F.col("y") == 1).alias("positive"), F.count_if(F.col("y") == 0).alias("negative")).first()
     if not n["positive"] or not n["negative"]:
         return None
@@ -55,10 +67,12 @@ def fit(rows: DataFrame, features: list[Column], label: Column, ids: Column, ste
     for some in steps:
         model = LogisticRegression(labelCol="y", weightCol="weight", maxIter=some, regParam=1e-6).fit(train)
         table = spark.createDataFrame([(0, 0, float(model.intercept), [float(w) for w in model.coefficients])], perceptron.WEIGHTS)
-        score = perceptron.probability([F.get("x", F.lit(i)) for i in range(len(features))], table)
+        score = perceptron.probability([F.get("x", F.lit(i)) for i in range(width)], table)
         m = metrics.classifier(test.withColumn("score", score), "y", F.col("score") > CUT).first()
         if best is None or m["f1"] > best.f1:
             best = Fitted(table, some, n["positive"] + n["negative"], test.count() if best is None else best.n_held_out, m["precision"], m["recall"], m["f1"])
+        if model.summary.totalIterations < some:
+            break  # the optimiser has ended by itself: more steps are the same model
     return best
 
 
@@ -75,4 +89,8 @@ def fit_pairs(rows: DataFrame, gate: float = 8000.0) -> tuple[Fitted | None, Fit
     same = ((F.col("a.track_id") == F.col("b.track_id")) & (F.col("a.track_id") != -1)).cast("int")
     ids = F.least("a.track_id", "b.track_id")
     primary = (F.col("a.meas_type") == "PSR") & (F.col("b.meas_type") == "PSR")
-    return fit(near.where(primary), list(k.psr_pair_features("a", "b").values()), same, ids), fit(near.where(~primary), list(k.ssr_pair_features("a", "b").values()), same, ids)
+    routes = [list(f("a", "b").values()) for f in (k.psr_pair_features, k.ssr_pair_features)]
+    # Rows meet once for both models.
+    x = F.when(primary, numbers(routes[0])).otherwise(numbers(routes[1]))
+    both = staged(learnable(near, x, same, ids, primary.alias("primary")), "fit-pairs")
+    return fit_staged(both.where("primary"), len(routes[0])), fit_staged(both.where("not primary"), len(routes[1]))

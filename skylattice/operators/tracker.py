@@ -26,7 +26,7 @@ from skylattice.functions import perceptron
 from .assignment import augmented, sparse_assignment
 from .kalman import HYBRID, SORT, Noise
 from .pairs import fuse, gated_by_grid, square, window_components
-from .staging import staged
+from .staging import parts, staged
 
 STATE = ("x", "y", "z", "vx", "vy", "vz")
 TRACKS = "scene long, win long, track_id long, hits long, age long, x double, y double, z double, vx double, vy double, vz double"
@@ -117,14 +117,24 @@ class Track:
         self.s = [s + k11 * e + k12 * w for s, e, w in zip(self.s[:3], y[:3], y[3:])] + [s + k12 * e + k22 * w for s, e, w in zip(self.s[3:], y[:3], y[3:])]
 
 
+#: Reports that are compared with all tracks at once.
+BLOCK = 256
+
+
 def pair_table(tracks: list[Track], reports: list[dict], gate: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Indexes of tracks and reports nearer than the gate in the plane, and the tracks' positions at the reports' times. Tracks are capped, so a row of them is small."""
+    """Indexes of tracks and reports nearer than the gate in the plane, and the tracks' positions at the reports' times, by report and track.
+    Tracks are capped, so a block of them and of reports is small."""
     s, t0 = np.array([t.s for t in tracks]), np.array([t.t for t in tracks])
+    m = np.array([[r["t"], r["x"], r["y"]] for r in reports])
     found = []
-    for j, m in enumerate(reports):
-        p = s[:, :3] + s[:, 3:] * np.maximum(0.0, m["t"] - t0)[:, None]
-        i = np.flatnonzero(np.hypot(p[:, 0] - m["x"], p[:, 1] - m["y"]) < gate)
-        found.append((i, np.full(len(i), j), p[i]))
+    for start in range(0, len(m), BLOCK):
+        t, x, y = m[start : start + BLOCK].T[:, :, None]
+        dt = np.maximum(0.0, t - t0)
+        # A little wider, so that rounding parts no pair; then the distance of those that are left.
+        j, i = np.nonzero(np.abs(s[:, 0] + s[:, 3] * dt - x) < gate * (1 + 1e-9))
+        p = s[i, :3] + s[i, 3:] * dt[j, i][:, None]
+        near = np.hypot(p[:, 0] - x[j, 0], p[:, 1] - y[j, 0]) < gate
+        found.append((i[near], j[near] + start, p[near]))
     i, j, p = zip(*found)
     return np.concatenate(i), np.concatenate(j), np.concatenate(p)
 
@@ -258,13 +268,16 @@ def linked(rows: DataFrame, rules: Rules, psr: DataFrame | None, ssr: DataFrame
     near = gated_by_grid(rows, rules.cluster_gate)
     primary = (F.coalesce(F.col("a.meas_type"), F.lit("PSR")) == "PSR") & (F.coalesce(F.col("b.meas_type"), F.lit("PSR")) == "PSR")
     differ = lambda c: F.coalesce((F.col(f"a.{c}") != F.col(f"b.{c}")) & (F.col(f"a.{c}") != "") & (F.col(f"b.{c}") != ""), F.lit(False))
-    plain = ~differ("mode_3a") & ~differ("mode_s")
+    routes = ((F.col("primary"), psr, k.psr_pair_features), (~F.col("primary"), ssr, k.ssr_pair_features))
+    given = {str(i): F.struct(*features("a", "b").values()) for i, (_, model, features) in enumerate(routes) if model is not None}
+    ends = (F.col("a.win").alias("win"), F.col("a.seq").alias("src"), F.col("b.seq").alias("dst"))
+    # Rows meet once for both routes.
+    near = staged(near.select(*ends, primary.alias("primary"), (~differ("mode_3a") & ~differ("mode_s")).alias("plain"), *[x.alias(f"_f{i}") for i, x in given.items()]), "tracker-pairs")
     out = None
-    for route, model, features in ((primary, psr, k.psr_pair_features), (~primary, ssr, k.ssr_pair_features)):
+    for i, (route, model, features) in enumerate(routes):
         some = near.where(route)
-        some = some.where(plain) if model is None else some.withColumn("_p", perceptron.probability(list(features("a", "b").values()), model)).where("_p > 0.5")
-        some = some.select(F.col("a.win").alias("win"), F.col("a.seq").alias("src"), F.col("b.seq").alias("dst"))
-        out = some if out is None else out.unionByName(some)
+        some = some.where("plain") if model is None else some.withColumn("_p", perceptron.probability([F.col(f"_f{i}.col{n + 1}") for n in range(len(features("a", "b")))], model)).where("_p > 0.5")
+        out = some.select("win", "src", "dst") if out is None else out.unionByName(some.select("win", "src", "dst"))
     return out
 
 
@@ -284,9 +297,9 @@ def track_scenes(rows: DataFrame, width: float, rules: Rules = HYBRID_RULES, psr
     (w + 1) * width), x, y, vx, vy, mode_3a, mode_s, and z, vz, amplitude, meas_type if known. psr, ssr: models' tables."""
     models = Classifiers.of(psr, ssr)
 
-    def windows_of(parts: Iterator[pd.DataFrame]) -> Iterator[tuple[int, int, list[dict]]]:
+    def windows_of(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[int, int, list[dict]]]:
         at, held = None, []
-        for part in parts:
+        for part in batches:
             for r in part.to_dict("records"):
                 if at != (r["scene"], r["win"]):
                     if at is not None:
@@ -296,10 +309,10 @@ def track_scenes(rows: DataFrame, width: float, rules: Rules = HYBRID_RULES, psr
         if at is not None:
             yield *at, held
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         columns = [f.split()[0] for f in TRACKS.split(", ")]
         out, scene, tracker, done = [], None, None, None
-        for s, win, reports in windows_of(parts):
+        for s, win, reports in windows_of(batches):
             if s != scene:
                 scene, tracker, done = s, Tracker(rules, models), None
             out += run_windows(tracker, scene, iter([(win, reports)]), done, width)
@@ -310,7 +323,8 @@ def track_scenes(rows: DataFrame, width: float, rules: Rules = HYBRID_RULES, psr
         yield pd.DataFrame(out, columns=columns)
 
     reports = fused_reports(rows, rules, psr, ssr)
-    return reports.repartition("scene").sortWithinPartitions("scene", "win", "first").mapInPandas(run, TRACKS)
+    # Into a given number of parts: Spark would join scenes by their bytes, and a window takes long for its bytes.
+    return reports.repartition(parts(rows.sparkSession), "scene").sortWithinPartitions("scene", "win", "first").mapInPandas(run, TRACKS)
 
 
 def clustered_here(rows: list[dict], rules: Rules, models: Classifiers) -> list[dict]:
