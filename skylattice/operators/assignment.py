@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
 from collections.abc import Callable
 from heapq import heappop, heappush
 
@@ -117,6 +118,143 @@ def sparse_assignment(a: np.ndarray, b: np.ndarray, cost: np.ndarray, limit: flo
     return np.array(sorted(k for _, k in taken.values() if k >= 0), int)
 
 
+#: Nearest columns of a row that a search has at hand; columns on either side of a row, along the widest axis, among which they are looked for.
+AT_HAND, BESIDE = 32, 64
+
+
+def at_hand(x: np.ndarray, y: np.ndarray) -> list[list[tuple[float, int]]]:
+    """(distance, place in y) of the AT_HAND nearest rows of y, or all, for each row of x, nearest first. y is in order of its first axis."""
+    m, found = len(y), []
+    k, wide = min(AT_HAND, m), min(2 * BESIDE, m)
+    for a in range(0, len(x), 1024):
+        part = x[a : a + 1024]
+        lo = np.clip(np.searchsorted(y[:, 0], part[:, 0]) - BESIDE, 0, m - wide)
+        cols = lo[:, None] + np.arange(wide)
+        d = np.sqrt(((part[:, None] - y[cols]) ** 2).sum(2))
+        nearest = np.argsort(d, axis=1, kind="stable")[:, :k]
+        d, cols = np.take_along_axis(d, nearest, 1), np.take_along_axis(cols, nearest, 1)
+        # What was left out on either side is at least as far as the last that was not.
+        sure = np.minimum(np.where(lo > 0, part[:, 0] - y[lo, 0], np.inf), np.where(lo + wide < m, y[lo + wide - 1, 0] - part[:, 0], np.inf))
+        for i in np.flatnonzero(d[:, -1] > sure).tolist():
+            row = np.sqrt(((part[i] - y) ** 2).sum(1))
+            some = np.argpartition(row, k - 1)[:k]
+            cols[i] = some[np.argsort(row[some], kind="stable")]
+            d[i] = row[cols[i]]
+        found += [list(zip(*r)) for r in zip(d.tolist(), cols.tolist())]
+    return found
+
+
+def closest(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """For each of n rows of x a row of its own of m >= n rows of y, so that the sum of the distances is least: augmented() for points.
+
+    Prices are never above 0, so a column is no nearer to a search than its distance says. A search looks at the nearest columns of its rows, and
+    as long as nothing else is nearer than the last of these, at no others; searches that need more look at columns that are, along the widest
+    axis alone, nearer than a known way to a free one. So the work is that of the neighbourhood where points spread. Memory is n + m.
+    Searches start all over the frame in turn: in order, the last would cross all that came before."""
+    n, m = len(x), len(y)
+    if not n:
+        return np.empty(0, int)
+    axes = np.argsort(y.min(0) - y.max(0), kind="stable")
+    order = np.argsort(y[:, axes[0]], kind="stable")
+    # By a power of two, so that no square overflows and no digit is lost.
+    scale = np.ldexp(1.0, -int(np.frexp(max(np.abs(x).max(), np.abs(y).max()))[1]))
+    x, y = x[:, axes] * scale, np.ascontiguousarray(y[order][:, axes]) * scale
+    near, across, points, along, at = at_hand(x, y), np.ascontiguousarray(y.T), x[:, :, None], y[:, 0].tolist(), x[:, 0].tolist()
+    u, v, owner, mate = [r[0][0] for r in near], [0.0] * m, [-1] * m, [-1] * n
+    for i, r in enumerate(near):
+        if owner[r[0][1]] < 0:
+            owner[r[0][1]], mate[i] = i, r[0][1]
+    # v once more, and infinity where a column is taken.
+    prices, taken = np.zeros(m), np.where(np.array(owner) < 0, 0.0, np.inf)
+    infinite = float("inf")
+
+    def nearby(start: int) -> tuple | None:
+        """The free column that start reaches, how far it is, closed columns and how far, and the rows that columns are reached from; None if those at hand are too few."""
+        reach: dict[int, float] = {}
+        back: dict[int, int] = {}
+        heap: list[tuple[float, int]] = []
+        closed, bound, far, i = [], infinite, 0.0, start
+        while True:
+            base, edges = far - u[i], near[i]
+            room = bound - base
+            for c, j in edges:
+                if c >= room:
+                    break
+                d = base + c - v[j]
+                if d < bound and d < reach.get(j, infinite):
+                    reach[j], back[j] = d, i
+                    heappush(heap, (d, j))
+                    if owner[j] < 0:
+                        bound, room = d, d - base
+            else:
+                if len(edges) < m:
+                    # No column that is not at hand is nearer than this.
+                    heappush(heap, (base + edges[-1][0], -1))
+            far, j = heappop(heap)
+            while j < 0 or reach[j] != far:
+                if j < 0:
+                    return None
+                far, j = heappop(heap)
+            if owner[j] < 0:
+                return j, far, closed, back
+            closed.append((j, far))
+            reach[j] = -infinite
+            i = owner[j]
+
+    def ways(i: int, lo: int, hi: int) -> np.ndarray:
+        d = across[:, lo:hi] - points[i]
+        d *= d
+        way = d[0] + d[1]
+        way += d[2]
+        np.sqrt(way, out=way)
+        way -= prices[lo:hi]
+        return way
+
+    def farther(start: int) -> tuple:
+        """As nearby(), among all columns."""
+        mid, width, bound = bisect_left(along, at[start]), BESIDE, infinite
+        while bound == infinite:
+            lo, hi = max(0, mid - width), min(m, mid + width)
+            bound, width = float((ways(start, lo, hi) + taken[lo:hi]).min()) - u[start], 4 * width
+        reach, back, closed, far, i, left, right = np.full(m, np.inf), np.empty(m, int), [], 0.0, start, m, 0
+        while True:
+            # A little more, so that rounding leaves out no column: coordinates are 1 at most.
+            within = bound - far + u[i] + 1e-12
+            lo, hi = bisect_left(along, at[i] - within), bisect_right(along, at[i] + within)
+            if lo < hi:
+                way = ways(i, lo, hi)
+                way += far - u[i]
+                bound = min(bound, float((way + taken[lo:hi]).min()))
+                nearer = way < reach[lo:hi]
+                np.copyto(reach[lo:hi], way, where=nearer)
+                np.copyto(back[lo:hi], i, where=nearer)
+                left, right = min(left, lo), max(right, hi)
+            j = left + int(reach[left:right].argmin())
+            far = float(reach[j])
+            if owner[j] < 0:
+                return j, far, closed, back
+            closed.append((j, far))
+            # A closed column is infinitely far from now on.
+            reach[j], prices[j] = np.inf, -np.inf
+            i = owner[j]
+
+    for start in np.random.default_rng(0).permutation(n).tolist():
+        if mate[start] >= 0:
+            continue
+        j, far, closed, back = nearby(start) or farther(start)
+        for k, d in closed:
+            v[k] -= far - d
+            prices[k] = v[k]
+            u[owner[k]] += far - d
+        u[start] += far
+        taken[j], i = np.inf, -1
+        while i != start:
+            i = int(back[j])
+            owner[j] = i
+            mate[i], j = j, mate[i]
+    return order[mate]
+
+
 GATED = "frame long, a long, b long, cost double"
 
 
@@ -144,22 +282,20 @@ MATCHES = "frame long, pred_id long, gt_id long, dist double"
 
 def match_frames(pred: DataFrame, truth: DataFrame, gate: float = 5000.0) -> DataFrame:
     """(frame, pred_id, gt_id, dist): the assignment is made before the gate is applied, so it may match less than a gated one. Frames are independent.
-    An optimum over all pairs needs them all, but never at once: a task holds the positions of one frame and a row of distances. Rows without
-    a position have no distance to any and match nothing."""
+    An optimum over all pairs never needs them all at once: a task holds the positions of one frame, a few neighbours of each and a row of
+    distances. Rows without a position, or an infinite one, have no distance to any and match nothing."""
 
     def solve(key: tuple, p: pd.DataFrame, g: pd.DataFrame) -> pd.DataFrame:
         p, g = p.sort_values("id"), g.sort_values("id")
         few, many = (p, g) if len(p) <= len(g) else (g, p)
         x, y = few[["x", "y", "z"]].to_numpy(float), many[["x", "y", "z"]].to_numpy(float)
-        across = [np.ascontiguousarray(c) for c in y.T]
-        distances = lambda k: np.sqrt(sum((c - x[k, i]) ** 2 for i, c in enumerate(across)))
-        i, j = augmented(len(x), len(y), distances) if len(x) else (np.empty(0, int), np.empty(0, int))
+        i, j = np.arange(len(x)), closest(x, y)
         d = np.sqrt(((x[i] - y[j]) ** 2).sum(1))
         near = d < gate
         i, j = (i, j) if few is p else (j, i)
         return pd.DataFrame({"frame": key[0], "pred_id": p["id"].to_numpy()[i[near]], "gt_id": g["id"].to_numpy()[j[near]], "dist": d[near]})
 
-    pred, truth = (side.select("frame", "id", "x", "y", "z").where("not (isnan(x + y + z) or x + y + z is null)") for side in (pred, truth))
+    pred, truth = (side.select("frame", "id", "x", "y", "z").where("greatest(abs(x), abs(y), abs(z)) < double('infinity') and x + y + z is not null") for side in (pred, truth))
     n = parts(pred.sparkSession)
     pred, truth = pred.repartition(n, "frame"), truth.withColumnRenamed("frame", "gt_frame").repartition(n, "gt_frame")
     return pred.groupBy("frame").cogroup(truth.groupBy("gt_frame")).applyInPandas(solve, MATCHES)
