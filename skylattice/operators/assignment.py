@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from bisect import bisect_left, bisect_right
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from heapq import heappop, heappush
 
 import numpy as np
@@ -255,26 +255,96 @@ def closest(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return order[mate]
 
 
-GATED = "frame long, a long, b long, cost double"
+GATED, STARS = "frame long, a long, b long, cost double", "frame long, side int, id long, root long"
+
+#: Edges of a frame that a task joins to parts at once.
+TOGETHER = 200_000
+
+
+def runs(*keys: np.ndarray) -> list[tuple[int, int]]:
+    """Where equal keys begin and end in rows sorted by them."""
+    if not len(keys[0]):
+        return []
+    cuts = np.flatnonzero(np.any([k[1:] != k[:-1] for k in keys], axis=0)) + 1
+    return list(zip([0, *cuts.tolist()], [*cuts.tolist(), len(keys[0])]))
+
+
+def stars(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """STARS: each end of the edges (frame, a, b), sorted by frame, with the least a of its part; of TOGETHER edges of a frame at a time."""
+    root: dict[int, int] = {}
+    via: dict[int, int] = {}
+    out: list[tuple[int, int, int, int]] = []
+    at, n = None, 0
+
+    def find(a: int) -> int:
+        while root[a] != a:
+            root[a] = a = root[root[a]]
+        return a
+
+    def flush() -> None:
+        out.extend((at, 0, a, find(a)) for a in root)
+        out.extend((at, 1, b, find(a)) for b, a in via.items())
+        root.clear()
+        via.clear()
+
+    table = lambda: pd.DataFrame(out, columns=["frame", "side", "id", "root"])
+    for batch in batches:
+        for lo, hi in runs(batch["frame"].to_numpy()):
+            frame, n = int(batch["frame"].iat[lo]), n + hi - lo
+            if frame != at or n > TOGETHER:
+                flush()
+                at, n = frame, hi - lo
+            for a, b in zip(batch["a"].iloc[lo:hi].tolist(), batch["b"].iloc[lo:hi].tolist()):
+                root.setdefault(a, a)
+                one, other = find(a), find(via.setdefault(b, a))
+                if one != other:
+                    root[max(one, other)] = min(one, other)
+        if len(out) >= 50_000:
+            yield table()
+            out.clear()
+    flush()
+    if out:
+        yield table()
 
 
 def assign_within_gate(edges: DataFrame, limit: float = 1.0) -> DataFrame:
     """(frame, a, b, cost) of the cheapest one-to-one assignment of each frame over its edges below `limit`, those outside a gate costing `limit`.
 
     Edges that share no end are independent, so Spark cuts frames into connected parts first and each part is solved by itself:
-    a task holds a part's edges, not a frame's matrix. edges: frame, a, b, cost. Null costs are no edges."""
-    inside = edges.where(F.col("cost") < limit).select("frame", "a", "b", "cost")
-    vertex = lambda side, c: F.struct(F.col("frame").alias("frame"), F.lit(side).alias("side"), F.col(c).alias("id"))
-    inside = staged(inside.withColumns({"va": vertex(0, "a"), "vb": vertex(1, "b")}), "gate-edges")
-    parts = components(inside.select(F.col("va").alias("u"), F.col("vb").alias("v")))
+    a task holds a part's edges, not a frame's matrix. Tasks join the edges of a frame, or of pieces of a large one, to stars, which are the
+    parts already where no frame is in pieces; and solve many parts, one after the other. edges: frame, a, b, cost. Null costs are no edges."""
+    inside = staged(edges.where(F.col("cost") < limit).select("frame", "a", "b", "cost"), "gate-edges")
+    n = parts(edges.sparkSession)
+    starry = inside.select("frame", "a", "b").repartition(n, "frame").sortWithinPartitions("frame").mapInPandas(stars, STARS)
+    vertex = lambda side, c: F.struct(F.col("frame").alias("frame"), side.alias("side"), F.col(c).alias("id"))
+    found = components(starry.select(vertex(F.col("side"), "id").alias("u"), vertex(F.lit(0), "root").alias("v")))
     # b's vertex always has a label: a's is smaller.
-    labelled = inside.join(parts.withColumnRenamed("u", "vb"), "vb").select("frame", "a", "b", "cost", "label")
-
-    def solve(part: pd.DataFrame) -> pd.DataFrame:
-        keep = sparse_assignment(part["a"].to_numpy(), part["b"].to_numpy(), part["cost"].to_numpy(), limit)
-        return part.iloc[keep][["frame", "a", "b", "cost"]]
-
-    return labelled.groupBy("label").applyInPandas(solve, GATED)
+    of = found.where("u.side = 1").select(F.col("u.frame").alias("frame"), F.col("u.id").alias("b"), F.col("label.id").alias("root"))
+    labelled = inside.join(of, ["frame", "b"]).select("frame", "a", "b", "cost", "root")
+
+    def solved(rows: pd.DataFrame) -> pd.DataFrame:
+        a, b, cost = (rows[c].to_numpy() for c in ("a", "b", "cost"))
+        keep = []
+        for lo, hi in runs(rows["frame"].to_numpy(), rows["root"].to_numpy()):
+            keep += [lo] if hi - lo == 1 else (lo + sparse_assignment(a[lo:hi], b[lo:hi], cost[lo:hi], limit)).tolist()
+        return rows.iloc[keep][["frame", "a", "b", "cost"]]
+
+    def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        # Rows of the last part wait for the next batch, which may have more of them.
+        held: list[pd.DataFrame] = []
+        for batch in batches:
+            if not len(batch):
+                continue
+            last = runs(batch["frame"].to_numpy(), batch["root"].to_numpy())[-1][0]
+            if held and last == 0 and tuple(batch[["frame", "root"]].iloc[0]) == tuple(held[-1][["frame", "root"]].iloc[-1]):
+                held.append(batch)
+                continue
+            yield solved(pd.concat([*held, batch.iloc[:last]]))
+            held = [batch.iloc[last:]]
+        if held:
+            yield solved(pd.concat(held))
+
+    return labelled.repartition(n, "frame", "root").sortWithinPartitions("frame", "root", "a", "b").mapInPandas(solve, GATED)
 
 
 MATCHES = "frame long, pred_id long, gt_id long, dist double"
