@@ -11,8 +11,14 @@ from skylattice.llm import byte_bpe, line_dedup, ngram_join, quality, source_mix
 from skylattice.llm.common import free_name, read_table, staged
 
 
+#: The first stage's model, by application and folder: what it was learnt from is not what later stages are given.
+MODELS: dict[tuple[str, str], quality.Ranking] = {}
+
+
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return quality.keep_good(docs, read_table(spark, sf_dir, "labels"))
+    ranking = quality.learn(docs.select("doc_id", "text"), read_table(spark, sf_dir, "labels"))
+    MODELS[spark.sparkContext.applicationId, sf_dir] = ranking
+    return quality.kept(docs, ranking)
 
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -24,8 +30,11 @@ def ngram_join_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def source_mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A document's quality weight is the classifier's score of it; the model is the first stage's, learnt from all documents' labels."""
-    ranking = quality.learn(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+    """A document's quality weight is the classifier's score of it; the model is the first stage's, learnt from all documents' labels. Where
+    that stage did not run in this application, the folder's documents teach it."""
+    ranking = MODELS.get((spark.sparkContext.applicationId, sf_dir))
+    if ranking is None:
+        ranking = quality.learn(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
     weight = free_name(docs, "quality_weight")
     return source_mix.mixed_documents(quality.with_score(docs, ranking, weight), weight)
 

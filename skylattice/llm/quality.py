@@ -252,7 +252,11 @@ def scored(docs: DataFrame, ranking: Ranking, text: str = "text") -> DataFrame:
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that the classifier does not reject."""
-    ranking = learn(docs.select("doc_id", "text"), labels)
+    return kept(docs, learn(docs.select("doc_id", "text"), labels))
+
+
+def kept(docs: DataFrame, ranking: Ranking) -> DataFrame:
+    """The documents that a ranking does not reject."""
     short_batches(docs.sparkSession)
 
     @F.pandas_udf("boolean")
